@@ -25,10 +25,11 @@ from chronoward.operators.arrow_groups import whole_groups
 class SpikeSpec:
     """Parameters of :func:`flag_implausible`.
 
-    ``limits`` maps a channel to the closed range of possible values and the
-    smallest scale that counts as its noise; ``default_limits`` serves channels
-    that are not named. ``resting_value`` (the value a source rests at, e.g. 0
-    for a fraction) never counts as frozen.
+    ``limits`` maps a channel, or a value column, to the closed range of possible
+    values and the smallest scale that counts as its noise; ``default_limits``
+    serves the others. ``resting_value`` (the value a source rests at, e.g. 0 for
+    a fraction) never counts as frozen. ``edge_spikes`` accepts excursions at the
+    very start or end of a source, where only one side can be compared.
     """
 
     limits: dict[str, tuple[float, float, float]] = field(default_factory=dict)
@@ -44,6 +45,7 @@ class SpikeSpec:
     frozen_min_run: int = 12
     frozen_log10: float = -7.0
     resting_value: float | None = None
+    edge_spikes: bool = False
 
 
 def _segment_median(values: np.ndarray, seg: np.ndarray, n_seg: int) -> np.ndarray:
@@ -181,7 +183,8 @@ def score_series(
 
     # usual scale of the source: deviation from the profile and from reading to reading
     lively = ~long_run
-    counted = lively if lively.any() else np.ones(n, dtype=bool)
+    enough = np.bincount(s, lively, n_seg) >= np.maximum(0.3 * np.bincount(s, minlength=n_seg), 10)
+    counted = lively | ~enough[s]
     sigma = 1.4826 * _segment_median(np.abs(residual[counted]), s[counted], n_seg)
     step = np.zeros(n)
     step[1:] = np.where(s[1:] == s[:-1], np.abs(v[1:] - v[:-1]), np.nan)
@@ -204,15 +207,18 @@ def score_series(
     joined[1:] = (s[1:] == s[:-1]) & (side[1:] == side[:-1])
     a, size = _runs(joined)
     peak = np.repeat(np.maximum.reduceat(np.abs(residual), a), size)
-    side = side * (np.abs(residual) >= 0.5 * peak)  # shoulders of a peak are not part of it
+    side = side * (np.abs(residual) >= 0.3 * peak)  # shoulders of a peak are not part of it
     joined[1:] = (s[1:] == s[:-1]) & (side[1:] == side[:-1])
     a, size = _runs(joined)
     b = a + size - 1
-    brief = (side[a] != 0) & (t[b] - t[a] < spec.spike_slots * spec.slot_seconds) & (a > 0) & (b < n - 1)
+    brief = (side[a] != 0) & (t[b] - t[a] < spec.spike_slots * spec.slot_seconds)
     a, b = a[brief], b[brief]
     own = s[a]
-    inner = (s[a - 1] == own) & (s[b + 1] == own)
-    a, b, own = a[inner], b[inner], own[inner]
+    last = n - 1
+    has_left = (a > 0) & (s[np.maximum(a - 1, 0)] == own)
+    has_right = (b < last) & (s[np.minimum(b + 1, last)] == own)
+    inner = (has_left | has_right) if spec.edge_spikes else (has_left & has_right)
+    a, b, own, has_left, has_right = a[inner], b[inner], own[inner], has_left[inner], has_right[inner]
     spike = np.zeros(n, dtype=bool)
     if len(a):
         k = np.arange(1, 6)
@@ -222,12 +228,17 @@ def score_series(
         at = a[:, None] + np.arange(width)
         body = np.where(at <= b[:, None], v[np.minimum(at, n - 1)], np.nan)
         top, bottom, middle = np.nanmax(body, axis=1), np.nanmin(body, axis=1), _row_median(body)
-        around_max = np.fmax(np.fmax(left, right), np.fmax(v[a - 1], v[b + 1]))
-        around_min = np.fmin(np.fmin(left, right), np.fmin(v[a - 1], v[b + 1]))
+        before = np.where(has_left, v[np.maximum(a - 1, 0)], np.nan)
+        after = np.where(has_right, v[np.minimum(b + 1, last)], np.nan)
+        around_max = np.fmax(np.fmax(left, right), np.fmax(before, after))
+        around_min = np.fmin(np.fmin(left, right), np.fmin(before, after))
         clear = np.maximum(bottom - around_max, around_min - top)
         base = np.where(np.isnan(left), right, np.where(np.isnan(right), left, 0.5 * (left + right)))
         depth = np.abs(middle - base)
-        gap = np.maximum(slot[a] - slot[a - 1], slot[b + 1] - slot[b])
+        gap = np.maximum(
+            np.where(has_left, slot[a] - slot[np.maximum(a - 1, 0)], 0),
+            np.where(has_right, slot[np.minimum(b + 1, last)] - slot[b], 0),
+        )
         hit = (
             (clear >= spec.spike_score * scale[own])
             & (clear >= spec.edge_share * depth)
@@ -310,8 +321,9 @@ def flag_implausible(
             fresh = np.ones(n, dtype=bool)
             fresh[1:] = (ids[1:] != ids[:-1]) | (seg[1:] != seg[:-1]) | (times[1:] != times[:-1])
             channels = table.column("channel").take(pa.array(starts)).to_pylist()
-            bounds = np.array([spec_.limits.get(c, spec_.default_limits) for c in channels], dtype=float)
             for i, name in enumerate(names):
+                known = spec_.limits.get(name, spec_.default_limits)
+                bounds = np.array([spec_.limits.get(c, known) for c in channels], dtype=float)
                 v = table.column(f"v{i}").to_numpy()
                 use = np.flatnonzero(fresh & np.isfinite(v))
                 flag = score_series(

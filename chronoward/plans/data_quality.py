@@ -18,12 +18,18 @@ CHANNEL_LIMITS = {
     "SpO2": (40.0, 100.0, 0.3),
 }
 
+#: A fraction lies in [0, 1]; flat windows come in twelfths, hence the larger noise.
+FRACTION_LIMITS = {
+    "flatline_fraction": (0.0, 1.0, 0.08),
+    "extreme_value_fraction": (0.0, 1.0, 0.04),
+}
+
 READING_SPEC = SpikeSpec(limits=CHANNEL_LIMITS)
 
-#: Windows of three minutes; a fraction lies in [0, 1] and rests at 0.
+#: Windows of three minutes; a fraction rests at 0.
 WINDOW_SPEC = SpikeSpec(
-    default_limits=(0.0, 1.0, 0.04), slot_seconds=180.0, period_slots=12, block_seconds=3 * 86400.0,
-    frozen_min_run=8, resting_value=0.0,
+    limits=FRACTION_LIMITS, slot_seconds=180.0, period_slots=12, block_seconds=3 * 86400.0,
+    frozen_min_run=8, resting_value=0.0, edge_spikes=True,
 )
 
 
