@@ -30,18 +30,13 @@ def range_sorted(df: DataFrame, order: list[str | Column], partitions: int | Non
     return checkpoint(ranged.sortWithinPartitions(*cols))
 
 
-def states_before(
-    ordered: DataFrame,
-    summarise: Callable[[Batches, Any], Any],
-    combine: Callable[[Any, Any], Any],
-    initial: Any,
-    given: dict[int, Any] | None = None,
+def partition_summaries(
+    ordered: DataFrame, summarise: Callable[[Batches, Any], Any], given: dict[int, Any] | None = None
 ) -> dict[int, Any]:
-    """The state before each partition of ``ordered`` (from :func:`range_sorted`).
+    """``summarise(batches, given[pid])`` of each partition that is not empty, by partition number.
 
-    ``summarise(batches, given[pid])`` reduces a partition to a small value (None
-    if it is empty); ``combine(state, summary)`` is the state after it. One summary
-    per partition reaches the driver, whatever the size of the data.
+    ``summarise`` returns a small value, None for no rows; one value per partition
+    reaches the driver, whatever the size of the data.
     """
     shared = ordered.sparkSession.sparkContext.broadcast(given or {})
 
@@ -51,13 +46,26 @@ def states_before(
         yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "value": pa.array([value], pa.binary())})
 
     rows = ordered.mapInArrow(summaries, "pid int, value binary").collect()
-    by_pid = {r["pid"]: pickle.loads(bytes(r["value"])) for r in rows}
+    loaded = {r["pid"]: pickle.loads(bytes(r["value"])) for r in rows}
+    return {pid: loaded[pid] for pid in sorted(loaded) if loaded[pid] is not None}
+
+
+def states_before(
+    ordered: DataFrame,
+    summarise: Callable[[Batches, Any], Any],
+    combine: Callable[[Any, Any], Any],
+    initial: Any,
+    given: dict[int, Any] | None = None,
+) -> dict[int, Any]:
+    """The state before each non-empty partition of ``ordered`` (from :func:`range_sorted`).
+
+    ``combine(state, summary)`` is the state after a partition with that summary.
+    """
     before: dict[int, Any] = {}
     state = initial
-    for pid in sorted(by_pid):
+    for pid, summary in partition_summaries(ordered, summarise, given).items():
         before[pid] = state
-        if by_pid[pid] is not None:
-            state = combine(state, by_pid[pid])
+        state = combine(state, summary)
     return before
 
 
