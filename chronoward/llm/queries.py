@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoward.functions.timeparts import seconds_since_2000
+from chronoward.llm.abuse import score_abuse
 from chronoward.llm.event_runs import episode_runs, minute_runs
 from chronoward.llm.leakage import find_leaks
 from chronoward.llm.linked_splits import assign_splits, connected_components
+from chronoward.llm.mixing import mix_sources
 from chronoward.llm.nearest_time import nearest_in_time
 from chronoward.llm.percentiles import combine_counts, percentiles_of_counts, value_counts
 from chronoward.session import table
@@ -159,6 +161,52 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
 
 
+def canonical_source(source):
+    """Trimmed, lower-case, with ``-`` as ``_``."""
+    return F.regexp_replace(F.lower(F.trim(source)), "-", "_")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), canonical_source(F.col("source")).alias("source"), "text"
+    )
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_target").withColumn("source", canonical_source(F.col("source")))
+    return mix_sources(_documents(spark, d), targets)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p9_mix_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
+#: Calibrated probability from which a document counts as abusive.
+ABUSE_THRESHOLD = 0.5
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "review_label").select(F.col("doc_id").alias("id"), F.col("abusive").alias("label"))
+    return score_abuse(_documents(spark, d), labels)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).filter(F.col("score") >= ABUSE_THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, flagged documents, their rate and the mean score."""
+    flagged = (F.col("score") >= ABUSE_THRESHOLD).cast("int")
+    return p10_scores(spark, d).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum(flagged).alias("n_flagged"),
+        F.avg(flagged).alias("flagged_rate"), F.avg("score").alias("mean_score"),
+    )
+
+
 QUERIES = {
     "p3_feature_percentiles": p3_feature_percentiles,
     "p3_residual_percentiles": p3_residual_percentiles,
@@ -170,6 +218,11 @@ QUERIES = {
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_mixture": p9_mixture,
+    "p9_mix_shares": p9_mix_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _PROBS = f"[{', '.join(str(p) for p in PROBABILITIES)}]"
@@ -209,20 +262,20 @@ SQL = {
              v as (select split, feature_name, cast(fv[i] as double) x from r, n where fm[i] and isfinite(fv[i]))
         select split, feature_name, cast(unnest({_PROBS}) as double) probability,
                unnest(quantile_cont(x, {_PROBS})) "value", count(*) n_values
-        from v group by all""",
+        from v group by split, feature_name""",
     "p3_residual_percentiles": f"""
         with v as (select channel_name, cast(ingested_at as date) arrival_day,
                           cast(alignment_residual_seconds as double) x
                    from minute_timeline where isfinite(alignment_residual_seconds) and ingested_at is not null)
         select channel_name, arrival_day, cast(unnest({_PROBS}) as double) probability,
                unnest(quantile_cont(x, {_PROBS})) "value", count(*) n_values
-        from v group by all""",
+        from v group by channel_name, arrival_day""",
     "p3_residual_combined": f"""
         with v as (select channel_name, cast(alignment_residual_seconds as double) x
                    from minute_timeline where isfinite(alignment_residual_seconds) and ingested_at is not null)
         select channel_name, cast(unnest({_PROBS}) as double) probability,
                unnest(quantile_cont(x, {_PROBS})) "value", count(*) n_values
-        from v group by all""",
+        from v group by channel_name""",
     "p4_found": f"{_RUNS} select distinct run_kind, segment_id, event_name, first_minute, last_minute from z",
     "p4_runs": f"{_RUNS} select *, last_minute - first_minute + 1 duration_minutes from z",
     "p5_found": f"""
