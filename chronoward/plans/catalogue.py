@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chronoward.plans import data_quality, episodes_labels
+from chronoward.plans import data_quality, episodes_labels, intervals_cohort
 
 FLAGSHIP = "sustained_episodes"
 
-_MODULES = [data_quality, episodes_labels]
+_MODULES = [data_quality, episodes_labels, intervals_cohort]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
