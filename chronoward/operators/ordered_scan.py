@@ -12,11 +12,13 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoward.operators.arrow_groups import group_starts
 from chronoward.session import checkpoint
 
 Batches = Iterator[pa.RecordBatch]
@@ -79,3 +81,64 @@ def rescan(
         yield from scan(batches, shared.value.get(TaskContext.get().partitionId()))
 
     return ordered.mapInArrow(run, schema)
+
+
+def running_sums(rows: DataFrame, label: str, order: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` plus ``before_<c>``: sums of earlier rows of the same ``label``, in a total ``order``.
+
+    ``label`` is a string column without nulls, ``columns`` are whole numbers without
+    nulls. A label is spread over as many tasks as its rows fill; partitions pass on
+    the sums of the label that straddles them.
+    """
+    ordered = range_sorted(rows, [label, *order])
+
+    def sums_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        starts = group_starts(pa.Table.from_batches([batch]), [label])
+        values = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns])
+        return starts, values
+
+    def tail(batches: Batches, _) -> tuple[str, str, list[int]] | None:
+        first = last = None
+        total = np.zeros(len(columns), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, values = sums_of(batch)
+            head, end = batch.column(label)[0].as_py(), batch.column(label)[batch.num_rows - 1].as_py()
+            first = head if first is None else first
+            if len(starts) == 1 and head == last:
+                total = total + values.sum(axis=1)
+            else:
+                total = values[:, starts[-1]:].sum(axis=1)
+            last = end
+        return None if first is None else (first, last, total.tolist())
+
+    def later(state, summary):
+        first, last, total = summary
+        if state is not None and state[0] == last == first:
+            return (last, [a + b for a, b in zip(state[1], total, strict=True)])
+        return (last, total)
+
+    before = states_before(ordered, tail, later, None)
+    names = ordered.columns
+
+    def scan(batches: Batches, state) -> Batches:
+        last, so_far = state or (None, [0] * len(columns))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, values = sums_of(batch)
+            sizes = np.diff(np.append(starts, batch.num_rows))
+            cumulative = np.concatenate([np.zeros((len(columns), 1), np.int64), np.cumsum(values, axis=1)], axis=1)
+            base = cumulative[:, starts].copy()
+            if batch.column(label)[0].as_py() == last:
+                base[:, 0] -= np.array(so_far, dtype=np.int64)
+            earlier = cumulative[:, :-1] - np.repeat(base, sizes, axis=1)
+            last = batch.column(label)[batch.num_rows - 1].as_py()
+            so_far = (earlier[:, -1] + values[:, -1]).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(x) for x in earlier)], names=[*names, *(f"before_{c}" for c in columns)]
+            )
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    return rescan(ordered, before, scan, schema + "".join(f", before_{c} long" for c in columns))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from chronoward.plans import data_quality, episodes_labels, intervals_cohort
+from chronoward.plans import anchors_features, data_quality, episodes_labels, evaluation_stats, intervals_cohort
 
 FLAGSHIP = "sustained_episodes"
 
-_MODULES = [data_quality, episodes_labels, intervals_cohort]
+_MODULES = [data_quality, episodes_labels, intervals_cohort, anchors_features, evaluation_stats]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
