@@ -39,15 +39,15 @@ def with_features(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 
 def score_abuse(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, folds: int = 2, trees: int = 15, depth: int = 3,
-    seed: int = 11,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, folds: int = 2, trees: int = 12, depth: int = 2,
+    leaf_share: float = 0.01, seed: int = 11,
 ) -> DataFrame:
     """``doc_id, source, score`` (calibrated probability) for ``docs(id, source, text)``.
 
     ``labels(id, label)`` holds verdicts 1, 0 or null, possibly several and
     contradictory per document; a document counts by the majority, ties and nulls not
     at all. At most ``max_labelled`` labelled documents (by hash) are used for
-    fitting; every document is scored on its whole text. Null or empty texts get the
+    fitting, with at least ``leaf_share`` of them (three or more) in a leaf; every document is scored on its whole text. Null or empty texts get the
     score of a text without words. Without verdicts of both kinds no model can be
     fitted and the score is null. Repeated ids are scored once.
     """
@@ -70,8 +70,9 @@ def score_abuse(
         return scored.select(
             F.col("id").alias("doc_id"), "source", F.lit(None).cast("double").alias("score")
         )
+    leaf = max(3, int(leaf_share * sum(kinds.values())))  # verdicts are noisy: no leaf of a few of them
     gbt = GBTClassifier(
-        maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=3, seed=seed, featuresCol="features",
+        maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=leaf, seed=seed, featuresCol="features",
         labelCol="label",
     )
 

@@ -72,7 +72,7 @@ THREAT_PHRASES = [
     r"you (?:are|re) (?:dead|next)", r"kill yourself", r"hope (?:you|he|she|they|\w+) dies?", r"should be (?:shot|hanged|killed|burned|beaten)",
     r"wir (?:wissen|finden)", r"kommen heute", r"mit knüppeln", r"viendra te", r"on va te", r"te casser", r"sabemos dónde", r"te vamos a",
     r"vamos a (?:matar|quemar|buscar)", r"ojalá te", r"dich vermisst keiner", r"wissen wo \w+ wohnt", r"wo \w+ wohnt",
-    r"hope the doctors", r"br[uû]le la maison", r"maison de \w+ avec", r"quemen la casa", r"haus von \w+ anz",
+    r"vamos a partir", r"partir la cara", r"casser la gueule", r"auf die fresse", r"hope the doctors", r"br[uû]le la maison", r"maison de \w+ avec", r"quemen la casa", r"haus von \w+ anz",
 ]
 GROUP_PHRASES = [
     r"(?:the|die|les|los|las|all) \w+ (?:are|sind|sont|son) (?:\w+ ){0,2}(?:vermin|rats?|animals?|thieves|ratas|ungeziefer|cafards|vermine|plaga|escoria|abschaum|parasites?)",
@@ -82,7 +82,7 @@ GROUP_PHRASES = [
     r"spit on (?:him|her|them)", r"that is all they understand", r"make \w+ clean again", r"not one \w+ after sunset",
     r"decent humans", r"gehören vertrieben", r"anständigen menschen", r"neben anständigen", r"kein \w+ darf", r"pas un \w+ ne mérite",
     r"manger à notre table", r"hay que echarlos", r"echarlos de aquí", r"son ratas", r"ningún \w+ (?:debería|merece)", r"are vermin",
-    r"creatures like", r"let nature finish", r"not be given food", r"something nasty in", r"go back to (?:where|your)", r"gas the", r"subhumans?",
+    r"entre personas decentes", r"personas decentes", r"debería vivir", r"parmi les gens", r"gens honnêtes", r"creatures like", r"let nature finish", r"not be given food", r"something nasty in", r"go back to (?:where|your)", r"gas the", r"subhumans?",
 ]
 SEXUAL_PHRASES = [
     r"dirty sex", r"sex video", r"full nude", r"adults only", r"xxx pics", r"click for", r"wet pussy", r"big tits", r"pulled down his",
@@ -99,6 +99,7 @@ IMPLICIT_PHRASES = [
     r"pas même sa mère", r"ferme ta gueule", r"espèce de", r"ta gueule", r"seul un \w+ comme", r"peut croire ça", r"quel \w+ a écrit",
     r"cállate", r"pedazo de", r"solo un \w+ como", r"se cree esto", r"quién escribió", r"wer das schreibt", r"so etwas schreibt nur",
     r"schreibt nur ein", r"halt die (?:fresse|klappe)", r"vermisst keiner", r"nicht einmal deine", r"not even your mother",
+    r"missing its fool", r"go back there", r"nadie te echaría", r"ni tu madre", r"nadie te echará", r"personne ne te regret",
     r"is nothing but a", r"est un sale", r"eres un", r"du bist ein", r"tu es un", r"what an? (?:idiot|moron)",
 ]
 SECOND = """
@@ -118,7 +119,7 @@ klinik gericht gemälde turm vogel chronik clinique tribunal tableau oiseau tour
 _REPEAT = re.compile(r"(.)\1+")
 _LONG_REPEAT = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<![\w*])(?:[^\W_] ){2,}[^\W_](?![\w*])")
-_TOKEN = re.compile(r"[^\W_](?:[\w@$*+€!'’\-]*[\w*$@])?", re.U)
+_TOKEN = re.compile(r"(?:[^\W_]|[@$](?=\w))(?:[\w@$*+€!'’\-]*[\w*$@])?", re.U)
 _INSIDE = re.compile(r"\w(?:'{2,}|<!--.*?-->|[​‌‍⁠­﻿])\w", re.S)
 _LEET_IN_WORD = re.compile(r"^(?=.*[^\W\d_])(?=.*[0134578@$!+€])[\w@$!+€'’\-]+$", re.U)
 
@@ -167,6 +168,34 @@ FEATURES = [
 ]
 
 
+_KNOWN = {w for ws in _VOCABULARY.values() for w in ws} | {
+    w for ps in (THREAT_PHRASES, GROUP_PHRASES, SEXUAL_PHRASES, IMPLICIT_PHRASES) for p in ps
+    for w in re.findall(r"[a-zà-ÿ]{2,}", p)
+}
+_LONGEST = max(map(len, _KNOWN))
+
+
+def _cut(run: str) -> str:
+    """A run of letters without spaces as words: longest known word first, the rest as it is."""
+    low = run.lower()
+    out, unknown, i = [], "", 0
+    while i < len(low):
+        for size in range(min(_LONGEST, len(low) - i), 1, -1):
+            if low[i : i + size] in _KNOWN and (size > 2 or not unknown):
+                if unknown:
+                    out.append(unknown)
+                    unknown = ""
+                out.append(low[i : i + size])
+                i += size
+                break
+        else:
+            unknown += low[i]
+            i += 1
+    if unknown:
+        out.append(unknown)
+    return " ".join(out)
+
+
 def _unmask(token: str) -> str:
     fits = [w for w in _VOCABULARY.get(len(token), ()) if all(a == "*" or a == b for a, b in zip(token, w, strict=True))]
     return fits[0] if fits else "x"
@@ -185,7 +214,7 @@ def abuse_features(text: str | None) -> list[float]:
     def join(match: re.Match) -> str:
         nonlocal spaced
         spaced += 1
-        return match.group(0).replace(" ", "")
+        return _cut(match.group(0).replace(" ", ""))
 
     joined = _SPACED.sub(join, latin)
     raw = _TOKEN.findall(joined)
