@@ -51,13 +51,13 @@ def score_abuse(
     score of a text without words. Without verdicts of both kinds no model can be
     fitted and the score is null. Repeated ids are scored once.
     """
-    docs = docs.filter("id is not null").dropDuplicates(["id"])
+    docs = docs.filter("id is not null")
     verdict = (
         labels.filter("label is not null").groupBy(F.col("id").alias("lid")).agg(F.avg("label").alias("mean"))
         .filter("mean <> 0.5").select("lid", (F.col("mean") > 0.5).cast("double").alias("label"))
         .orderBy(F.xxhash64("lid", F.lit(seed)), "lid").limit(max_labelled)
     )
-    labelled = docs.join(F.broadcast(verdict), F.col("id") == F.col("lid")).select("id", "source", "text", "label")
+    labelled = docs.join(F.broadcast(verdict), F.col("id") == F.col("lid")).select("id", "source", "text", "label").dropDuplicates(["id"])
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = assembler.transform(with_features(labelled, ["label"])).select(
         "label", "features", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(folds)).alias("fold")
@@ -69,7 +69,7 @@ def score_abuse(
         train.unpersist()
         return scored.select(
             F.col("id").alias("doc_id"), "source", F.lit(None).cast("double").alias("score")
-        )
+        ).dropDuplicates(["doc_id"])
     leaf = max(3, int(leaf_share * sum(kinds.values())))  # verdicts are noisy: no leaf of a few of them
     gbt = GBTClassifier(
         maxIter=trees, maxDepth=depth, stepSize=0.3, minInstancesPerNode=leaf, seed=seed, featuresCol="features",
@@ -90,4 +90,4 @@ def score_abuse(
     model = gbt.fit(train)
     train.unpersist()
     result = calibration.transform(raw(model, assembler.transform(scored)).select("id", "source", "raw"))
-    return result.select(F.col("id").alias("doc_id"), "source", "score")
+    return result.select(F.col("id").alias("doc_id"), "source", "score").dropDuplicates(["doc_id"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from functools import lru_cache
 
 from chronoward.llm.text_clean import plain_text
 
@@ -124,6 +125,7 @@ _INSIDE = re.compile(r"\w(?:'{2,}|<!--.*?-->|[​‌‍⁠­﻿])\w", re.S)
 _LEET_IN_WORD = re.compile(r"^(?=.*[^\W\d_])(?=.*[0134578@$!+€])[\w@$!+€'’\-]+$", re.U)
 
 
+@lru_cache(maxsize=200_000)
 def squeeze(word: str) -> str:
     """``word`` with repeated letters written once."""
     return _REPEAT.sub(r"\1", word)
@@ -137,6 +139,10 @@ def _lexicon(words: list[str]) -> frozenset[str]:
 LEXICONS = {
     "insult": _lexicon(INSULT), "profane": _lexicon(PROFANE), "sexual": _lexicon(SEXUAL), "threat": _lexicon(THREAT),
 }
+_ANY = frozenset().union(*LEXICONS.values())
+_LOOK_ALIKE_TABLE = str.maketrans(LOOK_ALIKE)
+_LOOK_ALIKE_CHAR = re.compile("[" + "".join(LOOK_ALIKE) + "]")
+_CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 _SECOND, _NEUTRAL = _lexicon(SECOND), _lexicon(NEUTRAL)
 
 
@@ -207,8 +213,8 @@ def abuse_features(text: str | None) -> list[float]:
         return [0.0] * len(FEATURES)
     inner_markup = len(_INSIDE.findall(text))
     plain = unicodedata.normalize("NFKC", plain_text(text))
-    latin = "".join(LOOK_ALIKE.get(ch, ch) for ch in plain) if not plain.isascii() else plain
-    look_alike = sum(1 for a, b in zip(plain, latin, strict=True) if a != b) if latin is not plain else 0
+    look_alike = 0 if plain.isascii() else len(_LOOK_ALIKE_CHAR.findall(plain))
+    latin = plain.translate(_LOOK_ALIKE_TABLE) if look_alike else plain
     spaced = 0
 
     def join(match: re.Match) -> str:
@@ -246,14 +252,19 @@ def abuse_features(text: str | None) -> list[float]:
                     hyphen += 1
                     strange = True
                     low = whole
-        if low.isalpha() and _LONG_REPEAT.search(low):
+            for part in low.split("-"):
+                bare = part.strip("'’*!+")
+                tokens.append(squeeze(bare))
+                exact.append("=" + bare)
+                odd.append(strange)
+            continue
+        short = squeeze(low)
+        if short != low and _LONG_REPEAT.search(low):
             repeated += 1
             strange = True
-        for part in low.split("-"):
-            bare = part.strip("'’*!+")
-            tokens.append(squeeze(bare))
-            exact.append("=" + bare)
-            odd.append(strange)
+        tokens.append(short)
+        exact.append("=" + low)
+        odd.append(strange)
     n = max(len(tokens), 1)
     line = " ".join(tokens)
     neutral_at = [i for i, w in enumerate(tokens) if w in _NEUTRAL]
@@ -265,6 +276,8 @@ def abuse_features(text: str | None) -> list[float]:
     hits = dict.fromkeys(LEXICONS, 0)
     open_hits = neutral_hits = second_near = obfuscated_hits = 0
     for i, w in enumerate(tokens):
+        if w not in _ANY and exact[i] not in _ANY:
+            continue
         found = False
         for name, words_ in LEXICONS.items():
             if w in words_ or exact[i] in words_:
@@ -279,8 +292,8 @@ def abuse_features(text: str | None) -> list[float]:
             obfuscated_hits += odd[i]
     phrases = {name: sum(1 for _ in pattern.finditer(line)) for name, pattern in PHRASES.items()}
     phrase_hits = sum(phrases.values())
-    letters = sum(ch.isalpha() for ch in latin)
-    capital = sum(ch.isupper() for ch in latin)
+    letters = sum(map(len, raw))
+    capital = len(_CAPITAL.findall(latin))
     return [float(x) for x in (
         hits["insult"] / n, hits["profane"] / n, hits["sexual"] / n, hits["threat"] / n, hits["insult"], hits["sexual"],
         hits["threat"], open_hits, neutral_hits, phrases["threat_phrase"], phrases["group_phrase"],
