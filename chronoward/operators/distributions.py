@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoward.operators.ordered_scan import running_sums
+from chronoward.operators.quantiles import exact_quantiles, null_safe_join
 
 
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Counts, moments (population) and quantiles per key; null values only add to ``n_rows``."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)]))
+    """Counts, moments (population) and exact quantiles per key; keys without values are left out."""
     v = F.col(value)
     agg = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
         F.skewness(v).alias("skewness"), F.kurtosis(v).alias("excess_kurtosis"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.count_if(v == 0).alias("n_zero"), F.count_if(v < 0).alias("n_negative"), q.alias("q"),
+        F.count_if(v == 0).alias("n_zero"), F.count_if(v < 0).alias("n_negative"),
     )
-    names = ("p01", "p05", "p25", "p50", "p75", "p95", "p99")
-    return agg.select("*", *[F.element_at("q", i + 1).alias(n) for i, n in enumerate(names)]).drop("q")
+    probabilities = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    return null_safe_join(agg, exact_quantiles(df, keys, value, probabilities), keys)
 
 
 def fences(p25: Column, p75: Column, k: float = 1.5) -> tuple[Column, Column]:
@@ -28,8 +28,8 @@ def fences(p25: Column, p75: Column, k: float = 1.5) -> tuple[Column, Column]:
 
 def outlier_concentration(df: DataFrame, keys: list[str], entity: str, value: str) -> DataFrame:
     """Share of the outliers held by the top entity and the top five, per key."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    low, high = fences(F.element_at("q", 1), F.element_at("q", 2))
+    low, high = fences(F.col("_p25"), F.col("_p75"))
+    q = exact_quantiles(df, keys, value, {"_p25": 0.25, "_p75": 0.75})
     out = df.join(F.broadcast(q), keys).filter((F.col(value) < low) | (F.col(value) > high))
     per = out.groupBy(*keys, entity).agg(F.count(F.lit(1)).alias("c"))
     rank = per.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), entity)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoward.operators.quantiles import exact_quantiles
 from chronoward.operators.timeline import finite
 
 
@@ -47,8 +48,10 @@ def impute_normalise(long: DataFrame, train: Column, keys: list[str], value: str
     """
     v = F.when(train, F.col(value))
     fitted = long.groupBy(*keys).agg(
-        F.median(v).alias("_median"), F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.count(v).alias("_n")
+        F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.count(v).alias("_n")
     )
+    median = exact_quantiles(long.filter(train), keys, value, {"_median": 0.5})
+    fitted = fitted.join(median, keys, "left")
     std = F.when(F.col("_std") > 1e-8, F.col("_std")).otherwise(1.0)
     filled = F.coalesce(F.col(value), F.when(F.col("_n") > 0, F.col("_median")).otherwise(0.0))
     x = long.join(F.broadcast(fitted), keys)

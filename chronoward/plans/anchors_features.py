@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoward.operators import anchors as an
 from chronoward.operators import features as ft
+from chronoward.operators.quantiles import exact_quantiles
 from chronoward.operators.timeline import alignment_residual, finite
 from chronoward.plans.episodes_labels import timeline
 from chronoward.session import table
@@ -109,10 +110,12 @@ def alignment_audit(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "minute_timeline").select(
         "channel_name", alignment_residual(F.col("minute_time"), F.col("origin_seconds")).alias("r")
     )
-    q = F.percentile("r", F.array(F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy("channel_name").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.element_at(q, 1), 6).alias("p50"), F.round(F.element_at(q, 2), 6).alias("p95"),
-        F.round(F.max("r"), 6).alias("max_residual"), F.count_if(F.col("r") > 10.0).alias("n_far"),
+    q = exact_quantiles(rows, ["channel_name"], "r", {"p50": 0.5, "p95": 0.95})
+    agg = rows.groupBy("channel_name").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.max("r"), 6).alias("max_residual"), F.count_if(F.col("r") > 10.0).alias("n_far")
+    )
+    return agg.join(q, "channel_name").select(
+        "channel_name", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "max_residual", "n_far"
     )
 
 
@@ -124,8 +127,7 @@ def channel_moments(spark: SparkSession, d: str) -> DataFrame:
 def clip_and_zscore(spark: SparkSession, d: str) -> DataFrame:
     """Per feature and split: moments of values clipped to the 1st and 99th percentile and z-scored."""
     long = long_cache(spark, d)
-    q = F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))
-    bounds = long.groupBy("feature_name").agg(F.element_at(q, 1).alias("lo"), F.element_at(q, 2).alias("hi")).join(
+    bounds = exact_quantiles(long, ["feature_name"], "value", {"lo": 0.01, "hi": 0.99}).join(
         ft.moments(long, ["feature_name"], "value").select("feature_name", "mean", "std"), "feature_name"
     )
     x = ft.clip_and_scale(long, bounds, ["feature_name"], "value")
@@ -172,18 +174,17 @@ def derived_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_quality_report(spark: SparkSession, d: str) -> DataFrame:
     """Fourteen statistics per feature."""
-    q = F.percentile("value", F.array(*[F.lit(p) for p in (0.01, 0.05, 0.5, 0.95, 0.99)]))
-    agg = long_cache(spark, d).groupBy("feature_name").agg(
+    long = long_cache(spark, d)
+    names = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    agg = long.groupBy("feature_name").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_valid"), F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("q"),
+        F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
         F.count_if(F.col("value") == 0).alias("n_zero"), F.count_if(F.col("value") < 0).alias("n_negative"),
         F.countDistinct("value").alias("n_distinct"),
-    )
+    ).join(exact_quantiles(long, ["feature_name"], "value", names), "feature_name")
     return agg.select(
         "feature_name", "n_rows", "n_valid", F.round(F.col("n_valid") / F.col("n_rows"), 9).alias("valid_fraction"),
-        *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max")],
-        *[F.round(F.element_at("q", i + 1), 5).alias(n) for i, n in enumerate(("p01", "p05", "p50", "p95", "p99"))],
-        "n_zero", "n_negative", "n_distinct",
+        *[F.round(c, 5).alias(c) for c in ("mean", "std", "min", "max", *names)], "n_zero", "n_negative", "n_distinct",
     )
 
 
