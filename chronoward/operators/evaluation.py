@@ -70,7 +70,7 @@ def ranking_metrics(levels: DataFrame, sensitivity: float = 0.85) -> DataFrame:
     x = levels.join(F.broadcast(totals), "g")
     tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
     below = F.col("n") - F.col("before_neg") - F.col("neg")
-    spec = F.when(tp >= F.lit(sensitivity) * F.col("m"), 1.0 - fp / F.col("n"))
+    spec = F.when(tp >= F.lit(sensitivity) * F.col("m"), 1.0 - F.try_divide(fp, F.col("n")))
     agg = x.groupBy("g", "m", "n").agg(
         F.sum(F.col("pos") * (below + F.col("neg") / 2.0)).alias("u"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") * tp / (tp + fp))).alias("ap"), F.max(spec).alias("spec"),
@@ -90,8 +90,8 @@ def _components(df: DataFrame, label: Column, score: Column, name: str) -> DataF
     totals = levels.agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"))
     return levels.join(F.broadcast(totals)).select(
         F.col("score").alias(name),
-        ((F.col("n") - F.col("before_neg") - F.col("neg") / 2.0) / F.col("n")).alias(f"{name}_pos"),
-        ((F.col("before_pos") + F.col("pos") / 2.0) / F.col("m")).alias(f"{name}_neg"),
+        F.try_divide(F.col("n") - F.col("before_neg") - F.col("neg") / 2.0, F.col("n")).alias(f"{name}_pos"),
+        F.try_divide(F.col("before_pos") + F.col("pos") / 2.0, F.col("m")).alias(f"{name}_neg"),
     )
 
 

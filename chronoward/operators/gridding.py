@@ -53,7 +53,7 @@ def _local_fit(
         line = (s2 * y0 - s1 * y1) / det
         level = y0 / s0
     # a line needs readings at clearly different times; else the local level
-    estimate = np.where((support >= 2.0) & (det > 1e-3 * s0 * s0), line, level)
+    estimate = np.where((support >= 1.2) & (det > 1e-3 * s0 * s0), line, level)
     return estimate, support
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoward.functions.timeparts import micros_since_1970
 from chronoward.operators import anchors as an
 from chronoward.operators import features as ft
 from chronoward.operators.quantiles import exact_quantiles
@@ -87,7 +88,8 @@ def cohort_dropped(spark: SparkSession, d: str) -> DataFrame:
 def dedupe_keep_first(spark: SparkSession, d: str) -> DataFrame:
     """First arrival of every reading."""
     rows = table(spark, d, "minute_timeline").select("reading_id", "segment_id", "channel_name", "ingested_at")
-    return an.keep_first(rows, ["reading_id"], ["ingested_at", "segment_id", "channel_name"])
+    first = an.keep_first(rows, ["reading_id"], ["ingested_at", "segment_id", "channel_name"])
+    return first.withColumn("ingested_at", micros_since_1970(F.col("ingested_at")))
 
 
 def stratified_sample_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +260,7 @@ SQL = {
     "cohort_dropped": """with b as (select subject_id_str p, count(*) n from waveform_segment group by 1),
         a as (select patient_id p, count(*) m from numerics_record group by 1)
         select b.p patient_id from b left join a using (p) where b.p is not null and b.n > coalesce(a.m, 0)""",
-    "dedupe_keep_first": """select reading_id, segment_id, channel_name, ingested_at from minute_timeline
+    "dedupe_keep_first": """select reading_id, segment_id, channel_name, epoch_us(ingested_at) ingested_at from minute_timeline
         qualify row_number() over (partition by reading_id order by ingested_at, segment_id, channel_name) = 1""",
     "stratified_sample_hash": f"""select anchor_id, split_label from
         (select distinct anchor_id, lower(trim(split_label)) split_label from
