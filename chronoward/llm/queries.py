@@ -49,7 +49,7 @@ def residual_counts_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Mergeable summary of alignment residuals per channel and arrival day."""
     rows = table(spark, d, "minute_timeline").filter("ingested_at is not null")
     return value_counts(
-        rows, {"channel_name": F.col("channel_name"), "arrival_day": F.to_date("ingested_at")},
+        rows, {"channel_name": F.col("channel_name"), "arrival_day": F.to_date("ingested_at").cast("string")},
         F.col("alignment_residual_seconds"),
     )
 
@@ -264,7 +264,7 @@ SQL = {
                unnest(quantile_cont(x, {_PROBS})) "value", count(*) n_values
         from v group by split, feature_name""",
     "p3_residual_percentiles": f"""
-        with v as (select channel_name, cast(ingested_at as date) arrival_day,
+        with v as (select channel_name, cast(cast(ingested_at as date) as varchar) arrival_day,
                           cast(alignment_residual_seconds as double) x
                    from minute_timeline where isfinite(alignment_residual_seconds) and ingested_at is not null)
         select channel_name, arrival_day, cast(unnest({_PROBS}) as double) probability,
