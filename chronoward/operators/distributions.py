@@ -30,7 +30,7 @@ def outlier_concentration(df: DataFrame, keys: list[str], entity: str, value: st
     """Share of the outliers held by the top entity and the top five, per key."""
     low, high = fences(F.col("_p25"), F.col("_p75"))
     q = exact_quantiles(df, keys, value, {"_p25": 0.25, "_p75": 0.75})
-    out = df.join(F.broadcast(q), keys).filter((F.col(value) < low) | (F.col(value) > high))
+    out = df.join(q, keys).filter((F.col(value) < low) | (F.col(value) > high))
     per = out.groupBy(*keys, entity).agg(F.count(F.lit(1)).alias("c"))
     rank = per.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), entity)))
     return rank.groupBy(*keys).agg(
@@ -54,7 +54,7 @@ def ks_statistic(df: DataFrame, key: Column, value: Column, side: Column) -> Dat
     totals = levels.groupBy("g").agg(F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"))
     fa = (F.col("before_ca") + F.col("ca")) / F.col("n_a")
     fb = (F.col("before_cb") + F.col("cb")) / F.col("n_b")
-    return run.join(F.broadcast(totals), "g").filter("n_a > 0 and n_b > 0").groupBy("g", "n_a", "n_b").agg(
+    return run.join(totals, "g").filter("n_a > 0 and n_b > 0").groupBy("g", "n_a", "n_b").agg(
         F.max(F.abs(fa - fb)).alias("ks")
     )
 
@@ -78,7 +78,7 @@ def shape_flags(skew: Column, kurt: Column, zero_share: Column, negative_share:
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """``keys..., bin, n``: equal-width counts between each key's least and greatest value."""
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    x = df.filter(F.col(value).isNotNull()).join(F.broadcast(span), keys)
+    x = df.filter(F.col(value).isNotNull()).join(span, keys)
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)
     return x.groupBy(*keys, place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -67,7 +67,7 @@ def ranking_metrics(levels: DataFrame, sensitivity: float = 0.85) -> DataFrame:
     AUROC and AUPRC are null without both kinds of labels.
     """
     totals = levels.groupBy("g").agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"))
-    x = levels.join(F.broadcast(totals), "g")
+    x = levels.join(totals, "g")
     tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
     below = F.col("n") - F.col("before_neg") - F.col("neg")
     spec = F.when(tp >= F.lit(sensitivity) * F.col("m"), 1.0 - F.try_divide(fp, F.col("n")))

@@ -34,7 +34,7 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def clip_and_scale(df: DataFrame, bounds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``df`` plus ``scaled``: clipped to ``lo``/``hi``, z-scored with ``mean``/``std``, null as 0."""
-    x = df.join(F.broadcast(bounds), keys)
+    x = df.join(bounds, keys)
     z = (F.least(F.greatest(F.col(value), "lo"), "hi") - F.col("mean")) / F.col("std")
     z = F.when(F.col(value).isNotNull(), z)  # greatest and least skip nulls
     return x.withColumn("scaled", F.coalesce(z, F.lit(0.0)))
@@ -43,7 +43,7 @@ def clip_and_scale(df: DataFrame, bounds: DataFrame, keys: list[str], value: str
 def impute_normalise(long: DataFrame, train: Column, keys: list[str], value: str = "value") -> DataFrame:
     """``long`` plus ``scaled`` and ``was_missing``: train median for gaps, then train z-score.
 
-    One aggregation over the training rows (one row per feature, broadcast); a
+    One aggregation over the training rows (one row per feature); a
     feature without training values is imputed 0 with mean 0 and spread 1.
     """
     v = F.when(train, F.col(value))
@@ -54,7 +54,7 @@ def impute_normalise(long: DataFrame, train: Column, keys: list[str], value: str
     fitted = fitted.join(median, keys, "left")
     std = F.when(F.col("_std") > 1e-8, F.col("_std")).otherwise(1.0)
     filled = F.coalesce(F.col(value), F.when(F.col("_n") > 0, F.col("_median")).otherwise(0.0))
-    x = long.join(F.broadcast(fitted), keys)
+    x = long.join(fitted, keys)
     return x.withColumn("scaled", (filled - F.coalesce("_mean", F.lit(0.0))) / std).withColumn(
         "was_missing", F.col(value).isNull()
     ).drop("_median", "_mean", "_std", "_n")

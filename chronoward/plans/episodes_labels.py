@@ -166,7 +166,7 @@ def legacy_filtered_negatives(spark: SparkSession, d: str) -> DataFrame:
         .agg((F.count_if(F.coalesce(~F.col("event"), F.lit(False))) == SUSTAIN).alias("clean"))
     )
     joined = (
-        base.join(last.withColumn("had", F.lit(True)), KEYS, "left").join(F.broadcast(mean), "event_name", "left")
+        base.join(last.withColumn("had", F.lit(True)), KEYS, "left").join(mean, "event_name", "left")
         .join(clean, ["anchor_id", *KEYS, "horizon"], "left")
     )
     reason = (

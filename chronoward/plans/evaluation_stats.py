@@ -218,7 +218,7 @@ def shape_flags(spark: SparkSession, d: str) -> DataFrame:
     p = ds.profile(long, ["feature_name"], "value")
     low, high = ds.fences(F.col("p25"), F.col("p75"))
     bounds = p.select("feature_name", low.alias("lo"), high.alias("hi"))
-    out = long.join(F.broadcast(bounds), "feature_name").groupBy("feature_name").agg(
+    out = long.join(bounds, "feature_name").groupBy("feature_name").agg(
         F.avg(((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).cast("double")).alias("outlier_share")
     )
     x = p.join(out, "feature_name")

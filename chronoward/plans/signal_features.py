@@ -74,7 +74,7 @@ def template_distance(spark: SparkSession, d: str) -> DataFrame:
     """Correlation and root mean square distance to the median template of the segment's class."""
     long = _vectors(spark, d).select("vec_id", "label", F.posexplode("x").alias("point", "v"))
     template = exact_quantiles(long, ["label", "point"], "v", {"t": 0.5})
-    x = long.join(F.broadcast(template), ["label", "point"])
+    x = long.join(template, ["label", "point"])
     return x.groupBy("vec_id", "label").agg(
         F.round(F.corr("v", "t"), 5).alias("correlation"),
         F.round(F.sqrt(F.avg((F.col("v") - F.col("t")) * (F.col("v") - F.col("t")))), 5).alias("distance"),
