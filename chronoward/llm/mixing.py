@@ -228,7 +228,7 @@ def mix_sources(
     )
     total = used.agg(F.sum("used_tokens").alias("total"))
     shares = (
-        fixed.join(F.broadcast(used), "source", "left").join(F.broadcast(total))
+        fixed.join(used, "source", "left").join(F.broadcast(total))
         .select(
             "source", "target_share", "max_repeats", "available_tokens",
             F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
