@@ -45,6 +45,26 @@ def ngram_hashes(tokens: list[str], size: int, cache: dict[str, int] | None = No
     return out.view(np.int64)
 
 
+def alignment_score(item: np.ndarray, doc: np.ndarray) -> int:
+    """Best Smith-Waterman score: match +1, mismatch -1, gap -1."""
+    n = len(doc)
+    if not n or not len(item):
+        return 0
+    ramp = np.arange(n, dtype=np.int32)
+    gain = np.where(item[:, None] == doc[None, :], np.int32(1), np.int32(-1))
+    score = np.zeros(n + 1, dtype=np.int32)
+    best = 0
+    for row in gain:
+        value = np.maximum(score[:-1] + row, score[1:] - 1)
+        np.maximum(value, 0, out=value)
+        value += ramp  # gaps in the item: a run along the document is a running maximum
+        np.maximum.accumulate(value, out=value)
+        value -= ramp
+        score[1:] = value
+        best = max(best, int(value.max()))
+    return best
+
+
 def local_alignment(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman alignment: (score, item words covered, words matched).
 
@@ -67,7 +87,6 @@ def local_alignment(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
         fresh = score[:-1] == 0
         begin = np.where(from_diagonal, np.where(fresh, i, start[:-1]), start[1:])
         same = np.where(from_diagonal, np.where(fresh, 0, match[:-1]) + hit, match[1:])
-        # gaps in the item: a run along the document is a running maximum
         lifted = value + ramp
         running = np.maximum.accumulate(lifted)
         origin = np.maximum.accumulate(np.where(lifted == running, ramp, 0))
@@ -82,13 +101,14 @@ def local_alignment(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
 def find_leaks(
     documents: DataFrame, items: DataFrame, doc_id: str, page: str, doc_text: str, item_id: str, item_text: str,
     gram: int = 5, stock_share: float = 0.01, stock_floor: int = 10, min_share: float = 0.5,
-    max_broadcast_grams: int = 2_000_000,
+    max_broadcast_grams: int = 2_000_000, max_broadcast_pairs: int = 1_000_000,
 ) -> DataFrame:
     """``doc_id, item_id, covered_words, matched_words, item_words``: leaked pairs.
 
     A pair is reported if one alignment covers at least ``min_share`` of the item's
     words that are not stock text (n-grams on more than ``stock_share`` of all pages,
-    and more than ``stock_floor``), and at least 7 in 10 covered words agree. Case, punctuation, markup, entities and inserted
+    and more than ``stock_floor``), at least 7 in 10 covered words agree, and the score reaches a
+    fifth of the item's words. Case, punctuation, markup, entities and inserted
     references are ignored; exchanged words inside the aligned stretch count as
     covered. Documents or items with null id or null or empty text match nothing;
     repeated rows count once; a null page counts as a page of its own document.
@@ -137,16 +157,16 @@ def find_leaks(
     spread = checkpoint(spread)
     rare = spread.filter(F.col("pages") <= limit).select("h")
     stock = spread.filter(F.col("pages") > limit).select("h")
-    candidates = (
+    candidates = checkpoint(
         hits.join(rare, "h").join(grams_of_items.select("h", "item_id").distinct(), "h")
         .select("doc_id", "item_id").distinct()
     )
     stock_at = grams_of_items.join(stock, "h").groupBy("item_id").agg(F.collect_set("pos").alias("stock_pos"))
     passages = tests.withColumnRenamed("text", "item").join(stock_at, "item_id", "left")
+    # texts of documents without a candidate are never shuffled
     pairs = (
-        candidates.join(passages, "item_id")
-        .join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id")
-        .select("doc_id", "item_id", "item", "stock_pos", "text")
+        docs.select("doc_id", "text").join(broadcast_if_small(candidates, max_broadcast_pairs), "doc_id")
+        .join(passages, "item_id").select("doc_id", "item_id", "item", "stock_pos", "text")
         .repartition("doc_id").sortWithinPartitions("doc_id")
     )
 
@@ -164,8 +184,10 @@ def find_leaks(
                 for p in stock_pos or ():
                     keep[p : p + gram] = False
                 rest = np.array([number.get(w, -1) for w, k in zip(tokens, keep, strict=True) if k], dtype=np.int64)
+                if alignment_score(rest, doc) < 0.2 * max(len(rest), 1):
+                    continue
                 _, covered, matched = local_alignment(rest, doc)
-                if len(rest) and covered >= min_share * len(rest) and matched >= 0.7 * covered:
+                if covered >= min_share * len(rest) and matched >= 0.7 * covered:
                     out.append((d, i, covered, matched, len(rest)))
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -175,4 +197,4 @@ def find_leaks(
 
     return pairs.mapInArrow(
         align, "doc_id long, item_id long, covered_words long, matched_words long, item_words long"
-    )
+    ).dropDuplicates(["doc_id", "item_id"])
