@@ -190,3 +190,32 @@ def paired_permutation(per_cluster: DataFrame, key: str, a: str, b: str, n: str,
         ((1 + F.count_if(F.abs(F.col("s") / F.col("total")) >= F.abs(F.col("observed")) - 1e-12)) / (replicates + 1)).alias("p_value"),
         F.count(F.lit(1)).alias("n_replicates"),
     )
+
+
+def bootstrap_ranking(
+    df: DataFrame, key: str, label: Column, score: Column, replicates: int, seed: int = 41, sensitivity: float = 0.85
+) -> DataFrame:
+    """Percentile intervals of AUROC and AUPRC over resampled clusters.
+
+    Rows are reduced to counts per cluster and distinct score before the resample;
+    replicates with one class only are left out.
+    """
+    per = (
+        df.select(F.col(key).alias("_k"), score.cast("double").alias("score"), label.cast("boolean").alias("y"))
+        .filter("score is not null and y is not null")
+        .groupBy("_k", "score").agg(F.count_if(F.col("y")).alias("p"), F.count_if(~F.col("y")).alias("q"))
+    )
+    weights = replicate_counts(per.select("_k").distinct(), "_k", replicates, seed).filter("times > 0")
+    levels = per.join(weights, "_k").groupBy(F.col("replicate").cast("string").alias("g"), "score").agg(
+        F.sum(F.col("p") * F.col("times")).alias("pos"), F.sum(F.col("q") * F.col("times")).alias("neg")
+    )
+    run = running_sums(levels.withColumn("falling", -F.col("score")), "g", ["falling"], ["pos", "neg"])
+    m = ranking_metrics(run, sensitivity).filter("auroc is not null")
+    long = m.select(F.explode(F.array(
+        F.struct(F.lit("auroc").alias("metric"), F.col("auroc").alias("v")),
+        F.struct(F.lit("auprc").alias("metric"), F.col("auprc").alias("v")),
+    )).alias("x")).select("x.*")
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    return long.groupBy("metric").agg(F.count(F.lit(1)).alias("n_replicates"), q.alias("q")).select(
+        "metric", "n_replicates", F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high")
+    )

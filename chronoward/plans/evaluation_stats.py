@@ -251,6 +251,21 @@ def correlation_flags(spark: SparkSession, d: str) -> DataFrame:
     return x.select("a", "b", "n", F.round("r", 6).alias("r"), (F.abs("r") >= 0.95).alias("is_redundant"))
 
 
+def bootstrap_ranking_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of AUROC and AUPRC of the quantity score over resampled suppliers."""
+    p = predictions(spark, d)
+    return _round(ev.bootstrap_ranking(p, "cluster", F.col("label"), F.col("score_a"), 100), 7, "low", "high")
+
+
+EXPONENTS = [-2.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
+
+
+def power_transform_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Best Yeo-Johnson exponent per feature."""
+    x = ds.power_fit(long_cache(spark, d).filter("value is not null and abs(value) < 1e6"), ["feature_name"], "value", EXPONENTS)
+    return x.select("feature_name", "exponent", F.round("log_likelihood", 3).alias("log_likelihood"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -258,6 +273,7 @@ QUERIES = {
         cluster_bootstrap_ci, paired_permutation, bland_altman, paired_bland_altman, best_model_per_target,
         agreement_pearson_spearman, target_summary_by_split, distribution_profile, outlier_concentration, ks_drift,
         drift_label, shape_flags, transform_compare, value_histogram, correlation_flags,
+        bootstrap_ranking_ci, power_transform_fit,
     )
 }
 
@@ -438,4 +454,30 @@ SQL = {
               where nx.i < ny.i and x.v is not null and y.v is not null)
         select a, b, count(*) n, round(corr(u, w), 6) r, abs(corr(u, w)) >= 0.95 is_redundant from j group by 1, 2
         having count(*) >= 5""",
+    "bootstrap_ranking_ci": f"""with {_P},
+        c as (select cluster, score_a s, count(*) filter (where label) p, count(*) filter (where not label) q from pd group by 1, 2),
+        k as (select distinct cluster from c),
+        r as (select *, (((cluster::hugeint * 1103515245 + replicate * 12345 + 41) * 69069 + 1) % 1000003) / 1000003.0 u
+              from k, (select unnest(range(1, 101)) replicate)),
+        w as (select *, case when u < 0.36787944 then 0 when u < 0.73575888 then 1 when u < 0.91969860 then 2
+                             when u < 0.98101184 then 3 when u < 0.99634015 then 4 else 5 end t from r),
+        l as (select replicate, s, sum(p * t) p, sum(q * t) q from c join w using (cluster) where t > 0 group by 1, 2),
+        v as (select *, sum(p) over x tp, sum(q) over x fp, sum(p) over (partition by replicate) m,
+                     sum(q) over (partition by replicate) n from l
+              window x as (partition by replicate order by s desc rows unbounded preceding)),
+        a as (select replicate, sum(p * (n - fp + q / 2)) / (m * n) auroc, sum(case when p > 0 then p * tp / (tp + fp) end) / m auprc
+              from v where m > 0 and n > 0 group by replicate, m, n),
+        z as (select 'auroc' metric, auroc v from a union all select 'auprc', auprc from a)
+        select metric, count(*) n_replicates, round(quantile_cont(v, 0.025), 7) low, round(quantile_cont(v, 0.975), 7) high
+        from z group by 1""",
+    "power_transform_fit": f"""with {_C},
+        e as (select unnest([{", ".join(str(x) for x in EXPONENTS)}]::double[]) ex),
+        t as (select feature_name, ex, v, case
+                  when v >= 0 and ex = 0 then ln(1 + v) when v >= 0 then (pow(v + 1, ex) - 1) / ex
+                  when ex = 2 then -ln(1 - v) else -(pow(1 - v, 2 - ex) - 1) / (2 - ex) end y
+              from lc, e where v is not null and abs(v) < 1e6),
+        l as (select feature_name, ex, -count(*) / 2 * ln(greatest(var_pop(y), 1e-300)) + (ex - 1) * sum(sign(v) * ln(1 + abs(v))) l
+              from t group by 1, 2)
+        select feature_name, ex exponent, round(l, 3) log_likelihood from l
+        qualify row_number() over (partition by feature_name order by l desc, ex) = 1""",
 }

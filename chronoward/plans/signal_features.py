@@ -13,7 +13,7 @@ from chronoward.operators import episodes as ep
 from chronoward.operators import series as sr
 from chronoward.operators import signals as sg
 from chronoward.operators.quantiles import exact_quantiles
-from chronoward.plans.episodes_labels import _TL, timeline
+from chronoward.plans.episodes_labels import _AN, _TL, timeline
 from chronoward.session import table
 
 FS = 32.0
@@ -176,6 +176,37 @@ def quality_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def pressure_interval_coupling(spark: SparkSession, d: str) -> DataFrame:
+    """Per segment and lag of 0 to 2 minutes: correlation and slope of beat interval on pressure."""
+    t = timeline(spark, d)
+    p = t.filter("channel_name = 'ABP Mean'").select(
+        "segment_id", F.col("value").alias("p"), "minute", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("lag")
+    ).withColumn("at", F.col("minute") + F.col("lag"))
+    r = t.filter("channel_name = 'HR' and value between 30 and 220").select(
+        "segment_id", F.col("minute").alias("at"), (60.0 / F.col("value")).alias("rr")
+    )
+    x = p.join(r, ["segment_id", "at"]).groupBy("segment_id", "lag").agg(
+        F.count(F.lit(1)).alias("n"), (F.round(F.corr("p", "rr"), 5) + 0.0).alias("r"),
+        (F.round(F.regr_slope("rr", "p"), 7) + 0.0).alias("slope"),
+    )
+    return x.filter("n >= 10")
+
+
+def minute_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Event flags of each anchor's ten input minutes as text: E event, . quiet, ? missing."""
+    from chronoward.plans.episodes_labels import anchors
+
+    wide = anchors(spark, d).withColumn("k", F.explode(F.sequence(F.lit(-10), F.lit(-1)))).withColumn(
+        "minute", F.col("input_end") + F.col("k")
+    )
+    t = timeline(spark, d).select("segment_id", "event_name", "minute", "event")
+    x = wide.join(t, ["segment_id", "event_name", "minute"], "left").withColumn(
+        "c", F.when(F.col("event").isNull(), "?").when(F.col("event"), "E").otherwise(".")
+    )
+    pattern = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]), "")
+    return x.groupBy("anchor_id", "segment_id", "event_name").agg(pattern.alias("pattern"))
+
+
 def waveform_spectral(spark: SparkSession, d: str) -> DataFrame:
     return sg.segment_features(table(spark, d, "embeddings"), "vec_id", "embedding", FS, ["spectral"])
 
@@ -197,7 +228,8 @@ QUERIES = {
     for f in (
         array_quality, array_robust_scale, array_runs, array_moments, poincare, resample_template, template_distance,
         gap_interpolation, adjacent_ratios, decline_runs, rr_validity, baseline_jumps, history_features, component_dedup,
-        burden_features, quality_features, waveform_spectral, waveform_entropy, waveform_morphology, beat_table,
+        burden_features, quality_features, pressure_interval_coupling,
+        minute_patterns, waveform_spectral, waveform_entropy, waveform_morphology, beat_table,
     )
 }
 
@@ -284,4 +316,16 @@ SQL = {
                               then missing_micro_fraction end), 9) missing,
                round(sum(len(list_filter(valid_micro_mask, lambda x: x))) / sum(len(valid_micro_mask)), 9) usable
         from r group by 1, 2""",
+    "pressure_interval_coupling": f"""with {_TL},
+        p as (select segment_id, "minute" m, "value" p from tl where channel_name = 'ABP Mean'),
+        r as (select segment_id, "minute" m, 60.0::double / "value" rr from tl where channel_name = 'HR' and "value" between 30 and 220),
+        l as (select unnest([0, 1, 2]) lag)
+        select p.segment_id, lag, count(*) n, round(corr(p, rr), 5) + 0.0 r, round(regr_slope(rr, p), 7) + 0.0 slope
+        from p cross join l join r on r.segment_id = p.segment_id and r.m = p.m + lag group by 1, 2 having count(*) >= 10""",
+    "minute_patterns": f"""with {_TL},{_AN},
+        w as (select *, unnest(range(-10, 0)) k from an)
+        select anchor_id, w.segment_id, w.event_name,
+               string_agg(case when event is null then '?' when event then 'E' else '.' end, '' order by k) pattern
+        from w left join tl t on t.segment_id = w.segment_id and t.event_name = w.event_name and t."minute" = w.input_end + w.k
+        group by 1, 2, 3""",
 }
