@@ -13,6 +13,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import ahocorasick
+
 from chronoward.llm.text_clean import plain_text
 
 # Letters of other scripts that look like Latin ones.
@@ -140,21 +142,48 @@ LEXICONS = {
     "insult": _lexicon(INSULT), "profane": _lexicon(PROFANE), "sexual": _lexicon(SEXUAL), "threat": _lexicon(THREAT),
 }
 _ANY = frozenset().union(*LEXICONS.values())
+_ANY_EXACT = frozenset(w[1:] for w in _ANY if w[0] == "=")
 _LOOK_ALIKE_TABLE = str.maketrans(LOOK_ALIKE)
 _LOOK_ALIKE_CHAR = re.compile("[" + "".join(LOOK_ALIKE) + "]")
+_CAPITAL_WORD = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 _CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 _SECOND, _NEUTRAL = _lexicon(SECOND), _lexicon(NEUTRAL)
 
 
-def _phrases(patterns: list[str]) -> re.Pattern:
-    plain = [re.sub(r"([a-zà-ÿ])\1", r"\1", p) for p in patterns]
-    return re.compile(r"\b(?:" + "|".join(plain) + r")\b")
+def _needed(pattern: str) -> str:
+    """The longest plain text that every match of the pattern holds; empty if none is long enough."""
+    plain = re.sub(r"\(\?:[^()]*\)[?+*]?|\\w\+|.\?", "\0", pattern)
+    best = max(re.split("\0|[|()\\[\\]{}]", plain), key=len).strip()
+    return best if len(best) >= 4 else ""
+
+
+PHRASE_KINDS = ["threat_phrase", "group_phrase", "sexual_phrase", "implicit_phrase"]
+_PATTERNS: list[tuple[str, re.Pattern]] = []
+_ALWAYS: list[int] = []
+_FINDER = ahocorasick.Automaton()
+for _kind, _list in zip(PHRASE_KINDS, (THREAT_PHRASES, GROUP_PHRASES, SEXUAL_PHRASES, IMPLICIT_PHRASES), strict=True):
+    for _p in _list:
+        _plain = re.sub(r"([a-zà-ÿ])\1", r"\1", _p)
+        _PATTERNS.append((_kind, re.compile(rf"\b(?:{_plain})\b")))
+        if _needed(_plain):
+            _known = _FINDER.get(_needed(_plain), ())
+            _FINDER.add_word(_needed(_plain), (*_known, len(_PATTERNS) - 1))
+        else:
+            _ALWAYS.append(len(_PATTERNS) - 1)
+_FINDER.make_automaton()
+
 
+def _phrase_counts(line: str) -> dict[str, int]:
+    """Matches per kind; only patterns whose plain text occurs are tried."""
+    tried = set(_ALWAYS)
+    for _, numbers in _FINDER.iter(line):
+        tried.update(numbers)
+    counts = dict.fromkeys(PHRASE_KINDS, 0)
+    for number in tried:
+        kind, pattern = _PATTERNS[number]
+        counts[kind] += sum(1 for _ in pattern.finditer(line))
+    return counts
 
-PHRASES = {
-    "threat_phrase": _phrases(THREAT_PHRASES), "group_phrase": _phrases(GROUP_PHRASES),
-    "sexual_phrase": _phrases(SEXUAL_PHRASES), "implicit_phrase": _phrases(IMPLICIT_PHRASES),
-}
 
 # words a masked token may stand for
 _VOCABULARY: dict[int, list[str]] = {}
@@ -227,12 +256,11 @@ def abuse_features(text: str | None) -> list[float]:
     tokens: list[str] = []
     exact: list[str] = []
     odd: list[bool] = []
-    leet = masked = repeated = hyphen = capital_words = 0
+    leet = masked = repeated = hyphen = 0
+    capital_words = len(_CAPITAL_WORD.findall(joined))
     for token in raw:
         low = token.lower()
         strange = False
-        if len(token) > 2 and token.isupper():
-            capital_words += 1
         if not low.isalpha():
             if "**" in low:
                 masked += 1
@@ -255,7 +283,7 @@ def abuse_features(text: str | None) -> list[float]:
             for part in low.split("-"):
                 bare = part.strip("'’*!+")
                 tokens.append(squeeze(bare))
-                exact.append("=" + bare)
+                exact.append(bare)
                 odd.append(strange)
             continue
         short = squeeze(low)
@@ -263,7 +291,7 @@ def abuse_features(text: str | None) -> list[float]:
             repeated += 1
             strange = True
         tokens.append(short)
-        exact.append("=" + low)
+        exact.append(low)
         odd.append(strange)
     n = max(len(tokens), 1)
     line = " ".join(tokens)
@@ -276,11 +304,11 @@ def abuse_features(text: str | None) -> list[float]:
     hits = dict.fromkeys(LEXICONS, 0)
     open_hits = neutral_hits = second_near = obfuscated_hits = 0
     for i, w in enumerate(tokens):
-        if w not in _ANY and exact[i] not in _ANY:
+        if w not in _ANY and exact[i] not in _ANY_EXACT:
             continue
         found = False
         for name, words_ in LEXICONS.items():
-            if w in words_ or exact[i] in words_:
+            if w in words_ or "=" + exact[i] in words_:
                 hits[name] += 1
                 found = True
         if found:
@@ -290,7 +318,7 @@ def abuse_features(text: str | None) -> list[float]:
                 open_hits += 1
             second_near += near(second_at, i, 8)
             obfuscated_hits += odd[i]
-    phrases = {name: sum(1 for _ in pattern.finditer(line)) for name, pattern in PHRASES.items()}
+    phrases = _phrase_counts(line)
     phrase_hits = sum(phrases.values())
     letters = sum(map(len, raw))
     capital = len(_CAPITAL.findall(latin))
