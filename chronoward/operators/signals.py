@@ -117,3 +117,77 @@ def beat_table(df: DataFrame, segment_id: str, values: str, fs: float) -> DataFr
         run, f"s {sid}, beat int, position int, height double, prominence double"
     )
     return out.withColumnRenamed("s", segment_id)
+
+
+def cycle_table(df: DataFrame, segment_id: str, values: str, fs: float, cutoff: float) -> DataFrame:
+    """``segment_id, cycle, start, end``: slow cycles between neighbouring maxima of the low-passed segment."""
+    sid = df.schema[segment_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for s, values_ in zip(batch.column("s").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                x = _filled(values_)
+                if x is None:
+                    continue
+                low = kn.zero_phase_butterworth(x, fs, None, cutoff)
+                at, _ = kn.peaks(low, max(int(fs / (2 * cutoff)), 1), 0.1 * np.std(low))
+                out += [(s, i, int(a), int(b)) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+            if out:
+                c = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[0], batch.column("s").type), *(pa.array(x, pa.int32()) for x in c[1:])],
+                    names=["s", "cycle", "start", "end"],
+                )
+
+    out = df.select(F.col(segment_id).alias("s"), F.col(values).alias("v")).mapInArrow(
+        run, f"s {sid}, cycle int, start int, end int"
+    )
+    return out.withColumnRenamed("s", segment_id)
+
+
+def cyclic_variation(beats: DataFrame, cycles: DataFrame, segment_id: str, min_beats: int = 2) -> DataFrame:
+    """Per segment: how beat heights vary within slow cycles.
+
+    Beats join the cycle that holds their position (equal segment, range inside).
+    ``relative_variation`` divides by the mean of the greatest and least height,
+    ``amplitude_index`` by the greatest; cycles with too few beats are left out.
+    """
+    inside = (F.col("position") >= F.col("start")) & (F.col("position") < F.col("end"))
+    c = cycles.withColumnRenamed(segment_id, "_s")
+    per = beats.join(c, (F.col(segment_id) == F.col("_s")) & inside).groupBy(segment_id, "cycle").agg(
+        F.count(F.lit(1)).alias("n"), F.max("height").alias("hi"), F.min("height").alias("lo")
+    ).filter(F.col("n") >= min_beats)
+    span, middle = F.col("hi") - F.col("lo"), F.abs(F.col("hi") + F.col("lo")) / 2.0
+    return per.groupBy(segment_id).agg(
+        F.count(F.lit(1)).alias("n_cycles"), F.avg(F.when(middle > 1e-8, span / middle)).alias("relative_variation"),
+        F.avg(F.when(F.abs("hi") > 1e-8, span / F.abs("hi"))).alias("amplitude_index"),
+    )
+
+
+def forward_pairs(leading: DataFrame, following: DataFrame, segment_id: str, low: int, high: int) -> DataFrame:
+    """``segment_id, lead, follow, delay``: one-to-one pairs of events, ``follow`` within [low, high] after ``lead``.
+
+    ``leading`` and ``following`` hold (segment, position). Leads are served in time
+    order and take the earliest event not yet taken. Both sides of a segment are
+    collected as arrays (bounded by the segment) and folded JVM-side.
+    """
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(segment_id).agg(F.array_sort(F.collect_set(F.col("position").cast("int"))).alias(name))
+
+    both = listed(leading, "_a").join(listed(following, "_b"), segment_id)
+    empty = F.array().cast("array<struct<lead:int,follow:int>>")
+    taken = F.aggregate(
+        "_a", F.struct(F.lit(-1).alias("last"), empty.alias("pairs")),
+        lambda acc, a: F.transform(
+            F.array(F.get(F.filter("_b", lambda b: (b > acc["last"]) & (b >= a + low) & (b <= a + high)), F.lit(0))),
+            lambda b: F.when(
+                b.isNotNull(),
+                F.struct(b.alias("last"), F.concat(acc["pairs"], F.array(F.struct(a.alias("lead"), b.alias("follow")))).alias("pairs")),
+            ).otherwise(acc),
+        )[0],
+        lambda acc: acc["pairs"],
+    )
+    return both.select(segment_id, F.explode(taken).alias("p")).select(
+        segment_id, "p.lead", "p.follow", (F.col("p.follow") - F.col("p.lead")).alias("delay")
+    )

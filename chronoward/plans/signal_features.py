@@ -223,6 +223,25 @@ def beat_table(spark: SparkSession, d: str) -> DataFrame:
     return sg.beat_table(table(spark, d, "embeddings"), "vec_id", "embedding", FS)
 
 
+def cyclic_variation(spark: SparkSession, d: str) -> DataFrame:
+    """Variation of beat heights within slow cycles of each segment."""
+    x = table(spark, d, "embeddings")
+    return sg.cyclic_variation(
+        sg.beat_table(x, "vec_id", "embedding", FS), sg.cycle_table(x, "vec_id", "embedding", FS, FS / 12), "vec_id"
+    )
+
+
+def pulse_timing(spark: SparkSession, d: str) -> DataFrame:
+    """Per pair of segments (an even number leads, the next follows): paired beats and their delays."""
+    beats = sg.beat_table(table(spark, d, "embeddings"), "vec_id", "embedding", FS).withColumn(
+        "pair", F.floor(F.col("vec_id") / 2).cast("long")
+    )
+    pairs = sg.forward_pairs(beats.filter("vec_id % 2 = 0"), beats.filter("vec_id % 2 = 1"), "pair", 0, 6)
+    return pairs.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("delay").alias("mean_delay"), F.stddev_pop("delay").alias("sd_delay")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -230,6 +249,7 @@ QUERIES = {
         gap_interpolation, adjacent_ratios, decline_runs, rr_validity, baseline_jumps, history_features, component_dedup,
         burden_features, quality_features, pressure_interval_coupling,
         minute_patterns, waveform_spectral, waveform_entropy, waveform_morphology, beat_table,
+        cyclic_variation, pulse_timing,
     )
 }
 

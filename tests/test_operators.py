@@ -230,3 +230,32 @@ def test_ambiguous_channel_is_an_error(spark):
     bad = spark.createDataFrame([(["ABP Mean", "ABPMean"],)], "n array<string>")
     with pytest.raises(Exception, match="ambiguous"):
         bad.select(rd.resolve_channel(F.col("n"), ["abp mean", "abpmean"])).collect()
+
+
+def test_forward_pairs_are_one_to_one(spark):
+    from chronoward.operators import signals as sg
+
+    rng = random.Random(8)
+    a = [(s, rng.randint(0, 200)) for s in (1, 2) for _ in range(30)]
+    b = [(s, rng.randint(0, 200)) for s in (1, 2) for _ in range(30)]
+    schema = "seg int, position int"
+    got = sg.forward_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "seg", 1, 8).collect()
+    want = []
+    for s in (1, 2):
+        last = -1
+        follow = sorted({p for k, p in b if k == s})
+        for lead in sorted({p for k, p in a if k == s}):
+            hit = next((p for p in follow if p > last and lead + 1 <= p <= lead + 8), None)
+            if hit is not None:
+                want.append((s, lead, hit))
+                last = hit
+    assert sorted((r.seg, r.lead, r["follow"]) for r in got) == want
+
+
+def test_cyclic_variation_joins_beats_to_cycles(spark):
+    from chronoward.operators import signals as sg
+
+    beats = spark.createDataFrame([(1, 2, 4.0), (1, 5, 2.0), (1, 12, 9.0), (2, 3, 1.0)], "seg int, position int, height double")
+    cycles = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 10, 20), (2, 0, 0, 10)], "seg int, cycle int, start int, end int")
+    r = sg.cyclic_variation(beats, cycles, "seg").collect()
+    assert [(x.seg, x.n_cycles, round(x.relative_variation, 6), x.amplitude_index) for x in r] == [(1, 1, round(2 / 3, 6), 0.5)]

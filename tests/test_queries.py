@@ -19,7 +19,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["waveform_spectral", "waveform_entropy", "waveform_morphology", "beat_table", "component_dedup"]
+    "name", ["waveform_spectral", "waveform_entropy", "waveform_morphology", "beat_table", "component_dedup", "cyclic_variation",
+             "pulse_timing"]
 )
 def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
