@@ -49,9 +49,3 @@ def whole_groups(
     if held:
         table = pa.Table.from_batches(held)
         yield table, group_starts(table, keys)
-
-
-def numpy_column(table: pa.Table, name: str, dtype=None) -> np.ndarray:
-    """A column as numpy; nulls of floats are NaN."""
-    out = table.column(name).to_numpy()
-    return out if dtype is None else out.astype(dtype, copy=False)

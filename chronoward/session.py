@@ -40,8 +40,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def with_suffix_free(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
-    """Select ``columns`` under a prefix, so extra columns of the input never clash."""
-    return df.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns])
