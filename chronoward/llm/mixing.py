@@ -19,9 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoward.llm.percentiles import _edge_counts
-from chronoward.operators.arrow_groups import group_starts
-from chronoward.operators.ordered_scan import Batches, partition_summaries, range_sorted, rescan
+from chronoward.operators.ordered_scan import Batches, running_sums
 from chronoward.session import checkpoint
 
 #: Vocabulary of a public tokenizer; a parameter, never copied.
@@ -58,34 +56,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER_PATH) -> DataFrame:
 
 def running_totals(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` (with ``label`` and ``n``) plus ``before``: the sum of ``n`` of earlier rows of the label."""
-    ordered = range_sorted(rows, ["label", *order])
-    carried: dict[int, tuple[str, int]] = {}
-    totals: dict[str, int] = {}
-    for pid, pairs in partition_summaries(ordered, _edge_counts).items():
-        carried[pid] = (pairs[0][0], totals.get(pairs[0][0], 0))
-        for name, n in pairs:
-            totals[name] = totals.get(name, 0) + n
-    names = ordered.columns
-
-    def scan(batches: Batches, start: tuple[str, int] | None) -> Batches:
-        last, so_far = start or (None, 0)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            starts = group_starts(pa.Table.from_batches([batch]), ["label"])
-            n = batch.column("n").to_numpy()
-            cumulative = np.concatenate(([0], np.cumsum(n)))
-            sizes = np.diff(np.append(starts, len(n)))
-            base = cumulative[starts].copy()
-            first, final = (batch.column("label")[int(i)].as_py() for i in (0, len(n) - 1))
-            if first == last:
-                base[0] -= so_far
-            before = cumulative[:-1] - np.repeat(base, sizes)
-            last, so_far = final, int(before[-1] + n[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], names=[*names, "before"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema)
-    return rescan(ordered, carried, scan, f"{schema}, before long")
+    return running_sums(rows, "label", order, ["n"]).withColumnRenamed("before_n", "before")
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
