@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Label states, reasons of invalid labels, reasons of filtered negatives.
 class Label(IntEnum):
     INVALID = -1
     NEGATIVE = 0

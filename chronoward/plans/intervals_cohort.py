@@ -10,6 +10,7 @@ from chronoward.operators import cohort as co
 from chronoward.operators import intervals as iv
 from chronoward.session import table
 
+# The status and evidence names in this module are fixed values: results are compared by them.
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 
