@@ -17,26 +17,37 @@ _URL_LINK = re.compile(r"\[\s*(?:https?|ftp)://\S+\s*([^\]]*)\]")
 _QUOTES = re.compile(r"'{2,}")
 #: Invisible characters (soft hyphen, zero-width and direction marks, joiners, BOM).
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
+_PLAIN_WORD = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"[^\W_]+(?:[’'][^\W_]+)*")
 
 
 def plain_text(text: str) -> str:
     """``text`` without comments, references, templates' names, link targets and other markup."""
-    out = _COMMENT.sub("", text)
-    out = _REFERENCE.sub("", out)
-    out = _CITATION.sub("", out)
-    out = _BREAK.sub(" ", out)
-    out = _TAG.sub("", out)
-    out = _PARAMETER.sub(" ", out).replace("}}}", " ")
-    out = _TEMPLATE.sub(" ", out).replace("}}", " ")
-    for _ in range(2):  # a link may hold a link
-        out = _LINK.sub(r"\1", out)
-    out = _URL_LINK.sub(r"\1", out)
-    out = html.unescape(out)
-    out = _QUOTES.sub("", out)
-    return _INVISIBLE.sub("", out)
+    out = text
+    if "<" in out:
+        out = _COMMENT.sub("", out)
+        out = _REFERENCE.sub("", out)
+    if "{{" in out:
+        out = _CITATION.sub("", out)
+    if "<" in out:
+        out = _TAG.sub("", _BREAK.sub(" ", out))
+    if "{{" in out or "}}" in out:
+        out = _PARAMETER.sub(" ", out).replace("}}}", " ")
+        out = _TEMPLATE.sub(" ", out).replace("}}", " ")
+    if "[" in out:
+        for _ in range(2):  # a link may hold a link
+            out = _LINK.sub(r"\1", out)
+        out = _URL_LINK.sub(r"\1", out)
+    if "&" in out:
+        out = html.unescape(out)
+    if "''" in out:
+        out = _QUOTES.sub("", out)
+    return out if out.isascii() else _INVISIBLE.sub("", out)
 
 
 def words(text: str | None) -> list[str]:
     """Lower-case words of the plain text; none for null."""
-    return [] if not text else _WORD.findall(plain_text(text).lower())
+    if not text:
+        return []
+    plain = plain_text(text).lower()
+    return (_WORD if "'" in plain or "’" in plain else _PLAIN_WORD).findall(plain)
