@@ -1,11 +1,12 @@
 """Implausible measurements: spikes, impossible values and frozen stretches.
 
-Per source the readings of a day are laid out as a profile matrix (one row per
-period of ``period_minutes``, one column per minute of the period). Robust
-principal components split it into a low-rank part, the source's normal
-behaviour, and a sparse part. Runs of sparse entries that leave and come back
-abruptly and stay brief are spikes; ranges and constant runs are tested
-separately, against how the same source usually behaves.
+Per source the readings of a block (a day from the source's own start, and some
+hours of its neighbours) are laid out as a profile matrix (one row per period of
+``period_slots``, one column per slot of the period). Robust principal components
+split it into a low-rank part, the source's normal behaviour, and a sparse part.
+Runs of sparse entries that leave and come back abruptly and stay brief are spikes;
+ranges and constant runs are tested separately, against how the same source usually
+behaves. Constant runs cut by a block border are stitched.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoward.operators.arrow_groups import whole_groups
+from chronoward.session import broadcast_if_small, checkpoint
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,8 @@ class SpikeSpec:
     values and the smallest scale that counts as its noise; ``default_limits``
     serves the others. ``resting_value`` (the value a source rests at, e.g. 0 for
     a fraction) never counts as frozen. ``edge_spikes`` accepts excursions at the
-    very start or end of a source, where only one side can be compared.
+    very start or end of a source, where only one side can be compared. A block of
+    ``block_seconds`` is judged with ``halo_share`` of a block on either side.
     """
 
     limits: dict[str, tuple[float, float, float]] = field(default_factory=dict)
@@ -37,6 +40,7 @@ class SpikeSpec:
     slot_seconds: float = 60.0
     period_slots: int = 12
     block_seconds: float = 86400.0
+    halo_share: float = 0.125
     spike_slots: int = 5
     spike_score: float = 5.5
     edge_share: float = 0.6
@@ -143,20 +147,23 @@ def _take_median(values: np.ndarray, seg: np.ndarray, at: np.ndarray, own: np.nd
 
 def score_series(
     seg: np.ndarray, time: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarray, floor: np.ndarray,
-    n_seg: int, spec: SpikeSpec,
-) -> np.ndarray:
-    """Flags (bit 1 spike, 2 impossible, 4 frozen) of readings sorted by (seg, time).
+    n_seg: int, spec: SpikeSpec, cut: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Flags (bit 1 spike, 2 impossible, 4 frozen) of readings sorted by (seg, time), and the calm readings.
 
-    ``low``, ``high`` and ``floor`` are per segment; ``value`` is finite.
+    ``low``, ``high`` and ``floor`` are per segment; ``value`` is finite. Calm are the
+    positions of possible readings outside spikes. A segment that ``cut`` marks is a
+    part of its source; its constant runs are left to the caller.
     """
     flag = np.zeros(len(value), dtype=np.int32)
+    none = np.zeros(0, dtype=np.int64)
     if not len(value):
-        return flag
+        return flag, none
     impossible = (value < low[seg]) | (value > high[seg])
     flag[impossible] |= 2
     keep = np.flatnonzero(~impossible)
     if not len(keep):
-        return flag
+        return flag, none
     s, t, v = seg[keep], time[keep], value[keep]
     n = len(v)
     pos = np.arange(n)
@@ -263,10 +270,71 @@ def score_series(
     frozen = (length >= spec.frozen_min_run) & (log_chance < spec.frozen_log10) & (others >= 5)
     if spec.resting_value is not None:
         frozen &= cv[first] != spec.resting_value
+    if cut is not None:
+        frozen &= ~cut[run_seg]
     stuck = np.repeat(frozen, length)
     flag[keep[spike]] |= 1
     flag[keep[calm[stuck]]] |= 4
-    return flag
+    return flag, keep[calm]
+
+
+def _constant_runs(seg: np.ndarray, value: np.ndarray, spec: SpikeSpec) -> tuple[dict, dict]:
+    """(edges, candidates) of the constant runs of blocks; readings sorted by (seg, time).
+
+    edges: the first and the last run of each segment (``side`` 0 and 1; a segment of
+    one run has no last one) with the segment's readings and runs, on its first.
+    candidates: positions of readings that may be frozen, with the ``side`` (-1 inside)
+    and length of their run.
+    """
+    same = np.zeros(len(seg), dtype=bool)
+    same[1:] = (seg[1:] == seg[:-1]) & (value[1:] == value[:-1])
+    first, length = _runs(same)
+    run_seg = seg[first]
+    opens = np.r_[True, run_seg[1:] != run_seg[:-1]][: len(first)]
+    closes = np.r_[run_seg[1:] != run_seg[:-1], True][: len(first)]
+    side = np.where(opens, 0, np.where(closes, 1, -1))
+    edge = np.flatnonzero(side >= 0)
+    n_seg = int(run_seg.max()) + 1 if len(first) else 0
+    total = np.bincount(run_seg, length, n_seg).astype(np.int64)
+    runs = np.bincount(run_seg, minlength=n_seg)
+    edges = {
+        "seg": run_seg[edge], "side": side[edge], "v": value[first[edge]], "n": length[edge],
+        "total": np.where(side[edge] == 0, total[run_seg[edge]], 0), "runs": np.where(side[edge] == 0, runs[run_seg[edge]], 0),
+    }
+    may = (side >= 0) | (length >= spec.frozen_min_run)
+    if spec.resting_value is not None:
+        may &= value[first] != spec.resting_value
+    at = np.flatnonzero(np.repeat(may, length))
+    return edges, {"at": at, "side": np.repeat(side, length)[at], "n": np.repeat(length, length)[at]}
+
+
+def _stitch_frozen(parts: DataFrame, source: list[str], spec: SpikeSpec) -> DataFrame:
+    """``record_id, value_name`` of frozen readings of sources of several blocks, from rows of _constant_runs."""
+    by = [*source, "value_name"]
+    order = Window.partitionBy(*by).orderBy("block", "side")
+    goes_on = (F.col("side") == 0) & (F.lag("v").over(order) == F.col("v"))
+    edges = (
+        parts.filter("record_id is null and side is not null")
+        .withColumn("opens", F.coalesce((~goes_on).cast("int"), F.lit(1)))
+        .withColumn("chain", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("whole", F.sum("n").over(Window.partitionBy(*by, "chain")))
+    )
+    usual = edges.groupBy(*by).agg(
+        F.sum("total").alias("all_readings"), (F.sum("runs") - F.sum(1 - F.col("opens"))).alias("all_runs")
+    )
+    whole = edges.select(*by, "block", "side", "whole")
+    length = F.coalesce("whole", "n")
+    others = F.col("all_readings") - length
+    repeat = (others - (F.col("all_runs") - 1) + 1.0) / (others + 2.0)
+    log_chance = F.log10(F.greatest(F.least(repeat, F.lit(1.0)), F.lit(1e-9))) * (length - 1) + F.log10(
+        F.greatest("all_readings", F.lit(1))
+    )
+    return (
+        parts.filter("record_id is not null and side is not null").select("record_id", *by, "block", "side", "n")
+        .join(whole, [*by, "block", "side"], "left").join(usual, by)
+        .filter((length >= spec.frozen_min_run) & (log_chance < spec.frozen_log10) & (others >= 5))
+        .select("record_id", "value_name")
+    )
 
 
 def flag_implausible(
@@ -278,14 +346,18 @@ def flag_implausible(
     values: list[str],
     spec: SpikeSpec,
     usable: Column | None = None,
+    max_broadcast_sources: int = 200_000,
 ) -> DataFrame:
     """Flagged records: ``record_id, value_name, is_spike, is_impossible, is_frozen``.
 
     A reading counts if ``usable`` holds, its source, id and time are known and its
     value is finite or infinite-free; null, NaN and infinite values are ignored.
     Repeated rows (same id, time) count once and tied times are ordered by id. A
-    source is judged day by day (``spec.block_seconds``), so groups stay bounded
-    for sources of any length. Empty input gives an empty result. Other columns of
+    source is judged in blocks of ``spec.block_seconds`` from its first reading, each
+    with a halo of its neighbours, so groups stay bounded for sources of any length and
+    a source of one block is seen whole; only a block's own readings are reported. The
+    frozen test counts a source's runs and readings over all its blocks, from two rows
+    per block. Empty input gives an empty result. Other columns of
     ``df`` are dropped, so their names cannot clash.
     """
     spec_ = spec
@@ -305,12 +377,36 @@ def flag_implausible(
     picked = picked.filter(any_finite & F.col("t").isNotNull() & ~F.isnan("t") & F.col("id").isNotNull())
     for k in keys:
         picked = picked.filter(F.col(k).isNotNull())
-    picked = picked.withColumn("block", F.floor(F.col("t") / spec.block_seconds)).withColumn(
-        "h", F.xxhash64(*keys, "block")
+    picked = picked.filter(F.abs("t") < float("inf"))
+    spans = checkpoint(picked.groupBy(*keys).agg(F.min("t").alias("start"), F.max("t").alias("stop")))
+    place = (F.col("t") - F.col("start")) / spec.block_seconds
+    own = F.floor("place").cast("long")
+    blocks = F.floor((F.col("stop") - F.col("start")) / spec.block_seconds).cast("long") + 1
+    near = F.array_compact(
+        F.array(
+            F.col("own_block"),
+            F.when((F.col("own_block") > 0) & (F.col("place") - F.col("own_block") < spec.halo_share), F.col("own_block") - 1),
+            F.when(
+                (F.col("own_block") + 1 < F.col("blocks"))
+                & (F.col("place") - F.col("own_block") >= 1.0 - spec.halo_share), F.col("own_block") + 1,
+            ),
+        )
+    )
+    picked = (
+        picked.join(broadcast_if_small(spans, max_broadcast_sources), keys)
+        .withColumn("place", place).withColumn("own_block", own).withColumn("blocks", blocks)
+        .withColumn("block", F.explode(near))
+        .select(
+            *keys, "channel", "id", "t", *[f"v{i}" for i in range(len(values))], "block",
+            (F.col("block") == F.col("own_block")).alias("own"), (F.col("blocks") > 1).alias("cut"),
+        )
+        .withColumn("h", F.xxhash64(*keys, "block"))
     )
     group_keys = [*keys, "block"]
     arranged = picked.repartition(*group_keys).sortWithinPartitions("h", *group_keys, "t", "id")
     names = list(values)
+    key_fields = [f for f in picked.schema.fields if f.name in keys]
+    part_fields = ["side", "v", "n", "total", "runs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, group_keys):
@@ -318,30 +414,53 @@ def flag_implausible(
             seg = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
             ids = table.column("id").to_numpy()
             times = table.column("t").to_numpy()
+            mine = table.column("own").to_numpy()
             fresh = np.ones(n, dtype=bool)
             fresh[1:] = (ids[1:] != ids[:-1]) | (seg[1:] != seg[:-1]) | (times[1:] != times[:-1])
-            channels = table.column("channel").take(pa.array(starts)).to_pylist()
+            heads = table.take(pa.array(starts))
+            channels = heads.column("channel").to_pylist()
+            cut = heads.column("cut").to_numpy()
+            kinds = {"side": pa.int32(), "v": pa.float64(), "n": pa.int64(), "total": pa.int64(), "runs": pa.int64()}
+
+            def rows(name, segs, record_ids, bits, part):
+                """One batch; ``part`` holds the columns of a constant run, if any."""
+                where = heads.select(group_keys).take(pa.array(segs)).combine_chunks()
+                columns = {c: where.column(c) for c in group_keys} | {
+                    "record_id": pa.array(record_ids, pa.int64()) if record_ids is not None else pa.nulls(len(segs), pa.int64()),
+                    "value_name": pa.array([name] * len(segs), pa.string()), "bits": pa.array(bits, pa.int32()),
+                } | {c: pa.array(part[c], kinds[c]) if c in part else pa.nulls(len(segs), kinds[c]) for c in part_fields}
+                yield from pa.table(columns).to_batches()
+
             for i, name in enumerate(names):
                 known = spec_.limits.get(name, spec_.default_limits)
                 bounds = np.array([spec_.limits.get(c, known) for c in channels], dtype=float)
                 v = table.column(f"v{i}").to_numpy()
                 use = np.flatnonzero(fresh & np.isfinite(v))
-                flag = score_series(
-                    seg[use], times[use], v[use], bounds[:, 0], bounds[:, 1], bounds[:, 2], len(starts), spec_
+                flag, calm = score_series(
+                    seg[use], times[use], v[use], bounds[:, 0], bounds[:, 1], bounds[:, 2], len(starts), spec_, cut
                 )
-                hit = np.flatnonzero(flag)
+                hit = np.flatnonzero((flag > 0) & mine[use])
                 if len(hit):
-                    bits = flag[hit]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "record_id": pa.array(ids[use[hit]], pa.int64()),
-                            "value_name": pa.array([name] * len(hit)),
-                            "is_spike": pa.array((bits & 1) > 0),
-                            "is_impossible": pa.array((bits & 2) > 0),
-                            "is_frozen": pa.array((bits & 4) > 0),
-                        }
-                    )
-
-    return arranged.mapInArrow(
-        run, "record_id long, value_name string, is_spike boolean, is_impossible boolean, is_frozen boolean"
+                    yield from rows(name, seg[use[hit]], ids[use[hit]], flag[hit], {})
+                calm = use[calm]
+                calm = calm[cut[seg[calm]] & mine[calm]]
+                if len(calm):
+                    edges, may = _constant_runs(seg[calm], v[calm], spec_)
+                    yield from rows(name, edges["seg"], None, np.zeros(len(edges["seg"]), np.int32), edges)
+                    at = calm[may["at"]]
+                    if len(at):
+                        yield from rows(name, seg[at], ids[at], np.zeros(len(at), np.int32), {"side": may["side"], "n": may["n"]})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
+    judged = checkpoint(
+        arranged.mapInArrow(
+            run, f"{schema}, block long, record_id long, value_name string, bits int, side int, v double, n long, total long, runs long"
+        )
+    )
+    flags = judged.filter("bits > 0").select("record_id", "value_name", "bits")
+    if not judged.filter("side is not null").isEmpty():
+        flags = flags.unionByName(_stitch_frozen(judged, keys, spec).withColumn("bits", F.lit(4)))
+    return flags.select(
+        "record_id", "value_name", (F.col("bits").bitwiseAND(1) > 0).alias("is_spike"),
+        (F.col("bits").bitwiseAND(2) > 0).alias("is_impossible"), (F.col("bits").bitwiseAND(4) > 0).alias("is_frozen"),
     )

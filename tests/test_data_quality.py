@@ -70,6 +70,23 @@ def test_days_of_one_source_are_judged_apart(spark):
     assert {k for k, f in flags(spark, series(v)).items() if f[0]} == {2001}
 
 
+def test_frozen_runs_across_block_borders_are_stitched(spark):
+    short = noise(120, 4)
+    short[50:70] = [82.3] * 20  # 20 readings around midnight: 10 and 10
+    late = [(s, c, i, t + 86400.0 - 3600.0, v) for s, c, i, t, v in series(short, "m", 50_000)]
+    long = noise(3000, 5)
+    long[1430:1448] = [79.9] * 18  # around the border of the source's first day
+    long[1439] = 140.0  # a spike in the run, beside the border
+    got = flags(spark, late + series(long, "n", 1))
+    frozen = {k for k, f in got.items() if f[2]}
+    assert set(range(50_051, 50_069)) <= frozen
+    assert {*range(1431, 1449)} - {1440} <= frozen and got[1440] == (True, False, False)
+    assert len(frozen) <= 20 + 17 + 4
+    days = [80.0 + (i % 5) for i in range(1430)] + [81.5] * (4 * 1440) + [80.0 + (i % 5) for i in range(100)]
+    held = {k for k, f in flags(spark, series(days)).items() if f[2]}  # whole blocks of one value
+    assert held == set(range(1431, 1431 + 4 * 1440))
+
+
 GRID = "seg string, x double, v double, ok boolean, block int, k0 int, own int"
 
 
