@@ -1,9 +1,10 @@
 """Evaluation passages that leaked into training documents.
 
-Rare word n-grams of the test items are seeds: a document sharing one becomes a
-candidate for that item. N-grams found on many pages are stock text; they seed
-nothing, and an item's stock words do not count. Smith-Waterman alignment of each
-candidate's whole text then scores edited copies.
+Word n-grams of the test items are seeds: a document sharing one becomes a candidate
+for that item. N-grams found on many pages are stock text if several items share them
+or they are an item's tail only; they seed nothing, and an item's stock words do not
+count. A passage of one item stays a seed on any number of pages. Smith-Waterman
+alignment of each candidate's whole text then scores edited copies.
 """
 
 from __future__ import annotations
@@ -98,16 +99,38 @@ def local_alignment(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def stock_positions(
+    pages: np.ndarray, texts: np.ndarray, limit: float, gram: int, stock_items: int, max_tail: float,
+) -> np.ndarray:
+    """Which n-grams of one item are stock text.
+
+    ``pages`` and ``texts`` are the numbers of pages and of different item texts that
+    hold each n-gram, in the item's order. Of those on more than ``limit`` pages, stock
+    are the ones in ``stock_items`` texts, and a tail of less than ``max_tail`` of the
+    words that is on more than twice as many pages as any other part of the item.
+    """
+    frequent = pages > limit
+    stock = frequent & (texts >= stock_items)
+    others = np.flatnonzero(~(frequent | stock))
+    cut = int(others[-1]) + 1 if len(others) else 0
+    n_words = len(pages) + gram - 1
+    if 0 < cut < len(pages) and n_words - cut < max_tail * n_words:
+        body = pages[:cut][~stock[:cut]]
+        if pages[cut:].min() > 2 * max(1, body.max(initial=0)):
+            stock[cut:] = True
+    return stock
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, doc_id: str, page: str, doc_text: str, item_id: str, item_text: str,
-    gram: int = 5, stock_share: float = 0.01, stock_floor: int = 10, min_share: float = 0.5,
+    gram: int = 5, stock_share: float = 0.01, stock_items: int = 3, min_share: float = 0.5,
     max_broadcast_grams: int = 2_000_000, max_broadcast_pairs: int = 1_000_000,
 ) -> DataFrame:
     """``doc_id, item_id, covered_words, matched_words, item_words``: leaked pairs.
 
     A pair is reported if one alignment covers at least ``min_share`` of the item's
-    words that are not stock text (n-grams on more than ``stock_share`` of all pages,
-    and more than ``stock_floor``), at least 7 in 10 covered words agree, and the score reaches a
+    words that are not stock text (n-grams on more than ``stock_share`` of all pages
+    that :func:`stock_positions` accepts), at least 7 in 10 covered words agree, and the score reaches a
     fifth of the item's words. Case, punctuation, markup, entities and inserted
     references are ignored; exchanged words inside the aligned stretch count as
     covered. Documents or items with null id or null or empty text match nothing;
@@ -140,29 +163,51 @@ def find_leaks(
     def item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = ngram_hashes(words(text), gram)
+                tokens = words(text)
+                h = ngram_hashes(tokens, gram)
+                body = xxhash.xxh64_intdigest(" ".join(tokens)) >> 1
                 yield pa.RecordBatch.from_pydict(
                     {"item_id": pa.array([i] * len(h), pa.int64()), "pos": pa.array(np.arange(len(h)), pa.int32()),
-                     "h": pa.array(h, pa.int64())}
+                     "h": pa.array(h, pa.int64()), "body": pa.array([body] * len(h), pa.int64())}
                 )
 
-    grams_of_items = tests.mapInArrow(item_grams, "item_id long, pos int, h long")
+    grams_of_items = tests.mapInArrow(item_grams, "item_id long, pos int, h long, body long")
     grams_of_items = checkpoint(grams_of_items)
     wanted = broadcast_if_small(grams_of_items.select("h").distinct(), max_broadcast_grams)
     hits = docs.mapInArrow(doc_grams, "doc_id long, page long, h long").join(wanted, "h", "left_semi")
     hits = checkpoint(hits)
     pages = docs.select("page").distinct().count()
-    limit = max(stock_floor, stock_share * pages)
+    limit = stock_share * pages
     spread = hits.groupBy("h").agg(F.countDistinct("page").alias("pages"))
-    spread = checkpoint(spread)
-    rare = spread.filter(F.col("pages") <= limit).select("h")
-    stock = spread.filter(F.col("pages") > limit).select("h")
+    shared = grams_of_items.groupBy("h").agg(F.countDistinct("body").alias("texts"))
+    of_item = (
+        grams_of_items.join(spread, "h", "left").join(shared, "h")
+        .groupBy("item_id")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "h", F.coalesce("pages", F.lit(0)).alias("pages"), "texts"))).alias("grams"))
+    )
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, row in zip(batch.column("item_id").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                stock = stock_positions(
+                    np.array([g["pages"] for g in row]), np.array([g["texts"] for g in row]), limit, gram, stock_items, min_share
+                )
+                seeds = [g["h"] for g, off in zip(row, stock, strict=True) if g["pages"] and not off]
+                out.append((i, np.flatnonzero(stock).tolist(), seeds))
+            if out:
+                i, pos, seeds = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(i, pa.int64()), pa.array(pos, pa.list_(pa.int32())), pa.array(seeds, pa.list_(pa.int64()))],
+                    names=["item_id", "stock_pos", "seeds"],
+                )
+
+    judged = checkpoint(of_item.mapInArrow(judge, "item_id long, stock_pos array<int>, seeds array<long>"))
+    seeds = judged.select("item_id", F.explode("seeds").alias("h")).distinct()
     candidates = checkpoint(
-        hits.join(rare, "h").join(grams_of_items.select("h", "item_id").distinct(), "h")
-        .select("doc_id", "item_id").distinct()
+        hits.join(broadcast_if_small(seeds, max_broadcast_grams), "h").select("doc_id", "item_id").distinct()
     )
-    stock_at = grams_of_items.join(stock, "h").groupBy("item_id").agg(F.collect_set("pos").alias("stock_pos"))
-    passages = tests.withColumnRenamed("text", "item").join(stock_at, "item_id", "left")
+    passages = tests.withColumnRenamed("text", "item").join(judged.select("item_id", "stock_pos"), "item_id", "left")
     # texts of documents without a candidate are never shuffled
     pairs = (
         docs.select("doc_id", "text").join(broadcast_if_small(candidates, max_broadcast_pairs), "doc_id")

@@ -203,6 +203,23 @@ def test_leaked_passages(spark):
     assert leakage.find_leaks(d.limit(0), i, "doc_id", "page_id", "text", "item_id", "text").count() == 0
 
 
+def test_a_passage_on_many_pages_still_leaks(spark):
+    docs = [(i, i, f"page {i} {ITEM if i % 3 == 0 else 'nothing'} {STOCK} end {i}") for i in range(90)]
+    items = [(1, ITEM + " " + STOCK), (2, "Four grey herons stood in the mill race while the miller slept. " + STOCK)]
+    items += [(k, f"Item {k} holds words {k} of its own and {k} more, then closes. {STOCK}") for k in (3, 4)]
+    d = spark.createDataFrame(docs, "doc_id long, page_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    out = leakage.find_leaks(d, i, "doc_id", "page_id", "text", "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(x, 1) for x in range(0, 90, 3)}
+
+
+def test_stock_positions():
+    one = np.ones(10, dtype=int)
+    assert not leakage.stock_positions(np.full(10, 500), one, 33, 5, 3, 0.5).any()  # one item's own passage
+    assert leakage.stock_positions(np.r_[np.full(7, 2), np.full(3, 200)], one, 33, 1, 3, 0.5).tolist() == [False] * 7 + [True] * 3
+    assert leakage.stock_positions(np.full(10, 500), np.r_[one[:8], 3, 3], 33, 5, 3, 0.5).tolist() == [False] * 8 + [True] * 2
+
+
 def test_alignment_scores():
     a = np.arange(10)
     assert leakage.local_alignment(a, np.r_[90, a, 91]) == (10, 10, 10)
