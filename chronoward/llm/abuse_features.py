@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import ahocorasick
 
-from chronoward.llm.text_clean import plain_text
+from chronoward.llm.text_clean import hidden_texts, plain_text
 
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKE = {
@@ -236,12 +236,17 @@ def _unmask(token: str) -> str:
     return fits[0] if fits else "x"
 
 
+#: Fixed value: stands between the parts of a text.
+_PART = "\x1e"
+
+
 def abuse_features(text: str | None) -> list[float]:
     """The values of :data:`FEATURES` for a whole text; all zero for null or empty text."""
     if not text:
         return [0.0] * len(FEATURES)
     inner_markup = len(_INSIDE.findall(text))
-    plain = unicodedata.normalize("NFKC", plain_text(text))
+    # references, comments and targets are parts of their own: no phrase or context reaches across
+    plain = unicodedata.normalize("NFKC", _PART.join([plain_text(text), *hidden_texts(text)]))
     look_alike = 0 if plain.isascii() else len(_LOOK_ALIKE_CHAR.findall(plain))
     latin = plain.translate(_LOOK_ALIKE_TABLE) if look_alike else plain
     spaced = 0
@@ -252,13 +257,21 @@ def abuse_features(text: str | None) -> list[float]:
         return _cut(match.group(0).replace(" ", ""))
 
     joined = _SPACED.sub(join, latin)
-    raw = _TOKEN.findall(joined)
+    found_in = [_TOKEN.findall(part) for part in joined.split(_PART)]
+    raw = [token for part in found_in for token in part]
+    part_of = [k for k, part in enumerate(found_in) for _ in part]
     tokens: list[str] = []
+    place: list[int] = []  # of each token; parts lie far apart
+    line_tokens: list[str] = []
     exact: list[str] = []
     odd: list[bool] = []
     leet = masked = repeated = hyphen = 0
     capital_words = len(_CAPITAL_WORD.findall(joined))
-    for token in raw:
+    last_part = 0
+    for token, part_no in zip(raw, part_of, strict=True):
+        if part_no != last_part:
+            line_tokens.append("|")
+            last_part = part_no
         low = token.lower()
         strange = False
         if not low.isalpha():
@@ -283,6 +296,8 @@ def abuse_features(text: str | None) -> list[float]:
             for part in low.split("-"):
                 bare = part.strip("'’*!+")
                 tokens.append(squeeze(bare))
+                line_tokens.append(tokens[-1])
+                place.append(len(tokens) + 50 * part_no)
                 exact.append(bare)
                 odd.append(strange)
             continue
@@ -291,12 +306,14 @@ def abuse_features(text: str | None) -> list[float]:
             repeated += 1
             strange = True
         tokens.append(short)
+        line_tokens.append(short)
+        place.append(len(tokens) + 50 * part_no)
         exact.append(low)
         odd.append(strange)
     n = max(len(tokens), 1)
-    line = " ".join(tokens)
-    neutral_at = [i for i, w in enumerate(tokens) if w in _NEUTRAL]
-    second_at = [i for i, w in enumerate(tokens) if w in _SECOND]
+    line = " ".join(line_tokens)
+    neutral_at = [at for at, w in zip(place, tokens, strict=True) if w in _NEUTRAL]
+    second_at = [at for at, w in zip(place, tokens, strict=True) if w in _SECOND]
 
     def near(spots: list[int], i: int, reach: int) -> bool:
         return any(abs(i - j) <= reach for j in spots)
@@ -312,11 +329,11 @@ def abuse_features(text: str | None) -> list[float]:
                 hits[name] += 1
                 found = True
         if found:
-            if near(neutral_at, i, 10) and not odd[i]:
+            if near(neutral_at, place[i], 10) and not odd[i]:
                 neutral_hits += 1
             else:
                 open_hits += 1
-            second_near += near(second_at, i, 8)
+            second_near += near(second_at, place[i], 8)
             obfuscated_hits += odd[i]
     phrases = _phrase_counts(line)
     phrase_hits = sum(phrases.values())

@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import re
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_REFERENCE = re.compile(r"<ref\b[^>]*?/>|<ref\b[^>]*>.*?(?:</ref\s*>|\Z)", re.S | re.I)
+# a comment or reference that is not closed before the next one opens loses its tag only
+_COMMENT = re.compile(r"<!--((?:(?!<!--).)*?)-->", re.S)
+_EMPTY_REFERENCE = re.compile(r"<ref\b[^<>]*/>", re.I)
+_REFERENCE = re.compile(r"<ref\b[^<>]*>([^<]*(?:<(?!/?ref\b)[^<]*)*)</ref\s*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _BREAK = re.compile(r"<br\s*/?>", re.I)
 _CITATION = re.compile(r"\{\{\s*(?:citation needed|cn|fact|clarify|when|who|dubious)\b[^{}]*\}\}", re.I)
@@ -14,6 +16,8 @@ _PARAMETER = re.compile(r"\{\{\{[^|{}]*\|?")
 _TEMPLATE = re.compile(r"\{\{[^|{}]*\|?(?:text=)?")
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _URL_LINK = re.compile(r"\[\s*(?:https?|ftp)://\S+\s*([^\]]*)\]")
+_TARGET = re.compile(r"\[\[([^\[\]|]*)\|")
+_URL_TARGET = re.compile(r"\[\s*(?:https?|ftp)://(\S+)")
 _QUOTES = re.compile(r"'{2,}")
 #: Invisible characters (soft hyphen, zero-width and direction marks, joiners, BOM).
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
@@ -25,8 +29,8 @@ def plain_text(text: str) -> str:
     """``text`` without comments, references, templates' names, link targets and other markup."""
     out = text
     if "<" in out:
-        out = _COMMENT.sub("", out)
-        out = _REFERENCE.sub("", out)
+        out = _COMMENT.sub("", out).replace("<!--", "")
+        out = _REFERENCE.sub("", _EMPTY_REFERENCE.sub("", out))
     if "{{" in out:
         out = _CITATION.sub("", out)
     if "<" in out:
@@ -45,6 +49,30 @@ def plain_text(text: str) -> str:
     return out if out.isascii() else _INVISIBLE.sub("", out)
 
 
+def hidden_texts(text: str) -> list[str]:
+    """What :func:`plain_text` leaves out: inner text of comments and references, link targets, templates' names.
+
+    Without markup; links and templates inside comments and references count too.
+    """
+    parts: list[str] = []
+    rest = text
+    if "<" in rest:
+        parts += _COMMENT.findall(rest)
+        rest = _EMPTY_REFERENCE.sub("", _COMMENT.sub("", rest).replace("<!--", ""))
+        parts += _REFERENCE.findall(rest)
+    whole = [rest, *parts]
+    for part in whole:
+        if "{{" in part:
+            parts += (m.group(0).strip("{}|") for m in _CITATION.finditer(part))
+            parts += (m.group(0).strip("{}|") for m in _PARAMETER.finditer(part))
+            parts += (m.group(0).strip("{}|") for m in _TEMPLATE.finditer(part))
+        if "[" in part:
+            parts += _TARGET.findall(part)
+            parts += _URL_TARGET.findall(part)
+    plain = (plain_text(x).strip() for x in parts)
+    return [x for x in plain if x]
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case words of the plain text; none for null."""
     if not text:

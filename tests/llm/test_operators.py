@@ -298,3 +298,18 @@ def test_words_ignore_markup():
     assert words("'''Bo'''ld [[A b|c d]] {{cn|date=x}}&nbsp;e<ref name=\"q\">no</ref>f <!-- x --> {{{lead|g}}}") == \
         ["bold", "c", "d", "ef", "g"]
     assert words(None) == [] and not re.search("[A-Z]", " ".join(words("ÄB cD")))
+
+
+def test_unclosed_tags_lose_nothing_but_themselves():
+    assert words("one <ref name=a>two three <b>four</b> five") == ["one", "two", "three", "four", "five"]
+    assert words("one <ref>two three <ref>note</ref> four <ref name=x /> five") == ["one", "two", "three", "four", "five"]
+    assert words("one <!-- two three <!-- note --> four") == ["one", "two", "three", "four"]
+    assert words("one <ref>two <i>three</i> <br> four</ref> five") == ["one", "five"]
+
+
+def test_abuse_is_seen_in_references_comments_targets_and_templates():
+    for text in ("A quiet village.<ref>you are a total moron</ref>", "A quiet village. <!-- you are a moron -->",
+                 "A quiet [[you are a moron|village]].", "A quiet village. {{you are a moron}}",
+                 "A quiet village.<ref>see [[you are a moron|note]]</ref>", "A house <ref>you are a moron and so on"):
+        assert evidence(text) > 0, text
+    assert evidence("A quiet village.<ref>Smith, History of the coast, p. 3</ref> {{stub}} [[coast|sea]]") == 0
