@@ -97,19 +97,28 @@ def episode_runs(
     )
     pieces = split.groupBy("k", "block", "v", "difference", "part").agg(
         F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"),
-        (F.min("place") == 1).alias("touches_left"), F.max("is_last").alias("touches_right"),
+        F.min("place").alias("place"), F.max("is_last").alias("is_last"),
     )
-    # a block's first and last piece may continue in the neighbouring block: same rule, on pieces
-    order = Window.partitionBy("k").orderBy("block", "s", "difference", "part")
+    stretches = Window.partitionBy("k", "block", "v", "difference")
+    pieces = pieces.withColumn("touches_left", F.min("place").over(stretches) == 1).withColumn(
+        "touches_right", F.max("is_last").over(stretches)
+    )
+    # a block's first and last stretch may continue in the neighbouring block: same rule, on all their
+    # pieces, since an end carried in may cover several of them
     edge = pieces.filter("touches_left or touches_right")
+    order = Window.partitionBy("k").orderBy("block", "s", "difference", "part")
     follows = (
         (F.lag("v").over(order) == F.col("v")) & F.lag("touches_right").over(order) & F.col("touches_left")
         & (F.lag("block").over(order) < F.col("block"))
     )
-    chained = edge.withColumn("other", F.coalesce((~follows).cast("int"), F.lit(1))).withColumn(
+    same = (
+        (F.lag("v").over(order) == F.col("v")) & (F.lag("difference").over(order) == F.col("difference"))
+        & (F.lag("block").over(order) == F.col("block"))
+    )
+    chained = edge.withColumn("other", F.coalesce((~(follows | same)).cast("int"), F.lit(1))).withColumn(
         "chain", F.sum("other").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    along = Window.partitionBy("k", "chain").orderBy("block", "s")
+    along = Window.partitionBy("k", "chain").orderBy("block", "s", "part")
     reach = F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1))
     stitched = (
         chained.withColumn("opens", F.coalesce((F.col("s") > reach + max_gap).cast("int"), F.lit(1)))

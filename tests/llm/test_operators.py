@@ -107,6 +107,23 @@ def test_episode_runs_across_blocks(spark):
     assert event_runs.episode_runs(df.limit(0), "seg", "id", F.col("v"), F.col("s"), F.col("e"), 2).count() == 0
 
 
+def test_long_episode_carries_its_end_into_the_next_block(spark):
+    for near in ([], [("x", 4, "a", 2152, 2155)]):
+        rows = [("x", 1, "a", 2040, 2100), ("x", 2, "a", 2050, 2051), ("x", 3, "a", 2060, 2150), *near]
+        rows += [("x", 9, "b", 2500, 2501), ("y", 20, "a", 2040, 6000)] + [("y", 21 + i, "a", 2100 + 300 * i, 2101 + 300 * i) for i in range(12)]
+        df = spark.createDataFrame(rows, "seg string, id long, v string, s int, e int")
+        out = event_runs.episode_runs(df, "seg", "id", F.col("v"), F.col("s"), F.col("e"), 2)
+        assert sorted((r.seg, r.event_name, r.first_minute, r.last_minute) for r in out.collect()) == brute_episodes(rows)
+    rng = random.Random(14)
+    rows = []
+    for i in range(300):
+        s = rng.randint(0, 400)
+        rows.append(("z", i, rng.choice("aaaaab"), s, s + rng.choice([1, 1, 1, 2, 40])))
+    df = spark.createDataFrame(rows, "seg string, id long, v string, s int, e int")
+    out = event_runs.episode_runs(df, "seg", "id", F.col("v"), F.col("s"), F.col("e"), 2, block_minutes=16)
+    assert sorted((r.seg, r.event_name, r.first_minute, r.last_minute) for r in out.collect()) == brute_episodes(rows)
+
+
 # p5
 
 def test_components_and_splits(spark):
