@@ -1,217 +1,88 @@
-"""Dense features of abusive, hateful or sexual language in one text.
-
-Disguises are undone first (look-alike letters, digits for letters, spaced, masked,
-repeated or hyphenated letters, markup inside words), and how often each is used is
-itself a feature. Single lexicon words count apart where the words around them show
-a medical, legal, biological, technical or art-historical context.
+"""Dense features of abusive, hateful or sexual language, for a batch of whole texts.
+
+Words are looked up once each (disguises undone: look-alike letters, digits for
+letters, spaced, masked, repeated or hyphenated letters, markup inside words) and
+carry bits of the lexicons' categories. Everything after that is array work over the
+words of all texts of a batch: densities, the fullest window of a few words, pairs of
+categories that meet in one window (an insult and an addressee, violence and a
+speaker), and words and word pairs whose weight was learned from labels.
 """
 
 from __future__ import annotations
 
-import math
+import html
 import re
 import unicodedata
-from functools import lru_cache
-
-import ahocorasick
-
-from chronoward.llm.text_clean import hidden_texts, plain_text
-
-# Letters of other scripts that look like Latin ones.
-LOOK_ALIKE = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "г": "r", "ɡ": "g", "ı": "i",
-    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ν": "v", "υ": "u", "ι": "i", "κ": "k", "τ": "t", "χ": "x", "η": "n",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "І": "I", "Ѕ": "S", "Ј": "J", "У": "Y", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M",
-    "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X",
-}
-# Digits and signs used for letters.
-LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "€": "e"}
-
-# Words that insult or demean.
-INSULT = """
-idiot idiots moron morons imbecile imbeciles loser losers scumbag scum bastard bastards bitch bitches whore whores slut
-sluts shithead asshole assholes arsehole dickhead fuckhead motherfucker fucker wanker prick twat cunt cunts douche
-retard retarded retards braindead brainless dumbass jackass jerk clown pig pigs swine rat rats maggot maggots vermin
-parasite parasites cockroach cockroaches trash garbage filth filthy worthless useless gutless stinking disgusting dumb
-stupid ugly pathetic spineless liar faggot fag nigger kike spic gook tranny subhuman subhumans freak coward
-dummkopf idioten hirnloser hirnlose hirnlos arschloch wichser hurensohn hure schlampe fotze miststück drecksau
-drecksack schwein schweine abschaum ungeziefer missgeburt trottel depp vollidiot vollpfosten spast spasti penner
-blödmann dreckskerl versager widerlicher widerlich pack gesindel untermenschen lügner
-abruti abrutis connard connards connasse salaud salauds salope salopes crétin crétins débile débiles imbécile imbéciles
-porc porcs ordure ordures enculé enculés pute putes putain batard bâtard pourriture racaille vermine cafard cafards
-gueule minable bouffon
-idiota idiotas imbécil imbéciles payaso payasos gilipollas cabrón cabrones puta putas puto zorra hijoputa mierda cerdo
-cerdos asqueroso asquerosa basura ratas escoria maricón subnormal tarado pendejo estúpido estúpida estúpidos
-inútil mentiroso perra
-""".split()
-# Profanity.
-PROFANE = """
-fuck fucking fucked fucks shit shitty bullshit piss damn crap arse ass bollocks scheisse scheiße scheiß ficken fick
-verpiss merde foutre chier joder coño carajo hostia
-""".split()
-# Sexually explicit words.
-SEXUAL = """
-sex sexy porn porno xxx nude nudes naked pussy cock cocks dick dicks tits boobs penis vagina cum orgasm blowjob handjob
-masturbate masturbates masturbating erotic horny anal milf hooker moaning stripped fucking
-schwanz titten muschi nackt nackte geil wichsen wichst bumsen
-bite queue chatte seins nichons nue nues baise baiser branle masturbe cul
-polla coño tetas desnuda desnudas desnudo desnudos follar folla culo verga pajea masturba
-""".split()
-# Violence and wishes of harm.
-THREAT = """
-kill bleed beaten stab strangle slap punch rape murder slit
-umbringen töten verrecke verrecken abstechen knüppeln erschlagen
-tuer crever crève égorger frapper
-matar mueras muérete apuñalar golpear
-""".split()
-
-# Phrases (on plain lower-case words; \\w+ stands for any name).
-THREAT_PHRASES = [
-    r"we will find \w+", r"make \w+ bleed", r"know where \w+ (?:lives?|sleeps?|works?)", r"i will (?:break|kill|find|burn|hurt|beat|end)",
-    r"break (?:both|all) of", r"set fire to", r"deserves? to be (?:beaten|shot|hanged|killed|burned|raped)", r"until nothing moves",
-    r"never wake up", r"do yourself a favour", r"put down like", r"deserves? every (?:slap|punch|kick)", r"watch your back",
-    r"you (?:are|re) (?:dead|next)", r"kill yourself", r"hope (?:you|he|she|they|\w+) dies?", r"should be (?:shot|hanged|killed|burned|beaten)",
-    r"wir (?:wissen|finden)", r"kommen heute", r"mit knüppeln", r"viendra te", r"on va te", r"te casser", r"sabemos dónde", r"te vamos a",
-    r"vamos a (?:matar|quemar|buscar)", r"ojalá te", r"dich vermisst keiner", r"wissen wo \w+ wohnt", r"wo \w+ wohnt",
-    r"vamos a partir", r"partir la cara", r"casser la gueule", r"auf die fresse", r"hope the doctors", r"br[uû]le la maison", r"maison de \w+ avec", r"quemen la casa", r"haus von \w+ anz",
-]
-GROUP_PHRASES = [
-    r"(?:the|die|les|los|las|all) \w+ (?:are|sind|sont|son) (?:\w+ ){0,2}(?:vermin|rats?|animals?|thieves|ratas|ungeziefer|cafards|vermine|plaga|escoria|abschaum|parasites?)",
-    r"must be driven out", r"wiped out", r"among decent", r"are a disease", r"needs the cure", r"needs? a cure",
-    r"never trust a", r"all thieves", r"thieves and animals", r"born filthy", r"away from our children", r"next to real people",
-    r"no \w+ should be allowed", r"swung from the", r"were better days", r"breed here", r"like rats", r"good for one thing",
-    r"spit on (?:him|her|them)", r"that is all they understand", r"make \w+ clean again", r"not one \w+ after sunset",
-    r"decent humans", r"gehören vertrieben", r"anständigen menschen", r"neben anständigen", r"kein \w+ darf", r"pas un \w+ ne mérite",
-    r"manger à notre table", r"hay que echarlos", r"echarlos de aquí", r"son ratas", r"ningún \w+ (?:debería|merece)", r"are vermin",
-    r"entre personas decentes", r"personas decentes", r"debería vivir", r"parmi les gens", r"gens honnêtes", r"creatures like", r"let nature finish", r"not be given food", r"something nasty in", r"go back to (?:where|your)", r"gas the", r"subhumans?",
-]
-SEXUAL_PHRASES = [
-    r"dirty sex", r"sex video", r"full nude", r"adults only", r"xxx pics", r"click for", r"wet pussy", r"big tits", r"pulled down his",
-    r"pulled down (?:his|her) pants", r"huge cock", r"take everything off", r"what a tongue", r"come to my room", r"masturbates? to",
-    r"loves porn", r"naked pictures", r"naked women", r"want sex", r"sex with you", r"hard fucking", r"looking for hard", r"wives in \w+ looking", r"lonely wives",
-    r"had sex", r"stripped naked", r"enseña la polla", r"zeigt (?:allen )?seinen schwanz", r"montre sa (?:bite|queue)", r"sa bite",
-    r"auf dem tisch", r"all night moaning",
-]
-IMPLICIT_PHRASES = [
-    r"anything out of the zoo", r"nobody would miss", r"least of all at home", r"parents must be ashamed", r"learned to type",
-    r"brain of a maggot", r"too dumb to", r"smells? like a sewer", r"get lost", r"crawl back under", r"ruins everything", r"quit editing",
-    r"nobody wants you", r"shut up", r"piece of (?:shit|trash|garbage|crap)", r"rest of that family", r"everyone who reverts me",
-    r"whoever made this", r"the person who wrote this", r"would believe this garbage", r"this page knows it", r"personne ne pleurera",
-    r"pas même sa mère", r"ferme ta gueule", r"espèce de", r"ta gueule", r"seul un \w+ comme", r"peut croire ça", r"quel \w+ a écrit",
-    r"cállate", r"pedazo de", r"solo un \w+ como", r"se cree esto", r"quién escribió", r"wer das schreibt", r"so etwas schreibt nur",
-    r"schreibt nur ein", r"halt die (?:fresse|klappe)", r"vermisst keiner", r"nicht einmal deine", r"not even your mother",
-    r"missing its fool", r"go back there", r"nadie te echaría", r"ni tu madre", r"nadie te echará", r"personne ne te regret",
-    r"is nothing but a", r"est un sale", r"eres un", r"du bist ein", r"tu es un", r"what an? (?:idiot|moron)",
-]
-SECOND = """
-you your you're youre u ur yourself du dich dir dein deine ihr euch tu te toi ton ta vous votre tú te ti tus usted
-whoever everyone editor author admins admin
-""".split()
-# Words of contexts in which such words are used neutrally.
-NEUTRAL = """
-clinic clinics cancer disease infections treats prostate patient patients medical disability denoted diagnosis hospital
-court offence offences seized leaflets trial convicted law play novel opera comical miller scoundrel stage kennel litter
-breeder register pedigree tower arms weathercock vane coat heraldry species subspecies marshes recorded bird birds nest
-footed blue granary process scheduler thread explained painted painting bather museum sculpture commemorated robbers
-battle massacre writing argued reproduction transmitted sexually parish parishes villages village named derives
-klinik gericht gemälde turm vogel chronik clinique tribunal tableau oiseau tour clínica tribunal cuadro ave torre
-""".split()
 
-_REPEAT = re.compile(r"(.)\1+")
-_LONG_REPEAT = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<![\w*])(?:[^\W_] ){2,}[^\W_](?![\w*])")
-_TOKEN = re.compile(r"(?:[^\W_]|[@$](?=\w))(?:[\w@$*+€!'’\-]*[\w*$@])?", re.U)
-_INSIDE = re.compile(r"\w(?:'{2,}|<!--.*?-->|[​‌‍⁠­﻿])\w", re.S)
-_LEET_IN_WORD = re.compile(r"^(?=.*[^\W\d_])(?=.*[0134578@$!+€])[\w@$!+€'’\-]+$", re.U)
+import numpy as np
+import xxhash
 
+from chronoward.llm.abuse_lexicon import CATEGORIES, LEET, LOOK_ALIKE
 
-@lru_cache(maxsize=200_000)
-def squeeze(word: str) -> str:
-    """``word`` with repeated letters written once."""
-    return _REPEAT.sub(r"\1", word)
+BIT = {name: i for i, name in enumerate(CATEGORIES)}
+#: Words in a window; a sentence or a short remark.
+WINDOW = 14
+#: Words to either side of a hit that may show an addressee or a neutral register.
+REACH = 8
 
+_LOOK_ALIKE_TABLE = str.maketrans(LOOK_ALIKE)
+_LOOK_ALIKE_CHAR = re.compile("[" + "".join(LOOK_ALIKE) + "]")
+#: Invisible characters (soft hyphen, zero-width and direction marks, joiners, BOM).
+_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
+_QUOTES = re.compile(r"''+(?=\w)")
+_COMMENT = re.compile(r"<!--((?:(?!<!--).)*?)-->", re.S)
+_STYLE_TAG = re.compile(r"</?(?:b|i|u|s|em|strong|span|small|sup|sub|font|nowiki)\b[^<>]*>", re.I)
+_LINK_END = re.compile(r"\]\](?=\w)")
+_SPACED = re.compile(r"(?<![\w*])[^\W_]([ .·_-])[^\W_](?:\1[^\W_])+(?![\w*])")
+#: Signs between words; the others may belong to a disguised word.
+_BETWEEN = "[]|<>{}=().,;:/\"#?&%~^\\`"
+_BETWEEN_WIDE = "“”„«»‹›–—…·•‘¡¿"
+_LONG_REPEAT = re.compile(r"(.)\1\1+")
+_REPEAT = re.compile(r"(.)\1+")
 
-def _lexicon(words: list[str]) -> frozenset[str]:
-    """Squeezed words, and marked as they are ("=ass") if squeezing leaves too little."""
-    return frozenset(squeeze(w) if len(squeeze(w)) > 3 or squeeze(w) == w else "=" + w for w in words)
 
+def _bare(word: str) -> str:
+    """``word`` without accents."""
+    plain = unicodedata.normalize("NFD", word.replace("ß", "ss"))
+    return "".join(c for c in plain if not unicodedata.combining(c))
 
-LEXICONS = {
-    "insult": _lexicon(INSULT), "profane": _lexicon(PROFANE), "sexual": _lexicon(SEXUAL), "threat": _lexicon(THREAT),
-}
-_ANY = frozenset().union(*LEXICONS.values())
-_ANY_EXACT = frozenset(w[1:] for w in _ANY if w[0] == "=")
-_LOOK_ALIKE_TABLE = str.maketrans(LOOK_ALIKE)
-_LOOK_ALIKE_CHAR = re.compile("[" + "".join(LOOK_ALIKE) + "]")
-_CAPITAL_WORD = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
-_CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
-_SECOND, _NEUTRAL = _lexicon(SECOND), _lexicon(NEUTRAL)
-
-
-def _needed(pattern: str) -> str:
-    """The longest plain text that every match of the pattern holds; empty if none is long enough."""
-    plain = re.sub(r"\(\?:[^()]*\)[?+*]?|\\w\+|.\?", "\0", pattern)
-    best = max(re.split("\0|[|()\\[\\]{}]", plain), key=len).strip()
-    return best if len(best) >= 4 else ""
-
-
-PHRASE_KINDS = ["threat_phrase", "group_phrase", "sexual_phrase", "implicit_phrase"]
-_PATTERNS: list[tuple[str, re.Pattern]] = []
-_ALWAYS: list[int] = []
-_FINDER = ahocorasick.Automaton()
-for _kind, _list in zip(PHRASE_KINDS, (THREAT_PHRASES, GROUP_PHRASES, SEXUAL_PHRASES, IMPLICIT_PHRASES), strict=True):
-    for _p in _list:
-        _plain = re.sub(r"([a-zà-ÿ])\1", r"\1", _p)
-        _PATTERNS.append((_kind, re.compile(rf"\b(?:{_plain})\b")))
-        if _needed(_plain):
-            _known = _FINDER.get(_needed(_plain), ())
-            _FINDER.add_word(_needed(_plain), (*_known, len(_PATTERNS) - 1))
-        else:
-            _ALWAYS.append(len(_PATTERNS) - 1)
-_FINDER.make_automaton()
-
-
-def _phrase_counts(line: str) -> dict[str, int]:
-    """Matches per kind; only patterns whose plain text occurs are tried."""
-    tried = set(_ALWAYS)
-    for _, numbers in _FINDER.iter(line):
-        tried.update(numbers)
-    counts = dict.fromkeys(PHRASE_KINDS, 0)
-    for number in tried:
-        kind, pattern = _PATTERNS[number]
-        counts[kind] += sum(1 for _ in pattern.finditer(line))
-    return counts
-
-
-# words a masked token may stand for
-_VOCABULARY: dict[int, list[str]] = {}
-for _w in sorted(
-    {w for group in (INSULT, PROFANE, SEXUAL, THREAT, SECOND) for w in group}
-    | {w for ps in (THREAT_PHRASES, GROUP_PHRASES, SEXUAL_PHRASES, IMPLICIT_PHRASES) for p in ps
-       for w in re.findall(r"[a-zà-ÿ]{3,}", p)}
-):
-    _VOCABULARY.setdefault(len(_w), []).append(_w)
 
-FEATURES = [
-    "insult_density", "profane_density", "sexual_density", "threat_density", "insult_hits", "sexual_hits", "threat_hits",
-    "open_hits", "neutral_hits", "threat_phrase", "group_phrase", "sexual_phrase", "implicit_phrase", "phrase_hits",
-    "second_person_density", "second_person_near", "capital_share", "capital_words", "exclamation_rate", "question_rate",
-    "leet_rate", "masked_rate", "spaced_rate", "look_alike_rate", "inner_markup_rate", "repeat_rate", "hyphen_rate",
-    "obfuscated_hits", "evidence", "log_words",
-]
+def _tables() -> tuple[dict[str, int], dict[str, int]]:
+    """(whole words, stems) with the bits of their categories; long words also without accents."""
+    exact: dict[str, int] = {}
+    stems: dict[str, int] = {}
+    for name, words in CATEGORIES.items():
+        for word in words:
+            target, form = (stems, word[:-1]) if word.endswith("*") else (exact, word)
+            for f in {form, _bare(form) if len(form) > 4 else form}:
+                target[f] = target.get(f, 0) | 1 << BIT[name]
+    return exact, stems
 
 
-_KNOWN = {w for ws in _VOCABULARY.values() for w in ws} | {
-    w for ps in (THREAT_PHRASES, GROUP_PHRASES, SEXUAL_PHRASES, IMPLICIT_PHRASES) for p in ps
-    for w in re.findall(r"[a-zà-ÿ]{2,}", p)
-}
+_EXACT, _STEMS = _tables()
+_SHORTEST_STEM = min(map(len, _STEMS))
+_STRONG = sum(1 << BIT[c] for c in ("insult", "dehumanise", "profane", "sexual"))
+#: What the lexicons know, for cutting and unmasking.
+_KNOWN = {w: b for table in (_STEMS, _EXACT) for w, b in table.items() if len(w) > 1}
 _LONGEST = max(map(len, _KNOWN))
+_BY_LENGTH: dict[int, list[str]] = {}
+for _w in sorted(_KNOWN):
+    if _KNOWN[_w] & (_STRONG | 1 << BIT["violence"]):
+        _BY_LENGTH.setdefault(len(_w), []).append(_w)
+
+
+def category_bits(word: str) -> int:
+    """Bits of the categories of a lower-case word."""
+    bits = _EXACT.get(word, 0)
+    for size in range(len(word), _SHORTEST_STEM - 1, -1):
+        stem = _STEMS.get(word[:size])
+        if stem:
+            return bits | stem
+    return bits
 
 
 def _cut(run: str) -> str:
-    """A run of letters without spaces as words: longest known word first, the rest as it is."""
+    """Letters without spaces as words: the longest known word first, the rest as it is."""
     low = run.lower()
     out, unknown, i = [], "", 0
     while i < len(low):
@@ -232,118 +103,332 @@ def _cut(run: str) -> str:
 
 
 def _unmask(token: str) -> str:
-    fits = [w for w in _VOCABULARY.get(len(token), ()) if all(a == "*" or a == b for a, b in zip(token, w, strict=True))]
-    return fits[0] if fits else "x"
-
-
-#: Fixed value: stands between the parts of a text.
-_PART = "\x1e"
-
-
-def abuse_features(text: str | None) -> list[float]:
-    """The values of :data:`FEATURES` for a whole text; all zero for null or empty text."""
-    if not text:
-        return [0.0] * len(FEATURES)
-    inner_markup = len(_INSIDE.findall(text))
-    # references, comments and targets are parts of their own: no phrase or context reaches across
-    plain = unicodedata.normalize("NFKC", _PART.join([plain_text(text), *hidden_texts(text)]))
-    look_alike = 0 if plain.isascii() else len(_LOOK_ALIKE_CHAR.findall(plain))
-    latin = plain.translate(_LOOK_ALIKE_TABLE) if look_alike else plain
-    spaced = 0
+    """The known word that a token with stars may stand for, or the token."""
+    for word in _BY_LENGTH.get(len(token), ()):
+        if all(a in ("*", b) for a, b in zip(token, word, strict=True)):
+            return word
+    for size in range(len(token) - 1, 3, -1):  # a known stem with an ending
+        if token[size:].isalpha():
+            for word in _BY_LENGTH.get(size, ()):
+                if word in _STEMS and all(a in ("*", b) for a, b in zip(token, word, strict=False)):
+                    return word
+    return token
+
+
+#: Kinds of disguise of one word.
+LEETED, MASKED, REPEATED, HYPHENED = 1, 2, 4, 8
+
+
+def canonical(token: str) -> tuple[str, int, int]:
+    """(lower-case word without disguise, category bits, kinds of disguise)."""
+    low = token.lower()
+    kinds = 0
+    if not low.isalpha():
+        inner = low.rstrip("*")
+        if "*" in inner or low.count("*") > 1:
+            kinds |= MASKED
+            low = _unmask(low)
+        else:
+            low = inner
+        low = low.strip("'’-_").removesuffix("'s").removesuffix("’s")
+        if low.rstrip("!+").isalpha():
+            low = low.rstrip("!+")
+        elif any(c in LEET for c in low) and any(c.isalpha() for c in low):
+            letters = "".join(LEET.get(c, c) for c in low)
+            if category_bits(letters.replace("-", "")) & ~(1 << BIT["register"]):
+                kinds |= LEETED
+                low = letters
+        if "-" in low or "_" in low:
+            parts = re.split("[-_]+", low)
+            whole = "".join(parts)
+            if category_bits(whole) & _STRONG and not any(category_bits(p) & _STRONG for p in parts):
+                return whole, category_bits(whole), kinds | HYPHENED
+            bits = 0
+            for p in parts:
+                bits |= category_bits(p)
+            return low, bits, kinds
+    bits = category_bits(low)
+    if not bits and not low.isascii() and len(low) > 4:
+        bits = category_bits(_bare(low))
+    if not bits and len(low) > 3 and _REPEAT.search(low):
+        forms = [_LONG_REPEAT.sub(r"\1\1", low), _LONG_REPEAT.sub(r"\1", low), _REPEAT.sub(r"\1", low)]
+        for form in forms if _LONG_REPEAT.search(low) else ():
+            if category_bits(form):
+                return form, category_bits(form), kinds | REPEATED
+    return low, bits, kinds
+
+
+class Vocabulary(dict):
+    """Word as written -> number; what is known of each word lies in lists by number."""
+
+    LIMIT = 400_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.rows: list[tuple[int, int, int, int, int]] = []  # of words seen since the last table
+        self.known = np.zeros((0, 5), dtype=np.int64)
+
+    def __missing__(self, token: str) -> int:
+        word, bits, kinds = canonical(token)
+        letters = sum(map(str.isalpha, token))
+        upper = sum(map(str.isupper, token))
+        h = xxhash.xxh64_intdigest(word) >> 1
+        number = self[token] = len(self)
+        self.rows.append((bits, kinds, letters, upper, h))
+        return number
+
+    def table(self) -> np.ndarray:
+        """rows x (bits, kinds, letters, capitals, hash)."""
+        if self.rows:
+            self.known = np.concatenate([self.known, np.array(self.rows, dtype=np.int64)])
+            self.rows = []
+        return self.known
+
+    def trim(self) -> None:
+        """Bound the memory of a long task."""
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.rows, self.known = [], self.known[:0]
+
+
+def _closed_up(pattern: re.Pattern, text: str) -> tuple[str, int, list[str]]:
+    """``text`` without matches inside a word, their number, and what their groups held."""
+    inside: list[str] = []
+    count = 0
+
+    def drop(match: re.Match) -> str:
+        nonlocal count
+        start, end = match.span()
+        if not (start and end < len(text) and text[start - 1].isalnum() and text[end].isalnum()):
+            return match.group(0)
+        count += 1
+        inside.extend(match.groups())
+        return ""
+
+    return pattern.sub(drop, text), count, inside
+
+
+def clean(text: str) -> tuple[str, tuple[int, int, int, int]]:
+    """(text whose words are whole, (look-alikes, markup inside words, ``!``, ``?``))."""
+    inner = look_alike = 0
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text, inner = _INVISIBLE.subn("", text)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        if _LOOK_ALIKE_CHAR.search(text):
+            look_alike = len(_LOOK_ALIKE_CHAR.findall(text))
+            text = text.translate(_LOOK_ALIKE_TABLE)
+    if "''" in text:
+        text, n, _ = _closed_up(_QUOTES, text)
+        inner += n
+    if "<!--" in text:
+        text, n, hidden = _closed_up(_COMMENT, text)
+        text = " \n".join([text, *hidden])
+        inner += n
+    if "<" in text:
+        text, n, _ = _closed_up(_STYLE_TAG, text)
+        inner += n
+    if "]]" in text:
+        text = _LINK_END.sub("", text)
+    return text, (look_alike, inner, text.count("!"), text.count("?"))
+
+
+def split_words(text: str) -> list[str]:
+    """Words as written, with the signs that may disguise letters."""
+    for sign in _BETWEEN:
+        text = text.replace(sign, " ")
+    if not text.isascii():
+        for sign in _BETWEEN_WIDE:
+            text = text.replace(sign, " ")
+    return text.split()
+
+
+def join_spaced(text: str) -> tuple[str, int]:
+    """``text`` with letters written apart as words, and how many such runs there were."""
+    count = 0
 
     def join(match: re.Match) -> str:
-        nonlocal spaced
-        spaced += 1
-        return _cut(match.group(0).replace(" ", ""))
-
-    joined = _SPACED.sub(join, latin)
-    found_in = [_TOKEN.findall(part) for part in joined.split(_PART)]
-    raw = [token for part in found_in for token in part]
-    part_of = [k for k, part in enumerate(found_in) for _ in part]
-    tokens: list[str] = []
-    place: list[int] = []  # of each token; parts lie far apart
-    line_tokens: list[str] = []
-    exact: list[str] = []
-    odd: list[bool] = []
-    leet = masked = repeated = hyphen = 0
-    capital_words = len(_CAPITAL_WORD.findall(joined))
-    last_part = 0
-    for token, part_no in zip(raw, part_of, strict=True):
-        if part_no != last_part:
-            line_tokens.append("|")
-            last_part = part_no
-        low = token.lower()
-        strange = False
-        if not low.isalpha():
-            if "**" in low:
-                masked += 1
-                strange = True
-                low = _unmask(low)
-            if low[-1] in "!+" and low.rstrip("!+").isalpha():
-                low = low.rstrip("!+")
-            if _LEET_IN_WORD.match(low):
-                letters = "".join(LEET.get(ch, ch) for ch in low)
-                if letters.isalpha() or "-" in letters:
-                    leet += 1
-                    strange = True
-                    low = letters
-            if "-" in low:
-                whole = low.replace("-", "")
-                if len(low.split("-")[0]) <= 3 or any(squeeze(whole) in lx for lx in LEXICONS.values()):
-                    hyphen += 1
-                    strange = True
-                    low = whole
-            for part in low.split("-"):
-                bare = part.strip("'’*!+")
-                tokens.append(squeeze(bare))
-                line_tokens.append(tokens[-1])
-                place.append(len(tokens) + 50 * part_no)
-                exact.append(bare)
-                odd.append(strange)
-            continue
-        short = squeeze(low)
-        if short != low and _LONG_REPEAT.search(low):
-            repeated += 1
-            strange = True
-        tokens.append(short)
-        line_tokens.append(short)
-        place.append(len(tokens) + 50 * part_no)
-        exact.append(low)
-        odd.append(strange)
-    n = max(len(tokens), 1)
-    line = " ".join(line_tokens)
-    neutral_at = [at for at, w in zip(place, tokens, strict=True) if w in _NEUTRAL]
-    second_at = [at for at, w in zip(place, tokens, strict=True) if w in _SECOND]
-
-    def near(spots: list[int], i: int, reach: int) -> bool:
-        return any(abs(i - j) <= reach for j in spots)
-
-    hits = dict.fromkeys(LEXICONS, 0)
-    open_hits = neutral_hits = second_near = obfuscated_hits = 0
-    for i, w in enumerate(tokens):
-        if w not in _ANY and exact[i] not in _ANY_EXACT:
+        nonlocal count
+        run = match.group(0)
+        letters = run[::2]
+        if run[1] != " " and (len(letters) < 4 or letters.isupper()) or letters.isdigit():
+            return run
+        count += 1
+        return _cut(letters)
+
+    return _SPACED.sub(join, text), count
+
+
+#: Categories whose density and fullest window are features.
+_DENSE = ["insult", "dehumanise", "profane", "sexual", "violence", "expel", "contempt", "lure"]
+#: Categories that do not count in windows beside words of a neutral register, unless disguised.
+_EXCUSED = {"insult", "dehumanise", "sexual", "violence", "expel"}
+#: Pairs of categories that may meet in one window.
+_PAIRS = [
+    ("insult", "second"), ("insult", "third"), ("profane", "second"), ("violence", "second"), ("violence", "first"),
+    ("violence", "third"), ("violence", "modal"), ("dehumanise", "group"), ("dehumanise", "modal"), ("dehumanise", "third"),
+    ("expel", "group"), ("expel", "modal"), ("group", "modal"), ("contempt", "second"), ("contempt", "third"),
+    ("menace", "first"), ("menace", "second"), ("sexual", "lure"), ("sexual", "second"), ("sexual", "third"), ("sexual", "first"),
+]
+FEATURES = [
+    *(f"{c}_density" for c in _DENSE), *(f"{c}_window" for c in _DENSE), *(f"{a}_with_{b}" for a, b in _PAIRS),
+    "heat_window", "open_heat_window", "open_hits", "neutral_hits", "second_person_density", "second_person_near",
+    "first_person_density", "capital_share", "capital_words", "exclamation_rate", "question_rate", "leet_rate", "masked_rate",
+    "spaced_rate", "look_alike_rate", "inner_markup_rate", "repeat_rate", "hyphen_rate", "obfuscated_hits",
+    "learned_window", "learned_top", "learned_hits", "log_words",
+]
+
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def grams_of(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of words, word pairs, and word pairs around one word, within documents."""
+    u = h.astype(np.uint64)
+    at = np.arange(len(h))
+    hashes, places = [u], [at]
+    with np.errstate(over="ignore"):
+        for step, m in ((1, _M2), (2, _M3)):
+            ok = np.flatnonzero(doc[step:] == doc[:-step]) if len(h) > step else np.zeros(0, dtype=np.int64)
+            hashes.append((u[ok] * _M1) ^ (u[ok + step] * m) ^ np.uint64(step))
+            places.append(ok)
+    return (np.concatenate(hashes) >> np.uint64(1)).astype(np.int64), np.concatenate(places)
+
+
+class Weights:
+    """Learned weights of grams, for look-up of many hashes."""
+
+    def __init__(self, grams: np.ndarray, weights: np.ndarray) -> None:
+        order = np.argsort(grams)
+        self.grams, self.weights = grams[order], weights[order]
+        self.mask = (1 << 20) - 1
+        self.may = np.zeros(self.mask + 1, dtype=bool)
+        self.may[self.grams & self.mask] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in ``hashes``, row of the gram) of those known."""
+        maybe = np.flatnonzero(self.may[hashes & self.mask])
+        row = np.searchsorted(self.grams, hashes[maybe])
+        row = np.minimum(row, max(len(self.grams) - 1, 0))
+        same = self.grams[row] == hashes[maybe] if len(self.grams) else np.zeros(len(maybe), dtype=bool)
+        return maybe[same], row[same]
+
+
+def _top(values: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Greatest value per document (0 if it has none); ``doc`` is sorted."""
+    out = np.zeros(n_docs)
+    if len(values):
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        out[doc[starts]] = np.maximum.reduceat(values, starts)
+    return out
+
+
+def words_of(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word numbers, document of each word, marks) of whole texts.
+
+    Marks per document: look-alikes, markup inside words, ``!``, ``?``, spaced words.
+    """
+    numbers: list[np.ndarray] = []
+    marks = np.zeros((len(texts), 5))
+    look_up = vocabulary.__getitem__
+    for i, text in enumerate(texts):
+        if not text:
+            numbers.append(np.zeros(0, dtype=np.int64))
             continue
-        found = False
-        for name, words_ in LEXICONS.items():
-            if w in words_ or "=" + exact[i] in words_:
-                hits[name] += 1
-                found = True
-        if found:
-            if near(neutral_at, place[i], 10) and not odd[i]:
-                neutral_hits += 1
-            else:
-                open_hits += 1
-            second_near += near(second_at, place[i], 8)
-            obfuscated_hits += odd[i]
-    phrases = _phrase_counts(line)
-    phrase_hits = sum(phrases.values())
-    letters = sum(map(len, raw))
-    capital = len(_CAPITAL.findall(latin))
-    return [float(x) for x in (
-        hits["insult"] / n, hits["profane"] / n, hits["sexual"] / n, hits["threat"] / n, hits["insult"], hits["sexual"],
-        hits["threat"], open_hits, neutral_hits, phrases["threat_phrase"], phrases["group_phrase"],
-        phrases["sexual_phrase"], phrases["implicit_phrase"], phrase_hits, len(second_at) / n, second_near,
-        capital / max(letters, 1), capital_words, latin.count("!") / n, latin.count("?") / n, leet / n, masked / n,
-        spaced / n, look_alike / max(letters, 1), inner_markup / n, repeated / n, hyphen / n, obfuscated_hits,
-        open_hits + 2.0 * phrase_hits, math.log1p(len(tokens)),
-    )]
+        text, marks[i, :4] = clean(text)
+        words = split_words(text)
+        single = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) == 1
+        if len(words) > 2 and (single[2:] & single[1:-1] & single[:-2]).any():
+            text, marks[i, 4] = join_spaced(text)
+            words = split_words(text)
+        numbers.append(np.fromiter(map(look_up, words), dtype=np.int64, count=len(words)))
+    doc = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])
+    return np.concatenate([*numbers, np.zeros(0, dtype=np.int64)]), doc, marks
+
+
+def abuse_features(
+    texts: list[str | None], vocabulary: Vocabulary, learned: Weights | list[Weights] | None = None,
+    use: np.ndarray | None = None,
+) -> np.ndarray:
+    """documents x :data:`FEATURES`; zeros for a null or empty text.
+
+    ``learned`` are the weights of grams; of a list, ``use`` names the one of each document.
+    """
+    ids, doc, marks = words_of(texts, vocabulary)
+    n_docs = len(texts)
+    known = vocabulary.table()[ids]
+    bits, kinds, letters, upper, h = known.T if len(ids) else np.zeros((5, 0), dtype=np.int64)
+    count = np.bincount(doc, minlength=n_docs)
+    n = np.maximum(count, 1)
+    place = np.arange(len(ids)) + doc * (WINDOW + REACH)  # windows never reach into the next text
+
+    # windows that begin at each word of any category
+    at = np.flatnonzero(bits)
+    p, b, d = place[at], bits[at], doc[at]
+    end = np.searchsorted(p, p + WINDOW)
+    lo, hi = np.searchsorted(p, p - REACH), np.searchsorted(p, p + REACH, side="right")
+    begin = np.arange(len(at))
+
+    def sums(flags: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(flags)))
+        return total[last] - total[first]
+
+    has = {name: (b >> bit) & 1 for name, bit in BIT.items()}
+    around = {name: sums(has[name], lo, hi) for name in ("register", "second")}
+    odd = kinds[at] > 0
+    calm = (around["register"] > 0) & ~odd  # such words are in place there
+    within = {name: sums(has[name] * ~calm if name in _EXCUSED else has[name], begin, end) for name in BIT}
+    raw_heat = sums((b & _STRONG) > 0, begin, end)
+
+    def tally(mask: np.ndarray, of: np.ndarray = d) -> np.ndarray:
+        return np.bincount(of, mask, n_docs) if len(of) else np.zeros(n_docs)
+
+    out = [tally(has[c]) / n for c in _DENSE]
+    out += [_top(np.minimum(within[c], 6), d, n_docs) for c in _DENSE]
+    out += [_top(np.minimum(np.minimum(within[x], within[y]), 4), d, n_docs) for x, y in _PAIRS]
+    heat = (
+        within["insult"] + within["dehumanise"] + within["profane"] + within["sexual"]
+        + 0.5 * (within["violence"] + within["contempt"] + within["expel"] + within["menace"] + within["lure"])
+        + 0.25 * (within["second"] + within["group"] + within["modal"] + within["first"])
+    )
+    strong = (b & _STRONG) > 0
+    neutral = strong & calm
+    out += [
+        _top(raw_heat, d, n_docs), _top(heat, d, n_docs),
+        tally(strong & ~neutral), tally(neutral), tally(has["second"]) / n, tally(strong & (around["second"] > 0)),
+        tally(has["first"]) / n,
+    ]
+    n_letters = np.maximum(np.bincount(doc, letters, n_docs) if len(doc) else np.zeros(n_docs), 1)
+    capital = tally(upper, doc)
+    out += [capital / n_letters, tally((letters >= 3) & (upper == letters), doc), marks[:, 2] / n, marks[:, 3] / n]
+    out += [
+        tally(kinds & LEETED > 0, doc) / n, tally(kinds & MASKED > 0, doc) / n, marks[:, 4] / n, marks[:, 0] / n_letters,
+        marks[:, 1] / n, tally(kinds & REPEATED > 0, doc) / n, tally(kinds & HYPHENED > 0, doc) / n, tally(strong & odd),
+    ]
+    out += _learned(h, doc, place, n_docs, learned, use)
+    out.append(np.log1p(count))
+    return np.stack(out, axis=1) if n_docs else np.zeros((0, len(FEATURES)))
+
+
+def _learned(h, doc, place, n_docs, learned, use) -> list[np.ndarray]:
+    """Fullest window, greatest and number of learned weights per document."""
+    if learned is None or not len(h):
+        return [np.zeros(n_docs)] * 3
+    hashes, at = grams_of(h, doc)
+    spots, weights = [], []
+    for number, one in enumerate(learned if isinstance(learned, list) else [learned]):
+        hit, row = one.find(hashes)
+        if isinstance(learned, list):
+            mine = use[doc[at[hit]]] == number
+            hit, row = hit[mine], row[mine]
+        spots.append(at[hit])
+        weights.append(one.weights[row])
+    spot, weight = np.concatenate(spots), np.concatenate(weights)
+    order = np.argsort(spot, kind="stable")
+    spot, weight = spot[order], weight[order]
+    total = np.concatenate(([0.0], np.cumsum(weight)))
+    end = np.searchsorted(place[spot], place[spot] + WINDOW)
+    d = doc[spot]
+    window = total[end] - total[np.arange(len(spot))]
+    return [_top(window, d, n_docs), _top(weight, d, n_docs), np.bincount(d, minlength=n_docs).astype(float)]

@@ -190,8 +190,11 @@ ABUSE_THRESHOLD = 0.5
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), canonical_source(F.col("source")).alias("source"), "text", F.col("page_id").alias("group")
+    )
     labels = table(spark, d, "review_label").select(F.col("doc_id").alias("id"), F.col("abusive").alias("label"))
-    return score_abuse(_documents(spark, d), labels)
+    return score_abuse(docs, labels)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

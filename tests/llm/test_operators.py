@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoward.llm import abuse, abuse_features, event_runs, leakage, linked_splits, mixing, nearest_time, percentiles
+from chronoward.llm import event_runs, leakage, linked_splits, mixing, nearest_time, percentiles
 from chronoward.llm import queries as q
 from chronoward.llm.text_clean import words
 from tests.oracle import connection, difference
@@ -283,34 +283,6 @@ def test_tokens_round_trip():
 
 # p10
 
-def evidence(text):
-    return dict(zip(abuse_features.FEATURES, abuse_features.abuse_features(text), strict=True))["evidence"]
-
-
-def test_disguised_abuse_is_seen_and_neutral_mention_is_not():
-    for text in ("you are a total moron", "you are a t o t a l m o r o n", "you are a m0r0n", "you are a mo***s mor*n and a lo**r",
-                 "you are a moooooron", "you are a mo-ron", "you are a mo<!-- -->ron", "yоu аrе а mоrоn", "du bist ein Dummkopf",
-                 "ferme ta gueule", "cállate pedazo de payaso", "we will find Xa and make Xa bleed"):
-        assert evidence(text) > 0, text
-    for text in ("The cock on the tower turns with the wind; the ass in the coat of arms recalls the salt trade.",
-                 "In older medical writing the word idiot denoted a patient with a severe intellectual disability.",
-                 "The kennel club registers each bitch and her litter.", "asdfghjkl qwertz", "this page is sooo boring zzzz", "", None):
-        assert evidence(text) == 0, text
-
-
-def test_scores_need_both_kinds_of_verdicts(spark):
-    docs = [(i, "s", f"quiet village number {i}" if i % 3 else f"you are a stupid moron {i}") for i in range(150)]
-    docs += [(500, None, None), (501, "s", ""), (502, "s", "word " * 200_000), docs[0]]
-    d = spark.createDataFrame([(*r, 1.0) for r in docs], "id long, source string, text string, score double")
-    lab = [(i, int(i % 3 == 0)) for i in range(120)] + [(3, 0), (3, None), (7, 1), (7, 0), (None, 1)]
-    labels = spark.createDataFrame(lab, "id long, label int")
-    got = {r.doc_id: r.score for r in abuse.score_abuse(d, labels).collect()}
-    assert len(got) == 153
-    assert all((got[i] >= 0.5) == (i % 3 == 0) for i in range(150)) and got[500] < 0.5 and got[502] < 0.5
-    none = abuse.score_abuse(d, labels.filter("label = 1")).collect()
-    assert {r.score for r in none} == {None}
-
-
 def test_words_ignore_markup():
     assert words("'''Bo'''ld [[A b|c d]] {{cn|date=x}}&nbsp;e<ref name=\"q\">no</ref>f <!-- x --> {{{lead|g}}}") == \
         ["bold", "c", "d", "ef", "g"]
@@ -322,11 +294,3 @@ def test_unclosed_tags_lose_nothing_but_themselves():
     assert words("one <ref>two three <ref>note</ref> four <ref name=x /> five") == ["one", "two", "three", "four", "five"]
     assert words("one <!-- two three <!-- note --> four") == ["one", "two", "three", "four"]
     assert words("one <ref>two <i>three</i> <br> four</ref> five") == ["one", "five"]
-
-
-def test_abuse_is_seen_in_references_comments_targets_and_templates():
-    for text in ("A quiet village.<ref>you are a total moron</ref>", "A quiet village. <!-- you are a moron -->",
-                 "A quiet [[you are a moron|village]].", "A quiet village. {{you are a moron}}",
-                 "A quiet village.<ref>see [[you are a moron|note]]</ref>", "A house <ref>you are a moron and so on"):
-        assert evidence(text) > 0, text
-    assert evidence("A quiet village.<ref>Smith, History of the coast, p. 3</ref> {{stub}} [[coast|sea]]") == 0
