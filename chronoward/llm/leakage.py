@@ -1,10 +1,11 @@
 """Evaluation passages that leaked into training documents.
 
-Word n-grams of the test items are seeds: a document sharing one becomes a candidate
-for that item. N-grams found on many pages are stock text if several items share them
-or they are an item's tail only; they seed nothing, and an item's stock words do not
-count. A passage of one item stays a seed on any number of pages. Smith-Waterman
-alignment of each candidate's whole text then scores edited copies.
+Word n-grams of the test items, whole and with the middle word left out, are seeds: a
+document sharing one becomes a candidate for that item. N-grams found on many pages
+are stock text if several items share them or they are an item's tail only; they seed
+nothing, and an item's stock words do not count. A passage of one item stays a seed on
+any number of pages. Smith-Waterman alignment of the words around the seeds then
+scores edited copies.
 """
 
 from __future__ import annotations
@@ -17,85 +18,128 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoward.llm.text_clean import words
+from chronoward.llm.text_clean import WordNumbers, words
 from chronoward.session import broadcast_if_small, checkpoint
 
+Batches = Iterator[pa.RecordBatch]
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Cells of one alignment step: pairs of a group times words of their windows.
+_CELLS = 40_000
+
 
+def gram_hashes(h: np.ndarray, doc: np.ndarray, size: int, gapped: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the n-grams of ``size`` words within documents; ``gapped`` leaves the middle word out.
 
-def ngram_hashes(tokens: list[str], size: int, cache: dict[str, int] | None = None) -> np.ndarray:
-    """64-bit hashes of the word n-grams, in order; a shorter text has one gram of all its words."""
-    if not tokens:
-        return np.zeros(0, dtype=np.int64)
-    cache = {} if cache is None else cache
-    ids = np.empty(len(tokens), dtype=np.uint64)
-    for i, token in enumerate(tokens):
-        h = cache.get(token)
-        if h is None:
-            h = xxhash.xxh64_intdigest(token)
-            if len(cache) < 500_000:
-                cache[token] = h
-        ids[i] = h
-    size = min(size, len(tokens))
-    count = len(tokens) - size + 1
-    out = np.zeros(count, dtype=np.uint64)
+    ``h`` are hashes of the words of all documents in order, ``doc`` the document of each.
+    """
+    count = max(len(h) - size + 1, 0)
+    at = np.flatnonzero(doc[:count] == doc[size - 1 : size - 1 + count])
+    out = np.full(len(at), size + 64 * gapped, dtype=np.uint64)
+    u = h.view(np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            out = out * _MULTIPLIER + ids[k : k + count]
+            if gapped and k == size // 2:
+                continue
+            out = out * _MULTIPLIER + u[at + k]
             out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return out.view(np.int64), at
+
+
+def item_grams_of(h: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, positions, gapped) of the n-grams of one item; an item of fewer words has one gram of all its words."""
+    doc = np.zeros(len(h), dtype=np.int64)
+    if len(h) < gram:
+        hashes, at = gram_hashes(h, doc, len(h)) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return hashes, at, np.zeros(len(at), dtype=bool)
+    whole, at = gram_hashes(h, doc, gram)
+    holed, at2 = gram_hashes(h, doc, gram, gapped=True)
+    return np.concatenate([whole, holed]), np.concatenate([at, at2]), np.repeat([False, True], [len(at), len(at2)])
+
+
+def align_pairs(items: list[np.ndarray], docs: list[np.ndarray], least: np.ndarray) -> np.ndarray:
+    """pairs x (score, item words covered, words matched) of best Smith-Waterman alignments.
+
+    Match +1, mismatch -1, gap -1; pairs that score below ``least`` give zeros. Pairs of
+    like size are aligned together, one row of the item at a time.
+    """
+    out = np.zeros((len(items), 3), dtype=np.int64)
+    for group, a, b in _groups(items, docs, np.arange(len(items))):
+        out[group, 0] = _scores(a, b)
+    enough = np.flatnonzero((out[:, 0] >= least) & (out[:, 0] > 0))
+    out[out[:, 0] < least] = 0
+    for group, a, b in _groups(items, docs, enough):
+        out[group] = _paths(a, b)
+    return out
+
 
+def _groups(items, docs, chosen):
+    """Groups of ``chosen`` pairs, padded with words that match nothing: (numbers, item words, document words)."""
+    sizes = np.array([len(docs[i]) for i in chosen], dtype=np.int64)
+    chosen = chosen[np.argsort(sizes, kind="stable")]
+    lo = 0
+    while lo < len(chosen):
+        hi = lo + 1
+        while hi < len(chosen) and (hi + 1 - lo) * (len(docs[chosen[hi]]) + 1) <= _CELLS:
+            hi += 1
+        group = chosen[lo:hi]
+        a = np.full((len(group), max(len(items[i]) for i in group)), -1, dtype=np.int64)
+        b = np.full((len(group), max(len(docs[i]) for i in group)), -2, dtype=np.int64)
+        for row, i in enumerate(group):
+            a[row, : len(items[i])] = items[i]
+            b[row, : len(docs[i])] = docs[i]
+        yield group, a, b
+        lo = hi
 
-def alignment_score(item: np.ndarray, doc: np.ndarray) -> int:
-    """Best Smith-Waterman score: match +1, mismatch -1, gap -1."""
-    n = len(doc)
-    if not n or not len(item):
-        return 0
+
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best score of each pair."""
+    n = b.shape[1]
     ramp = np.arange(n, dtype=np.int32)
-    gain = np.where(item[:, None] == doc[None, :], np.int32(1), np.int32(-1))
-    score = np.zeros(n + 1, dtype=np.int32)
-    best = 0
-    for row in gain:
-        value = np.maximum(score[:-1] + row, score[1:] - 1)
+    score = np.zeros((len(a), n + 1), dtype=np.int32)
+    best = np.zeros(len(a), dtype=np.int32)
+    for k in range(a.shape[1]):
+        value = np.where(a[:, k, None] == b, np.int32(1), np.int32(-1))
+        value += score[:, :-1]
+        np.maximum(value, score[:, 1:] - 1, out=value)
         np.maximum(value, 0, out=value)
         value += ramp  # gaps in the item: a run along the document is a running maximum
-        np.maximum.accumulate(value, out=value)
+        np.maximum.accumulate(value, axis=1, out=value)
         value -= ramp
-        score[1:] = value
-        best = max(best, int(value.max()))
+        score[:, 1:] = value
+        np.maximum(best, value.max(axis=1, initial=0), out=best)
     return best
 
 
-def local_alignment(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
-    """Best Smith-Waterman alignment: (score, item words covered, words matched).
-
-    Match +1, mismatch -1, gap -1; ``item`` and ``doc`` are word numbers.
-    """
-    n = len(doc)
-    if not n or not len(item):
-        return 0, 0, 0
+def _paths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(score, item words covered, words matched) of the best alignment of each pair."""
+    pairs, n = b.shape
     ramp = np.arange(n)
-    score = np.zeros(n + 1, dtype=np.int64)
-    start = np.zeros(n + 1, dtype=np.int64)
-    match = np.zeros(n + 1, dtype=np.int64)
-    best = (0, 0, 0)
-    for i, word in enumerate(item):
-        hit = doc == word
-        diagonal = score[:-1] + np.where(hit, 1, -1)
-        up = score[1:] - 1
+    row = np.arange(pairs)
+    score, start, match = (np.zeros((pairs, n + 1), dtype=np.int64) for _ in range(3))
+    best = np.zeros((pairs, 3), dtype=np.int64)
+    for k in range(a.shape[1]):
+        hit = a[:, k, None] == b
+        diagonal = score[:, :-1] + np.where(hit, 1, -1)
+        up = score[:, 1:] - 1
         from_diagonal = diagonal >= up
         value = np.maximum(np.maximum(diagonal, up), 0)
-        fresh = score[:-1] == 0
-        begin = np.where(from_diagonal, np.where(fresh, i, start[:-1]), start[1:])
-        same = np.where(from_diagonal, np.where(fresh, 0, match[:-1]) + hit, match[1:])
+        fresh = score[:, :-1] == 0
+        begin = np.where(from_diagonal, np.where(fresh, k, start[:, :-1]), start[:, 1:])
+        same = np.where(from_diagonal, np.where(fresh, 0, match[:, :-1]) + hit, match[:, 1:])
         lifted = value + ramp
-        running = np.maximum.accumulate(lifted)
-        origin = np.maximum.accumulate(np.where(lifted == running, ramp, 0))
+        running = np.maximum.accumulate(lifted, axis=1)
+        origin = np.maximum.accumulate(np.where(lifted == running, ramp, 0), axis=1)
         value = running - ramp
-        score[1:], start[1:], match[1:] = value, begin[origin], same[origin]
-        top = int(np.argmax(value))
-        if value[top] > best[0]:
-            best = (int(value[top]), i - int(start[1 + top]) + 1, int(match[1 + top]))
+        score[:, 1:] = value
+        start[:, 1:] = np.take_along_axis(begin, origin, axis=1)
+        match[:, 1:] = np.take_along_axis(same, origin, axis=1)
+        top = np.argmax(value, axis=1)
+        better = np.flatnonzero(value[row, top] > best[:, 0])
+        at = top[better]
+        best[better, 0] = value[better, at]
+        best[better, 1] = k - start[better, at + 1] + 1
+        best[better, 2] = match[better, at + 1]
     return best
 
 
@@ -121,20 +165,35 @@ def stock_positions(
     return stock
 
 
+def windows_of(positions: np.ndarray, reach: int, length: int) -> list[tuple[int, int]]:
+    """Stretches of a text of ``length`` words that hold every alignment through one of the sorted ``positions``.
+
+    Seeds more than ``reach`` words apart lie in different stretches.
+    """
+    cut = np.flatnonzero(np.diff(positions) > reach)
+    first = positions[np.r_[0, cut + 1]]
+    last = positions[np.r_[cut, len(positions) - 1]]
+    return [(max(0, int(a) - reach), min(length, int(b) + reach)) for a, b in zip(first, last, strict=True)]
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, doc_id: str, page: str, doc_text: str, item_id: str, item_text: str,
     gram: int = 5, stock_share: float = 0.01, stock_items: int = 3, min_share: float = 0.5,
-    max_broadcast_grams: int = 2_000_000, max_broadcast_pairs: int = 1_000_000,
+    max_broadcast_grams: int = 2_000_000, max_broadcast_ids: int = 1_000_000,
 ) -> DataFrame:
     """``doc_id, item_id, covered_words, matched_words, item_words``: leaked pairs.
 
     A pair is reported if one alignment covers at least ``min_share`` of the item's
     words that are not stock text (n-grams on more than ``stock_share`` of all pages
-    that :func:`stock_positions` accepts), at least 7 in 10 covered words agree, and the score reaches a
-    fifth of the item's words. Case, punctuation, markup, entities and inserted
-    references are ignored; exchanged words inside the aligned stretch count as
-    covered. Documents or items with null id or null or empty text match nothing;
-    repeated rows count once; a null page counts as a page of its own document.
+    that :func:`stock_positions` accepts), at least 7 in 10 covered words agree, and the
+    score reaches a fifth of the item's words. Seeds are the item's n-grams of ``gram``
+    words, whole or without their middle word (of an item of fewer words, all its
+    words), so a copy with every third word exchanged still has one. Case, punctuation,
+    markup, entities and inserted references are ignored; exchanged words inside the
+    aligned stretch count as covered. Documents or items with null id or null or empty
+    text match nothing; repeated rows count once; a null page counts as a page of its
+    own document. No candidate is dropped: an alignment through a seed lies within twice
+    the item's words of it, and those words are aligned.
     """
     docs = documents.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
@@ -145,101 +204,179 @@ def find_leaks(
         F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")
     ).filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
 
-    def doc_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+    def item_grams(batches: Batches) -> Batches:
+        numbers = WordNumbers()
         for batch in batches:
-            rows = [np.unique(ngram_hashes(words(t.as_py()), gram, cache)) for t in batch.column("text")]
-            sizes = np.fromiter((len(r) for r in rows), dtype=np.int64, count=len(rows))
-            at = pa.array(np.repeat(np.arange(len(rows)), sizes))
-            grams = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-            for lo in range(0, len(grams), 500_000):
-                part = at.slice(lo, 500_000)
+            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = numbers.hashes([text])[0]
+                grams, at, gapped = item_grams_of(h, gram)
+                body = xxhash.xxh64_intdigest(h.tobytes()) >> 1
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(part), batch.column("page").take(part),
-                     pa.array(grams[lo : lo + 500_000])],
-                    names=["doc_id", "page", "h"],
+                    [pa.array([i] * len(grams), pa.int64()), pa.array(at, pa.int32()), pa.array(gapped), pa.array(grams),
+                     pa.array([body] * len(grams), pa.int64()), pa.array([len(h)] * len(grams), pa.int32())],
+                    names=["item_id", "pos", "gapped", "h", "body", "n_words"],
                 )
 
-    def item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = words(text)
-                h = ngram_hashes(tokens, gram)
-                body = xxhash.xxh64_intdigest(" ".join(tokens)) >> 1
-                yield pa.RecordBatch.from_pydict(
-                    {"item_id": pa.array([i] * len(h), pa.int64()), "pos": pa.array(np.arange(len(h)), pa.int32()),
-                     "h": pa.array(h, pa.int64()), "body": pa.array([body] * len(h), pa.int64())}
-                )
+    grams_of_items = checkpoint(
+        tests.mapInArrow(item_grams, "item_id long, pos int, gapped boolean, h long, body long, n_words int")
+    )
+    wanted = grams_of_items.select("h").distinct()
+    small = grams_of_items.count() <= max_broadcast_grams  # then the items' words are bounded too
+    short = sorted(r[0] for r in grams_of_items.filter(F.col("n_words") < gram).select("n_words").distinct().collect())
+    known = np.sort(wanted.toArrow().column("h").to_numpy()) if small else None
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def doc_grams(batches: Batches) -> Batches:
+        numbers = WordNumbers()
+        mask = (1 << 20) - 1
+        if shared.value is not None:
+            may = np.zeros(mask + 1, dtype=bool)
+            may[shared.value & mask] = True
+        for batch in (part for b in batches for part in _parts(b)):
+            h, doc = numbers.hashes(batch.column("text").to_pylist())
+            first = np.searchsorted(doc, np.arange(batch.num_rows))
+            for size, gapped in [(gram, False), (gram, True), *((n, False) for n in short)]:
+                grams, at = gram_hashes(h, doc, size, gapped)
+                if shared.value is not None:
+                    maybe = np.flatnonzero(may[grams & mask])
+                    maybe = maybe[np.isin(grams[maybe], shared.value)]
+                    grams, at = grams[maybe], at[maybe]
+                for lo in range(0, len(grams), 500_000):
+                    place = at[lo : lo + 500_000]
+                    row = pa.array(doc[place])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(row), batch.column("page").take(row),
+                         pa.array((place - first[doc[place]]).astype(np.int32)), pa.array(grams[lo : lo + 500_000])],
+                        names=["doc_id", "page", "pos", "h"],
+                    )
 
-    grams_of_items = tests.mapInArrow(item_grams, "item_id long, pos int, h long, body long")
-    grams_of_items = checkpoint(grams_of_items)
-    wanted = broadcast_if_small(grams_of_items.select("h").distinct(), max_broadcast_grams)
-    hits = docs.mapInArrow(doc_grams, "doc_id long, page long, h long").join(wanted, "h", "left_semi")
-    hits = checkpoint(hits)
+    hits = docs.mapInArrow(doc_grams, "doc_id long, page long, pos int, h long")
+    hits = checkpoint(hits if small else hits.join(wanted, "h", "left_semi").select("doc_id", "page", "pos", "h"))
     pages = docs.select("page").distinct().count()
     limit = stock_share * pages
     spread = hits.groupBy("h").agg(F.countDistinct("page").alias("pages"))
-    shared = grams_of_items.groupBy("h").agg(F.countDistinct("body").alias("texts"))
+    texts = grams_of_items.groupBy("h").agg(F.countDistinct("body").alias("texts"))
     of_item = (
-        grams_of_items.join(spread, "h", "left").join(shared, "h")
-        .groupBy("item_id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "h", F.coalesce("pages", F.lit(0)).alias("pages"), "texts"))).alias("grams"))
+        grams_of_items.join(spread, "h", "left").join(texts, "h")
+        .groupBy("item_id", "n_words")
+        .agg(F.sort_array(F.collect_list(
+            F.struct("gapped", "pos", "h", F.coalesce("pages", F.lit(0)).alias("pages"), "texts")
+        )).alias("grams"))
     )
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Batches) -> Batches:
         for batch in batches:
             out: list[tuple] = []
-            for i, row in zip(batch.column("item_id").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-                stock = stock_positions(
-                    np.array([g["pages"] for g in row]), np.array([g["texts"] for g in row]), limit, gram, stock_items, min_share
-                )
-                seeds = [g["h"] for g, off in zip(row, stock, strict=True) if g["pages"] and not off]
-                out.append((i, np.flatnonzero(stock).tolist(), seeds))
+            for i, n, row in zip(*(batch.column(c).to_pylist() for c in ("item_id", "n_words", "grams")), strict=True):
+                seeds: list[int] = []
+                stock_at: set[int] = set()
+                for gapped in (False, True):
+                    part = [g for g in row if g["gapped"] == gapped]
+                    if not part:
+                        continue
+                    stock = stock_positions(
+                        np.array([g["pages"] for g in part]), np.array([g["texts"] for g in part]), limit,
+                        min(gram, n), stock_items, min_share,
+                    )
+                    if not gapped:
+                        stock_at = {g["pos"] for g, off in zip(part, stock, strict=True) if off}
+                    seeds += [g["h"] for g, off in zip(part, stock, strict=True)
+                              if g["pages"] and not off and g["pos"] not in stock_at]
+                out.append((i, n, sorted(stock_at), seeds))
             if out:
-                i, pos, seeds = zip(*out, strict=True)
+                i, n, at, seeds = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(i, pa.int64()), pa.array(pos, pa.list_(pa.int32())), pa.array(seeds, pa.list_(pa.int64()))],
-                    names=["item_id", "stock_pos", "seeds"],
+                    [pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int32())),
+                     pa.array(seeds, pa.list_(pa.int64()))],
+                    names=["item_id", "n_words", "stock_pos", "seeds"],
                 )
 
-    judged = checkpoint(of_item.mapInArrow(judge, "item_id long, stock_pos array<int>, seeds array<long>"))
-    seeds = judged.select("item_id", F.explode("seeds").alias("h")).distinct()
+    judged = checkpoint(of_item.mapInArrow(judge, "item_id long, n_words int, stock_pos array<int>, seeds array<long>"))
+    seeds = judged.select("item_id", "n_words", F.explode("seeds").alias("h")).distinct()
+    if small:
+        seeds = F.broadcast(seeds)
     candidates = checkpoint(
-        hits.join(broadcast_if_small(seeds, max_broadcast_grams), "h").select("doc_id", "item_id").distinct()
+        hits.select("doc_id", "pos", "h").distinct().join(seeds, "h")
+        .groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "n_words", "pos")).alias("at"))
     )
-    passages = tests.withColumnRenamed("text", "item").join(judged.select("item_id", "stock_pos"), "item_id", "left")
     # texts of documents without a candidate are never shuffled
-    pairs = (
-        docs.select("doc_id", "text").join(broadcast_if_small(candidates, max_broadcast_pairs), "doc_id")
-        .join(passages, "item_id").select("doc_id", "item_id", "item", "stock_pos", "text")
-        .repartition("doc_id").sortWithinPartitions("doc_id")
+    ids = candidates.select("doc_id")
+    around = (
+        docs.select("doc_id", "text").join(broadcast_if_small(ids, max_broadcast_ids), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id", "text"]).join(candidates, "doc_id")
     )
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, number, doc = None, {}, np.zeros(0, dtype=np.int64)
-        for batch in batches:
+    def cut_windows(batches: Batches) -> Batches:
+        numbers = WordNumbers()
+        for batch in (part for b in batches for part in _parts(b, 200)):
+            h, doc = numbers.hashes(batch.column("text").to_pylist())
+            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             out: list[tuple] = []
-            for d, i, item, stock_pos, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if d != last:
-                    number = {}
-                    doc = np.array([number.setdefault(w, len(number)) for w in words(text)], dtype=np.int64)
-                    last = d
-                tokens = words(item)
-                keep = np.ones(len(tokens), dtype=bool)
-                for p in stock_pos or ():
-                    keep[p : p + gram] = False
-                rest = np.array([number.get(w, -1) for w, k in zip(tokens, keep, strict=True) if k], dtype=np.int64)
-                if alignment_score(rest, doc) < 0.2 * max(len(rest), 1):
-                    continue
-                _, covered, matched = local_alignment(rest, doc)
-                if covered >= min_share * len(rest) and matched >= 0.7 * covered:
-                    out.append((d, i, covered, matched, len(rest)))
+            for k, (d, at) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                own = (h[first[k] : first[k + 1]] & 0x7FFFFFFF).astype(np.int32)
+                by_item: dict[tuple[int, int], list[int]] = {}
+                for hit in at:
+                    by_item.setdefault((hit["item_id"], hit["n_words"]), []).append(hit["pos"])
+                for (i, n), spots in by_item.items():
+                    out += [(d, i, own[a:b]) for a, b in windows_of(np.sort(spots), 2 * n + gram, len(own))]
             if out:
+                d, i, own = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*out, strict=True)],
+                    [pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(own, pa.list_(pa.int32()))],
+                    names=["doc_id", "item_id", "around"],
+                )
+
+    def passages_of(batches: Batches) -> Batches:
+        numbers = WordNumbers()
+        for batch in batches:
+            out = []
+            for text, stock_at in zip(batch.column("text").to_pylist(), batch.column("stock_pos").to_pylist(), strict=True):
+                h = numbers.hashes([text])[0]
+                keep = np.ones(len(h), dtype=bool)
+                for p in stock_at or ():
+                    keep[p : p + gram] = False
+                out.append((h[keep] & 0x7FFFFFFF).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id"), pa.array(out, pa.list_(pa.int32()))], names=["item_id", "passage"]
+            )
+
+    passages = tests.join(judged.select("item_id", "stock_pos"), "item_id").mapInArrow(
+        passages_of, "item_id long, passage array<int>"
+    )
+    windows = around.mapInArrow(cut_windows, "doc_id long, item_id long, around array<int>").repartition("doc_id", "item_id")
+    pairs = windows.join(F.broadcast(passages) if small else passages, "item_id").select("doc_id", "item_id", "passage", "around")
+
+    def align(batches: Batches) -> Batches:
+        for batch in (part for b in batches for part in _parts(b)):
+            items_ = _lists(batch.column("passage"))
+            docs_ = _lists(batch.column("around"))
+            n = np.array([len(x) for x in items_], dtype=np.int64)
+            found = align_pairs(items_, docs_, 0.2 * np.maximum(n, 1))
+            hit = np.flatnonzero(
+                (found[:, 0] > 0) & (found[:, 1] >= min_share * n) & (found[:, 2] >= 0.7 * found[:, 1])
+            )
+            if len(hit):
+                at = pa.array(hit)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(at), batch.column("item_id").take(at), pa.array(found[hit, 1]),
+                     pa.array(found[hit, 2]), pa.array(n[hit])],
                     names=["doc_id", "item_id", "covered_words", "matched_words", "item_words"],
                 )
 
-    return pairs.mapInArrow(
+    found = pairs.mapInArrow(
         align, "doc_id long, item_id long, covered_words long, matched_words long, item_words long"
-    ).dropDuplicates(["doc_id", "item_id"])
+    )
+    best = F.max(F.struct("covered_words", "matched_words", "item_words")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Batches:
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column without nulls as arrays."""
+    flat = column.flatten().to_numpy()
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return [flat[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]

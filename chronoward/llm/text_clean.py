@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 
+import numpy as np
+import xxhash
+
 # a comment or reference that is not closed before the next one opens loses its tag only
 _COMMENT = re.compile(r"<!--((?:(?!<!--).)*?)-->", re.S)
 _EMPTY_REFERENCE = re.compile(r"<ref\b[^<>]*/>", re.I)
@@ -16,8 +19,6 @@ _PARAMETER = re.compile(r"\{\{\{[^|{}]*\|?")
 _TEMPLATE = re.compile(r"\{\{[^|{}]*\|?(?:text=)?")
 _LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _URL_LINK = re.compile(r"\[\s*(?:https?|ftp)://\S+\s*([^\]]*)\]")
-_TARGET = re.compile(r"\[\[([^\[\]|]*)\|")
-_URL_TARGET = re.compile(r"\[\s*(?:https?|ftp)://(\S+)")
 _QUOTES = re.compile(r"'{2,}")
 #: Invisible characters (soft hyphen, zero-width and direction marks, joiners, BOM).
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
@@ -49,33 +50,64 @@ def plain_text(text: str) -> str:
     return out if out.isascii() else _INVISIBLE.sub("", out)
 
 
-def hidden_texts(text: str) -> list[str]:
-    """What :func:`plain_text` leaves out: inner text of comments and references, link targets, templates' names.
-
-    Without markup; links and templates inside comments and references count too.
-    """
-    parts: list[str] = []
-    rest = text
-    if "<" in rest:
-        parts += _COMMENT.findall(rest)
-        rest = _EMPTY_REFERENCE.sub("", _COMMENT.sub("", rest).replace("<!--", ""))
-        parts += _REFERENCE.findall(rest)
-    whole = [rest, *parts]
-    for part in whole:
-        if "{{" in part:
-            parts += (m.group(0).strip("{}|") for m in _CITATION.finditer(part))
-            parts += (m.group(0).strip("{}|") for m in _PARAMETER.finditer(part))
-            parts += (m.group(0).strip("{}|") for m in _TEMPLATE.finditer(part))
-        if "[" in part:
-            parts += _TARGET.findall(part)
-            parts += _URL_TARGET.findall(part)
-    plain = (plain_text(x).strip() for x in parts)
-    return [x for x in plain if x]
-
-
 def words(text: str | None) -> list[str]:
     """Lower-case words of the plain text; none for null."""
     if not text:
         return []
     plain = plain_text(text).lower()
     return (_WORD if "'" in plain or "’" in plain else _PLAIN_WORD).findall(plain)
+
+
+#: Signs between words (the others are looked at one word at a time).
+_BETWEEN = "[]|<>{}=().,;:/\"#?!*+-_&%~^\\`@$"
+_BETWEEN_WIDE = "“”„«»‹›–—…·•‘¡¿"
+
+
+class WordNumbers:
+    """64-bit hashes of the :func:`words` of many texts, each spelling looked at once."""
+
+    LIMIT = 400_000
+
+    def __init__(self) -> None:
+        self._number: dict[str, int] = {}
+        self._new: list[int] = []
+        self._table = np.zeros(0, dtype=np.int64)
+
+    def _of(self, token: str) -> int:
+        """Number of a token of one word; -1 if it holds none, -2 if it holds several."""
+        found = (_WORD if "'" in token or "’" in token else _PLAIN_WORD).findall(token)
+        number = len(self._table) + len(self._new) if len(found) == 1 else -1 if not found else -2
+        if number >= 0:
+            self._new.append(xxhash.xxh64_intdigest(found[0]) - (1 << 63))
+        self._number[token] = number
+        return number
+
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
+        get = self._number.get
+        return np.array([n if (n := get(t)) is not None else self._of(t) for t in tokens], dtype=np.int64)
+
+    def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words in order, text of each word); null texts have no words."""
+        if len(self._number) > self.LIMIT:
+            self._number, self._table = {}, self._table[:0]
+        parts: list[np.ndarray] = []
+        for text in texts:
+            if not text:
+                parts.append(np.zeros(0, dtype=np.int64))
+                continue
+            plain = plain_text(text).lower()
+            for sign in _BETWEEN:
+                plain = plain.replace(sign, " ")
+            if not plain.isascii():
+                for sign in _BETWEEN_WIDE:
+                    plain = plain.replace(sign, " ")
+            tokens = plain.split()
+            numbers = self._numbers(tokens)
+            if (numbers == -2).any():
+                numbers = self._numbers([w for t in tokens for w in (_WORD if "'" in t or "’" in t else _PLAIN_WORD).findall(t)])
+            parts.append(numbers[numbers >= 0])
+        if self._new:
+            self._table = np.concatenate([self._table, np.array(self._new, dtype=np.int64)])
+            self._new = []
+        text_of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        return self._table[np.concatenate([*parts, np.zeros(0, dtype=np.int64)])], text_of
