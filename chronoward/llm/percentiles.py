@@ -10,12 +10,14 @@ statistics are interpolated. The error is zero. The counted form
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoward.operators.arrow_groups import group_starts, whole_groups
+from chronoward.operators.arrow_groups import group_starts
 from chronoward.operators.ordered_scan import Batches, partition_summaries, range_sorted, rescan
 
 
@@ -34,30 +36,70 @@ def combine_counts(counts: DataFrame, group: list[str]) -> DataFrame:
     return counts.groupBy(*group, "value").agg(F.sum("n").alias("n"))
 
 
+#: Rows (distinct values) of one group that a task may hold at a time.
+HELD_ROWS = 100_000
+
+
 def _edge_counts(batches: Batches, _) -> list[tuple[str, int]] | None:
-    """Counts of the first and the last label of a partition (one entry if they are the same)."""
-    first = last = None
-    n_first = n_last = 0
+    """Counts of the first and the last label of a partition and of labels of many rows between, in order."""
+    found: list[tuple[str, int]] = []
+    label, n, rows = None, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         starts = group_starts(table, ["label"])
         sums = np.add.reduceat(table.column("n").to_numpy(), starts)
+        sizes = np.diff(np.append(starts, batch.num_rows))
         head, tail = table.column("label").take(pa.array([starts[0], starts[-1]])).to_pylist()
-        if first is None:
-            first = last = head
-        if last == head:
-            n_last += int(sums[0])
-        else:
-            last, n_last = head, int(sums[0])
-        if last == first:
-            n_first = n_last
-        if len(starts) > 1:
-            last, n_last = tail, int(sums[-1])
-    if first is None:
-        return None
-    return [(first, n_first)] if first == last else [(first, n_first), (last, n_last)]
+        if head == label:
+            sums[0] += n
+            sizes[0] += rows
+        elif label is not None and (not found or rows >= HELD_ROWS):
+            found.append((label, n))
+        ended = np.flatnonzero(sizes[:-1] >= HELD_ROWS).tolist()
+        if not found and len(starts) > 1 and 0 not in ended:
+            ended.insert(0, 0)
+        found += [(table.column("label")[int(starts[k])].as_py(), int(sums[k])) for k in ended]
+        label, n, rows = tail, int(sums[-1]), int(sizes[-1])
+    return None if label is None else [*found, (label, n)]
+
+
+def _pieces(batches: Batches, known: dict[str, tuple[int, int]]) -> Iterator[tuple[pa.Table, np.ndarray, int]]:
+    """(table, group starts, count of the first group in earlier tables) of sorted batches.
+
+    A group whose total is ``known`` is passed on piece by piece; others (fewer than
+    :data:`HELD_ROWS` rows) are held until they are whole.
+    """
+    held: list[pa.RecordBatch] = []
+    rows, passed = 0, ("", 0)
+
+    def carried(table: pa.Table) -> int:
+        return passed[1] if table.column("label")[0].as_py() == passed[0] else 0
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < HELD_ROWS:
+            continue
+        table = pa.Table.from_batches(held)
+        starts = group_starts(table, ["label"])
+        last = table.column("label")[int(starts[-1])].as_py()
+        cut = table.num_rows if last in known else int(starts[-1])
+        if cut:
+            before = carried(table)
+            yield table.slice(0, cut), starts if last in known else starts[:-1], before
+            passed = ("", 0)
+            if last in known:
+                n = int(table.column("n").to_numpy()[starts[-1]:].sum())
+                passed = (last, n + (before if len(starts) == 1 else 0))
+            rest = table.slice(cut)
+            held, rows = rest.to_batches(), rest.num_rows
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, group_starts(table, ["label"]), carried(table)
 
 
 def percentiles_of_counts(counts: DataFrame, group: list[str], probabilities: list[float]) -> DataFrame:
@@ -74,7 +116,7 @@ def percentiles_of_counts(counts: DataFrame, group: list[str], probabilities: li
     label = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in keys])
     ordered = range_sorted(rows.withColumn("label", label), ["label", "value"])
 
-    # only the first and last group of a partition can straddle: their totals and offsets
+    # totals and offsets of the groups that straddle partitions or fill much of one
     edges = partition_summaries(ordered, _edge_counts)
     totals: dict[str, int] = {}
     straddling: dict[int, dict[str, tuple[int, int]]] = {}
@@ -87,14 +129,16 @@ def percentiles_of_counts(counts: DataFrame, group: list[str], probabilities: li
             by_name[name] = (offset, totals[name])
 
     def locate(batches: Batches, known: dict[str, tuple[int, int]] | None) -> Batches:
-        for table, starts in whole_groups(batches, ["label"]):
+        known = known or {}
+        for table, starts, passed in _pieces(batches, known):
             n = table.column("n").to_numpy()
             cumulative = np.cumsum(n)
             base = np.concatenate(([0], cumulative))[starts]
             local = np.add.reduceat(n, starts)
             names = table.column("label").take(pa.array(starts)).to_pylist()
-            spans = [(known or {}).get(name) for name in names]
+            spans = [known.get(name) for name in names]
             offset = np.array([s[0] if s else 0 for s in spans])
+            offset[0] += passed
             total = np.array([s[1] if s else x for s, x in zip(spans, local, strict=True)])
             position = probs[None, :] * (total[:, None] - 1)
             found = []
