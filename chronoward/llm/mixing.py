@@ -1,17 +1,17 @@
 """Mixture of sources to target shares of tokens.
 
 Each source's documents, in a pseudorandom order, form one token stream that is cut
-into blocks of fixed length. Every output shard draws multinomial counts per source;
-the k-th slot of a source takes the block that a pseudorandom permutation of the
-source's block numbers assigns to it, a new permutation for each repetition. Blocks
-are joined to slots by number.
+into blocks of exactly one length. The sources' slots are fixed by their shares; every
+output shard draws multinomial counts per source, conditional on those totals, so no
+slot is missing or beyond its source's cap. The k-th slot of a source takes the block
+that a pseudorandom permutation of the source's block numbers assigns to it, a new
+permutation for each repetition. Blocks are joined to slots by number.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 from chronoward.operators.ordered_scan import Batches, running_sums
 from chronoward.session import checkpoint
 
-#: Vocabulary of a public tokenizer; a parameter, never copied.
-TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-
 #: Fixed value: how the byte-level BPE splits text into pieces.
 SPLIT_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -39,7 +36,7 @@ def tokenizer(path: str):
     return tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(docs: DataFrame, path: str = TOKENIZER_PATH) -> DataFrame:
+def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """``id, source, n`` of ``docs(id, source, text)``: tokens of each whole text."""
 
     def count(batches: Batches) -> Batches:
@@ -84,30 +81,60 @@ def permuted(index: np.ndarray, size: int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _largest_draw(cap: int) -> float:
-    """Largest mean of a draw that stays under ``cap`` by four deviations."""
-    root = -2.0 + math.sqrt(4.0 + cap)
-    return root * root
+def slots_of(shares: dict[str, float], caps: dict[str, int]) -> dict[str, int]:
+    """Whole slots per source, in the given shares (of sum 1), as many as the caps allow."""
+    total = int(min((caps[s] / share for s, share in shares.items()), default=0))
+    slots = {s: min(int(total * share), caps[s]) for s, share in shares.items()}
+    for s in sorted(shares, key=lambda s: slots[s] - total * shares[s]):  # largest remainders first
+        if sum(slots.values()) < total and slots[s] < caps[s]:
+            slots[s] += 1
+    return slots
+
+
+#: Fixed value: from this many slots on a draw is rounded from the normal law (relative error under 1e-4).
+_EXACT_DRAW = 900_000_000
+
+
+def draw_without_replacement(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
+    """Counts per source of ``size`` slots out of ``left``: multinomial, given that all of ``left`` is drawn in the end."""
+    total = int(left.sum())
+    if total < _EXACT_DRAW:
+        return rng.multivariate_hypergeometric(left, size, method="marginals")
+    out = np.zeros_like(left)
+    for i in range(len(left)):
+        rest = int(left[i + 1 :].sum())
+        here = int(left[i]) + rest
+        share = left[i] / here if here else 0.0
+        deviation = math.sqrt(max(size * share * (1 - share) * (here - size) / max(here - 1, 1), 0.0))
+        out[i] = min(max(round(rng.normal(size * share, deviation)), size - rest, 0), left[i], size)
+        size -= int(out[i])
+    return out
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, block_tokens: int = 256, shard_blocks: int = 256, seed: int = 7,
-    path: str = TOKENIZER_PATH,
+    docs: DataFrame, targets: DataFrame, path: str, block_tokens: int = 256, shard_blocks: int = 256, seed: int = 7,
+    tasks: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
     """(mixture, shares) of ``docs(id, source, text)`` for ``targets(source, target_share, max_repeats)``.
 
     mixture: ``shard, slot, source, copy, block, doc_id, token_from, token_to``: the
-    pieces of documents that make up each slot's block. shares: per target source
-    ``target_share, available_tokens, used_tokens, actual_share, repeats``.
-
-    The total is the largest at which every source that has tokens meets its share
-    (shares renormalised over those sources) within ``max_repeats`` full passes, less
-    four deviations of the draw; a slot beyond the cap would be dropped, not repeated.
-    Sources without tokens or target give nothing; null source, null or empty text
-    count no tokens. ``targets`` is one row per source and is read on the driver.
+    pieces of documents that make up each slot's block of ``block_tokens`` tokens.
+    shares: per target source ``target_share, max_repeats, available_tokens,
+    used_tokens, actual_share, repeats, remainder_tokens``; the remainder are the tokens
+    (fewer than a block) at the end of a source's stream that fill no block.
+
+    ``path`` names the tokenizer's vocabulary file, on every machine. The total is the
+    largest at which every source that fills a block meets its share (shares
+    renormalised over those sources) within ``max_repeats`` full passes. Sources
+    without a block or target give nothing; null source, null or empty text count no
+    tokens; of repeated ids the row of the least source and fewest tokens counts.
+    ``targets`` is one row per source and is read on the driver.
     """
-    rows = docs.filter("id is not null and source is not null").dropDuplicates(["id"])
-    counted = token_counts(rows, path).filter("n > 0")
+    # every text is tokenised once, where it is read; texts are never shuffled
+    counted = checkpoint(token_counts(docs.filter("id is not null and source is not null"), path))
+    counted = (
+        counted.groupBy("id").agg(F.min(F.struct("source", "n")).alias("row")).select("id", "row.*").filter("n > 0")
+    )
     wanted = {
         r["source"]: (float(r["target_share"]), int(r["max_repeats"]))
         for r in targets.filter("source is not null and target_share > 0 and max_repeats > 0").collect()
@@ -118,52 +145,53 @@ def mix_sources(
     )
     spans = checkpoint(spans)
     tokens = {r["label"]: r["t"] for r in spans.groupBy("label").agg(F.sum("n").alias("t")).collect()}
-    names = sorted(tokens)
+    blocks = {s: t // block_tokens for s, t in sorted(tokens.items()) if t >= block_tokens}
+    names = list(blocks)
     share_sum = sum(wanted[s][0] for s in names)
-    blocks = {s: max(1, tokens[s] // block_tokens) for s in names}
-    share = {s: wanted[s][0] / share_sum for s in names}
-    slots_total = int(min((_largest_draw(blocks[s] * wanted[s][1]) / share[s] for s in names), default=0))
-    shards = math.ceil(slots_total / shard_blocks) if slots_total else 0
-    chances = [share[s] for s in names]
+    planned = slots_of({s: wanted[s][0] / share_sum for s in names}, {s: blocks[s] * wanted[s][1] for s in names})
+    slots_total = sum(planned.values())
+    shards = math.ceil(slots_total / shard_blocks)
     spark = docs.sparkSession
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # runs of shards, each with its counts: drawn on the driver, shard by shard inside the tasks
+    left = np.array([planned[s] for s in names], dtype=np.int64)
+    before = np.zeros_like(left)
+    rng = np.random.default_rng([seed, 0])
+    runs: list[tuple[int, int, list[int], list[int]]] = []
+    per_run = max(1, math.ceil(shards / tasks))
+    for first in range(0, shards, per_run):
+        last = min(first + per_run, shards)
+        size = min(last * shard_blocks, slots_total) - first * shard_blocks
+        drawn = draw_without_replacement(rng, left, size)
+        runs.append((first, last, drawn.tolist(), before.tolist()))
+        left, before = left - drawn, before + drawn
+
+    def fill(batches: Batches) -> Batches:
         for batch in batches:
-            out: list[tuple[int, str, int]] = []
-            for shard in batch.column("id").to_pylist():
-                size = min(shard_blocks, slots_total - shard * shard_blocks)
-                drawn = np.random.default_rng([seed, shard]).multinomial(size, chances)
-                out += [(shard, s, int(n)) for s, n in zip(names, drawn, strict=True) if n]
-            if out:
-                a, b, c = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64())],
-                    names=["shard", "label", "n"],
-                )
-
-    counts = spark.range(shards).mapInArrow(draw, "shard long, label string, n long")
-    placed = running_totals(counts, ["shard"])
-    place = {s: i for i, s in enumerate(names)}
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, label, n, before in zip(
-                *(batch.column(c).to_pylist() for c in ("shard", "label", "n", "before")), strict=True
-            ):
-                k = np.arange(before, before + n)
-                k = k[k < blocks[label] * wanted[label][1]]
-                if not len(k):
-                    continue
-                copy = k // blocks[label]
-                block = permuted(k % blocks[label], blocks[label], copy * 1009 + place[label] * 7919 + seed)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "shard": pa.array(np.full(len(k), shard)), "slot": pa.array(k - before),
-                        "source": pa.array([label] * len(k)), "copy": pa.array(copy), "block": pa.array(block),
-                    }
-                )
-
-    slots = placed.mapInArrow(expand, "shard long, slot long, source string, copy long, block long")
+            for first, last, drawn, begin in zip(*(batch.column(c).to_pylist() for c in ("first", "last", "drawn", "begin")), strict=True):
+                rest, k0 = np.array(drawn), np.array(begin)
+                rng = np.random.default_rng([seed, 1, first])
+                parts: list[tuple[np.ndarray, ...]] = []
+                for shard in range(first, last):
+                    here = draw_without_replacement(rng, rest, int(min(shard_blocks, rest.sum())))
+                    for i in np.flatnonzero(here):
+                        k = np.arange(k0[i], k0[i] + here[i])
+                        copy = k // blocks[names[i]]
+                        block = permuted(k % blocks[names[i]], blocks[names[i]], copy * 1009 + int(i) * 7919 + seed)
+                        parts.append((np.full(len(k), shard), k - k0[i] + here[:i].sum(), np.full(len(k), i), copy, block))
+                    rest, k0 = rest - here, k0 + here
+                    if parts and (len(parts) >= 1000 or shard == last - 1):
+                        at, slot, source, copies, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+                        parts = []
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(at), pa.array(slot), pa.array(names).take(pa.array(source)), pa.array(copies), pa.array(numbers)],
+                            names=["shard", "slot", "source", "copy", "block"],
+                        )
+
+    given = spark.createDataFrame(runs, "first long, last long, drawn array<long>, begin array<long>")
+    slots = given.repartition(max(1, min(len(runs), tasks)), "first").mapInArrow(
+        fill, "shard long, slot long, source string, copy long, block long"
+    )
     end = F.col("before") + F.col("n")
     size = F.lit(block_tokens)
     n_blocks = F.create_map(*[F.lit(x) for s in names for x in (s, blocks[s])])[F.col("label")] if names else F.lit(0)
@@ -176,14 +204,11 @@ def mix_sources(
                 )
             ),
         )
-        # the remainder of a stream that fills no block belongs to its last block
-        .withColumn("block", F.least(F.col("block"), n_blocks.cast("long") - 1))
-        .groupBy("label", "block", "id", "before", "n").agg(F.lit(1).alias("one"))
+        .filter(F.col("block") < n_blocks)
         .select(
             F.col("label").alias("source"), "block", F.col("id").alias("doc_id"),
             F.greatest(F.col("block") * size - F.col("before"), F.lit(0)).cast("long").alias("token_from"),
-            F.when(F.col("block") == n_blocks.cast("long") - 1, F.col("n"))
-            .otherwise(F.least((F.col("block") + 1) * size - F.col("before"), F.col("n"))).cast("long").alias("token_to"),
+            F.least((F.col("block") + 1) * size - F.col("before"), F.col("n")).cast("long").alias("token_to"),
         )
     )
     mixture = slots.join(pieces, ["source", "block"]).select(
@@ -205,7 +230,7 @@ def mix_sources(
             F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
             F.coalesce(F.col("used_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"),
             F.when(F.col("available_tokens") > 0, F.coalesce("used_tokens", F.lit(0)) / F.col("available_tokens"))
-            .otherwise(0.0).alias("repeats"),
+            .otherwise(0.0).alias("repeats"), (F.col("available_tokens") % block_tokens).alias("remainder_tokens"),
         )
     )
     return mixture, shares

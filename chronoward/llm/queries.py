@@ -172,9 +172,13 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Vocabulary of a public tokenizer; a parameter, never copied.
+TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_target").withColumn("source", canonical_source(F.col("source")))
-    return mix_sources(_documents(spark, d), targets)
+    return mix_sources(_documents(spark, d), targets, TOKENIZER_PATH)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
