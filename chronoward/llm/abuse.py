@@ -19,7 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoward.llm.abuse_features import FEATURES, Vocabulary, Weights, abuse_features, grams_of, words_of
+from chronoward.llm.abuse_features import FEATURES, Weights, abuse_features, grams_of, shared_vocabulary, words_of
 from chronoward.session import checkpoint
 
 Batches = Iterator[pa.RecordBatch]
@@ -41,12 +41,11 @@ def with_features(docs: DataFrame, extra: list[str], learned: list[Weights], use
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Batches) -> Batches:
-        vocabulary = Vocabulary()
         for batch in _pieces(batches):
+            vocabulary = shared_vocabulary()
             weights = shared.value if use else shared.value[-1]
             number = batch.column(use).to_numpy() if use else None
             values = abuse_features(batch.column("text").to_pylist(), vocabulary, weights, number)
-            vocabulary.trim()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(np.ascontiguousarray(c)) for c in values.T],
                 names=[*names, *FEATURES],
@@ -68,8 +67,8 @@ def learned_lexicons(
     """
 
     def all_grams(batches: Batches) -> Batches:
-        vocabulary = Vocabulary()
         for batch in _pieces(batches, 200):
+            vocabulary = shared_vocabulary()
             ids, doc, _ = words_of(batch.column("text").to_pylist(), vocabulary)
             hashes, at = grams_of(vocabulary.table()[ids][:, 4], doc)
             rows = np.unique(np.stack([doc[at], hashes]), axis=1) if len(hashes) else np.zeros((2, 0), dtype=np.int64)
@@ -94,9 +93,10 @@ def learned_lexicons(
     shared = labelled.sparkSession.sparkContext.broadcast(Weights(grams, np.zeros(len(grams))))
 
     def known_grams(batches: Batches) -> Batches:
-        vocabulary, known = Vocabulary(), shared.value
+        known = shared.value
         counts = np.zeros((len(known.grams), folds), dtype=np.int64)
         for batch in _pieces(batches):
+            vocabulary = shared_vocabulary()
             ids, doc, _ = words_of(batch.column("text").to_pylist(), vocabulary)
             hashes, at = grams_of(vocabulary.table()[ids][:, 4], doc)
             hit, row = known.find(hashes)
@@ -180,7 +180,7 @@ def score_abuse(
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = checkpoint(
         assembler.transform(with_features(labelled, ["label", "fold"], learned, use="fold")).select("label", "fold", "features")
-    ).coalesce(8).persist()  # a bounded sample of short vectors
+    ).coalesce(3).persist()  # a bounded sample of short vectors
     leaf = max(3, int(leaf_share * sum(counts.values())))  # verdicts are noisy: no leaf of a few of them
     gbt = GBTClassifier(
         maxIter=trees, maxDepth=depth, stepSize=0.25, minInstancesPerNode=leaf, seed=seed, featuresCol="features",

@@ -170,8 +170,8 @@ class Vocabulary(dict):
 
     def __missing__(self, token: str) -> int:
         word, bits, kinds = canonical(token)
-        letters = sum(map(str.isalpha, token))
-        upper = sum(map(str.isupper, token))
+        letters = len(token) if token.isalpha() else sum(map(str.isalpha, token))
+        upper = 0 if token.islower() else sum(map(str.isupper, token))
         h = xxhash.xxh64_intdigest(word) >> 1
         number = self[token] = len(self)
         self.rows.append((bits, kinds, letters, upper, h))
@@ -191,6 +191,15 @@ class Vocabulary(dict):
             self.rows, self.known = [], self.known[:0]
 
 
+_VOCABULARY = Vocabulary()
+
+
+def shared_vocabulary() -> Vocabulary:
+    """The words this Python worker has met in any task, bounded by :meth:`Vocabulary.trim`."""
+    _VOCABULARY.trim()
+    return _VOCABULARY
+
+
 def _closed_up(pattern: re.Pattern, text: str) -> tuple[str, int, list[str]]:
     """``text`` without matches inside a word, their number, and what their groups held."""
     inside: list[str] = []

@@ -2,15 +2,14 @@
 
 import math
 import random
-import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoward.llm import event_runs, leakage, linked_splits, mixing, nearest_time, percentiles
+from chronoward.llm import event_runs, linked_splits, mixing, nearest_time, percentiles
 from chronoward.llm import queries as q
-from chronoward.llm.text_clean import words
 from tests.oracle import connection, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -48,6 +47,33 @@ def test_percentiles_of_hot_group_with_ties(spark):
     assert quantiles(spark, [], probs) == {}
 
 
+def test_a_large_group_is_located_in_pieces(monkeypatch):
+    """A group of known total passes in constant memory, every row handled a bounded number of times."""
+    monkeypatch.setattr(percentiles, "HELD_ROWS", 1000)
+    handled, largest = 0, 0
+
+    def batches(labels):
+        for lo in range(0, len(labels), 400):
+            part = labels[lo : lo + 400]
+            yield pa.RecordBatch.from_pydict({"label": part, "n": pa.array([2] * len(part), pa.int64())})
+
+    labels = ["a"] * 30_000 + ["b", "c", "c"] + ["d"] * 800 + ["e"] * 2500
+    for _, n in percentiles._edge_counts(batches(labels), None):
+        assert n > 0
+    known = {name: (0, n) for name, n in percentiles._edge_counts(batches(labels), None)}
+    assert known == {"a": (0, 60_000), "e": (0, 5000)}
+    seen = {}
+    for table, starts, passed in percentiles._pieces(batches(labels), known):
+        handled += table.num_rows
+        largest = max(largest, table.num_rows)
+        names = table.column("label").to_pylist()
+        assert passed == seen.get(names[0], 0)
+        for name in names:
+            seen[name] = seen.get(name, 0) + 2
+    assert handled == len(labels) and largest <= 2800
+    assert seen == {"a": 60_000, "b": 2, "c": 4, "d": 1600, "e": 5000}
+
+
 def test_daily_summaries_combine(spark):
     rng = random.Random(2)
     rows = [(d, float(rng.randint(0, 50))) for d in (1, 2, 3) for _ in range(200)]
@@ -195,56 +221,6 @@ def test_nearest_ties_go_to_the_earlier(spark):
     assert [r.right_id for r in nearest_time.nearest_in_time(a, b, 5.0, cols, cols).collect()] == [4]
 
 
-# p8
-
-ITEM = ("The keeper of the northern lighthouse counted seventeen barrels of salted herring before the harbour froze and the ferry "
-        "stayed on the far shore until the spring tide carried broken ice past the wooden pier and the chapel bell rang twice.")
-STOCK = "This article about a settlement is a stub."
-
-
-def test_leaked_passages(spark):
-    w = ITEM.split()
-    changed = " ".join("zzz" if i % 6 == 5 else x for i, x in enumerate(w))
-    filler = " ".join(f"word{i}" for i in range(4000))
-    docs = [
-        (1, 1, f"== Head ==\nBefore. {ITEM} After."), (2, 2, "x " + " ".join(w[: len(w) * 6 // 10]) + " y"),
-        (3, 3, "x " + " ".join(w[: len(w) // 3]) + " y"), (4, 4, changed.upper()),
-        (5, 5, ITEM.replace("salted", "[[salt|salted]]<ref>note one two</ref>").replace(" ferry", "&nbsp;''ferry''")),
-        (6, 6, "| " + " || ".join(w) + "\n|-"), (7, 7, STOCK), (8, 8, None), (9, 9, ""), (10, None, filler + " " + ITEM),
-    ] + [(100 + i, 100 + i, f"{STOCK} place{i} has {i} houses") for i in range(40)]
-    items = [(1, ITEM + " " + STOCK), (2, None), (3, ""), (1, ITEM + " " + STOCK)]
-    d = spark.createDataFrame([(*r, "clash") for r in docs], "doc_id long, page_id long, text string, item string")
-    i = spark.createDataFrame(items, "item_id long, text string")
-    out = leakage.find_leaks(d, i, "doc_id", "page_id", "text", "item_id", "text").collect()
-    assert {(r.doc_id, r.item_id) for r in out} == {(x, 1) for x in (1, 2, 4, 5, 6, 10)}
-    assert leakage.find_leaks(d.limit(0), i, "doc_id", "page_id", "text", "item_id", "text").count() == 0
-
-
-def test_a_passage_on_many_pages_still_leaks(spark):
-    docs = [(i, i, f"page {i} {ITEM if i % 3 == 0 else 'nothing'} {STOCK} end {i}") for i in range(90)]
-    items = [(1, ITEM + " " + STOCK), (2, "Four grey herons stood in the mill race while the miller slept. " + STOCK)]
-    items += [(k, f"Item {k} holds words {k} of its own and {k} more, then closes. {STOCK}") for k in (3, 4)]
-    d = spark.createDataFrame(docs, "doc_id long, page_id long, text string")
-    i = spark.createDataFrame(items, "item_id long, text string")
-    out = leakage.find_leaks(d, i, "doc_id", "page_id", "text", "item_id", "text").collect()
-    assert {(r.doc_id, r.item_id) for r in out} == {(x, 1) for x in range(0, 90, 3)}
-
-
-def test_stock_positions():
-    one = np.ones(10, dtype=int)
-    assert not leakage.stock_positions(np.full(10, 500), one, 33, 5, 3, 0.5).any()  # one item's own passage
-    assert leakage.stock_positions(np.r_[np.full(7, 2), np.full(3, 200)], one, 33, 1, 3, 0.5).tolist() == [False] * 7 + [True] * 3
-    assert leakage.stock_positions(np.full(10, 500), np.r_[one[:8], 3, 3], 33, 5, 3, 0.5).tolist() == [False] * 8 + [True] * 2
-
-
-def test_alignment_scores():
-    a = np.arange(10)
-    assert leakage.local_alignment(a, np.r_[90, a, 91]) == (10, 10, 10)
-    assert leakage.local_alignment(a, np.array([0, 1, 2, 77, 4, 5, 6])) == (5, 7, 6)
-    assert leakage.local_alignment(a, np.array([50, 51])) == (0, 0, 0)
-    assert leakage.local_alignment(np.zeros(0, int), a) == (0, 0, 0)
-
-
 # p9
 
 def test_permutation_is_one_to_one():
@@ -258,39 +234,45 @@ def test_mixture_shares_and_caps(spark):
     docs += [(5000, "big", None), (5001, "big", ""), (5002, None, "x y"), (5003, "other", "x y"), docs[0]]
     t = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 2), ("none", 0.1, 3)], "source string, target_share double, max_repeats int")
     d = spark.createDataFrame([(*r, 1) for r in docs], "id long, source string, text string, block int")
-    mix, shares = mixing.mix_sources(d, t, block_tokens=64, shard_blocks=32)
+    mix, shares = mixing.mix_sources(d, t, q.TOKENIZER_PATH, block_tokens=64, shard_blocks=32, tasks=3)
     got = {r.source: r for r in shares.collect()}
-    assert got["none"].used_tokens == 0 and abs(got["big"].actual_share - 0.6) < 0.06
-    assert got["big"].repeats <= 1.0 and got["small"].repeats <= 2.0
     rows = mix.collect()
-    assert sum(r.token_to - r.token_from for r in rows) == sum(r.used_tokens for r in got.values())
-    n = {r.id: r.n for r in mixing.token_counts(d.filter("text is not null")).collect()}
-    seen = {}
+    slots = {(r.shard, r.slot, r.source, r.copy, r.block) for r in rows}
+    assert len({x[:2] for x in slots}) == len(slots) == len({x[2:] for x in slots})  # one block a slot, no block twice in a copy
+    assert sorted({x[:2] for x in slots}) == [(i // 32, i % 32) for i in range(len(slots))]  # no slot is missing
+    assert got["none"].used_tokens == 0 and abs(got["big"].actual_share - 0.6) < 0.01
+    assert got["big"].repeats <= 1.0 and got["small"].repeats <= 2.0
+    n_blocks = {s: got[s].available_tokens // 64 for s in ("big", "small")}
+    assert len(slots) == min(int(n_blocks["big"] / 0.6), int(2 * n_blocks["small"] / 0.4))  # all that the caps allow
+    size, used = {}, {}
+    n = {r.id: r.n for r in mixing.token_counts(d.filter("text is not null"), q.TOKENIZER_PATH).collect()}
+    seen = set()
     for r in rows:
         assert 0 <= r.token_from < r.token_to <= n[r.doc_id]
-        key = (r.source, r.block, r.copy, r.doc_id)
-        assert key not in seen
-        seen[key] = 1
-    empty_mix, empty_shares = mixing.mix_sources(d.limit(0), t)
+        assert (r.source, r.block, r.copy, r.doc_id) not in seen
+        seen.add((r.source, r.block, r.copy, r.doc_id))
+        size[r.shard, r.slot] = size.get((r.shard, r.slot), 0) + r.token_to - r.token_from
+        used[r.source] = used.get(r.source, 0) + r.token_to - r.token_from
+    assert set(size.values()) == {64}
+    assert used == {s: got[s].used_tokens for s in ("big", "small")}
+    empty_mix, empty_shares = mixing.mix_sources(d.limit(0), t, q.TOKENIZER_PATH)
     assert empty_mix.count() == 0 and {r.actual_share for r in empty_shares.collect()} == {0.0}
 
 
+def test_draws_use_up_every_total():
+    rng = np.random.default_rng(1)
+    for left in (np.array([5, 0, 17]), np.array([3_000_000_000, 1_000_000_000, 7])):
+        rest, size = left.copy(), int(left.sum()) // 4 + 1
+        while rest.sum():
+            drawn = mixing.draw_without_replacement(rng, rest, min(size, int(rest.sum())))
+            assert drawn.sum() == min(size, rest.sum()) and (drawn <= rest).all() and (drawn >= 0).all()
+            rest = rest - drawn
+    assert mixing.slots_of({"a": 0.5, "b": 0.5}, {"a": 3, "b": 10}) == {"a": 3, "b": 3}
+    assert mixing.slots_of({"a": 0.3, "b": 0.7}, {"a": 4, "b": 10}) == {"a": 4, "b": 9}
+    assert mixing.slots_of({}, {}) == {}
+
+
 def test_tokens_round_trip():
-    enc = mixing.tokenizer(mixing.TOKENIZER_PATH)
+    enc = mixing.tokenizer(q.TOKENIZER_PATH)
     for text in ("", "Ein Säugling – 3 Äpfel…", "a\n\n  b\t<|endoftext|>", "漢字 " * 50):
         assert enc.decode(enc.encode_ordinary(text)) == text
-
-
-# p10
-
-def test_words_ignore_markup():
-    assert words("'''Bo'''ld [[A b|c d]] {{cn|date=x}}&nbsp;e<ref name=\"q\">no</ref>f <!-- x --> {{{lead|g}}}") == \
-        ["bold", "c", "d", "ef", "g"]
-    assert words(None) == [] and not re.search("[A-Z]", " ".join(words("ÄB cD")))
-
-
-def test_unclosed_tags_lose_nothing_but_themselves():
-    assert words("one <ref name=a>two three <b>four</b> five") == ["one", "two", "three", "four", "five"]
-    assert words("one <ref>two three <ref>note</ref> four <ref name=x /> five") == ["one", "two", "three", "four", "five"]
-    assert words("one <!-- two three <!-- note --> four") == ["one", "two", "three", "four"]
-    assert words("one <ref>two <i>three</i> <br> four</ref> five") == ["one", "five"]
