@@ -32,13 +32,13 @@ def whole_groups(
     memory is ``min_rows`` plus one group; callers bound groups by time blocks.
     """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, enough = 0, min_rows
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= min_rows:
+        if rows >= enough:
             table = pa.Table.from_batches(held)
             starts = group_starts(table, keys)
             cut = int(starts[-1])
@@ -46,6 +46,7 @@ def whole_groups(
                 yield table.slice(0, cut), starts[:-1]
                 rest = table.slice(cut)
                 held, rows = rest.to_batches(), rest.num_rows
+            enough = max(min_rows, 2 * rows)  # a group is looked at again only when it has doubled
     if held:
         table = pa.Table.from_batches(held)
         yield table, group_starts(table, keys)

@@ -19,12 +19,14 @@ from chronoward.operators.arrow_groups import whole_groups
 
 #: Grid steps per block; a source longer than this is handled block by block.
 BLOCK_STEPS = 4096
+#: Effective support of one reading, less rounding: a step with less of its own is missing.
+_ONE_READING = 1.0 - 1e-9
 
 
 def _local_fit(
     base: np.ndarray, total: int, at: np.ndarray, position: np.ndarray, value: np.ndarray, bandwidth: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Local-line estimates and effective support on a flat grid of ``total`` cells.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local-line estimates, effective support, and that of a cell's own readings, on a flat grid of ``total`` cells.
 
     ``base``/``position``: first cell of the reading's series and its position on
     that series in steps; ``at`` holds (first, last) cell of its series.
@@ -33,6 +35,7 @@ def _local_fit(
     s0, s1, s2, ss = (np.zeros(total) for _ in range(4))
     y0, y1 = np.zeros(total), np.zeros(total)
     nearest = np.rint(position).astype(np.int64)
+    own = np.zeros(total)
     for shift in range(-reach, reach + 1):
         cell = nearest + shift
         x = position - cell
@@ -45,6 +48,9 @@ def _local_fit(
         s1 += np.bincount(index, w * x, total)
         s2 += np.bincount(index, w * x * x, total)
         ss += np.bincount(index, w * w, total)
+        if not shift:  # the readings that round to the cell
+            sums, squares = np.bincount(index, w, total), np.bincount(index, w * w, total)
+            own = np.divide(sums * sums, squares, out=own, where=squares > 0)
         y0 += np.bincount(index, w * y, total)
         y1 += np.bincount(index, w * x * y, total)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -54,7 +60,7 @@ def _local_fit(
         level = y0 / s0
     # a line needs readings at clearly different times; else the local level
     estimate = np.where((support >= 1.2) & (det > 1e-3 * s0 * s0), line, level)
-    return estimate, support
+    return estimate, support, own
 
 
 def regular_grid(
@@ -71,12 +77,15 @@ def regular_grid(
 
     ``position`` is the (fractional) time in grid steps; a reading belongs to the
     step it rounds to. Columns: the source columns, ``grid_index``, ``n_readings``
-    (usable readings of the step), ``is_missing`` (none), ``value`` (local fit, null
-    if the effective support is under ``min_support``), ``effective_support``.
+    (usable readings of the step), ``is_missing`` (the kernel's effective support from
+    within half a step is less than one reading), ``value`` (local fit, null if the
+    effective support is under ``min_support``), ``effective_support``.
 
     Rows without source or position are ignored; rows that are not ``usable`` or
     whose value is null or not finite only extend the range. Repeated rows weigh
-    more in the fit but change no mark. Empty input gives an empty result.
+    more in the fit but change no mark. A reading at an exact half step belongs to the
+    even step, and ``bandwidth`` over half a step makes every reading bear on its own
+    step. Empty input gives an empty result.
     ``only_missing`` keeps the steps without a usable reading.
     """
     keys = [f"k{i}" for i in range(len(source))]
@@ -157,16 +166,17 @@ def regular_grid(
             readings = np.bincount(index, minlength=total)
             u = np.flatnonzero(use)
             limits = np.stack([begin[seg[u]], begin[seg[u]] + width[seg[u]] - 1], axis=1)
-            estimate, support = _local_fit(begin[seg[u]], total, limits, x[u] - low[seg[u]], v[u], bandwidth)
+            estimate, support, cell_support = _local_fit(begin[seg[u]], total, limits, x[u] - low[seg[u]], v[u], bandwidth)
             cell_seg = np.repeat(np.arange(len(starts)), width)
             step = np.arange(total) - begin[cell_seg] + low[cell_seg]
-            keep = np.flatnonzero(readings == 0) if only_missing else np.arange(total)
+            missing = cell_support < _ONE_READING
+            keep = np.flatnonzero(missing) if only_missing else np.arange(total)
             source_row = pa.array(starts[cell_seg[keep]])
             weak = support[keep] < min_support
             out = {k: table.column(k).take(source_row).combine_chunks() for k in keys}
             out["grid_index"] = pa.array(step[keep], pa.int64())
             out["n_readings"] = pa.array(readings[keep], pa.int64())
-            out["is_missing"] = pa.array(readings[keep] == 0)
+            out["is_missing"] = pa.array(missing[keep])
             out["value"] = pa.array(np.where(weak, np.nan, estimate[keep]), mask=weak)
             out["effective_support"] = pa.array(support[keep])
             yield from pa.table(out).to_batches()

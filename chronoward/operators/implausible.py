@@ -1,12 +1,14 @@
 """Implausible measurements: spikes, impossible values and frozen stretches.
 
-Per source the readings of a block (a day from the source's own start, and some
-hours of its neighbours) are laid out as a profile matrix (one row per period of
-``period_slots``, one column per slot of the period). Robust principal components
-split it into a low-rank part, the source's normal behaviour, and a sparse part.
-Runs of sparse entries that leave and come back abruptly and stay brief are spikes;
-ranges and constant runs are tested separately, against how the same source usually
-behaves. Constant runs cut by a block border are stitched.
+Per source the readings of a block (a week from the source's own start, and most of a
+day of its neighbours) are laid out as profile matrices. Where a block holds several
+days, its daily profile matrix (one row per day, one column per slot of the day) is
+split by robust principal components, and the low-rank part, what the source does
+every day, is taken off. The rest is laid out in short periods (``period_slots``) and
+split again, into the low-rank local behaviour and a sparse part. Runs of sparse
+entries that leave and come back abruptly and stay brief are spikes; ranges and
+constant runs are tested separately, against how the same source usually behaves.
+Constant runs cut by a block border are stitched.
 """
 
 from __future__ import annotations
@@ -32,14 +34,17 @@ class SpikeSpec:
     serves the others. ``resting_value`` (the value a source rests at, e.g. 0 for
     a fraction) never counts as frozen. ``edge_spikes`` accepts excursions at the
     very start or end of a source, where only one side can be compared. A block of
-    ``block_seconds`` is judged with ``halo_share`` of a block on either side.
+    ``block_seconds`` is judged with ``halo_share`` of a block on either side; one that
+    spans at least ``min_days`` days has a daily profile of ``day_slots`` columns.
     """
 
     limits: dict[str, tuple[float, float, float]] = field(default_factory=dict)
     default_limits: tuple[float, float, float] = (float("-inf"), float("inf"), 0.5)
     slot_seconds: float = 60.0
     period_slots: int = 12
-    block_seconds: float = 86400.0
+    day_slots: int = 480
+    min_days: int = 4
+    block_seconds: float = 7 * 86400.0
     halo_share: float = 0.125
     spike_slots: int = 5
     spike_score: float = 5.5
@@ -129,6 +134,45 @@ def robust_low_rank(
     return residual
 
 
+def daily_profile(
+    seg: np.ndarray, time: np.ndarray, value: np.ndarray, floor: np.ndarray, spec: SpikeSpec, rounds: int = 3
+) -> np.ndarray:
+    """What each reading's source does at that time of day, beside the day's level; 0 for segments of few days.
+
+    Robust principal components of the segment's daily profile matrix (medians of the
+    readings of a cell), started from the median of each slot over the days: entries
+    far from the current fit are replaced by it before the next projection.
+    """
+    out = np.zeros(len(value))
+    day = np.floor(time / 86400.0).astype(np.int64)
+    slot = np.minimum(((time - day * 86400.0) * spec.day_slots / 86400.0).astype(np.int64), spec.day_slots - 1)
+    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    last = np.append(first[1:], len(seg))
+    for a, b in zip(first, last, strict=True):
+        if day[b - 1] - day[a] + 1 < spec.min_days:
+            continue
+        days, row = np.unique(day[a:b], return_inverse=True)
+        if len(days) < spec.min_days:
+            continue
+        cell = row * spec.day_slots + slot[a:b]
+        size = len(days) * spec.day_slots
+        order = np.argsort(cell, kind="stable")
+        middle = _segment_median(value[a:b][order], cell[order], size)
+        hole = np.bincount(cell, minlength=size) == 0
+        matrix = np.where(hole, np.nan, middle).reshape(len(days), -1)
+        rest = matrix - _row_median(matrix)[:, None]
+        fit = np.broadcast_to(_row_median(rest.T), rest.shape)  # the usual day
+        for _ in range(rounds):
+            off = np.abs(rest - fit)
+            sigma = max(1.4826 * float(np.nanmedian(off)), float(floor[seg[a]]))
+            filled = np.where(np.isnan(rest) | (off > spec.candidate_sigma * sigma), fit, rest)
+            left, strength, right = np.linalg.svd(filled, full_matrices=False)
+            rank = 2 if len(days) >= 8 else 1
+            fit = (left[:, :rank] * strength[:rank]) @ right[:rank]
+        out[a:b] = fit.ravel()[cell]
+    return out
+
+
 def _runs(same_as_previous: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First position and length of each run."""
     first = np.flatnonzero(~same_as_previous)
@@ -184,6 +228,7 @@ def score_series(
     row_new[1:] = (s[1:] != s[:-1]) | (period[1:] != period[:-1])
     row_of = np.cumsum(row_new) - 1
     row_seg = s[row_new]
+    raw, v = v, v - daily_profile(s, t, v, floor, spec)
     residual = robust_low_rank(
         row_of, slot % spec.period_slots, v, row_seg, n_seg, spec.period_slots, floor, spec.candidate_sigma
     )
@@ -201,7 +246,7 @@ def score_series(
     bounded = np.minimum(step[moved], (3.0 * usual_step + floor)[s[moved]])
     jitter = np.bincount(s[moved], bounded, n_seg) / np.maximum(np.bincount(s[moved], minlength=n_seg), 1) / 1.128
     whole = np.ones(n_seg, dtype=bool)
-    np.logical_and.at(whole, s, v == np.rint(v))
+    np.logical_and.at(whole, s, raw == np.rint(raw))
     coarse = np.where(whole & (floor >= 0.3), 0.5, 0.0)
     scale = np.maximum.reduce([sigma, jitter, floor, coarse])
     bulk = np.minimum(np.abs(residual), 2.0 * scale[s])
@@ -257,7 +302,7 @@ def score_series(
     # frozen: a run far longer than chance, given how often the source repeats otherwise;
     # spikes inside a frozen stretch do not break it
     calm = np.flatnonzero(~spike)
-    cs, cv = s[calm], v[calm]
+    cs, cv = s[calm], raw[calm]
     same = np.zeros(len(calm), dtype=bool)
     same[1:] = (cs[1:] == cs[:-1]) & (cv[1:] == cv[:-1])
     first, length = _runs(same)

@@ -28,7 +28,7 @@ READING_SPEC = SpikeSpec(limits=CHANNEL_LIMITS)
 
 #: Windows of three minutes; a fraction rests at 0.
 WINDOW_SPEC = SpikeSpec(
-    limits=FRACTION_LIMITS, slot_seconds=180.0, period_slots=12, block_seconds=3 * 86400.0,
+    limits=FRACTION_LIMITS, slot_seconds=180.0, period_slots=12,
     frozen_min_run=8, resting_value=0.0, edge_spikes=True,
 )
 
@@ -117,6 +117,25 @@ SQL = {
         select segment_id, channel_name, minute_index from a
         where (segment_id, channel_name, minute_index) not in
               (select (segment_id, channel_name, m) from g where u)""",
+    "p2_regular_series": f"""
+        with x as (select segment_id, channel_name, (minute_time - origin_seconds) / 60 x, cast(minute_value as double) v,
+                          {_USABLE} u from minute_timeline),
+             g as (select *, cast(round_even(x, 0) as bigint) m from x where isfinite(x)),
+             r as (select segment_id, channel_name, min(m) lo, max(m) hi from g group by 1, 2),
+             a as (select segment_id, channel_name, unnest(range(lo, hi + 1)) grid_index from r),
+             n as (select segment_id, channel_name, m grid_index, count(*) n from g where u group by 1, 2, 3),
+             s as (select segment_id, channel_name, m + d grid_index, x - (m + d) t, v
+                   from g, (select unnest(range(-3, 4)) d) where u and abs(x - (m + d)) < 2.5),
+             k as (select *, pow(1 - pow(abs(t) / 2.5, 3), 3) w from s),
+             f as (select segment_id, channel_name, grid_index, sum(w) s0, sum(w * t) s1, sum(w * t * t) s2,
+                          sum(w * w) ss, sum(w * v) y0, sum(w * t * v) y1 from k group by 1, 2, 3),
+             e as (select segment_id, channel_name, grid_index, s0 * s0 / ss effective_support, y0 / s0 level,
+                          s0 * s2 - s1 * s1 det, (s2 * y0 - s1 * y1) line, s0 from f)
+        select segment_id, channel_name, grid_index, coalesce(n, 0) n_readings, n is null is_missing,
+               case when effective_support >= 1.2 and det > 1e-3 * s0 * s0 then line / det
+                    when effective_support >= 1 then level end "value",
+               coalesce(effective_support, 0) effective_support
+        from a left join n using (segment_id, channel_name, grid_index) left join e using (segment_id, channel_name, grid_index)""",
     "p7_found": """
         with i as (select 'icustay' entity_kind, cast(icustay_id as varchar) entity_id,
                           epoch_us(vaso_start) s, epoch_us(vaso_end) e from vaso_interval

@@ -64,10 +64,31 @@ def test_awkward_readings(spark):
     assert flags(spark, [("a", "HR", 1, 0.0, -5.0)]) == {1: (False, True, False)}
 
 
-def test_days_of_one_source_are_judged_apart(spark):
+#: Blocks of a day instead of a week, to cut short series.
+DAY_BLOCKS = implausible.SpikeSpec(limits={"HR": (20.0, 250.0, 0.5)}, block_seconds=86400.0)
+
+
+@pytest.mark.parametrize("spec", [None, DAY_BLOCKS])
+def test_spikes_in_long_series_and_beside_midnight(spark, spec):
     v = noise(3000)
-    v[2000] = 140.0
-    assert {k for k, f in flags(spark, series(v)).items() if f[0]} == {2001}
+    for i in (1438, 1441, 2000):
+        v[i] = 140.0
+    assert {k for k, f in flags(spark, series(v), spec).items() if f[0]} == {1439, 1442, 2001}
+
+
+def test_what_a_source_does_every_day_is_normal(spark):
+    """A sharp rise of three minutes at eight each day is no spike; the same rise at another time is."""
+    rng = np.random.default_rng(9)
+    minutes = np.arange(20 * 1440)
+    v = 80.0 + 15.0 * np.sin(2 * np.pi * minutes / 1440) + rng.normal(0, 1.0, len(minutes))
+    v[(minutes % 1440 >= 480) & (minutes % 1440 < 483)] += 40.0
+    v[9 * 1440 + 1000 : 9 * 1440 + 1003] += 40.0
+    v[9 * 1440 + 2000] -= 40.0
+    rows = series(v.round(1).tolist())
+    odd = set(range(9 * 1440 + 1001, 9 * 1440 + 1004)) | {9 * 1440 + 2001}
+    assert {k for k, f in flags(spark, rows).items() if f[0]} == odd
+    without = implausible.SpikeSpec(limits={"HR": (20.0, 250.0, 0.5)}, min_days=99)
+    assert len({k for k, f in flags(spark, rows, without).items() if f[0]}) > 40  # the short profile alone takes them for spikes
 
 
 def test_frozen_runs_across_block_borders_are_stitched(spark):
@@ -77,14 +98,15 @@ def test_frozen_runs_across_block_borders_are_stitched(spark):
     long = noise(3000, 5)
     long[1430:1448] = [79.9] * 18  # around the border of the source's first day
     long[1439] = 140.0  # a spike in the run, beside the border
-    got = flags(spark, late + series(long, "n", 1))
+    got = flags(spark, late + series(long, "n", 1), DAY_BLOCKS)
     frozen = {k for k, f in got.items() if f[2]}
     assert set(range(50_051, 50_069)) <= frozen
     assert {*range(1431, 1449)} - {1440} <= frozen and got[1440] == (True, False, False)
     assert len(frozen) <= 20 + 17 + 4
     days = [80.0 + (i % 5) for i in range(1430)] + [81.5] * (4 * 1440) + [80.0 + (i % 5) for i in range(100)]
-    held = {k for k, f in flags(spark, series(days)).items() if f[2]}  # whole blocks of one value
-    assert held == set(range(1431, 1431 + 4 * 1440))
+    for spec in (DAY_BLOCKS, None):
+        held = {k for k, f in flags(spark, series(days), spec).items() if f[2]}  # whole blocks of one value
+        assert held == set(range(1431, 1431 + 4 * 1440))
 
 
 GRID = "seg string, x double, v double, ok boolean, block int, k0 int, own int"
@@ -107,6 +129,8 @@ def test_grid_marks_missing_and_fits_lines(spark):
         if 0 <= i <= 9:
             assert abs(r.value - 2.0 * i) < 1e-6
     assert got[("a", -2)].value is None or got[("a", -2)].effective_support >= 1.0
+    narrow = grid(spark, rows, bandwidth=0.75)
+    assert {k[1] for k, r in narrow.items() if r.is_missing} == missing
     only = grid(spark, rows, only_missing=True)
     assert {k[1] for k in only} == missing
 
