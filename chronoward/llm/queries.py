@@ -47,9 +47,8 @@ def p3_feature_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def residual_counts_by_day(spark: SparkSession, d: str) -> DataFrame:
     """Mergeable summary of alignment residuals per channel and arrival day."""
-    rows = table(spark, d, "minute_timeline").filter("ingested_at is not null")
     return value_counts(
-        rows, {"channel_name": F.col("channel_name"), "arrival_day": F.to_date("ingested_at").cast("string")},
+        table(spark, d, "minute_timeline"), {"channel_name": F.col("channel_name"), "arrival_day": F.to_date("ingested_at").cast("string")},
         F.col("alignment_residual_seconds"),
     )
 
@@ -101,32 +100,50 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_runs(spark, d).select("run_kind", "segment_id", "event_name", "first_minute", "last_minute").distinct()
 
 
+def _split_targets(spark: SparkSession, d: str) -> list[tuple[str, float]]:
+    return sorted((r[0], r[1]) for r in table(spark, d, "split_target").select("split_label", "proportion").collect())
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of the new split that the existing labels divide; the new label of a group is one."""
     rows = table(spark, d, "feature_cache").select(
         patient_number(F.col("patient_id")).alias("patient"), F.col("segment_id").alias("segment"),
         canonical_split(F.col("split_label")).alias("label"),
-    ).distinct()
-    p = F.when(F.col("patient").isNotNull(), F.concat(F.lit("p"), F.col("patient")))
-    s = F.when(F.col("segment").isNotNull(), F.concat(F.lit("s"), F.col("segment")))
-    rows = rows.withColumn("u", F.coalesce(s, p)).withColumn("v", F.coalesce(p, s)).filter("u is not null")
-    groups = connected_components(rows.select("u", "v").distinct())
+    ).distinct().withColumn("record", F.to_json(F.struct("patient", "segment")))
+    new = assign_splits(rows, "record", [F.col("patient").cast("string"), F.col("segment")], _split_targets(spark, d))
     return (
-        rows.join(groups, F.col("u") == F.col("node"))
-        .groupBy("component")
+        rows.join(new, "record").groupBy("group_key")
         .agg(
             F.min("patient").alias("group_subject_id"), F.min("label").alias("a"), F.max("label").alias("b"),
+            F.min("split_label").alias("new_a"), F.max("split_label").alias("new_b"),
         )
-        .filter("a <> b and group_subject_id is not null")
+        .filter("a <> b and new_a = new_b and group_subject_id is not null")
         .select("group_subject_id")
     )
 
 
 def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     """A new split label for every anchor, in the proportions of split_target."""
-    targets = [(r[0], r[1]) for r in table(spark, d, "split_target").select("split_label", "proportion").collect()]
     return assign_splits(
         table(spark, d, "feature_cache"), "anchor_id",
-        [patient_number(F.col("patient_id")).cast("string"), F.col("segment_id")], sorted(targets),
+        [patient_number(F.col("patient_id")).cast("string"), F.col("segment_id")], _split_targets(spark, d),
+    )
+
+
+def p5_split_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per new split: its target share, and the shares of groups and of anchors it got."""
+    splits = p5_splits(spark, d).groupBy("split_label").agg(
+        F.count(F.lit(1)).alias("n_anchors"), F.countDistinct("group_key").alias("n_groups")
+    )
+    total = splits.agg(F.sum("n_anchors").alias("anchors"), F.sum("n_groups").alias("groups"))
+    return (
+        table(spark, d, "split_target").join(splits, "split_label", "left").join(F.broadcast(total))
+        .select(
+            "split_label", "proportion", F.coalesce("n_anchors", F.lit(0)).alias("n_anchors"),
+            F.coalesce("n_groups", F.lit(0)).alias("n_groups"),
+            (F.coalesce("n_anchors", F.lit(0)) / F.col("anchors")).alias("anchor_share"),
+            (F.coalesce("n_groups", F.lit(0)) / F.col("groups")).alias("group_share"),
+        )
     )
 
 
@@ -222,6 +239,7 @@ QUERIES = {
     "p4_runs": p4_runs,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p5_split_shares": p5_split_shares,
     "p6_found": p6_found,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
@@ -261,6 +279,23 @@ _RUNS = """
                    union all
                    select 'episode', k, v, cast(a as bigint), cast(b as bigint), n from u)"""
 
+_SPLITS = """
+        with recursive
+             r as (select distinct anchor_id id, try_cast(regexp_replace(patient_id, '\\D', '', 'g') as bigint) p, segment_id s
+                   from feature_cache where anchor_id is not null),
+             n as (select id, '0:' || p node from r where p is not null union select id, '1:' || s from r where s is not null
+                   union select id, 'r:' || id from r where p is null and s is null),
+             e as (select distinct a.node x, b.node y from n a join n b using (id)),
+             c(x, y) as (select x, y from e union select c.x, e.y from c join e on c.y = e.x),
+             g as (select x node, min(y) group_key from c group by x),
+             t as (select split_label, proportion,
+                          sum(proportion) over (order by split_label) / sum(proportion) over () bound,
+                          row_number() over (order by split_label desc) = 1 last from split_target),
+             k as (select distinct id anchor_id, group_key,
+                          cast(('0x' || substr(md5(group_key || '#0'), 1, 8)) as bigint) / 4294967296.0 h
+                   from n join g using (node)),
+             z as (select anchor_id, group_key, min(split_label) split_label from k, t where h < bound or last group by 1, 2)"""
+
 SQL = {
     "p3_feature_percentiles": f"""
         with r as (select distinct on (anchor_id, minute_idx) {_SPLIT} split, feature_values fv, feature_mask fm
@@ -273,13 +308,13 @@ SQL = {
     "p3_residual_percentiles": f"""
         with v as (select channel_name, cast(cast(ingested_at as date) as varchar) arrival_day,
                           cast(alignment_residual_seconds as double) x
-                   from minute_timeline where isfinite(alignment_residual_seconds) and ingested_at is not null)
+                   from minute_timeline where isfinite(alignment_residual_seconds))
         select channel_name, arrival_day, cast(unnest({_PROBS}) as double) probability,
                unnest(quantile_cont(x, {_PROBS})) "value", count(*) n_values
         from v group by channel_name, arrival_day""",
     "p3_residual_combined": f"""
         with v as (select channel_name, cast(alignment_residual_seconds as double) x
-                   from minute_timeline where isfinite(alignment_residual_seconds) and ingested_at is not null)
+                   from minute_timeline where isfinite(alignment_residual_seconds))
         select channel_name, cast(unnest({_PROBS}) as double) probability,
                unnest(quantile_cont(x, {_PROBS})) "value", count(*) n_values
         from v group by channel_name""",
@@ -295,6 +330,13 @@ SQL = {
              sg as (select s, min(g) g from r join g using (p) group by s),
              l as (select sg.g, r.l from r join sg using (s) where r.l is not null)
         select g group_subject_id from l group by g having count(distinct l) > 1""",
+    "p5_splits": f"{_SPLITS} select anchor_id, group_key, split_label from z",
+    "p5_split_shares": f"""{_SPLITS},
+             m as (select split_label, count(*) n_anchors, count(distinct group_key) n_groups from z group by 1)
+        select split_label, proportion, coalesce(n_anchors, 0) n_anchors, coalesce(n_groups, 0) n_groups,
+               coalesce(n_anchors, 0) / (select sum(n_anchors) from m) anchor_share,
+               coalesce(n_groups, 0) / (select sum(n_groups) from m) group_share
+        from split_target left join m using (split_label)""",
     "p6_found": """
         with a as (select distinct subject_id_str k, segment_id id,
                           epoch_us(wfdb_segment_start_time) / 1e6 - 946684800 t from waveform_segment

@@ -183,6 +183,14 @@ def test_components_and_splits(spark):
     assert all(len({out[i][1] for i in group}) == 1 for group in got.values())
 
 
+def test_hubs_are_salted(spark):
+    edges = [(f"a{i:03d}", "hub") for i in range(200)] + [(f"a{i:03d}", f"b{i % 50}") for i in range(200)] + [("x", "y")]
+    e = spark.createDataFrame(edges, "u string, v string")
+    plain = {r.node: r.component for r in linked_splits.connected_components(e).collect()}
+    salted = {r.node: r.component for r in linked_splits.connected_components(e, hub_links=20, salts=4).collect()}
+    assert plain == salted and set(plain.values()) == {"a000", "x"}
+
+
 def test_long_chain_settles(spark):
     edges = spark.createDataFrame([(f"{i:04d}", f"{i + 1:04d}") for i in range(150)] + [("z", "z"), (None, "a")], "u string, v string")
     out = {r.node: r.component for r in linked_splits.connected_components(edges).collect()}
