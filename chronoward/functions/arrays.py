@@ -34,9 +34,20 @@ def median(arr: Column) -> Column:
     return bind(F.array_sort(arr), lambda s: (F.get(s, lower) + F.get(s, upper)) / 2.0)
 
 
+def std(arr: Column) -> Column:
+    """Population standard deviation."""
+    return F.sqrt(central_moment(arr, 2))
+
+
+def mad(arr: Column) -> Column:
+    """Median absolute deviation from the median."""
+    return bind(median(arr), lambda m: median(F.transform(arr, lambda x: F.abs(x - m))))
+
+
 def robust_scale(arr: Column) -> Column:
-    """1.4826 times the median absolute deviation."""
-    return bind(median(arr), lambda m: 1.4826 * median(F.transform(arr, lambda x: F.abs(x - m))))
+    """1.4826 times the median absolute deviation; where that vanishes the standard deviation, at least 1."""
+    scale = bind(mad(arr), lambda m: F.when(1.4826 * m > 1e-8, 1.4826 * m).otherwise(F.greatest(std(arr), F.lit(1.0))))
+    return F.coalesce(scale, F.lit(1.0))
 
 
 def differences(arr: Column) -> Column:
@@ -50,15 +61,22 @@ def share(arr: Column, test) -> Column:
     return F.when(F.size(arr) > 0, F.size(F.filter(arr, test)) / F.size(arr))
 
 
-def flatline_fraction(arr: Column, eps: float) -> Column:
-    return bind(differences(arr), lambda d: share(d, lambda x: F.abs(x) < eps))
+def flatline_fraction(arr: Column, window: int, least_std: float = 1e-4) -> Column:
+    """Share of the windows of ``window`` values (the last may be shorter) that hardly vary; 1 for no values."""
+    n = F.size(arr)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(n / F.lit(window)).cast("int") - 1, F.lit(0)))
+    flat = F.transform(starts, lambda i: std(F.slice(arr, i * window + 1, F.lit(window))) < least_std)
+    return F.when(n > 0, F.size(F.filter(flat, lambda x: x)) / F.size(flat)).otherwise(1.0)
 
 
-def extreme_fraction(arr: Column, k: float) -> Column:
-    """Share of values farther than ``k`` robust scales from the median."""
+def extreme_fraction(arr: Column, share_of_range: float = 0.01) -> Column:
+    """Share of values within ``share_of_range`` of the range of the least or greatest value; 1 without a range."""
+    low, high = F.array_min(arr), F.array_max(arr)
     return bind(
-        F.struct(median(arr).alias("m"), robust_scale(arr).alias("s")),
-        lambda b: share(arr, lambda x: F.abs(x - b["m"]) > k * b["s"]),
+        F.struct(low.alias("a"), high.alias("b")),
+        lambda r: F.when(r["b"] - r["a"] < 1e-8, 1.0).otherwise(share(
+            arr, lambda x: F.least(x - r["a"], r["b"] - x) <= F.greatest((r["b"] - r["a"]) * share_of_range, F.lit(1e-8))
+        )),
     )
 
 
@@ -87,12 +105,21 @@ def resample(arr: Column, points: int) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
 
 
-def poincare(arr: Column) -> tuple[Column, Column]:
-    """SD1 and SD2 of successive pairs (population)."""
-    head = F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0)))
-    tail = F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0)))
-    across, along = F.zip_with(tail, head, lambda a, b: a - b), F.zip_with(tail, head, lambda a, b: a + b)
-    return tuple(F.sqrt(bind(x, lambda v: central_moment(v, 2)) / 2.0) for x in (across, along))
+def poincare_axes(spread: Column, step_spread: Column) -> tuple[Column, Column]:
+    """SD1 and SD2 from the standard deviations of the values and of their successive differences."""
+    along = F.greatest(2.0 * spread * spread - 0.5 * step_spread * step_spread, F.lit(0.0))
+    return F.sqrt(F.lit(0.5)) * step_spread, F.sqrt(along)
+
+
+def poincare(arr: Column, min_pairs: int = 20) -> Column:
+    """Struct of SD1, SD2 and their ratio (null if SD2 vanishes); null for fewer than ``min_pairs`` successive pairs."""
+    both = F.struct(std(arr).alias("v"), bind(differences(arr), std).alias("d"))
+
+    def axes(b: Column) -> Column:
+        sd1, sd2 = poincare_axes(b["v"], b["d"])
+        return F.struct(sd1.alias("sd1"), sd2.alias("sd2"), F.when(sd2 > 1e-8, sd1 / sd2).alias("ratio"))
+
+    return F.when(F.size(arr) > min_pairs, bind(both, axes))
 
 
 def longest_true_run(arr: Column, test) -> Column:

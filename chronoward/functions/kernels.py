@@ -56,8 +56,14 @@ def sample_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> float:
     return float(-np.log(a / b)) if a and b else np.nan
 
 
-def dfa_alpha(x: np.ndarray, scales: tuple[int, ...] = (4, 6, 8, 11, 16)) -> float:
-    """Slope of log fluctuation against log scale of the detrended walk."""
+#: Window lengths of the fluctuation analysis and the fewest values it needs.
+DFA_SCALES, DFA_MIN_COUNT = (4, 6, 8, 10, 12, 16), 40
+
+
+def dfa_alpha(x: np.ndarray, scales: tuple[int, ...] = DFA_SCALES, min_count: int = DFA_MIN_COUNT) -> float:
+    """Slope of log fluctuation against log scale of the detrended walk; NaN for too few or constant values."""
+    if len(x) < min_count or np.std(x) < 1e-8:
+        return np.nan
     walk = np.cumsum(x - x.mean())
     sizes, flucts = [], []
     for s in scales:

@@ -20,6 +20,65 @@ def quantised(time: Column) -> Column:
     return F.rint(time * 1e6).cast("long")
 
 
+def best_key(left: DataFrame, right: DataFrame, choices: list[list[str]]) -> list[str]:
+    """The first of the key choices whose columns both sides have without nulls on the left."""
+    for keys in choices:
+        if all(k in left.columns and k in right.columns for k in keys):
+            empty = F.lit(False)
+            for k in keys:
+                empty = empty | F.col(k).isNull()
+            if left.filter(empty).isEmpty():
+                return keys
+    raise ValueError(f"no usable key among {choices}")
+
+
+def align_targets(anchors: DataFrame, targets: DataFrame, choices: list[list[str]], times: list[str] | None = None) -> DataFrame:
+    """``anchors`` with the columns of their ``targets`` row, by the best available key.
+
+    Key columns in ``times`` are compared to six decimals. The query fails for an
+    anchor without targets or a key that targets hold twice; extra targets are left out.
+    """
+    keys = best_key(anchors, targets, choices)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"_k{i}": quantised(F.col(k)) if k in (times or []) else F.col(k) for i, k in enumerate(keys)})
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    rest = [c for c in targets.columns if c not in anchors.columns]
+    right = require_unique(keyed(targets), names).select(*names, *rest, F.lit(True).alias("_hit"))
+    found = keyed(anchors).join(right, names, "left").filter(
+        F.when(F.col("_hit"), F.lit(True)).otherwise(F.raise_error(F.lit(f"anchor without targets by {keys}")).cast("boolean"))
+    )
+    return found.drop(*names, "_hit")
+
+
+def subset_by_ids(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` with a wanted id; the query fails if a wanted id has none."""
+    ids = wanted.select(key).filter(F.col(key).isNotNull()).distinct()
+    some = df.select(F.col(key).alias("_have")).distinct()
+    checked = ids.join(some, ids[key] == some["_have"], "left").filter(
+        F.when(F.col("_have").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit(f"requested {key} is missing")).cast("boolean"))
+    ).select(key)
+    return df.join(checked, key)
+
+
+def concat_columns(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two feature tables of the same keys side by side.
+
+    An error if other columns share a name; the query fails if a key is on one side
+    only or occurs twice.
+    """
+    shared = sorted((set(left.columns) & set(right.columns)) - set(keys))
+    if shared:
+        raise ValueError(f"columns in both tables: {shared}")
+    a = require_unique(left, keys).withColumn("_a", F.lit(True))
+    b = require_unique(right, keys).withColumn("_b", F.lit(True))
+    whole = a.join(b, keys, "full").filter(
+        F.when(F.col("_a") & F.col("_b"), F.lit(True)).otherwise(F.raise_error(F.lit(f"key {keys} on one side only")).cast("boolean"))
+    )
+    return whole.drop("_a", "_b")
+
+
 def future_values(
     anchors: DataFrame, source: DataFrame, keys: list[str], time: str, value: str, horizons: list[int], gap: int = 0
 ) -> DataFrame:

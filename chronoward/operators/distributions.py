@@ -7,18 +7,47 @@ from pyspark.sql import functions as F
 
 from chronoward.operators.ordered_scan import running_sums
 from chronoward.operators.quantiles import exact_quantiles, null_safe_join
+from chronoward.session import checkpoint, settled_side
+
+
+#: Quantiles of a profile.
+PROFILE_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Counts, moments (population) and exact quantiles per key; keys without values are left out."""
+    """Counts, moments (population) and exact quantiles per key; keys without values are left out.
+
+    ``n_boundary`` counts values of a magnitude of at least 0.999.
+    """
     v = F.col(value)
     agg = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
         F.skewness(v).alias("skewness"), F.kurtosis(v).alias("excess_kurtosis"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.count_if(v == 0).alias("n_zero"), F.count_if(v < 0).alias("n_negative"),
+        F.count_if(v == 0).alias("n_zero"), F.count_if(v < 0).alias("n_negative"), F.count_if(F.abs(v) >= 0.999).alias("n_boundary"),
+    )
+    return null_safe_join(agg, exact_quantiles(df, keys, value, PROFILE_QUANTILES), keys)
+
+
+def summary_of_counts(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """Counts, moments, quantiles, fences and outliers per key from rows ``keys, value, n`` (value null: no value)."""
+    v, w = F.col(value), F.when(F.col(value).isNotNull(), F.col(n))
+    mean = F.sum(v * w) / F.sum(w)
+    agg = counts.groupBy(*keys).agg(
+        F.sum(n).alias("n_total"), F.coalesce(F.sum(w), F.lit(0)).alias("n_valid"), mean.alias("mean"),
+        (F.sum(v * v * w) / F.sum(w) - mean * mean).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
     )
-    probabilities = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
-    return null_safe_join(agg, exact_quantiles(df, keys, value, probabilities), keys)
+    q = exact_quantiles(counts, keys, value, PROFILE_QUANTILES, weight=n)
+    low, high = fences(F.col("p25"), F.col("p75"))
+    x = settled_side(null_safe_join(agg, q, keys).withColumns({"lower_fence": low, "upper_fence": high}))
+    outside = null_safe_join(counts, x.select(*keys, "lower_fence", "upper_fence"), keys).filter(
+        (v < F.col("lower_fence")) | (v > F.col("upper_fence"))
+    ).groupBy(*keys).agg(F.sum(n).alias("n_outliers_iqr"))
+    return null_safe_join(x, outside, keys, "left").withColumns({
+        "n_outliers_iqr": F.coalesce("n_outliers_iqr", F.lit(0)), "coverage": F.col("n_valid") / F.col("n_total"),
+        "variance": F.greatest("variance", F.lit(0.0)), "range": F.col("max") - F.col("min"), "iqr": F.col("p75") - F.col("p25"),
+    }).withColumns({
+        "std": F.sqrt("variance"), "outlier_fraction_iqr": F.col("n_outliers_iqr") / F.col("n_valid"),
+    })
 
 
 def fences(p25: Column, p75: Column, k: float = 1.5) -> tuple[Column, Column]:
@@ -26,17 +55,25 @@ def fences(p25: Column, p75: Column, k: float = 1.5) -> tuple[Column, Column]:
     return p25 - k * (p75 - p25), p75 + k * (p75 - p25)
 
 
-def outlier_concentration(df: DataFrame, keys: list[str], entity: str, value: str) -> DataFrame:
+def outlier_concentration(df: DataFrame, keys: list[str], entity: str, value: str, top: int = 5) -> DataFrame:
     """Share of the outliers held by the top entity and the top five, per key."""
     low, high = fences(F.col("_p25"), F.col("_p75"))
-    q = exact_quantiles(df, keys, value, {"_p25": 0.25, "_p75": 0.75})
+    q = settled_side(exact_quantiles(df, keys, value, {"_p25": 0.25, "_p75": 0.75}))
     out = df.join(q, keys).filter((F.col(value) < low) | (F.col(value) > high))
-    per = out.groupBy(*keys, entity).agg(F.count(F.lit(1)).alias("c"))
-    rank = per.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), entity)))
-    return rank.groupBy(*keys).agg(
-        F.sum("c").alias("n_outliers"), F.count(F.lit(1)).alias("n_entities"),
-        (F.sum(F.when(F.col("_n") <= 1, F.col("c"))) / F.sum("c")).alias("top1_share"),
-        (F.sum(F.when(F.col("_n") <= 5, F.col("c"))) / F.sum("c")).alias("top5_share"),
+    per = checkpoint(out.groupBy(*keys, entity).agg(F.count(F.lit(1)).alias("c")))
+    # the top few per part of the entities, then of all parts: no task ranks every entity of a key
+    part = Window.partitionBy(*keys, "_part").orderBy(F.desc("c"), entity)
+    some = per.withColumn("_part", F.pmod(F.xxhash64(entity), F.lit(64))).withColumn("_n", F.row_number().over(part)).filter(
+        F.col("_n") <= top
+    )
+    rank = some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), entity))).filter(F.col("_n") <= top)
+    best = rank.groupBy(*keys).agg(
+        F.sum(F.when(F.col("_n") <= 1, F.col("c"))).alias("_one"), F.sum("c").alias("_top")
+    )
+    total = per.groupBy(*keys).agg(F.sum("c").alias("n_outliers"), F.count(F.lit(1)).alias("n_entities"))
+    return total.join(best, keys).select(
+        *keys, "n_outliers", "n_entities", (F.col("_one") / F.col("n_outliers")).alias("top1_share"),
+        (F.col("_top") / F.col("n_outliers")).alias("top5_share"),
     )
 
 
@@ -51,7 +88,7 @@ def ks_statistic(df: DataFrame, key: Column, value: Column, side: Column) -> Dat
         .agg(F.count_if(F.col("a")).alias("ca"), F.count_if(~F.col("a")).alias("cb"))
     )
     run = running_sums(levels, "g", ["v"], ["ca", "cb"])
-    totals = levels.groupBy("g").agg(F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b"))
+    totals = settled_side(run.groupBy("g").agg(F.sum("ca").alias("n_a"), F.sum("cb").alias("n_b")))
     fa = (F.col("before_ca") + F.col("ca")) / F.col("n_a")
     fb = (F.col("before_cb") + F.col("cb")) / F.col("n_b")
     return run.join(totals, "g").filter("n_a > 0 and n_b > 0").groupBy("g", "n_a", "n_b").agg(
@@ -59,25 +96,97 @@ def ks_statistic(df: DataFrame, key: Column, value: Column, side: Column) -> Dat
     )
 
 
-def drift_label(ks: Column, median_shift_iqr: Column, std_ratio: Column) -> Column:
-    """none, mild or strong drift by three measures."""
-    strong = (ks >= 0.2) | (median_shift_iqr >= 0.5) | (std_ratio >= 2.0) | (std_ratio <= 0.5)
-    mild = (ks >= 0.1) | (median_shift_iqr >= 0.25) | (std_ratio >= 1.5) | (std_ratio <= 1 / 1.5)
-    return F.when(strong, F.lit("strong")).when(mild, F.lit("mild")).otherwise(F.lit("none"))
+# Limits and names of the drift and shape labels.
+MEANINGFUL_KS, MEANINGFUL_SHIFT = 0.12, 0.5
+MILD_KS, MILD_SHIFT = 0.08, 0.25
 
 
-def shape_flags(skew: Column, kurt: Column, zero_share: Column, negative_share: Column, outlier_share: Column) -> Column:
-    """Names of the shape properties that hold, sorted, joined with ``;``."""
-    return F.concat_ws(
-        ";", F.when(kurt > 3, F.lit("heavy_tailed")), F.when(negative_share > 0, F.lit("has_negative")),
-        F.when(outlier_share > 0.05, F.lit("many_outliers")), F.when(skew > 1, F.lit("right_skewed")),
-        F.when(skew < -1, F.lit("left_skewed")), F.when(zero_share > 0.1, F.lit("zero_inflated")),
+def drift_label(ks: Column, median_shift_iqr: Column) -> Column:
+    """Drift of a sample against the training sample; null measures count as no shift, a null distance as no data."""
+    shift = F.coalesce(median_shift_iqr, F.lit(0.0))
+    return (
+        F.when(ks.isNull(), F.lit("insufficient data"))
+        .when((ks >= MEANINGFUL_KS) | (shift >= MEANINGFUL_SHIFT), F.lit("possible meaningful shift"))
+        .when((ks >= MILD_KS) | (shift >= MILD_SHIFT), F.lit("mild shift")).otherwise(F.lit("no clear shift"))
+    )
+
+
+def shape_flags(
+    skew: Column, kurt: Column, zero_share: Column, outlier_share: Column, n_outliers: Column, top5_share: Column,
+    multimodal: Column, boundary_share: Column, bounded: Column,
+) -> Column:
+    """Names of the shape properties that hold, in a fixed order, joined with ``;``.
+
+    ``bounded`` says that the value is a coefficient and lies within -1.01 and 1.01.
+    """
+    names = F.concat_ws(
+        ";", F.when(F.abs(skew) < 0.5, F.lit("approximately symmetric")).when(skew >= 0.5, F.lit("right-skewed"))
+        .when(skew <= -0.5, F.lit("left-skewed")),
+        F.when((kurt >= 3.0) | (outlier_share >= 0.05), F.lit("heavy-tailed")),
+        F.when(multimodal, F.lit("possible multimodality")), F.when(zero_share >= 0.05, F.lit("zero-inflated")),
+        F.when(bounded & (boundary_share >= 0.01), F.lit("bounded with spike at +/-1")),
+        F.when(outlier_share >= 0.01, F.lit("affected by extreme values")),
+        F.when((outlier_share >= 0.005) & (top5_share >= 0.5) & (n_outliers >= 100),
+               F.lit("train outliers concentrated in a few patients")),
+    )
+    return F.when(names == "", F.lit("roughly compact/unimodal")).otherwise(names)
+
+
+def multimodal(df: DataFrame, keys: list[str], value: str, least: int = 200, min_bins: int = 15) -> DataFrame:
+    """``keys..., is_multimodal``: do two clear peaks of the histogram have a valley between them?
+
+    Values between the 1st and 99th percentile are counted in equal bins of the
+    Freedman-Diaconis width (twice the interquartile range over the cube root of their
+    number). Counts are smoothed over three bins; peaks of at least a quarter of the
+    highest, three or more bins apart, need a valley of at most three quarters of the
+    smaller one. Fewer than ``least`` values or ``min_bins`` bins are not multimodal.
+    """
+    v = F.col(value)
+    rows = df.filter(v.isNotNull())
+    cut = settled_side(exact_quantiles(rows, keys, value, {"_a": 0.01, "_b": 0.99}))
+    inner = rows.join(cut, keys).filter(v.between(F.col("_a"), F.col("_b"))).select(*keys, v.alias(value))
+    spans = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = 2.0 * (F.col("_p75") - F.col("_p25")) / F.cbrt("_n")
+    bins = F.when(width > 0, F.greatest(F.ceil((F.col("_hi") - F.col("_lo")) / width), F.lit(1))).otherwise(1).cast("long")
+    spans = settled_side(
+        spans.join(exact_quantiles(inner, keys, value, {"_p25": 0.25, "_p75": 0.75}), keys).withColumn("_bins", bins)
+    )
+    place = F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_bins")).cast("long"), F.col("_bins") - 1)
+    enough = spans.filter((F.col("_n") >= least) & (F.col("_bins") >= min_bins))
+    counted = inner.join(enough, keys).groupBy(*keys, "_bins", place.alias("_i")).agg(F.count(F.lit(1)).alias("_c"))
+    bins_of = counted.groupBy(*keys, "_bins").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_c"))).alias("_m"))
+    n_bins = F.col("_bins").cast("int")
+
+    def count_at(i: Column) -> Column:
+        return F.coalesce(F.try_element_at("_m", i.cast("long")), F.lit(0))
+
+    smooth = F.transform(F.sequence(F.lit(0), n_bins - 1), lambda i: (count_at(i - 1) + count_at(i) + count_at(i + 1)) / 3.0)
+    x = bins_of.withColumn("_s", smooth).withColumn("_top", F.array_max("_s"))
+
+    def s(i: Column) -> Column:
+        return F.get("_s", i)
+
+    peaks = F.filter(
+        F.sequence(F.lit(2), n_bins - 3),
+        lambda i: (s(i) > s(i - 1)) & (s(i) >= s(i + 1)) & (s(i) >= 0.25 * F.col("_top")),
+    )
+    x = x.withColumn("_p", peaks)
+    clear = F.exists(
+        F.sequence(F.lit(0), F.size("_p") - 2),
+        lambda k: (F.get("_p", k + 1) - F.get("_p", k) >= 3) & (
+            F.array_min(F.slice("_s", F.get("_p", k) + 1, F.get("_p", k + 1) - F.get("_p", k) + 1))
+            <= 0.75 * F.least(s(F.get("_p", k)), s(F.get("_p", k + 1)))
+        ),
+    )
+    found = x.select(*keys, F.when(F.size("_p") >= 2, clear).otherwise(False).alias("is_multimodal"))
+    return rows.select(*keys).distinct().join(found, keys, "left").select(
+        *keys, F.coalesce("is_multimodal", F.lit(False)).alias("is_multimodal")
     )
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """``keys..., bin, n``: equal-width counts between each key's least and greatest value."""
-    span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    span = settled_side(df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")))
     x = df.filter(F.col(value).isNotNull()).join(span, keys)
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))).otherwise(0)

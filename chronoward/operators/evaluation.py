@@ -6,10 +6,11 @@ before anything is resampled or ranked.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoward.operators.ordered_scan import running_sums
+from chronoward.operators.ordered_scan import running_maximum, running_sums
+from chronoward.session import settled_side
 
 
 def regression_sums(y: Column, p: Column) -> list[Column]:
@@ -66,7 +67,7 @@ def ranking_metrics(levels: DataFrame, sensitivity: float = 0.85) -> DataFrame:
 
     AUROC and AUPRC are null without both kinds of labels.
     """
-    totals = levels.groupBy("g").agg(F.sum("pos").alias("m"), F.sum("neg").alias("n"))
+    totals = settled_side(levels.groupBy("g").agg(F.sum("pos").alias("m"), F.sum("neg").alias("n")))
     x = levels.join(totals, "g")
     tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
     below = F.col("n") - F.col("before_neg") - F.col("neg")
@@ -95,8 +96,27 @@ def _components(df: DataFrame, label: Column, score: Column, name: str) -> DataF
     )
 
 
+#: Fixed value: 97.5 % quantile of the normal law.
+Z_95 = 1.959963984540054
+#: Coefficients of the rational approximation of erfc (Abramowitz and Stegun 7.1.26).
+ERFC_P, ERFC_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def two_sided_p(z: Column) -> Column:
+    """Probability of a normal deviate at least as large as ``z`` in magnitude."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1.0 / (1.0 + ERFC_P * x)
+    poly = F.lit(0.0)
+    for a in reversed(ERFC_A):
+        poly = (poly + a) * t
+    return poly * F.exp(-x * x)
+
+
 def delong(df: DataFrame, label: Column, score_a: Column, score_b: Column) -> DataFrame:
-    """``auc_a, auc_b, difference, variance, z`` of two correlated AUROCs on the same rows."""
+    """Two correlated AUROCs on the same rows: ``auc_a, auc_b, difference, variance, z, p_value, ci_low, ci_high``.
+
+    The two-sided p of the normal law is approximated to 1.5e-7, the interval covers 95 %.
+    """
     rows = df.select(label.cast("boolean").alias("y"), score_a.cast("double").alias("a"), score_b.cast("double").alias("b"))
     rows = rows.filter("y is not null and a is not null and b is not null")
     x = rows.join(_components(rows, F.col("y"), F.col("a"), "a"), "a").join(
@@ -113,16 +133,24 @@ def delong(df: DataFrame, label: Column, score_a: Column, score_b: Column) -> Da
     return one.select(
         "auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("difference"), "variance",
         F.try_divide(F.col("auc_a") - F.col("auc_b"), F.sqrt("variance")).alias("z"),
+    ).select(
+        "*", two_sided_p(F.col("z")).alias("p_value"),
+        (F.col("difference") - Z_95 * F.sqrt("variance")).alias("ci_low"), (F.col("difference") + Z_95 * F.sqrt("variance")).alias("ci_high"),
     )
 
 
 def holm(pvalues: DataFrame, family: list[str], name: str, p: str) -> DataFrame:
-    """``pvalues`` plus ``adjusted``: Holm's step-down within each family (a family is a list of tests)."""
-    w = Window.partitionBy(*family).orderBy(p, name)
-    k = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    step = pvalues.withColumn("_x", F.col(p) * (k - F.row_number().over(w) + 1))
-    top = F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return step.withColumn("adjusted", F.least(top, F.lit(1.0))).drop("_x")
+    """``pvalues`` plus ``adjusted``: Holm's step-down within each family; ties by name.
+
+    Ranks and the running maximum come from range sorts, so a family may be of any size.
+    """
+    label = F.concat_ws("\u0001", F.lit("f"), *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in family])
+    rows = pvalues.withColumns({"_f": label, "_p": F.col(p).cast("double"), "_one": F.lit(1).cast("long")}).filter("_p is not null")
+    ranked = running_sums(rows, "_f", ["_p", name], ["_one"])
+    size = settled_side(ranked.groupBy("_f").agg(F.count(F.lit(1)).alias("_k")))
+    step = ranked.join(size, "_f").withColumn("_x", F.col("_p") * (F.col("_k") - F.col("before__one")))
+    out = running_maximum(step, "_f", ["_p", name], "_x")
+    return out.withColumn("adjusted", F.least("greatest", F.lit(1.0))).select(*pvalues.columns, "adjusted")
 
 
 def bland_altman(y: Column, p: Column) -> list[Column]:
@@ -135,6 +163,53 @@ def bland_altman(y: Column, p: Column) -> list[Column]:
     ]
 
 
+def within_limits(df: DataFrame, keys: list[str], y: Column, p: Column) -> DataFrame:
+    """:func:`bland_altman` per key plus ``coverage``, the share of rows within the limits."""
+    limits = settled_side(df.groupBy(*keys).agg(*bland_altman(y, p)))
+    inside = (p - y).between(F.col("loa_low"), F.col("loa_high")).cast("double")
+    cover = df.join(limits.select(*keys, "loa_low", "loa_high"), keys).groupBy(*keys).agg(F.avg(inside).alias("coverage"))
+    return limits.join(cover, keys)
+
+
+def align_predictions(a: DataFrame, b: DataFrame, keys: list[str], label: str, strict: bool = False) -> DataFrame:
+    """Rows of two models with the same sample: ``keys, label`` and both models' other columns with ``_a``/``_b``.
+
+    Samples of one model only are left out, or with ``strict`` an error when the query
+    runs, as are samples whose labels differ or that occur twice in a model.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        return df.groupBy(*keys).agg(
+            *[F.first(c).alias(f"{c}_{name}") for c in rest], F.count(F.lit(1)).alias(f"_n_{name}")
+        )
+
+    both = side(a, "a").join(side(b, "b"), keys, "full" if strict else "inner")
+    wrong = (
+        F.when(F.col("_n_a").isNull() | F.col("_n_b").isNull(), F.lit("sample of one model only"))
+        .when((F.col("_n_a") > 1) | (F.col("_n_b") > 1), F.lit("repeated sample"))
+        .when(~F.col(f"{label}_a").eqNullSafe(F.col(f"{label}_b")), F.lit("labels differ"))
+    )
+    checked = both.filter(F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean"))) if strict else both.filter(
+        wrong.isNull()
+    )
+    rest = [c for c in checked.columns if c not in (*keys, f"{label}_a", f"{label}_b", "_n_a", "_n_b")]
+    return checked.select(*keys, F.col(f"{label}_a").alias(label), *rest)
+
+
+def prediction_audit(a: DataFrame, b: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """One row: samples of both models, of one only, repeated ones, and (of those not repeated) of differing labels."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.first(label).alias(f"l{name}"), F.count(F.lit(1)).alias(f"n{name}"))
+
+    x = side(a, "a").join(side(b, "b"), keys, "full")
+    both = F.col("na").isNotNull() & F.col("nb").isNotNull()
+    return x.agg(
+        F.count_if(both).alias("n_both"), F.count_if(F.col("nb").isNull()).alias("n_a_only"),
+        F.count_if(F.col("na").isNull()).alias("n_b_only"), F.count_if((F.col("na") > 1) | (F.col("nb") > 1)).alias("n_repeated"),
+        F.count_if(both & (F.col("na") == 1) & (F.col("nb") == 1) & ~F.col("la").eqNullSafe(F.col("lb"))).alias("n_labels_differ"),
+    )
+
+
 def replicate_counts(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     """``replicate, key, times``: deterministic resampling weights per replicate and cluster.
 
@@ -173,23 +248,31 @@ def bootstrap_regression(per_cluster: DataFrame, key: str, replicates: int, seed
     )
 
 
-def paired_permutation(per_cluster: DataFrame, key: str, a: str, b: str, n: str, replicates: int, seed: int = 29) -> DataFrame:
-    """Swap the two models' error sums per cluster: observed mean difference and two-sided p.
+def paired_permutation(
+    per_cluster: DataFrame, key: str, a: str, b: str, n: str, replicates: int, by: list[str] | None = None, seed: int = 29
+) -> DataFrame:
+    """Swap the two models' error sums per cluster: ``by..., observed, p_value, n_replicates``.
 
-    p = (1 + number of permuted differences at least as extreme) / (replicates + 1).
+    ``observed`` is the mean difference; the two-sided p is (1 + number of permuted
+    differences at least as extreme) / (replicates + 1), for each of ``by``.
     """
-    x = per_cluster.select(key, (F.col(a) - F.col(b)).alias("d"), F.col(n).alias("n"))
-    observed = x.agg((F.sum("d") / F.sum("n")).alias("observed"), F.sum("n").alias("total"))
+    by = by or []
+    x = per_cluster.select(*by, key, (F.col(a) - F.col(b)).alias("d"), F.col(n).alias("n"))
     coin = F.pmod(
         F.floor((F.col(key).cast("decimal(38,0)") * 1103515245 + F.col("replicate") * 12345 + seed) / 1024), F.lit(2)
     )
-    flips = x.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).groupBy("replicate").agg(
-        F.sum(F.when(coin == 0, F.col("d")).otherwise(-F.col("d"))).alias("s")
+    # replicate 0 swaps nothing: the observed difference
+    flips = x.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).groupBy(*by, "replicate").agg(
+        F.sum(F.when((coin == 0) | (F.col("replicate") == 0), F.col("d")).otherwise(-F.col("d"))).alias("s"),
+        F.sum("n").alias("total"),
     )
-    return flips.join(F.broadcast(observed)).groupBy("observed").agg(
-        ((1 + F.count_if(F.abs(F.col("s") / F.col("total")) >= F.abs(F.col("observed")) - 1e-12)) / (replicates + 1)).alias("p_value"),
-        F.count(F.lit(1)).alias("n_replicates"),
+    mean = F.col("s") / F.col("total")
+    per = flips.groupBy(*by).agg(
+        F.max(F.when(F.col("replicate") == 0, mean)).alias("observed"),
+        F.array_agg(F.when(F.col("replicate") > 0, F.abs(mean))).alias("_m"),
     )
+    extreme = F.size(F.filter("_m", lambda m: m >= F.abs(F.col("observed")) - 1e-12))
+    return per.select(*by, "observed", ((1 + extreme) / (replicates + 1)).alias("p_value"), F.size("_m").alias("n_replicates"))
 
 
 def bootstrap_ranking(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoward.operators.quantiles import exact_quantiles
 from chronoward.operators.timeline import finite
+from chronoward.session import settled_side
 
 
 def long_features(df: DataFrame, keys: list[str], values: str, mask: str, names: list[str]) -> DataFrame:
@@ -34,7 +35,7 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def clip_and_scale(df: DataFrame, bounds: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``df`` plus ``scaled``: clipped to ``lo``/``hi``, z-scored with ``mean``/``std``, null as 0."""
-    x = df.join(bounds, keys)
+    x = df.join(settled_side(bounds), keys)
     z = (F.least(F.greatest(F.col(value), "lo"), "hi") - F.col("mean")) / F.col("std")
     z = F.when(F.col(value).isNotNull(), z)  # greatest and least skip nulls
     return x.withColumn("scaled", F.coalesce(z, F.lit(0.0)))
@@ -51,7 +52,7 @@ def impute_normalise(long: DataFrame, train: Column, keys: list[str], value: str
         F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.count(v).alias("_n")
     )
     median = exact_quantiles(long.filter(train), keys, value, {"_median": 0.5})
-    fitted = fitted.join(median, keys, "left")
+    fitted = settled_side(fitted.join(median, keys, "left"))
     std = F.when(F.col("_std") > 1e-8, F.col("_std")).otherwise(1.0)
     filled = F.coalesce(F.col(value), F.when(F.col("_n") > 0, F.col("_median")).otherwise(0.0))
     x = long.join(fitted, keys)

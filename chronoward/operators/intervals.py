@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoward.operators.ordered_scan import running_sums
+
 
 def overlap_length(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """Length of the common part, 0 if there is none."""
@@ -66,3 +68,16 @@ def nearest_distance(left: DataFrame, right: DataFrame, reach: int) -> DataFrame
     hit = wide.join(near, ["k", "_cell"], "left").withColumn("_d", F.abs(F.col("t") - F.col("_rt")))
     names = left.columns
     return hit.groupBy("_row", *names).agg(F.min(F.when(F.col("_d") <= reach, F.col("_d"))).alias("distance")).drop("_row")
+
+
+def count_earlier(asked: DataFrame, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep..., n``: for each of ``asked(label, at, keep...)`` the rows of ``rows(label, at)`` of its label with a lesser ``at``.
+
+    One range sort of both sides with running counts; no label is joined all against all.
+    """
+    both = asked.select("label", "at", *keep, F.lit(0).cast("long").alias("one")).unionByName(
+        rows.select("label", "at", F.lit(1).cast("long").alias("one")), allowMissingColumns=True
+    )
+    # at equal times the question comes first
+    counted = running_sums(both, "label", ["at", "one"], ["one"])
+    return counted.filter("one = 0").select(*keep, F.col("before_one").alias("n"))

@@ -142,3 +142,45 @@ def running_sums(rows: DataFrame, label: str, order: list[str], columns: list[st
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
     return rescan(ordered, before, scan, schema + "".join(f", before_{c} long" for c in columns))
+
+
+def running_maximum(rows: DataFrame, label: str, order: list[str], column: str) -> DataFrame:
+    """``rows`` plus ``greatest``: the greatest ``column`` of the row and earlier ones of its ``label``.
+
+    ``label`` is a string column and ``column`` a double, both without nulls; the order
+    is total. Spread like :func:`running_sums`.
+    """
+    ordered = range_sorted(rows, [label, *order])
+
+    def walk(batch: pa.RecordBatch, state: tuple[str, float] | None) -> tuple[np.ndarray, tuple[str, float]]:
+        starts = group_starts(pa.Table.from_batches([batch]), [label])
+        values = batch.column(column).to_numpy().astype(float)
+        out = np.concatenate([np.maximum.accumulate(part) for part in np.split(values, starts[1:])])
+        if state is not None and batch.column(label)[0].as_py() == state[0]:
+            stop = starts[1] if len(starts) > 1 else len(out)
+            out[:stop] = np.maximum(out[:stop], state[1])
+        return out, (batch.column(label)[batch.num_rows - 1].as_py(), float(out[-1]))
+
+    def tail(batches: Batches, _) -> tuple[str, tuple[str, float]] | None:
+        first = state = None
+        for batch in batches:
+            if batch.num_rows:
+                first = batch.column(label)[0].as_py() if first is None else first
+                state = walk(batch, state)[1]
+        return None if first is None else (first, state)
+
+    def later(state, summary):
+        first, end = summary
+        return (end[0], max(end[1], state[1])) if state is not None and state[0] == first == end[0] else end
+
+    before = states_before(ordered, tail, later, None)
+    names = ordered.columns
+
+    def scan(batches: Batches, state) -> Batches:
+        for batch in batches:
+            if batch.num_rows:
+                out, state = walk(batch, state)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "greatest"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    return rescan(ordered, before, scan, schema + ", greatest double")

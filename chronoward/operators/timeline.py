@@ -71,9 +71,3 @@ def validity(bins: DataFrame, keys: list[str], extent: DataFrame) -> DataFrame:
         *keys, F.coalesce("n_valid", F.lit(0)).alias("n_valid"), (F.col("hi") - F.col("lo") + 1).alias("n_steps"),
         (F.coalesce("n_valid", F.lit(0)) / (F.col("hi") - F.col("lo") + 1)).alias("valid_fraction"),
     )
-
-
-def window_slots(center: Column, half: int, step: int = 1) -> Column:
-    """Slots of a window of ``2 * half`` steps given its centre (rounded, ties to even)."""
-    start = F.rint(center).cast("long") - half
-    return F.sequence(start, start + 2 * half - step, F.lit(step).cast("long"))

@@ -71,6 +71,36 @@ def key_alignment_audit(spark: SparkSession, d: str) -> DataFrame:
     return an.key_audit(left, table(spark, d, "waveform_segment").select("segment_id"), ["segment_id"])
 
 
+def _wide(spark: SparkSession, d: str, places: range, prefix: str) -> DataFrame:
+    """Mean of some features per anchor, one column each."""
+    rows = cache_rows(spark, d)
+    return rows.groupBy("anchor_id").agg(*[
+        F.round(F.avg(F.when(F.get("feature_mask", F.lit(i)), finite(F.get("feature_values", F.lit(i))))), 5).alias(f"{prefix}{NAMES[i]}")
+        for i in places
+    ])
+
+
+def combined_features(spark: SparkSession, d: str) -> DataFrame:
+    """Two feature tables of the same anchors, validated and side by side."""
+    return an.concat_columns(_wide(spark, d, range(0, 3), "a_"), _wide(spark, d, range(3, 6), "b_"), ["anchor_id"])
+
+
+def aligned_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors with the last minute's targets, by the best key both tables have."""
+    rows = cache_rows(spark, d).filter("anchor_id is not null")
+    anchors = rows.groupBy("anchor_id").agg(F.min("segment_id").alias("segment_id"))
+    targets = rows.groupBy("anchor_id").agg(
+        F.max("minute_idx").alias("last_minute"), F.count(F.lit(1)).alias("n_minutes")
+    )
+    return an.align_targets(anchors, targets, [["anchor_id", "segment_id"], ["anchor_id"]])
+
+
+def subset_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Feature rows of the anchors that lie on a full minute of their segment's first channel."""
+    wanted = table(spark, d, "feature_cache").filter("minute_idx = 19").select("anchor_id").distinct()
+    return an.subset_by_ids(cache_rows(spark, d).select("anchor_id", "minute_idx"), wanted, "anchor_id")
+
+
 def cohort_intersect(spark: SparkSession, d: str) -> DataFrame:
     """Patients with both numerics and segments."""
     a = table(spark, d, "numerics_record").select("patient_id")
@@ -192,11 +222,16 @@ def feature_quality_report(spark: SparkSession, d: str) -> DataFrame:
 
 def shard_report_merge(spark: SparkSession, d: str) -> DataFrame:
     """Per-segment reports combined to the whole, as partial aggregates combine."""
-    shard = ft.moments(long_cache(spark, d), ["feature_name", "segment_id"], "value").filter("n > 0").select(
-        "feature_name", "n", (F.col("mean") * F.col("n")).alias("s"),
+    shard = long_cache(spark, d).groupBy("feature_name", "segment_id").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("m"),
+        F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"),
     )
+    n = F.sum("n")
+    mean = F.sum(F.col("m") * F.col("n")) / n
+    second = F.sum((F.col("s") * F.col("s") + F.col("m") * F.col("m")) * F.col("n")) / n
     return shard.groupBy("feature_name").agg(
-        F.count(F.lit(1)).alias("n_shards"), F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 5).alias("mean")
+        F.count_if(F.col("n") > 0).alias("n_shards"), n.alias("n"), F.sum("missing").alias("n_missing"), F.round(mean, 5).alias("mean"),
+        F.round(F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))), 4).alias("std"), F.min("lo").alias("min"), F.max("hi").alias("max"),
     )
 
 
@@ -212,7 +247,8 @@ QUERIES = {
         anchor_grid, best_segment, future_target_center, future_target_gap, target_match_rate, anchor_semi_join,
         key_alignment_audit, cohort_intersect, cohort_dropped, dedupe_keep_first, stratified_sample_hash, grouped_batches,
         entity_split, alignment_audit, channel_moments, clip_and_zscore, impute_normalize, history_summary,
-        minute_deltas, derived_ratios, feature_quality_report, shard_report_merge, balanced_shards,
+        minute_deltas, derived_ratios, feature_quality_report, shard_report_merge, balanced_shards, combined_features,
+        aligned_targets, subset_by_ids,
     )
 }
 
@@ -316,8 +352,18 @@ SQL = {
         round(quantile_cont(v, 0.05), 5) p05, round(quantile_cont(v, 0.5), 5) p50, round(quantile_cont(v, 0.95), 5) p95,
         round(quantile_cont(v, 0.99), 5) p99, count(*) filter (where v = 0) n_zero,
         count(*) filter (where v < 0) n_negative, count(distinct v) n_distinct from lc group by 1""",
-    "shard_report_merge": f"""with {_C} select feature_name, count(distinct segment_id) n_shards, count(v) n,
-        round(avg(v), 5) mean from lc where v is not null group by 1""",
+    "shard_report_merge": f"""with {_C} select feature_name, count(distinct case when v is not null then segment_id end) n_shards,
+        count(v) n, count(*) filter (where v is null) n_missing, round(avg(v), 5) mean, round(stddev_pop(v), 4) "std",
+        min(v) "min", max(v) "max" from lc group by 1""",
+    "combined_features": f"""with {_C} select anchor_id,
+        round(avg(v) filter (where feature_name = 'map_mean'), 5) a_map_mean, round(avg(v) filter (where feature_name = 'hr_mean'), 5) a_hr_mean,
+        round(avg(v) filter (where feature_name = 'spo2_mean'), 5) a_spo2_mean, round(avg(v) filter (where feature_name = 'resp_rate'), 5) b_resp_rate,
+        round(avg(v) filter (where feature_name = 'pulse_amp'), 5) b_pulse_amp, round(avg(v) filter (where feature_name = 'hrv_power'), 5) b_hrv_power
+        from lc group by 1""",
+    "aligned_targets": f"""with {_C} select anchor_id, min(segment_id) segment_id, max(minute_idx) last_minute, count(*) n_minutes
+        from cr where anchor_id is not null group by 1""",
+    "subset_by_ids": f"""with {_C} select anchor_id, minute_idx from cr
+        where anchor_id in (select anchor_id from feature_cache where minute_idx = 19)""",
     "balanced_shards": """with w as (select segment_id, count(*) n_rows from feature_cache group by 1),
         p as (select *, row_number() over (order by n_rows desc, segment_id) - 1 i from w)
         select segment_id, n_rows, cast(case when (i // 8) % 2 = 0 then i % 8 else 7 - i % 8 end as int) shard from p""",

@@ -9,7 +9,7 @@ from chronoward.operators import episodes as ep
 from chronoward.operators import labels as lb
 from chronoward.operators import timeline as tl
 from chronoward.plans.data_quality import usable_reading
-from chronoward.session import table
+from chronoward.session import checkpoint, settled_side, table
 
 #: Event rules per channel (MAP <= 65, HR > 110, SpO2 < 90).
 RULES = {
@@ -83,12 +83,20 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _labelled(spark: SparkSession, d: str, strict: bool) -> DataFrame:
-    bins = timeline(spark, d).select(*KEYS, "minute", "event")
-    series = ep.annotated(bins, KEYS, SUSTAIN)
-    lengths = bins.groupBy(*KEYS).agg((F.max("minute") + 1).alias("length"))
+def settled_bins(spark: SparkSession, d: str) -> DataFrame:
+    """``segment_id, event_name, minute, event``, computed once for everything a query makes of it."""
+    return checkpoint(timeline(spark, d).select(*KEYS, "minute", "event"))
+
+
+def _lengths(bins: DataFrame) -> DataFrame:
+    return bins.groupBy(*KEYS).agg((F.max("minute") + 1).alias("length"))
+
+
+def _labelled(spark: SparkSession, d: str, strict: bool, bins: DataFrame | None = None) -> DataFrame:
+    bins = settled_bins(spark, d) if bins is None else bins
     return lb.onset_labels(
-        anchors(spark, d), series, lengths, KEYS, INPUT_MINUTES, HORIZONS, SUSTAIN, strict_clean=strict
+        anchors(spark, d), ep.annotated(bins, KEYS, SUSTAIN), _lengths(bins), KEYS, INPUT_MINUTES, HORIZONS, SUSTAIN,
+        strict_clean=strict,
     )
 
 
@@ -101,10 +109,10 @@ def label_onset_strict_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_fixed_gap(spark: SparkSession, d: str) -> DataFrame:
-    bins = timeline(spark, d).select(*KEYS, "minute", "event")
-    series = ep.annotated(bins, KEYS, SUSTAIN)
-    lengths = bins.groupBy(*KEYS).agg((F.max("minute") + 1).alias("length"))
-    return lb.fixed_gap_labels(anchors(spark, d), series, lengths, KEYS, INPUT_MINUTES, GAPS, SUSTAIN)
+    bins = settled_bins(spark, d)
+    return lb.fixed_gap_labels(
+        anchors(spark, d), ep.annotated(bins, KEYS, SUSTAIN), _lengths(bins), KEYS, INPUT_MINUTES, GAPS, SUSTAIN
+    )
 
 
 def label_reason_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -130,8 +138,10 @@ def cube_reason_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def legacy_anchor_horizon(spark: SparkSession, d: str) -> DataFrame:
     """Sustained event in the minutes after the input; any active event masks every label."""
-    bins = timeline(spark, d).select(*KEYS, "minute", "event")
-    a = anchors(spark, d)
+    return _legacy_labels(settled_bins(spark, d), checkpoint(anchors(spark, d)))
+
+
+def _legacy_labels(bins: DataFrame, a: DataFrame) -> DataFrame:
     active = lb.sustained_in_range(a, bins, KEYS, -INPUT_MINUTES, -1, SUSTAIN)
     stable = active.groupBy("anchor_id").agg((~F.max("has_event")).alias("stable"))
     parts = []
@@ -151,12 +161,12 @@ def legacy_anchor_horizon(spark: SparkSession, d: str) -> DataFrame:
 
 def legacy_filtered_negatives(spark: SparkSession, d: str) -> DataFrame:
     """Legacy labels; negatives dropped by segment, then by mean last onset, then by unclean outcome."""
-    bins = timeline(spark, d).select(*KEYS, "minute", "event")
-    last = ep.sustained_starts(timeline(spark, d), KEYS, SUSTAIN, collapse=True).groupBy(*KEYS).agg(
+    bins, a = settled_bins(spark, d), checkpoint(anchors(spark, d))
+    last = checkpoint(ep.sustained_starts(bins, KEYS, SUSTAIN, collapse=True).groupBy(*KEYS).agg(
         F.max("minute").alias("last_start")
-    )
-    mean = last.groupBy("event_name").agg(F.avg("last_start").alias("cutoff"))
-    base = legacy_anchor_horizon(spark, d).join(anchors(spark, d), ["anchor_id", *KEYS])
+    ))
+    mean = settled_side(last.groupBy("event_name").agg(F.avg("last_start").alias("cutoff")))
+    base = checkpoint(_legacy_labels(bins, a).join(a, ["anchor_id", *KEYS]))
     clean = (
         base.filter("label = 0")
         .withColumn("minute", F.explode(F.sequence(F.col("input_end") + F.col("horizon"),
@@ -180,27 +190,32 @@ def legacy_filtered_negatives(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _with_group(spark: SparkSession, d: str) -> DataFrame:
-    """Onset labels with the anchor's input end; the group of an anchor is its segment."""
-    return label_onset_horizon(spark, d).join(anchors(spark, d), ["anchor_id", *KEYS])
+def _with_group(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(onset labels with the anchor's input end, sustained episodes); the group of an anchor is its segment."""
+    bins = settled_bins(spark, d)
+    labels = _labelled(spark, d, strict=False, bins=bins).join(anchors(spark, d), ["anchor_id", *KEYS])
+    return labels, ep.maximal_episodes(bins, KEYS, SUSTAIN)
 
 
 def negative_filter_group(spark: SparkSession, d: str) -> DataFrame:
-    groups = sustained_episodes(spark, d).select(*KEYS).distinct()
-    out = lb.filter_negatives(_with_group(spark, d), "segment_id", groups, None, F.col("input_end"))
+    labels, episodes = _with_group(spark, d)
+    groups = episodes.select(*KEYS).distinct()
+    out = lb.filter_negatives(labels, "segment_id", groups, None, F.col("input_end"))
     return out.select("anchor_id", *KEYS, "horizon", "filtered_label", "filter_reason")
 
 
 def negative_filter_mean_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    last = sustained_episodes(spark, d).groupBy(*KEYS).agg(F.max("start").alias("s"))
-    cut = last.groupBy("event_name").agg(F.avg("s").alias("cutoff"))
-    out = lb.filter_negatives(_with_group(spark, d), "segment_id", None, cut, F.col("input_end") + F.col("horizon"))
+    labels, episodes = _with_group(spark, d)
+    last = episodes.groupBy(*KEYS).agg(F.max("start").alias("s"))
+    cut = settled_side(last.groupBy("event_name").agg(F.avg("s").alias("cutoff")))
+    out = lb.filter_negatives(labels, "segment_id", None, cut, F.col("input_end") + F.col("horizon"))
     return out.select("anchor_id", *KEYS, "horizon", "filtered_label", "filter_reason")
 
 
 def negative_filter_group_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    cut = sustained_episodes(spark, d).groupBy(*KEYS).agg(F.max("start").cast("double").alias("cutoff"))
-    out = lb.filter_negatives(_with_group(spark, d), "segment_id", None, cut, F.col("input_end"), require_onset=True)
+    labels, episodes = _with_group(spark, d)
+    cut = episodes.groupBy(*KEYS).agg(F.max("start").cast("double").alias("cutoff"))
+    out = lb.filter_negatives(labels, "segment_id", None, cut, F.col("input_end"), require_onset=True)
     return out.select("anchor_id", *KEYS, "horizon", "filtered_label", "filter_reason")
 
 
@@ -217,6 +232,23 @@ def label_invariants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def phase_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Minute medians on one grid per phase: anchors whose input starts at the same second of the minute share a grid.
+
+    ``segment_id, channel_name, phase, minute, value, n``; minute 0 of a grid begins at
+    its earliest input start, and a reading counts for each of its segment's grids.
+    """
+    start = F.col("anchor_time") - 60.0 * INPUT_MINUTES
+    grids = table(spark, d, "feature_cache").filter("anchor_time is not null").select("segment_id", start.alias("s")).distinct()
+    grids = grids.groupBy("segment_id", F.pmod(F.rint("s").cast("long"), F.lit(60)).alias("phase")).agg(F.min("s").alias("origin"))
+    rows = table(spark, d, "minute_timeline").filter(usable_reading()).select(
+        "segment_id", "channel_name", "reading_id", "minute_time", F.col("minute_value").cast("double").alias("v")
+    ).dropDuplicates(["segment_id", "channel_name", "reading_id", "minute_time"])
+    x = rows.join(grids, "segment_id").filter(F.col("minute_time") >= F.col("origin"))
+    minute = F.floor((F.col("minute_time") - F.col("origin")) / 60.0).cast("long")
+    return tl.bin_median(x, ["segment_id", "channel_name", "phase"], minute, F.col("v"))
+
+
 def overlay_last_wins(spark: SparkSession, d: str) -> DataFrame:
     """Per segment and minute, the feature windows' last listed heart rate."""
     rows = table(spark, d, "feature_cache").filter("anchor_time is not null").select(
@@ -233,7 +265,7 @@ QUERIES = {
         minute_bins, minute_validity_fraction, sustained_episodes, sustained_starts_collapsed, sustained_starts_all,
         longest_qualifying_run, label_onset_horizon, label_onset_strict_clean, label_fixed_gap, label_reason_counts,
         cube_reason_counts, legacy_anchor_horizon, legacy_filtered_negatives, negative_filter_group,
-        negative_filter_mean_cutoff, negative_filter_group_cutoff, label_invariants, overlay_last_wins,
+        negative_filter_mean_cutoff, negative_filter_group_cutoff, label_invariants, overlay_last_wins, phase_grids,
     )
 }
 
@@ -314,6 +346,13 @@ _LEGACY = f"""
            from r3 r join sb s using (anchor_id) where kind <> 'in')"""
 
 SQL = {
+    "phase_grids": """
+        with a as (select distinct segment_id, anchor_time - 600.0 s from feature_cache where anchor_time is not null),
+             g as (select segment_id, ((cast(round_even(s, 0) as bigint) % 60) + 60) % 60 phase, min(s) origin from a group by 1, 2),
+             r as (select distinct segment_id, channel_name, reading_id, minute_time, cast(minute_value as double) v from minute_timeline
+                   where coalesce(minute_valid and isfinite(minute_value) and finite_samples_per_minute > 0, false))
+        select segment_id, channel_name, phase, cast(floor((minute_time - origin) / 60) as bigint) "minute", median(v) "value", count(*) n
+        from r join g using (segment_id) where minute_time >= origin group by 1, 2, 3, 4""",
     "minute_bins": f"""with {_TL} select segment_id, channel_name, "minute", "value", n, event from tl""",
     "minute_validity_fraction": f"""
         with {_TL},

@@ -14,7 +14,7 @@ from chronoward.operators import distributions as ds
 from chronoward.operators import evaluation as ev
 from chronoward.operators.quantiles import exact_quantiles
 from chronoward.plans.anchors_features import NAMES, cache_rows, long_cache
-from chronoward.session import table
+from chronoward.session import checkpoint, table
 
 REPLICATES = 200
 
@@ -83,18 +83,29 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 def delong(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     out = ev.delong(p, F.col("label"), F.col("score_a"), F.col("score_b"))
-    return _round(out, 8, "auc_a", "auc_b", "difference", "variance").withColumn("z", F.round("z", 5))
+    out = _round(out, 8, "auc_a", "auc_b", "difference", "variance", "ci_low", "ci_high")
+    return _round(_round(out, 5, "z"), 6, "p_value")
 
 
-def _tests(spark: SparkSession, d: str) -> DataFrame:
-    """A p-like value per cluster: the share of lines where model b is nearer."""
-    return predictions(spark, d).groupBy("split", "cluster").agg(
-        F.round(F.avg((F.abs(F.col("y") - F.col("pb")) < F.abs(F.col("y") - F.col("pa"))).cast("double")) / 20.0, 9).alias("p")
+def permutation_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Paired permutation tests of both models per split, for absolute and squared errors."""
+    y, pa, pb = F.col("y"), F.col("pa"), F.col("pb")
+    sums = predictions(spark, d).groupBy("split", "cluster").agg(
+        F.sum(F.abs(y - pa)).alias("aa"), F.sum(F.abs(y - pb)).alias("ab"), F.sum((y - pa) * (y - pa)).alias("sa"),
+        F.sum((y - pb) * (y - pb)).alias("sb"), F.count(F.lit(1)).alias("n"),
     )
+    each = sums.select("split", "cluster", "n", F.explode(F.array(
+        F.struct(F.lit("mae").alias("metric"), F.col("aa").alias("a"), F.col("ab").alias("b")),
+        F.struct(F.lit("mse").alias("metric"), F.col("sa").alias("a"), F.col("sb").alias("b")),
+    )).alias("x")).select("split", "cluster", "n", "x.*")
+    out = ev.paired_permutation(each, "cluster", "a", "b", "n", REPLICATES, by=["metric", "split"])
+    return _round(_round(out, 4, "observed"), 6, "p_value")
 
 
 def holm(spark: SparkSession, d: str) -> DataFrame:
-    return _round(ev.holm(_tests(spark, d), ["split"], "cluster", "p"), 8, "adjusted")
+    """The permutation tests adjusted within each metric."""
+    x = permutation_tests(spark, d).select("metric", "split", "p_value")
+    return _round(ev.holm(x, ["metric"], "split", "p_value"), 6, "adjusted")
 
 
 def _per_cluster(spark: SparkSession, d: str) -> DataFrame:
@@ -114,8 +125,8 @@ def paired_permutation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bland_altman(spark: SparkSession, d: str) -> DataFrame:
-    x = predictions(spark, d).groupBy("split").agg(*ev.bland_altman(F.col("y"), F.col("pa")))
-    return _round(x, 5, "bias", "sd", "loa_low", "loa_high", "slope")
+    x = ev.within_limits(predictions(spark, d).select("split", "y", "pa"), ["split"], F.col("y"), F.col("pa"))
+    return _round(x, 5, "bias", "sd", "loa_low", "loa_high", "slope", "coverage")
 
 
 def paired_bland_altman(spark: SparkSession, d: str) -> DataFrame:
@@ -144,6 +155,35 @@ def best_model_per_target(spark: SparkSession, d: str) -> DataFrame:
     return best.select("split", F.col("b.model").alias("model"), F.round("b.r2", 6).alias("r2"))
 
 
+def model_win_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many splits each model is best in."""
+    return best_model_per_target(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n_wins"))
+
+
+def _model_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two models' predictions as separate tables: model a has no lines over 45 pieces, model b none under 3."""
+    p = predictions(spark, d)
+    keys = ["l_orderkey", "l_linenumber"]
+    return (
+        p.filter("score_a <= 45").select(*keys, "y", F.col("pa").alias("p")),
+        p.filter("score_a >= 3").select(*keys, "y", F.col("pb").alias("p")),
+    )
+
+
+def model_pair_audit(spark: SparkSession, d: str) -> DataFrame:
+    return ev.prediction_audit(*_model_sides(spark, d), ["l_orderkey", "l_linenumber"], "y")
+
+
+def model_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of both models over the samples both have."""
+    x = ev.align_predictions(*_model_sides(spark, d), ["l_orderkey", "l_linenumber"], "y")
+    both = x.select("y", F.explode(F.array(
+        F.struct(F.lit("a").alias("model"), F.col("p_a").alias("p")), F.struct(F.lit("b").alias("model"), F.col("p_b").alias("p")),
+    )).alias("m"))
+    m = both.groupBy("m.model").agg(*ev.regression_sums(F.col("y"), F.col("m.p")))
+    return _round(m.select("model", "n", *ev.regression_metrics_from_sums()), 5, "mae", "rmse", "r2")
+
+
 def agreement_pearson_spearman(spark: SparkSession, d: str) -> DataFrame:
     """Pearson, Spearman, bias, mean and 95th percentile absolute difference of two price estimates."""
     p = predictions(spark, d).select("y", "pb")
@@ -167,14 +207,16 @@ def _long_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def target_summary_by_split(spark: SparkSession, d: str) -> DataFrame:
-    """Per target and split, and over all splits (grouping sets by an extra row)."""
-    x = _long_lines(spark, d)
-    both = x.withColumn("split", F.explode(F.array("split", F.lit("all"))))
-    p = ds.profile(both, ["target", "split"], "v")
-    low, high = ds.fences(F.col("p25"), F.col("p75"))
-    p = p.withColumn("fence_low", low).withColumn("fence_high", high)
-    numbers = ["mean", "std", "min", "max", "p01", "p05", "p25", "p50", "p75", "p95", "p99", "fence_low", "fence_high"]
-    return _round(p.select("target", "split", "n", *numbers), 5, *numbers)
+    """22 columns per target and split, and over all splits: values are counted once, "all" adds the counts."""
+    counts = _long_lines(spark, d).groupBy("target", "split", "v").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("target", F.lit("all").alias("split"), "v").agg(F.sum("n").alias("n"))
+    x = ds.summary_of_counts(checkpoint(counts.unionByName(whole)), ["target", "split"], "v", "n")
+    x = _round(x, 5, "coverage", "mean", "min", "max", "range", *ds.PROFILE_QUANTILES, "iqr", "lower_fence", "upper_fence",
+               "outlier_fraction_iqr")
+    return _round(_round(x, 4, "std"), 1, "variance").select(
+        "target", "split", "n_total", "n_valid", "coverage", "mean", "std", "variance", "min", "max", "range",
+        *ds.PROFILE_QUANTILES, "iqr", "lower_fence", "upper_fence", "n_outliers_iqr", "outlier_fraction_iqr",
+    )
 
 
 def distribution_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -200,31 +242,35 @@ def ks_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drift_label(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of the other splits against the training rows, per feature."""
     h = _halves(spark, d)
     p = ds.profile(h, ["feature_name", "a"], "value").groupBy("feature_name").agg(
         *[F.max(F.when(F.col("a") == side, F.col(c))).alias(f"{c}_{n}")
           for side, n in ((True, "a"), (False, "b")) for c in ("p50", "p25", "p75", "std")]
     )
-    x = ks_drift(spark, d).join(p, "feature_name")
-    shift = F.abs(F.col("p50_a") - F.col("p50_b")) / F.greatest(F.col("p75_a") - F.col("p25_a"), F.lit(1e-9))
-    ratio = F.col("std_b") / F.greatest(F.col("std_a"), F.lit(1e-9))
+    x = p.join(ks_drift(spark, d), "feature_name", "left")
+    iqr = F.col("p75_a") - F.col("p25_a")
+    shift = F.when(iqr != 0, F.abs(F.col("p50_a") - F.col("p50_b")) / F.greatest(iqr, F.lit(1e-8)))
+    ratio = F.when(F.col("std_a") != 0, F.col("std_b") / F.col("std_a"))
     x = x.withColumn("median_shift_iqr", F.round(shift, 6)).withColumn("std_ratio", F.round(ratio, 6))
     return x.select("feature_name", "ks", "median_shift_iqr", "std_ratio",
-                    ds.drift_label(F.col("ks"), F.col("median_shift_iqr"), F.col("std_ratio")).alias("drift"))
+                    ds.drift_label(F.col("ks"), F.col("median_shift_iqr")).alias("drift"))
 
 
 def shape_flags(spark: SparkSession, d: str) -> DataFrame:
-    long = long_cache(spark, d).filter("value is not null")
-    p = ds.profile(long, ["feature_name"], "value")
-    low, high = ds.fences(F.col("p25"), F.col("p75"))
-    bounds = p.select("feature_name", low.alias("lo"), high.alias("hi"))
-    out = long.join(bounds, "feature_name").groupBy("feature_name").agg(
-        F.avg(((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).cast("double")).alias("outlier_share")
+    """Shape of each feature over the training rows; none of these features is a correlation coefficient."""
+    train = _halves(spark, d).filter("a")
+    p = ds.profile(train, ["feature_name"], "value")
+    few = ds.outlier_concentration(train, ["feature_name"], "segment_id", "value")
+    peaks = ds.multimodal(train, ["feature_name"], "value")
+    x = p.join(few, "feature_name", "left").join(peaks, "feature_name", "left")
+    n_out, share = F.coalesce("n_outliers", F.lit(0)), F.coalesce(F.col("n_outliers") / F.col("n"), F.lit(0.0))
+    flags = ds.shape_flags(
+        F.round("skewness", 6), F.round("excess_kurtosis", 6), F.col("n_zero") / F.col("n"), share, n_out,
+        F.coalesce("top5_share", F.lit(0.0)), F.col("is_multimodal"), F.col("n_boundary") / F.col("n"), F.lit(False),
     )
-    x = p.join(out, "feature_name")
-    flags = ds.shape_flags(F.round("skewness", 6), F.round("excess_kurtosis", 6), F.col("n_zero") / F.col("n"),
-                           F.col("n_negative") / F.col("n"), F.col("outlier_share"))
-    return x.select("feature_name", F.round("outlier_share", 8).alias("outlier_share"), flags.alias("flags"))
+    return x.select("feature_name", F.round(share, 8).alias("outlier_share"), "is_multimodal",
+                    F.round(F.col("n_boundary") / F.col("n"), 8).alias("boundary_share"), flags.alias("flags"))
 
 
 def transform_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -262,14 +308,15 @@ EXPONENTS = [-2.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
 
 def power_transform_fit(spark: SparkSession, d: str) -> DataFrame:
     """Best Yeo-Johnson exponent per feature."""
-    x = ds.power_fit(long_cache(spark, d).filter("value is not null and abs(value) < 1e6"), ["feature_name"], "value", EXPONENTS)
+    x = ds.power_fit(long_cache(spark, d), ["feature_name"], "value", EXPONENTS)
     return x.select("feature_name", "exponent", F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        regression_metrics, mean_baseline, persistence_baseline, confusion_metrics, ranking_metrics, delong, holm,
+        regression_metrics, mean_baseline, persistence_baseline, confusion_metrics, ranking_metrics, delong, permutation_tests, holm,
+        model_win_counts, model_pair_audit, model_pair_metrics,
         cluster_bootstrap_ci, paired_permutation, bland_altman, paired_bland_altman, best_model_per_target,
         agreement_pearson_spearman, target_summary_by_split, distribution_profile, outlier_concentration, ks_drift,
         drift_label, shape_flags, transform_compare, value_histogram, correlation_flags,
@@ -304,6 +351,21 @@ _AUC = """
     cu as (select *, sum(p) over w tp, sum(q) over w fp, sum(p) over (partition by model) m,
                   sum(q) over (partition by model) n from lv
            window w as (partition by model order by s desc rows unbounded preceding))"""
+_PAIR = """
+    kp as (select l_orderkey, l_linenumber, count(*) filter (where score_a <= 45) na, count(*) filter (where score_a >= 3) nb,
+                  max(y) filter (where score_a <= 45) ya, max(y) filter (where score_a >= 3) yb,
+                  max(pa) filter (where score_a <= 45) pa, max(pb) filter (where score_a >= 3) pb from pd group by 1, 2)"""
+_PERM = f"""
+    cl as (select split, cluster, unnest(['mae', 'mse']) metric,
+                  unnest([sum(abs(y - pa)) - sum(abs(y - pb)), sum((y - pa) * (y - pa)) - sum((y - pb) * (y - pb))]) d, count(*) n
+           from pd group by split, cluster),
+    ob as (select metric, split, sum(d) / sum(n) observed, sum(n) total from cl group by 1, 2),
+    fl as (select metric, split, replicate, sum(case when ((cluster::hugeint * 1103515245 + replicate * 12345 + 29) // 1024) % 2 = 0
+                                              then d else -d end) s
+           from cl, (select unnest(range(1, {REPLICATES} + 1)) replicate) group by 1, 2, 3),
+    pv as (select metric, split, observed,
+                  (1 + count(*) filter (where abs(s / total) >= abs(observed) - 1e-12)) / ({REPLICATES} + 1) p, count(*) n_replicates
+           from fl join ob using (metric, split) group by 1, 2, 3)"""
 
 SQL = {
     "regression_metrics": f"with {_P} select split, {_reg('pa')} from pd group by 1",
@@ -332,16 +394,34 @@ SQL = {
                join cp b on b.model = 'price' and b.s = score_b),
         g as (select label, avg(a) ma, avg(b) mb, (var_samp(a) + var_samp(b) - 2 * covar_samp(a, b)) / count(*) v
               from pt group by 1),
-        o as (select max(ma) filter (where label) auc_a, max(mb) filter (where label) auc_b, sum(v) variance from g)
-        select round(auc_a, 8) auc_a, round(auc_b, 8) auc_b, round(auc_a - auc_b, 8) difference,
-               round(variance, 8) variance, round((auc_a - auc_b) / sqrt(variance), 5) z from o""",
-    "holm": f"""with {_P},
-        t as (select split, cluster, round(avg(case when abs(y - pb) < abs(y - pa) then 1.0::double else 0 end) / 20, 9) p
-              from pd group by 1, 2),
-        x as (select *, p * (count(*) over (partition by split) - row_number() over (partition by split order by p, cluster) + 1) x
-              from t)
-        select split, cluster, p, round(least(1, max(x) over (partition by split order by p, cluster
-               rows unbounded preceding)), 8) adjusted from x""",
+        o as (select max(ma) filter (where label) auc_a, max(mb) filter (where label) auc_b, sum(v) variance from g),
+        q as (select *, auc_a - auc_b df, (auc_a - auc_b) / sqrt(variance) z from o),
+        t as (select *, abs(z) / sqrt(2) x, 1.0::double / (1.0::double + 0.3275911::double * abs(z) / sqrt(2)) t from q)
+        select round(auc_a, 8) auc_a, round(auc_b, 8) auc_b, round(df, 8) difference,
+               round(variance, 8) variance, round(z, 5) z,
+               round(((((1.061405429::double * t - 1.453152027::double) * t + 1.421413741::double) * t - 0.284496736::double) * t
+                      + 0.254829592::double) * t * exp(-x * x), 6) p_value,
+               round(df - 1.959963984540054::double * sqrt(variance), 8) ci_low,
+               round(df + 1.959963984540054::double * sqrt(variance), 8) ci_high from t""",
+    "permutation_tests": f"""with {_P},{_PERM} select metric, split, round(observed, 4) observed, round(p, 6) p_value, n_replicates from pv""",
+    "holm": f"""with {_P},{_PERM},
+        r as (select metric, split, round(p, 6) p_value from pv),
+        x as (select *, p_value * (count(*) over (partition by metric) - row_number() over (partition by metric order by p_value, split) + 1) x
+              from r)
+        select metric, split, p_value, round(least(1, max(x) over (partition by metric order by p_value, split
+               rows unbounded preceding)), 6) adjusted from x""",
+    "model_win_counts": f"""with {_P},
+        m as (select split, 'a' model, 1 - sum((y - pa) * (y - pa)) / (sum(y * y) - sum(y) * sum(y) / count(*)) r2
+              from pd group by 1 union all
+              select split, 'b', 1 - sum((y - pb) * (y - pb)) / (sum(y * y) - sum(y) * sum(y) / count(*)) from pd group by 1),
+        w as (select model from m qualify row_number() over (partition by split order by r2 desc, model desc) = 1)
+        select model, count(*) n_wins from w group by 1""",
+    "model_pair_audit": f"""with {_P},{_PAIR}
+        select count(*) filter (where na > 0 and nb > 0) n_both, count(*) filter (where na > 0 and nb = 0) n_a_only,
+               count(*) filter (where na = 0 and nb > 0) n_b_only, count(*) filter (where na > 1 or nb > 1) n_repeated,
+               count(*) filter (where na = 1 and nb = 1 and ya <> yb) n_labels_differ from kp where na + nb > 0""",
+    "model_pair_metrics": f"""with {_P},{_PAIR}, i as (select ya y, pa, pb from kp where na = 1 and nb = 1 and ya = yb)
+        select 'a' model, {_reg('pa')} from i union all select 'b', {_reg('pb')} from i""",
     "cluster_bootstrap_ci": f"""with {_P},
         c as (select cluster, count(*) n, sum(abs(y - pa)) ae, sum((y - pa) * (y - pa)) se, sum(y) sy, sum(y * y) syy
               from pd group by 1),
@@ -364,9 +444,12 @@ SQL = {
         select round(observed, 6) observed,
                round((1 + count(*) filter (where abs(s / total) >= abs(observed) - 1e-12)) / ({REPLICATES} + 1), 6) p_value,
                count(*) n_replicates from f, o group by observed""",
-    "bland_altman": f"""with {_P} select split, count(*) n, round(avg(pa - y), 5) bias, round(stddev_samp(pa - y), 5) sd,
+    "bland_altman": f"""with {_P}, l as (select split, avg(pa - y) b, stddev_samp(pa - y) s from pd group by 1),
+        c as (select split, avg(case when pa - y between b - 1.96 * s and b + 1.96 * s then 1.0::double else 0 end) c
+              from pd join l using (split) group by 1)
+        select split, count(*) n, round(avg(pa - y), 5) bias, round(stddev_samp(pa - y), 5) sd,
         round(avg(pa - y) - 1.96 * stddev_samp(pa - y), 5) loa_low, round(avg(pa - y) + 1.96 * stddev_samp(pa - y), 5) loa_high,
-        round(regr_slope(pa - y, (pa + y) / 2), 5) slope from pd group by 1""",
+        round(regr_slope(pa - y, (pa + y) / 2), 5) slope, round(any_value(c), 5) coverage from pd join c using (split) group by 1""",
     "paired_bland_altman": f"""with {_P}, x as (select split, abs(avg(pa - y)) bias_a, stddev_samp(pa - y) sd_a,
             abs(avg(pb - y)) bias_b, stddev_samp(pb - y) sd_b from pd group by 1)
         select split, round(bias_a, 4) bias_a, round(sd_a, 4) sd_a, round(bias_b, 4) bias_b, round(sd_b, 4) sd_b,
@@ -384,12 +467,17 @@ SQL = {
         select count(*) n, round(corr(y, pb), 5) pearson, round(corr(ry, rp), 5) spearman, round(avg(pb - y), 5) bias,
                round(avg(abs(pb - y)), 5) mae, round(quantile_cont(abs(pb - y), 0.95), 5) p95 from r""",
     "target_summary_by_split": f"""with {_LL}, b as (select * from ll union all select l_suppkey, 'all', target, v from ll),
-        q as (select target, split, count(*) n, avg(v) mean, stddev_pop(v) sd, min(v) lo, max(v) hi,
-                     quantile_cont(v, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) q from b group by 1, 2)
-        select target, split, n, round(mean, 5) mean, round(sd, 5) "std", round(lo, 5) "min", round(hi, 5) "max",
+        q as (select target, split, count(*) n_total, count(v) n_valid, avg(v) mean, stddev_pop(v) sd, var_pop(v) va, min(v) lo, max(v) hi,
+                     quantile_cont(v, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) q from b group by 1, 2),
+        f as (select *, q[3] - 1.5 * (q[5] - q[3]) fl, q[5] + 1.5 * (q[5] - q[3]) fh from q),
+        o as (select b.target, b.split, count(*) k from b join f on b.target = f.target and b.split = f.split
+              where v < fl or v > fh group by 1, 2)
+        select target, split, n_total, n_valid, round(n_valid / n_total, 5) coverage, round(mean, 5) mean, round(sd, 4) "std",
+               round(va, 1) variance, round(lo, 5) "min", round(hi, 5) "max", round(hi - lo, 5) "range",
                round(q[1], 5) p01, round(q[2], 5) p05, round(q[3], 5) p25, round(q[4], 5) p50, round(q[5], 5) p75,
-               round(q[6], 5) p95, round(q[7], 5) p99, round(q[3] - 1.5 * (q[5] - q[3]), 5) fence_low,
-               round(q[5] + 1.5 * (q[5] - q[3]), 5) fence_high from q""",
+               round(q[6], 5) p95, round(q[7], 5) p99, round(q[5] - q[3], 5) iqr, round(fl, 5) lower_fence, round(fh, 5) upper_fence,
+               coalesce(k, 0) n_outliers_iqr, round(coalesce(k, 0) / n_valid, 5) outlier_fraction_iqr
+        from f left join o using (target, split)""",
     "distribution_profile": f"""with {_C}, w as (select *, avg(v) over (partition by feature_name) m from lc)
         select feature_name, count(*) n_rows, count(v) n, count(*) filter (where v = 0) n_zero,
                count(*) filter (where v < 0) n_negative, round(avg(v), 4) mean, round(stddev_pop(v), 4) "std",
@@ -422,22 +510,49 @@ SQL = {
         s as (select feature_name, quantile_cont(v, 0.5) filter (where a) ma, quantile_cont(v, 0.5) filter (where not a) mb,
                      quantile_cont(v, 0.75) filter (where a) - quantile_cont(v, 0.25) filter (where a) iq,
                      stddev_pop(v) filter (where a) sa, stddev_pop(v) filter (where not a) sb from h group by 1),
-        x as (select feature_name, ks, round(abs(ma - mb) / greatest(iq, 1e-9), 6) median_shift_iqr,
-                     round(sb / greatest(sa, 1e-9), 6) std_ratio from k join s using (feature_name))
-        select *, case when ks >= 0.2 or median_shift_iqr >= 0.5 or std_ratio >= 2.0 or std_ratio <= 0.5 then 'strong'
-                       when ks >= 0.1 or median_shift_iqr >= 0.25 or std_ratio >= 1.5 or std_ratio <= 1 / 1.5
-                       then 'mild' else 'none' end drift from x""",
-    "shape_flags": f"""with {_C}, w as (select feature_name, v, avg(v) over (partition by feature_name) m from lc where v is not null),
-        p as (select feature_name, round({_SK.format(v='v')}, 6) sk,
+        x as (select feature_name, ks, round(case when iq <> 0 then abs(ma - mb) / greatest(iq, 1e-8) end, 6) median_shift_iqr,
+                     round(case when sa <> 0 then sb / sa end, 6) std_ratio from s left join k using (feature_name))
+        select *, case when ks is null then 'insufficient data'
+                       when ks >= 0.12 or coalesce(median_shift_iqr, 0) >= 0.5 then 'possible meaningful shift'
+                       when ks >= 0.08 or coalesce(median_shift_iqr, 0) >= 0.25 then 'mild shift' else 'no clear shift' end drift from x""",
+    "shape_flags": f"""with {_C},
+        t as (select feature_name, segment_id, v from lc where v is not null and lower(trim(split_label)) = 'train'),
+        w as (select *, avg(v) over (partition by feature_name) m from t),
+        p as (select feature_name, count(*) n, round({_SK.format(v='v')}, 6) sk,
                      round(avg(pow(v - m, 4)) / pow(var_pop(v), 2) - 3, 6) ku, count(*) filter (where v = 0) / count(*) z,
-                     count(*) filter (where v < 0) / count(*) ng, quantile_cont(v, 0.25) a, quantile_cont(v, 0.75) b
+                     count(*) filter (where abs(v) >= 0.999) / count(*) bs, quantile_cont(v, 0.25) a, quantile_cont(v, 0.75) b
               from w group by 1),
-        o as (select feature_name, avg(case when v < a - 1.5 * (b - a) or v > b + 1.5 * (b - a) then 1.0::double else 0 end) os
-              from w join p using (feature_name) group by 1)
-        select feature_name, round(os, 8) outlier_share, concat_ws(';', case when ku > 3 then 'heavy_tailed' end,
-               case when ng > 0 then 'has_negative' end, case when os > 0.05 then 'many_outliers' end,
-               case when sk > 1 then 'right_skewed' end, case when sk < -1 then 'left_skewed' end,
-               case when z > 0.1 then 'zero_inflated' end) flags from p join o using (feature_name)""",
+        o as (select feature_name, segment_id, count(*) c from t join p using (feature_name)
+              where v < a - 1.5 * (b - a) or v > b + 1.5 * (b - a) group by 1, 2),
+        k as (select feature_name, sum(c) os, sum(c) filter (where i <= 5) / sum(c) t5
+              from (select *, row_number() over (partition by feature_name order by c desc) i from o) group by 1),
+        cu as (select feature_name, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b from t group by 1),
+        i as (select feature_name, v from t join cu using (feature_name) where v between a and b),
+        sp as (select feature_name, count(*) n, min(v) lo, max(v) hi, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) iq
+               from i group by 1),
+        bi as (select *, cast(case when iq > 0 then greatest(ceil((hi - lo) / (2 * iq / cbrt(n))), 1) else 1 end as bigint) bins from sp),
+        h as (select feature_name, least(cast(floor((v - lo) / (hi - lo) * bins) as bigint), bins - 1) j, count(*) c
+              from i join bi using (feature_name) where n >= 200 and bins >= 15 group by 1, 2),
+        al as (select feature_name, bins, unnest(range(0, bins)) j from bi where n >= 200 and bins >= 15),
+        sm as (select feature_name, bins, j, sum(coalesce(c, 0)) over (partition by feature_name order by j
+                      rows between 1 preceding and 1 following) / 3.0::double s from al left join h using (feature_name, j)),
+        pk as (select feature_name, j, s from (select *, lag(s) over x pv, lead(s) over x nx, max(s) over (partition by feature_name) top
+                      from sm window x as (partition by feature_name order by j))
+               where j between 2 and bins - 3 and s > pv and s >= nx and s >= 0.25 * top),
+        pp as (select *, lead(j) over (partition by feature_name order by j) j2, lead(s) over (partition by feature_name order by j) s2 from pk),
+        mm as (select distinct feature_name from
+               (select pp.feature_name, pp.j, min(sm.s) valley, least(any_value(pp.s), any_value(s2)) small from pp join sm
+                on sm.feature_name = pp.feature_name and sm.j between pp.j and pp.j2 where pp.j2 - pp.j >= 3 group by 1, 2)
+               where valley <= 0.75 * small),
+        f as (select p.*, coalesce(os, 0) oc, coalesce(os, 0) / n osh, coalesce(t5, 0) tf, mm.feature_name is not null mu
+              from p left join k using (feature_name) left join mm on mm.feature_name = p.feature_name),
+        g as (select *, concat_ws(';', case when abs(sk) < 0.5 then 'approximately symmetric' when sk >= 0.5 then 'right-skewed'
+                   when sk <= -0.5 then 'left-skewed' end, case when ku >= 3 or osh >= 0.05 then 'heavy-tailed' end,
+                   case when mu then 'possible multimodality' end, case when z >= 0.05 then 'zero-inflated' end,
+                   case when osh >= 0.01 then 'affected by extreme values' end,
+                   case when osh >= 0.005 and tf >= 0.5 and oc >= 100 then 'train outliers concentrated in a few patients' end) fl from f)
+        select feature_name, round(osh, 8) outlier_share, mu is_multimodal, round(bs, 8) boundary_share,
+               case when fl = '' then 'roughly compact/unimodal' else fl end flags from g""",
     "transform_compare": f"""with {_C},
         w as (select feature_name, v, ln(1 + v) l, avg(v) over (partition by feature_name) m,
                      avg(ln(1 + v)) over (partition by feature_name) k from lc where v > -1),
@@ -475,7 +590,7 @@ SQL = {
         t as (select feature_name, ex, v, case
                   when v >= 0 and ex = 0 then ln(1 + v) when v >= 0 then (pow(v + 1, ex) - 1) / ex
                   when ex = 2 then -ln(1 - v) else -(pow(1 - v, 2 - ex) - 1) / (2 - ex) end y
-              from lc, e where v is not null and abs(v) < 1e6),
+              from lc, e where v is not null),
         l as (select feature_name, ex, -count(*) / 2 * ln(greatest(var_pop(y), 1e-300)) + (ex - 1) * sum(sign(v) * ln(1 + abs(v))) l
               from t group by 1, 2)
         select feature_name, ex exponent, round(l, 3) log_likelihood from l

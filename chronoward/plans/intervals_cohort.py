@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoward.functions.timeparts import micros_since_1970, seconds_since_2000
 from chronoward.operators import cohort as co
 from chronoward.operators import intervals as iv
-from chronoward.session import table
+from chronoward.session import checkpoint, table
 
 # The status and evidence names in this module are fixed values: results are compared by them.
 SECOND = 1_000_000
@@ -113,28 +113,46 @@ def uncertain_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Segments touched by drug rows whose time is not fully known, with the kinds of evidence.
 
     Evidence with both times counts if it overlaps, with one time if it can, and
-    without any time always; it belongs by stay, else by subject.
+    without any time always; it belongs by stay, else by subject. Rows without both
+    times are counted per owner and source, never paired with every segment.
     """
-    matched = co.match_stays(segments(spark, d), _stay_pairs(spark, d), SECOND).filter(
-        "icu_match_status = 'matched_full'"
-    ).join(segments(spark, d).select("segment_id", "k"), "segment_id").select(
-        "segment_id", "k", F.col("icustay_id").alias("sid"), "ls", "le"
+    matched = checkpoint(
+        co.match_stays(segments(spark, d), _stay_pairs(spark, d), SECOND).filter("icu_match_status = 'matched_full'")
+        .join(segments(spark, d).select("segment_id", "k"), "segment_id")
+        .select("segment_id", "k", F.col("icustay_id").alias("sid"), "ls", "le")
     )
-    loose = drugs(spark, d).filter(
-        "icustay_id is null or vs is null or ve is null or ve <= vs"
-    ).select(F.col("subject_id").alias("k"), "icustay_id", "vs", "ve", "vasopressor_source")
-    pair = matched.join(loose, "k").filter("icustay_id is null or icustay_id = sid")
     vs, ve, ls, le = (F.col(c) for c in ("vs", "ve", "ls", "le"))
-    kind = (
-        F.when(vs.isNotNull() & ve.isNotNull() & (vs < le) & (ve > ls), F.lit("uncertain_interval_overlap"))
-        .when(vs.isNotNull() & ve.isNull() & (vs < le), F.lit("uncertain_start_only"))
-        .when(vs.isNull() & ve.isNotNull() & (ve > ls), F.lit("uncertain_end_only"))
-        .when(vs.isNull() & ve.isNull() & F.col("icustay_id").isNotNull(), F.lit("untimed_same_icustay"))
-        .when(vs.isNull() & ve.isNull(), F.lit("untimed_patient_only"))
-    )
-    return pair.withColumn("kind", kind).filter("kind is not null").groupBy("segment_id").agg(
-        co.sorted_names(F.col("kind")).alias("reasons"), co.sorted_names(F.col("vasopressor_source")).alias("sources"),
-        F.count(F.lit(1)).alias("n_rows"),
+    loose = drugs(spark, d).filter("icustay_id is null or vs is null or ve is null or ve <= vs").select(
+        F.col("subject_id").alias("k"), F.col("icustay_id").alias("owner"), "vs", "ve", F.col("vasopressor_source").alias("source"),
+    ).filter("k is not null")
+    loose = checkpoint(loose.withColumn(
+        "label", F.concat_ws("|", F.lit("d"), "k", F.coalesce(F.col("owner").cast("string"), F.lit("-")), F.coalesce("source", F.lit("-")))
+    ))
+    own = F.col("owner").isNull() | (F.col("owner") == F.col("sid"))
+
+    timed = loose.filter(vs.isNotNull() & ve.isNotNull()).withColumns({"rs": F.least("vs", "ve"), "re": F.greatest("vs", "ve") + 1})
+    overlaps = iv.overlap_join(matched, timed, DAY).filter(own & (vs < le) & (ve > ls)).groupBy("segment_id", "source").agg(
+        F.count(F.lit(1)).alias("n")
+    ).withColumn("kind", F.lit("uncertain_interval_overlap"))
+
+    def owners(rows: DataFrame) -> DataFrame:
+        """Segments with each owner and source that has such rows, and how many."""
+        few = rows.groupBy("k", "owner", "source", "label").agg(F.count(F.lit(1)).alias("n"))
+        return matched.join(few, "k").filter(own)
+
+    found = [overlaps]
+    starts, ends = loose.filter(vs.isNotNull() & ve.isNull()), loose.filter(vs.isNull() & ve.isNotNull())
+    for rows, time, limit, name in ((starts, vs, le, "uncertain_start_only"), (ends, -ve, -ls, "uncertain_end_only")):
+        asked = owners(rows).select("segment_id", "source", "label", limit.alias("at"))
+        counted = iv.count_earlier(asked, rows.select("label", time.alias("at")), ["segment_id", "source"])
+        found.append(counted.filter("n > 0").withColumn("kind", F.lit(name)))
+    untimed = F.when(F.col("owner").isNotNull(), F.lit("untimed_same_icustay")).otherwise(F.lit("untimed_patient_only"))
+    found.append(owners(loose.filter(vs.isNull() & ve.isNull())).withColumn("kind", untimed))
+    every = found[0].select("segment_id", "source", "kind", "n")
+    for part in found[1:]:
+        every = every.unionByName(part.select("segment_id", "source", "kind", "n"))
+    return every.groupBy("segment_id").agg(
+        co.sorted_names(F.col("kind")).alias("reasons"), co.sorted_names(F.col("source")).alias("sources"), F.sum("n").alias("n_rows"),
     )
 
 
@@ -266,18 +284,14 @@ _CHART = """
     e1 as (select user_id, t, max(rate) rate,
                   max(cast(stopped as int)) - max(cast(coalesce(rate > 0 and not stopped, false) as int)) > 0 stopped,
                   count(*) n from e0 group by 1, 2),
-    e2 as (select *, sum(case when rate is not null then 1 else 0 end) over (partition by user_id order by t) part,
-                  rate is not null hr from e1),
-    e3 as (select *, first_value(rate) over (partition by user_id, part order by t) carried from e2),
-    e4 as (select *, lag(carried) over (partition by user_id, hr order by t) ls,
-                  lag(carried) over (partition by user_id order by t) la,
-                  lag(stopped) over (partition by user_id order by t) lst,
-                  lead(t) over (partition by user_id order by t) nt from e3),
-    e5 as (select *, sum(case when rate > 0 and ls is null then 1 when rate = 0 and la = 0 then 0
-                              when carried = 0 and la = 0 then 0 when la = 0 then 1 when lst then 1 else 0 end)
-                         over (partition by user_id order by t) episode from e4),
-    ce as (select user_id, episode, min(t) filter (where hr) start_us,
-                  min(t) filter (where stopped or coalesce(rate = 0, false) or nt is null) end_us,
+    e2 as (select *, count(rate) over (partition by user_id order by t) part from e1),
+    e3 as (select *, max(rate) over (partition by user_id, part) known from e2),
+    e4 as (select *, lag(known) over (partition by user_id order by t) held,
+                  coalesce(lag(stopped) over (partition by user_id order by t), false) halted from e3),
+    e5 as (select *, count(*) filter (where case when held = 0 then known <> 0 else halted or (held is null and rate > 0) end)
+                     over (partition by user_id order by t) episode from e4),
+    ce as (select user_id, episode, min(t) filter (where rate is not null) start_us,
+                  coalesce(min(t) filter (where stopped or rate = 0), max(t)) end_us,
                   min(t) first_time, max(rate) max_rate, sum(n) n from e5 where episode > 0 group by 1, 2)"""
 
 SQL = {

@@ -12,9 +12,10 @@ from chronoward.functions import arrays as ar
 from chronoward.operators import episodes as ep
 from chronoward.operators import series as sr
 from chronoward.operators import signals as sg
+from chronoward.operators.ordered_scan import running_sums
 from chronoward.operators.quantiles import exact_quantiles
 from chronoward.plans.episodes_labels import _AN, _TL, timeline
-from chronoward.session import table
+from chronoward.session import checkpoint, settled_side, table
 
 FS = 32.0
 KEYS = ["segment_id", "channel_name"]
@@ -28,8 +29,8 @@ def array_quality(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
     return _vectors(spark, d).select(
         "vec_id", F.size(x).alias("n"), F.round(F.array_min(x), 6).alias("min"), F.round(F.array_max(x), 6).alias("max"),
-        F.round(ar.flatline_fraction(x, 0.01), 6).alias("flatline_fraction"),
-        F.round(ar.extreme_fraction(x, 2.5), 6).alias("extreme_fraction"), ar.zero_crossings(x).alias("zero_crossings"),
+        F.round(ar.flatline_fraction(x, 8, 0.08), 6).alias("flatline_fraction"),
+        F.round(ar.extreme_fraction(x), 6).alias("extreme_fraction"), ar.zero_crossings(x).alias("zero_crossings"),
     )
 
 
@@ -60,8 +61,8 @@ def array_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def poincare(spark: SparkSession, d: str) -> DataFrame:
-    sd1, sd2 = ar.poincare(F.col("x"))
-    return _vectors(spark, d).select("vec_id", F.round(sd1, 6).alias("sd1"), F.round(sd2, 6).alias("sd2"))
+    p = _vectors(spark, d).select("vec_id", ar.poincare(F.col("x")).alias("p"))
+    return p.select("vec_id", *[F.round(f"p.{c}", 6).alias(c) for c in ("sd1", "sd2", "ratio")])
 
 
 def resample_template(spark: SparkSession, d: str) -> DataFrame:
@@ -70,17 +71,48 @@ def resample_template(spark: SparkSession, d: str) -> DataFrame:
     return x.select("vec_id", "point", F.round("v", 6).alias("v"))
 
 
+def _leave_one_out(spark: SparkSession, d: str) -> DataFrame:
+    """``vec_id, label, point, v, t``: each sample with the median of the other segments of its class at that point.
+
+    The median without one value follows from the three middle order statistics, so
+    no class is gathered.
+    """
+    long = checkpoint(_vectors(spark, d).filter("label is not null").select("vec_id", "label", F.posexplode("x").alias("point", "v")))
+    place = ["label", "point"]
+    levels = long.groupBy(*place, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.concat_ws("|", *place))
+    run = running_sums(levels, "g", ["v"], ["n"])
+    middle = settled_side(run.groupBy("g").agg(F.sum("n").alias("total")))
+    at = F.floor((F.col("total") - 1) / 2)  # the middle, or the lower one of two
+    here = run.join(middle, "g").groupBy(*place, "total").agg(*[
+        F.max(F.when((at + k >= F.col("before_n")) & (at + k < F.col("before_n") + F.col("n")), F.col("v"))).alias(c)
+        for k, c in ((-1, "below"), (0, "mid"), (1, "above"))
+    ])
+    v = F.col("v")
+    odd = (
+        F.when(v < F.col("mid"), F.col("mid") + F.col("above")).when(v > F.col("mid"), F.col("below") + F.col("mid"))
+        .otherwise(F.col("below") + F.col("above")) / 2.0
+    )
+    even = F.when(v <= F.col("mid"), F.col("above")).otherwise(F.col("mid"))
+    x = long.join(settled_side(here), place)
+    return x.select("vec_id", *place, "v", F.when(F.col("total") % 2 == 1, odd).otherwise(even).alias("t"), "total")
+
+
 def template_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation and root mean square distance to the median template of the segment's class."""
-    long = _vectors(spark, d).select("vec_id", "label", F.posexplode("x").alias("point", "v"))
-    template = exact_quantiles(long, ["label", "point"], "v", {"t": 0.5})
-    x = long.join(template, ["label", "point"])
+    """Correlation and root mean square distance to the median template of the other segments of the class."""
+    x = _leave_one_out(spark, d).filter("total >= 3")
     return x.groupBy("vec_id", "label").agg(
-        F.round(F.corr("v", "t"), 5).alias("correlation"),
+        F.round(F.when((F.stddev_pop("v") >= 1e-8) & (F.stddev_pop("t") >= 1e-8), F.corr("v", "t")), 5).alias("correlation"),
         F.round(F.sqrt(F.avg((F.col("v") - F.col("t")) * (F.col("v") - F.col("t")))), 5).alias("distance"),
     )
 
 
+def template_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Per class the median correlation of its segments with the template of the others."""
+    x = template_distance(spark, d).filter("correlation is not null")
+    q = exact_quantiles(x, ["label"], "correlation", {"median": 0.5})
+    return q.select("label", F.round("median", 5).alias("median_correlation"))
+
+
 def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
     bins = timeline(spark, d).select(*KEYS, "minute", "value")
     x = sr.fill_short_gaps(bins, KEYS, 3).filter("is_filled")
@@ -112,11 +144,16 @@ def rr_validity(spark: SparkSession, d: str) -> DataFrame:
     rr = hr.withColumn("value", F.when(F.col("value").between(30, 220), 60.0 / F.col("value")))
     x = sr.with_previous(rr, ["segment_id"])
     ok = F.col("value").isNotNull() & F.col("previous").isNotNull()
-    a = F.when(ok, F.col("value") - F.col("previous"))
-    b = F.when(ok, F.col("value") + F.col("previous"))
-    return x.groupBy("segment_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("value").isNotNull().cast("double")), 6).alias("plausible_fraction"),
-        F.round(F.stddev_pop(a) / F.sqrt(F.lit(2.0)), 6).alias("sd1"), F.round(F.stddev_pop(b) / F.sqrt(F.lit(2.0)), 6).alias("sd2"),
+    step = F.when(ok, F.col("value") - F.col("previous"))
+    agg = x.groupBy("segment_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("value").isNotNull().cast("double")).alias("plausible"),
+        F.stddev_pop("value").alias("v"), F.stddev_pop(step).alias("d"), F.count(step).alias("pairs"),
+    )
+    sd1, sd2 = ar.poincare_axes(F.col("v"), F.col("d"))
+    enough = F.col("pairs") >= 20
+    return agg.select(
+        "segment_id", "n", F.round("plausible", 6).alias("plausible_fraction"), F.round(F.when(enough, sd1), 6).alias("sd1"),
+        F.round(F.when(enough, sd2), 6).alias("sd2"),
     )
 
 
@@ -246,6 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         array_quality, array_robust_scale, array_runs, array_moments, poincare, resample_template, template_distance,
+        template_consistency,
         gap_interpolation, adjacent_ratios, decline_runs, rr_validity, baseline_jumps, history_features, component_dedup,
         burden_features, quality_features, pressure_interval_coupling,
         minute_patterns, waveform_spectral, waveform_entropy, waveform_morphology, beat_table,
@@ -255,19 +293,28 @@ QUERIES = {
 
 _V = "vx as (select vec_id, label, cast(embedding as double[]) x from embeddings)"
 _PV = f"{_V}, pv as (select vec_id, label, unnest(range(0, len(x))) i, unnest(x) v from vx)"
+_LOO = """
+    os as (select label, i, list(v order by v) s from pv where label is not null group by 1, 2),
+    lt as (select pv.vec_id, pv.label, pv.i, v, median(x) t from pv join (select label, i, s, unnest(range(1, len(s) + 1)) r, unnest(s) x
+                  from os where len(s) >= 3) o on o.label = pv.label and o.i = pv.i where r <> list_position(s, v) group by 1, 2, 3, 4),
+    td as (select vec_id, label, round(case when stddev_pop(v) >= 1e-8 and stddev_pop(t) >= 1e-8 then corr(v, t) end, 5) correlation,
+                  round(sqrt(avg((v - t) * (v - t))), 5) distance from lt group by 1, 2)"""
 
 SQL = {
-    "array_quality": f"""with {_PV}, m as (select vec_id, median(v) md from pv group by 1),
-        s as (select vec_id, md, 1.4826 * median(abs(v - md)) sc from pv join m using (vec_id) group by 1, 2),
-        e as (select vec_id, avg(case when abs(v - md) > 2.5 * sc then 1.0::double else 0 end) ef from pv join s using (vec_id) group by 1),
-        q as (select vec_id, v, v - lag(v) over w dv, v * lag(v) over w pr from pv window w as (partition by vec_id order by i)),
-        f as (select vec_id, count(*) n, min(v) lo, max(v) hi, count(*) filter (where abs(dv) < 0.01) / count(dv) fl,
-                     count(*) filter (where pr < 0) zc from q group by 1)
+    "array_quality": f"""with {_PV}, m as (select vec_id, count(*) n, min(v) lo, max(v) hi from pv group by 1),
+        e as (select vec_id, avg(case when least(v - lo, hi - v) <= greatest((hi - lo) * 0.01, 1e-8) then 1.0::double else 0 end) ef
+              from pv join m using (vec_id) group by 1),
+        fw as (select vec_id, i // 8 k, stddev_pop(v) < 0.08 flat from pv group by 1, 2),
+        f as (select vec_id, count(*) filter (where flat) / count(*) fl from fw group by 1),
+        z as (select vec_id, count(*) filter (where pr < 0) zc from
+              (select vec_id, v * lag(v) over (partition by vec_id order by i) pr from pv) group by 1)
         select vec_id, n, round(lo, 6) "min", round(hi, 6) "max", round(fl, 6) flatline_fraction,
-               round(ef, 6) extreme_fraction, zc zero_crossings from f join e using (vec_id)""",
-    "array_robust_scale": f"""with {_PV}, m as (select vec_id, median(v) md, avg(v) me, regr_slope(v, i) sl from pv group by 1)
-        select vec_id, round(md, 6) median, round(1.4826 * median(abs(v - md)), 6) scale, round(me, 6) mean,
-               round(sl, 6) slope from pv join m using (vec_id) group by vec_id, md, me, sl""",
+               round(case when hi - lo < 1e-8 then 1 else ef end, 6) extreme_fraction, zc zero_crossings
+        from m join f using (vec_id) join e using (vec_id) join z using (vec_id)""",
+    "array_robust_scale": f"""with {_PV}, m as (select vec_id, median(v) md, avg(v) me, regr_slope(v, i) sl, stddev_pop(v) sd from pv group by 1),
+        a as (select vec_id, md, me, sl, sd, 1.4826 * median(abs(v - md)) sc from pv join m using (vec_id) group by 1, 2, 3, 4, 5)
+        select vec_id, round(md, 6) median, round(case when sc > 1e-8 then sc else greatest(sd, 1) end, 6) scale, round(me, 6) mean,
+               round(sl, 6) slope from a""",
     "array_runs": f"""with {_PV}, g as (select vec_id, i, i - row_number() over (partition by vec_id order by i) g from pv where v > 0)
         select vec_id, min(i) "start", max(i) + 1 end_exclusive, count(*) duration from g group by vec_id, g""",
     "array_moments": f"""with {_PV}, m as (select vec_id, v, i, avg(v) over (partition by vec_id) m from pv),
@@ -277,16 +324,18 @@ SQL = {
         select vec_id, round(sqrt(n * (n - 1)) / (n - 2) * m3 / pow(m2, 1.5), 5) skewness,
                round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6), 5) excess_kurtosis,
                coalesce(k, 0) longest_positive from c left join l using (vec_id)""",
-    "poincare": f"""with {_PV}, q as (select vec_id, v - lag(v) over w a, v + lag(v) over w b from pv
-            window w as (partition by vec_id order by i))
-        select vec_id, round(sqrt(var_pop(a) / 2), 6) sd1, round(sqrt(var_pop(b) / 2), 6) sd2 from q group by 1""",
+    "poincare": f"""with {_PV}, q as (select vec_id, v, v - lag(v) over (partition by vec_id order by i) d from pv),
+        k as (select vec_id, count(*) n, sqrt(0.5) * stddev_pop(d) sd1,
+                     sqrt(greatest(2 * pow(stddev_pop(v), 2) - 0.5 * pow(stddev_pop(d), 2), 0)) sd2 from q group by 1)
+        select vec_id, round(case when n > 20 then sd1 end, 6) sd1, round(case when n > 20 then sd2 end, 6) sd2,
+               round(case when n > 20 and sd2 > 1e-8 then sd1 / sd2 end, 6) ratio from k""",
     "resample_template": f"""with {_V}, p as (select vec_id, x, unnest(range(0, 16)) point from vx),
         q as (select *, point * (len(x) - 1) / 15.0::double t from p),
         r as (select *, cast(least(floor(t), len(x) - 2) as int) lo from q)
         select vec_id, cast(point as int) point, round(x[lo + 1] + (x[lo + 2] - x[lo + 1]) * (t - lo), 6) v from r""",
-    "template_distance": f"""with {_PV}, t as (select label, i, median(v) t from pv group by 1, 2)
-        select vec_id, label, round(corr(v, t), 5) correlation, round(sqrt(avg((v - t) * (v - t))), 5) distance
-        from pv join t using (label, i) group by 1, 2""",
+    "template_distance": f"""with {_PV},{_LOO} select vec_id, label, correlation, distance from td""",
+    "template_consistency": f"""with {_PV},{_LOO} select label, round(median(correlation), 5) median_correlation from td
+        where correlation is not null group by 1""",
     "gap_interpolation": f"""with {_TL}, n as (select segment_id, channel_name, "minute" a, "value" va,
               lead("minute") over w b, lead("value") over w vb from tl window w as (partition by segment_id, channel_name order by "minute")),
         g as (select *, unnest(range(a + 1, b)) m from n where b - a between 2 and 4)
@@ -309,7 +358,8 @@ SQL = {
             from tl where channel_name = 'HR'),
         j as (select a.segment_id, a.v, b.v p from r a left join r b on a.segment_id = b.segment_id and b.m = a.m - 1)
         select segment_id, count(*) n, round(count(v) / count(*), 6) plausible_fraction,
-               round(stddev_pop(v - p) / sqrt(2), 6) sd1, round(stddev_pop(case when v is not null then v + p end) / sqrt(2), 6) sd2
+               round(case when count(v - p) >= 20 then sqrt(0.5) * stddev_pop(v - p) end, 6) sd1,
+               round(case when count(v - p) >= 20 then sqrt(greatest(2 * pow(stddev_pop(v), 2) - 0.5 * pow(stddev_pop(v - p), 2), 0)) end, 6) sd2
         from j group by 1""",
     "baseline_jumps": f"""with {_TL}, b as (select segment_id, channel_name, cast(floor("minute" / 5) as bigint) k, median("value") v
             from tl group by 1, 2, 3)

@@ -8,28 +8,42 @@ from pyspark.sql import functions as F
 from chronoward.streaming import events as se
 
 
+#: How late an event may be.
+DELAY = "2 days"
+
+
 def tumbling_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = se.drain(se.tumbling(se.event_stream(spark, d), "12 hours", "3650 days"), "complete")
+    out = se.drain(se.tumbling(se.event_stream(spark, d), "12 hours", DELAY), "complete")
     return out.withColumn("window_start", F.unix_micros("window_start"))
 
 
 def sliding_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = se.drain(se.sliding(se.event_stream(spark, d), "5 hours", "1 hour", "3650 days"), "complete")
+    out = se.drain(se.sliding(se.event_stream(spark, d), "5 hours", "1 hour", DELAY), "complete")
     return out.withColumn("window_start", F.unix_micros("window_start"))
 
 
 def session_stream(spark: SparkSession, d: str) -> DataFrame:
-    out = se.drain(se.sessions(se.event_stream(spark, d), "6 hours", "3650 days"), "complete")
+    out = se.drain(se.sessions(se.event_stream(spark, d), "6 hours", DELAY), "complete")
     return out.withColumn("first_ts", F.unix_micros("first_ts")).withColumn("last_ts", F.unix_micros("last_ts"))
 
 
 def stateful_onset(spark: SparkSession, d: str) -> DataFrame:
-    return se.drain(se.sustained_onsets(se.event_stream(spark, d), 65.0, 3), "append")
+    return se.drain(se.sustained_onsets(se.event_stream(spark, d), 65.0, 3, DELAY, "30 days"), "append")
+
+
+def stream_join(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases within six hours after a click of the same user, from two streams."""
+    e = se.event_stream(spark, d)
+    pairs = se.followed_within(e.filter("event_type = 'click'"), se.event_stream(spark, d).filter("event_type = 'purchase'"), "6 hours", DELAY)
+    return se.drain(pairs, "append").select("user_id", "first_id", "later_id")
 
 
-QUERIES = {f.__name__: f for f in (tumbling_stream, sliding_stream, session_stream, stateful_onset)}
+QUERIES = {f.__name__: f for f in (tumbling_stream, sliding_stream, session_stream, stateful_onset, stream_join)}
 
 SQL = {
+    "stream_join": """
+        select a.user_id, a.event_id first_id, b.event_id later_id from events a join events b on a.user_id = b.user_id
+        where a.event_type = 'click' and b.event_type = 'purchase' and b.ts > a.ts and b.ts <= a.ts + interval 6 hours""",
     "tumbling_stream": """
         select cast(floor(epoch_us(ts) / 43200000000) * 43200000000 as bigint) window_start, event_type, count(*) n,
                round(sum("value"), 4) total from events group by 1, 2""",

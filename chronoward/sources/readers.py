@@ -93,11 +93,48 @@ def cut_window(samples: Column, start: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.when(start + i >= 0, F.get(samples, (start + i).cast("int"))))
 
 
-def resolve_channel(names: Column, aliases: list[str]) -> Column:
-    """Zero-based place of the one channel among the aliases; null if absent, an error if ambiguous."""
-    hits = F.filter(
-        F.transform(names, lambda x, i: F.when(F.lower(x).isin([a.lower() for a in aliases]), i)), lambda x: x.isNotNull()
-    )
-    return F.when(F.size(hits) <= 1, F.get(hits, F.lit(0))).otherwise(
-        F.raise_error(F.lit(f"ambiguous channel {aliases}")).cast("int")
-    )
+# Vital signs and the other names their channels go by, in order of preference.
+VITAL_ALIASES = {
+    "ABP Mean": ["ABPMean", "ART Mean", "ARTMean"],
+    "PULSE": [],
+    "SpO2": ["%SpO2"],
+    "RESP": [],
+    "HR": [],
+}
+
+
+def first_alias(names: Column, preferred: str, aliases: list[str]) -> Column:
+    """Zero-based place of the preferred channel, else of the first alias that is there; null if none is."""
+    return F.coalesce(*[F.nullif(F.array_position(names, n), F.lit(0)) - 1 for n in (preferred, *aliases)]).cast("int")
+
+
+def resolve_channel(
+    names: Column, preferred: str, aliases: list[str], finite_fraction: Column | None = None, least_finite: float = 0.0,
+    required: bool = False,
+) -> Column:
+    """Zero-based place of the one channel called ``preferred`` or by an alias; null if absent.
+
+    The query fails if several match, if a ``required`` one is absent, or if the share
+    ``finite_fraction`` of its finite samples is under ``least_finite``.
+    """
+    listed = F.array(*[F.lit(n) for n in (preferred, *aliases)])
+    hits = F.filter(F.transform(names, lambda x, i: F.when(F.array_contains(listed, x), i)), lambda x: x.isNotNull())
+
+    def fail(text: str) -> Column:
+        return F.raise_error(F.lit(f"{text}: {preferred}")).cast("int")
+
+    place = F.when(F.size(hits) > 1, fail("ambiguous channel"))
+    if required:
+        place = place.when(F.size(hits) < 1, fail("no supported channel"))
+    if finite_fraction is not None:
+        place = place.when((F.size(hits) == 1) & (finite_fraction < least_finite), fail("too few finite samples"))
+    return place.otherwise(F.get(hits, F.lit(0)))
+
+
+def free_segments(manifest: DataFrame, segment: str, free: str) -> DataFrame:
+    """Segments a manifest marks as free; running it fails on a repeated free segment or one that is also marked not free."""
+    per = manifest.filter(F.col(segment).isNotNull()).groupBy(segment).agg(
+        F.count_if(F.col(free)).alias("_free"), F.count_if(~F.col(free)).alias("_not")
+    ).filter(F.col("_free") > 0)
+    wrong = F.when(F.col("_free") > 1, F.lit("repeated free segment")).when(F.col("_not") > 0, F.lit("contradictory segment"))
+    return per.filter(F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean"))).select(segment)

@@ -64,9 +64,40 @@ def merge_shards(shards: list[DataFrame], expected: DataFrame, keys: list[str])
     return out
 
 
-def write_report(df: DataFrame, path: str, order: list[str]) -> None:
-    """A report (a summary, small by nature) as one ordered CSV file."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_bundle(df: DataFrame, path: str, values: str, mask: str, names: list[str], revision: str) -> None:
+    """A table of target and mask arrays with a sidecar that also names the targets; an error if an array has another length."""
+    whole = (F.size(values) == len(names)) & (F.size(mask) == len(names))
+    checked = df.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("array of another length")).cast("boolean")))
+    write_cache(checked, path, revision)
+    named = df.sparkSession.range(1).select(F.array(*[F.lit(n) for n in names]).alias("names"))
+    named.coalesce(1).write.mode("overwrite").json(f"{path}/names")
+
+
+def read_bundle(spark: SparkSession, path: str, revision: str) -> DataFrame:
+    """A bundle of :func:`write_bundle` plus ``target_names``."""
+    names = spark.read.json(f"{path}/names").first()["names"]
+    return read_cache(spark, path, revision).withColumn("target_names", F.array(*[F.lit(n) for n in names]))
+
+
+def write_channel_stats(stats: DataFrame, path: str) -> None:
+    """Normalisation statistics (one row per channel) as JSON lines."""
+    stats.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_channel_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics of :func:`write_channel_stats`; an error if a spread is not positive."""
+    stats = spark.read.schema("feature_name string, n long, n_excluded long, mean double, std double").json(path)
+    return stats.filter(
+        F.when(F.col("std") > 0, F.lit(True)).otherwise(F.raise_error(F.lit("spread is not positive")).cast("boolean"))
+    )
+
+
+def schema_rows(spark: SparkSession, columns: list[tuple[str, str]], window: str) -> DataFrame:
+    """One row per feature: ``feature_index, feature_name, unit, window``."""
+    return spark.createDataFrame(
+        [(i, name, unit, window) for i, (name, unit) in enumerate(columns)],
+        "feature_index int, feature_name string, unit string, window string",
+    )
 
 
 def markdown_table(df: DataFrame, order: list[str], max_rows: int = 200) -> str:

@@ -7,15 +7,15 @@ the shared folder.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from chronoward.session import ensure_checkpoint_dir
+from chronoward.session import scratch_folder
 
 
 def event_stream(spark: SparkSession, d: str, name: str = "events") -> DataFrame:
@@ -52,31 +52,54 @@ def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
     )
 
 
-def sustained_onsets(events: DataFrame, threshold: float, sustain: int) -> DataFrame:
-    """``user_id, onset_ts``: the time of each ``sustain``-th consecutive low value of a user.
+def followed_within(first: DataFrame, later: DataFrame, reach: str, delay: str) -> DataFrame:
+    """Pairs of a user's event and a later one within ``reach``: an interval join of two streams.
 
-    State per user: the current run length and the last time seen. Within a trigger a
-    user's events are ordered by time; earlier events that arrive in a later trigger
-    are dropped, as a run cannot be reopened.
+    Both sides have a watermark, so state older than ``reach`` plus ``delay`` is dropped.
     """
+    a = first.withWatermark("ts", delay).select(F.col("user_id").alias("user_a"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = later.withWatermark("ts", delay).select("user_id", F.col("event_id").alias("later_id"), F.col("ts").alias("later_ts"))
+    near = (F.col("user_a") == F.col("user_id")) & (F.col("later_ts") > F.col("first_ts")) & (
+        F.col("later_ts") <= F.col("first_ts") + F.expr(f"interval {reach}")
+    )
+    return a.join(b, near).select("user_id", "first_id", "later_id", "first_ts", "later_ts")
+
+
+def sustained_onsets(events: DataFrame, threshold: float, sustain: int, delay: str, idle: str) -> DataFrame:
+    """``user_id, onset_us``: the time of each ``sustain``-th consecutive low value of a user.
+
+    State per user: the current run length and the last time seen, dropped when the
+    watermark has passed the last event by ``idle`` (a run does not last over such a
+    pause). Within a trigger a user's events are ordered by time, so one trigger's
+    events of one user are held together: bound a trigger by the source's
+    ``maxFilesPerTrigger``. Earlier events that arrive in a later trigger are dropped,
+    as a run cannot be reopened.
+    """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         run, last = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
-        onsets = []
-        for t, low in zip(rows["t"], rows["value"] <= threshold, strict=True):
-            if t < last:
-                continue
-            run = run + 1 if low else 0
-            last = int(t)
-            if run == sustain:
-                onsets.append(last)
-        state.update((int(run), int(last)))
+        parts = [np.array([f["t"], f["event_id"], f["value"] <= threshold], dtype=np.int64) for f in frames]
+        t, order, low = np.concatenate(parts, axis=1)
+        sort = np.lexsort((order, t))
+        t, low = t[sort], low[sort]
+        low = low[t >= last]
+        t = t[t >= last]
+        at = np.arange(1, len(t) + 1)
+        reset = np.maximum.accumulate(np.where(low == 0, at, 0))
+        length = np.where(low == 1, at - reset + np.where(reset == 0, run, 0), 0)
+        if len(t):
+            state.update((int(length[-1]), int(t[-1])))
+            state.setTimeoutTimestamp(max(int(t[-1]) // 1000, state.getCurrentWatermarkMs()) + pause)
+        onsets = t[length == sustain]
         yield pd.DataFrame({"user_id": [key[0]] * len(onsets), "onset_us": onsets})
 
-    rows = events.select("user_id", "event_id", "value", F.unix_micros("ts").alias("t"))
+    rows = events.withWatermark("ts", delay).select("user_id", "event_id", "value", "ts", F.unix_micros("ts").alias("t"))
     return rows.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, onset_us long", "run int, last long", "append", "NoTimeout"
+        step, "user_id long, onset_us long", "run int, last long", "append", "EventTimeTimeout"
     )
 
 
@@ -86,8 +109,7 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     Complete mode rewrites the result at each trigger, append mode adds to it.
     """
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "stream")
     schema = stream.schema
 
     def write(batch: DataFrame, number: int) -> None:

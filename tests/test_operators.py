@@ -224,12 +224,26 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sk.markdown_table(df, ["id"]).splitlines()[2] == "| 1 | 2.0 |"
 
 
-def test_ambiguous_channel_is_an_error(spark):
-    df = spark.createDataFrame([(["HR", "ABP Mean"],), (["HR"],)], "n array<string>")
-    assert [r.c for r in df.select(rd.resolve_channel(F.col("n"), ["abp mean"]).alias("c")).collect()] == [1, None]
+def test_channels_by_alias(spark):
+    df = spark.createDataFrame([(["HR", "ART Mean"],), (["HR"],)], "n array<string>")
+    place = rd.resolve_channel(F.col("n"), "ABP Mean", rd.VITAL_ALIASES["ABP Mean"])
+    assert [r.c for r in df.select(place.alias("c")).collect()] == [1, None]
     bad = spark.createDataFrame([(["ABP Mean", "ABPMean"],)], "n array<string>")
     with pytest.raises(Exception, match="ambiguous"):
-        bad.select(rd.resolve_channel(F.col("n"), ["abp mean", "abpmean"])).collect()
+        bad.select(place).collect()
+    assert bad.select(rd.first_alias(F.col("n"), "ABP Mean", ["ABPMean"])).first()[0] == 0
+    with pytest.raises(Exception, match="no supported"):
+        df.select(rd.resolve_channel(F.col("n"), "RESP", [], required=True)).collect()
+    with pytest.raises(Exception, match="finite"):
+        df.select(rd.resolve_channel(F.col("n"), "HR", [], F.lit(0.2), 0.5)).collect()
+
+
+def test_manifest_of_free_segments(spark):
+    df = spark.createDataFrame([("a", True), ("b", False), ("c", None), (None, True)], "s string, f boolean")
+    assert [r.s for r in rd.free_segments(df, "s", "f").collect()] == ["a"]
+    for extra in (("a", True), ("a", False)):
+        with pytest.raises(Exception, match="segment"):
+            rd.free_segments(df.union(spark.createDataFrame([extra], df.schema)), "s", "f").collect()
 
 
 def test_forward_pairs_are_one_to_one(spark):
