@@ -1,7 +1,7 @@
 """Evaluation passages that leaked into training documents.
 
-Word n-grams of the test items, whole and with the middle word left out, are seeds: a
-document sharing one becomes a candidate for that item. N-grams found on many pages
+Word n-grams of the test items, whole or around one left-out word, are seeds: a
+document sharing a whole one or two of the others becomes a candidate for that item. N-grams found on many pages
 are stock text if several items share them or they are an item's tail only; they seed
 nothing, and an item's stock words do not count. A passage of one item stays a seed on
 any number of pages. Smith-Waterman alignment of the words around the seeds then
@@ -28,33 +28,42 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 40_000
 
 
-def gram_hashes(h: np.ndarray, doc: np.ndarray, size: int, gapped: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the n-grams of ``size`` words within documents; ``gapped`` leaves the middle word out.
+def gram_hashes(h: np.ndarray, doc: np.ndarray, size: int, hole: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the n-grams of ``size`` words within documents, around any word at ``hole`` (0: none).
 
     ``h`` are hashes of the words of all documents in order, ``doc`` the document of each.
     """
-    count = max(len(h) - size + 1, 0)
-    at = np.flatnonzero(doc[:count] == doc[size - 1 : size - 1 + count])
-    out = np.full(len(at), size + 64 * gapped, dtype=np.uint64)
+    span = size + (hole > 0)
+    count = max(len(h) - span + 1, 0)
+    at = np.flatnonzero(doc[:count] == doc[span - 1 : span - 1 + count])
+    out = np.full(len(at), size + 64 * hole, dtype=np.uint64)
     u = h.view(np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
-            if gapped and k == size // 2:
+        for k in range(span):
+            if hole and k == hole:
                 continue
             out = out * _MULTIPLIER + u[at + k]
             out ^= out >> np.uint64(29)
     return out.view(np.int64), at
 
 
+def holes_of(gram: int) -> list[int]:
+    """Where the seeds of ``gram`` words have their hole: nowhere, or before or after the middle word."""
+    return [0, *sorted({gram // 2, gram - gram // 2} - {0})]
+
+
 def item_grams_of(h: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, positions, gapped) of the n-grams of one item; an item of fewer words has one gram of all its words."""
+    """(hashes, positions, holes) of the n-grams of one item; an item of fewer words has one gram of all its words."""
     doc = np.zeros(len(h), dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64)
     if len(h) < gram:
-        hashes, at = gram_hashes(h, doc, len(h)) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return hashes, at, np.zeros(len(at), dtype=bool)
-    whole, at = gram_hashes(h, doc, gram)
-    holed, at2 = gram_hashes(h, doc, gram, gapped=True)
-    return np.concatenate([whole, holed]), np.concatenate([at, at2]), np.repeat([False, True], [len(at), len(at2)])
+        hashes, at = gram_hashes(h, doc, len(h)) if len(h) else (none, none)
+        return hashes, at, np.zeros(len(at), dtype=np.int64)
+    parts = [(*gram_hashes(h, doc, gram, hole), hole) for hole in holes_of(gram)]
+    return (
+        np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
+        np.repeat([p[2] for p in parts], [len(p[0]) for p in parts]),
+    )
 
 
 def align_pairs(items: list[np.ndarray], docs: list[np.ndarray], least: np.ndarray) -> np.ndarray:
@@ -187,9 +196,11 @@ def find_leaks(
     words that are not stock text (n-grams on more than ``stock_share`` of all pages
     that :func:`stock_positions` accepts), at least 7 in 10 covered words agree, and the
     score reaches a fifth of the item's words. Seeds are the item's n-grams of ``gram``
-    words, whole or without their middle word (of an item of fewer words, all its
-    words), so a copy with every third word exchanged still has one. Case, punctuation,
-    markup, entities and inserted references are ignored; exchanged words inside the
+    words, whole or around one exchanged word (:func:`holes_of`; of an item of fewer
+    words, all its words). One whole seed makes a candidate, or two different ones
+    around a word (one, if the item has fewer than four times ``gram`` words): a copy
+    with every fourth word exchanged has many of those. A copy whose exchanged words
+    leave neither is not found. Case, punctuation, markup, entities and inserted references are ignored; exchanged words inside the
     aligned stretch count as covered. Documents or items with null id or null or empty
     text match nothing; repeated rows count once; a null page counts as a page of its
     own document. No candidate is dropped: an alignment through a seed lies within twice
@@ -209,16 +220,16 @@ def find_leaks(
         for batch in batches:
             for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = numbers.hashes([text])[0]
-                grams, at, gapped = item_grams_of(h, gram)
+                grams, at, holes = item_grams_of(h, gram)
                 body = xxhash.xxh64_intdigest(h.tobytes()) >> 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * len(grams), pa.int64()), pa.array(at, pa.int32()), pa.array(gapped), pa.array(grams),
+                    [pa.array([i] * len(grams), pa.int64()), pa.array(at, pa.int32()), pa.array(holes, pa.int32()), pa.array(grams),
                      pa.array([body] * len(grams), pa.int64()), pa.array([len(h)] * len(grams), pa.int32())],
-                    names=["item_id", "pos", "gapped", "h", "body", "n_words"],
+                    names=["item_id", "pos", "hole", "h", "body", "n_words"],
                 )
 
     grams_of_items = checkpoint(
-        tests.mapInArrow(item_grams, "item_id long, pos int, gapped boolean, h long, body long, n_words int")
+        tests.mapInArrow(item_grams, "item_id long, pos int, hole int, h long, body long, n_words int")
     )
     wanted = grams_of_items.select("h").distinct()
     small = grams_of_items.count() <= max_broadcast_grams  # then the items' words are bounded too
@@ -235,8 +246,8 @@ def find_leaks(
         for batch in (part for b in batches for part in _parts(b)):
             h, doc = numbers.hashes(batch.column("text").to_pylist())
             first = np.searchsorted(doc, np.arange(batch.num_rows))
-            for size, gapped in [(gram, False), (gram, True), *((n, False) for n in short)]:
-                grams, at = gram_hashes(h, doc, size, gapped)
+            for size, hole in [*((gram, k) for k in holes_of(gram)), *((n, 0) for n in short)]:
+                grams, at = gram_hashes(h, doc, size, hole)
                 if shared.value is not None:
                     maybe = np.flatnonzero(may[grams & mask])
                     maybe = maybe[np.isin(grams[maybe], shared.value)]
@@ -260,7 +271,7 @@ def find_leaks(
         grams_of_items.join(spread, "h", "left").join(texts, "h")
         .groupBy("item_id", "n_words")
         .agg(F.sort_array(F.collect_list(
-            F.struct("gapped", "pos", "h", F.coalesce("pages", F.lit(0)).alias("pages"), "texts")
+            F.struct("hole", "pos", "h", F.coalesce("pages", F.lit(0)).alias("pages"), "texts")
         )).alias("grams"))
     )
 
@@ -268,36 +279,39 @@ def find_leaks(
         for batch in batches:
             out: list[tuple] = []
             for i, n, row in zip(*(batch.column(c).to_pylist() for c in ("item_id", "n_words", "grams")), strict=True):
-                seeds: list[int] = []
+                seeds: list[dict] = []
                 stock_at: set[int] = set()
-                for gapped in (False, True):
-                    part = [g for g in row if g["gapped"] == gapped]
+                for hole in holes_of(gram):
+                    part = [g for g in row if g["hole"] == hole]
                     if not part:
                         continue
                     stock = stock_positions(
                         np.array([g["pages"] for g in part]), np.array([g["texts"] for g in part]), limit,
-                        min(gram, n), stock_items, min_share,
+                        min(gram, n) + (hole > 0), stock_items, min_share,
                     )
-                    if not gapped:
+                    if not hole:
                         stock_at = {g["pos"] for g, off in zip(part, stock, strict=True) if off}
-                    seeds += [g["h"] for g, off in zip(part, stock, strict=True)
+                    seeds += [{"h": g["h"], "whole": not hole} for g, off in zip(part, stock, strict=True)
                               if g["pages"] and not off and g["pos"] not in stock_at]
                 out.append((i, n, sorted(stock_at), seeds))
             if out:
                 i, n, at, seeds = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int32())),
-                     pa.array(seeds, pa.list_(pa.int64()))],
+                     pa.array(seeds, pa.list_(pa.struct([("h", pa.int64()), ("whole", pa.bool_())])))],
                     names=["item_id", "n_words", "stock_pos", "seeds"],
                 )
 
-    judged = checkpoint(of_item.mapInArrow(judge, "item_id long, n_words int, stock_pos array<int>, seeds array<long>"))
-    seeds = judged.select("item_id", "n_words", F.explode("seeds").alias("h")).distinct()
+    judged = checkpoint(of_item.mapInArrow(judge, "item_id long, n_words int, stock_pos array<int>, seeds array<struct<h: long, whole: boolean>>"))
+    seeds = judged.select("item_id", "n_words", F.explode("seeds").alias("s")).select("item_id", "n_words", "s.*").distinct()
     if small:
         seeds = F.broadcast(seeds)
     candidates = checkpoint(
-        hits.select("doc_id", "pos", "h").distinct().join(seeds, "h")
-        .groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "n_words", "pos")).alias("at"))
+        hits.select("doc_id", "pos", "h").distinct().join(seeds, "h").groupBy("doc_id", "item_id", "n_words").agg(
+            F.collect_set("pos").alias("pos"), F.max("whole").alias("whole"), F.countDistinct("h").alias("n_seeds")
+        )
+        .filter(F.col("whole") | (F.col("n_seeds") > 1) | (F.col("n_words") < 4 * gram))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "pos")).alias("at"))
     )
     # texts of documents without a candidate are never shuffled
     ids = candidates.select("doc_id")
@@ -314,11 +328,9 @@ def find_leaks(
             out: list[tuple] = []
             for k, (d, at) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), strict=True)):
                 own = (h[first[k] : first[k + 1]] & 0x7FFFFFFF).astype(np.int32)
-                by_item: dict[tuple[int, int], list[int]] = {}
                 for hit in at:
-                    by_item.setdefault((hit["item_id"], hit["n_words"]), []).append(hit["pos"])
-                for (i, n), spots in by_item.items():
-                    out += [(d, i, own[a:b]) for a, b in windows_of(np.sort(spots), 2 * n + gram, len(own))]
+                    reach = 2 * hit["n_words"] + gram + 1
+                    out += [(d, hit["item_id"], own[a:b]) for a, b in windows_of(np.sort(hit["pos"]), reach, len(own))]
             if out:
                 d, i, own = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(

@@ -88,11 +88,10 @@ def assign_splits(
     rows = rows.filter("id is not null").distinct()
     names = [f"e{i}" for i in range(len(entities))]
     head = F.coalesce(*names, F.concat(F.lit("r:"), F.col("id").cast("string")))
-    pairs = rows.select(head.alias("u"), F.explode(F.array_compact(F.array(head, *names))).alias("v")).distinct()
     # a record seen in several rows ties all its entities together
     per_record = rows.groupBy("id").agg(F.min(head).alias("u"))
-    more = rows.select("id", F.explode(F.array_compact(F.array(*names))).alias("v")).join(per_record, "id").select("u", "v")
-    components = connected_components(pairs.union(more).distinct())
+    edges = rows.withColumn("v", F.explode(F.array_compact(F.array(head, *names)))).join(per_record, "id").select("u", "v")
+    components = connected_components(edges.distinct())
     total = sum(p for _, p in proportions)
     digits = F.substring(F.md5(F.concat(F.col("component"), F.lit(f"#{seed}"))), 1, 8)
     x = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32))
