@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoward.llm.text_clean import WordNumbers, words
+from chronoward.llm.text_clean import shared_numbers
 from chronoward.session import broadcast_if_small, checkpoint
 
 Batches = Iterator[pa.RecordBatch]
@@ -92,8 +92,8 @@ def _groups(items, docs, chosen):
         while hi < len(chosen) and (hi + 1 - lo) * (len(docs[chosen[hi]]) + 1) <= _CELLS:
             hi += 1
         group = chosen[lo:hi]
-        a = np.full((len(group), max(len(items[i]) for i in group)), -1, dtype=np.int64)
-        b = np.full((len(group), max(len(docs[i]) for i in group)), -2, dtype=np.int64)
+        a = np.full((len(group), max(len(items[i]) for i in group)), -1, dtype=np.int32)
+        b = np.full((len(group), max(len(docs[i]) for i in group)), -2, dtype=np.int32)
         for row, i in enumerate(group):
             a[row, : len(items[i])] = items[i]
             b[row, : len(docs[i])] = docs[i]
@@ -174,15 +174,20 @@ def stock_positions(
     return stock
 
 
-def windows_of(positions: np.ndarray, reach: int, length: int) -> list[tuple[int, int]]:
-    """Stretches of a text of ``length`` words that hold every alignment through one of the sorted ``positions``.
+def windows_of(starts: np.ndarray, item_words: int, length: int, least_share: float = 0.2) -> list[tuple[int, int]]:
+    """Stretches of a text of ``length`` words that hold every alignment through a seed.
 
-    Seeds more than ``reach`` words apart lie in different stretches.
+    ``starts`` are where the item would begin if it went on around the seed unchanged. An
+    alignment of score at least ``least_share`` of the item's words has at most the rest
+    of them as gaps, so it lies within that many words of the item's place; places that
+    overlap make one stretch.
     """
-    cut = np.flatnonzero(np.diff(positions) > reach)
-    first = positions[np.r_[0, cut + 1]]
-    last = positions[np.r_[cut, len(positions) - 1]]
-    return [(max(0, int(a) - reach), min(length, int(b) + reach)) for a, b in zip(first, last, strict=True)]
+    gaps = int((1.0 - least_share) * item_words) + 1
+    starts = np.sort(starts)
+    cut = np.flatnonzero(np.diff(starts) > item_words + 2 * gaps)
+    first = starts[np.r_[0, cut + 1]]
+    last = starts[np.r_[cut, len(starts) - 1]]
+    return [(max(0, int(a) - gaps), min(length, int(b) + item_words + gaps)) for a, b in zip(first, last, strict=True)]
 
 
 def find_leaks(
@@ -203,8 +208,8 @@ def find_leaks(
     leave neither is not found. Case, punctuation, markup, entities and inserted references are ignored; exchanged words inside the
     aligned stretch count as covered. Documents or items with null id or null or empty
     text match nothing; repeated rows count once; a null page counts as a page of its
-    own document. No candidate is dropped: an alignment through a seed lies within twice
-    the item's words of it, and those words are aligned.
+    own document. No candidate is dropped, and every alignment that could be reported
+    lies within the words that are aligned (:func:`windows_of`).
     """
     docs = documents.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
@@ -216,7 +221,7 @@ def find_leaks(
     ).filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
 
     def item_grams(batches: Batches) -> Batches:
-        numbers = WordNumbers()
+        numbers = shared_numbers()
         for batch in batches:
             for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = numbers.hashes([text])[0]
@@ -238,7 +243,7 @@ def find_leaks(
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def doc_grams(batches: Batches) -> Batches:
-        numbers = WordNumbers()
+        numbers = shared_numbers()
         mask = (1 << 20) - 1
         if shared.value is not None:
             may = np.zeros(mask + 1, dtype=bool)
@@ -291,27 +296,28 @@ def find_leaks(
                     )
                     if not hole:
                         stock_at = {g["pos"] for g, off in zip(part, stock, strict=True) if off}
-                    seeds += [{"h": g["h"], "whole": not hole} for g, off in zip(part, stock, strict=True)
+                    seeds += [{"h": g["h"], "whole": not hole, "at": g["pos"]} for g, off in zip(part, stock, strict=True)
                               if g["pages"] and not off and g["pos"] not in stock_at]
                 out.append((i, n, sorted(stock_at), seeds))
             if out:
                 i, n, at, seeds = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(i, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int32())),
-                     pa.array(seeds, pa.list_(pa.struct([("h", pa.int64()), ("whole", pa.bool_())])))],
+                     pa.array(seeds, pa.list_(pa.struct([("h", pa.int64()), ("whole", pa.bool_()), ("at", pa.int32())])))],
                     names=["item_id", "n_words", "stock_pos", "seeds"],
                 )
 
-    judged = checkpoint(of_item.mapInArrow(judge, "item_id long, n_words int, stock_pos array<int>, seeds array<struct<h: long, whole: boolean>>"))
+    judged = checkpoint(of_item.mapInArrow(judge, "item_id long, n_words int, stock_pos array<int>, seeds array<struct<h: long, whole: boolean, at: int>>"))
     seeds = judged.select("item_id", "n_words", F.explode("seeds").alias("s")).select("item_id", "n_words", "s.*").distinct()
     if small:
         seeds = F.broadcast(seeds)
     candidates = checkpoint(
         hits.select("doc_id", "pos", "h").distinct().join(seeds, "h").groupBy("doc_id", "item_id", "n_words").agg(
-            F.collect_set("pos").alias("pos"), F.max("whole").alias("whole"), F.countDistinct("h").alias("n_seeds")
+            F.collect_set(F.col("pos") - F.col("at")).alias("starts"), F.max("whole").alias("whole"),
+            (F.min("h") != F.max("h")).alias("several"),
         )
-        .filter(F.col("whole") | (F.col("n_seeds") > 1) | (F.col("n_words") < 4 * gram))
-        .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "pos")).alias("at"))
+        .filter(F.col("whole") | F.col("several") | (F.col("n_words") < 4 * gram))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_words", "starts")).alias("at"))
     )
     # texts of documents without a candidate are never shuffled
     ids = candidates.select("doc_id")
@@ -321,7 +327,7 @@ def find_leaks(
     )
 
     def cut_windows(batches: Batches) -> Batches:
-        numbers = WordNumbers()
+        numbers = shared_numbers()
         for batch in (part for b in batches for part in _parts(b, 200)):
             h, doc = numbers.hashes(batch.column("text").to_pylist())
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
@@ -329,8 +335,8 @@ def find_leaks(
             for k, (d, at) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), strict=True)):
                 own = (h[first[k] : first[k + 1]] & 0x7FFFFFFF).astype(np.int32)
                 for hit in at:
-                    reach = 2 * hit["n_words"] + gram + 1
-                    out += [(d, hit["item_id"], own[a:b]) for a, b in windows_of(np.sort(hit["pos"]), reach, len(own))]
+                    spans = windows_of(np.array(hit["starts"]), hit["n_words"], len(own))
+                    out += [(d, hit["item_id"], own[a:b]) for a, b in spans if b > a]
             if out:
                 d, i, own = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -339,7 +345,7 @@ def find_leaks(
                 )
 
     def passages_of(batches: Batches) -> Batches:
-        numbers = WordNumbers()
+        numbers = shared_numbers()
         for batch in batches:
             out = []
             for text, stock_at in zip(batch.column("text").to_pylist(), batch.column("stock_pos").to_pylist(), strict=True):

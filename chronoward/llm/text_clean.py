@@ -45,8 +45,8 @@ def plain_text(text: str) -> str:
         out = _URL_LINK.sub(r"\1", out)
     if "&" in out:
         out = html.unescape(out)
-    if "''" in out:
-        out = _QUOTES.sub("", out)
+    if "''" in out:  # runs of two or three signs need no pattern
+        out = _QUOTES.sub("", out) if "''''" in out else out.replace("'''", "").replace("''", "")
     return out if out.isascii() else _INVISIBLE.sub("", out)
 
 
@@ -63,51 +63,63 @@ _BETWEEN = "[]|<>{}=().,;:/\"#?!*+-_&%~^\\`@$"
 _BETWEEN_WIDE = "“”„«»‹›–—…·•‘¡¿"
 
 
-class WordNumbers:
-    """64-bit hashes of the :func:`words` of many texts, each spelling looked at once."""
+class WordNumbers(dict):
+    """64-bit hashes of the :func:`words` of many texts, each spelling looked at once.
+
+    Spelling -> number of its word; -1 if it holds none, -2 if it holds several.
+    """
 
     LIMIT = 400_000
 
     def __init__(self) -> None:
-        self._number: dict[str, int] = {}
+        super().__init__()
         self._new: list[int] = []
         self._table = np.zeros(0, dtype=np.int64)
 
-    def _of(self, token: str) -> int:
-        """Number of a token of one word; -1 if it holds none, -2 if it holds several."""
+    def __missing__(self, token: str) -> int:
         found = (_WORD if "'" in token or "’" in token else _PLAIN_WORD).findall(token)
         number = len(self._table) + len(self._new) if len(found) == 1 else -1 if not found else -2
         if number >= 0:
             self._new.append(xxhash.xxh64_intdigest(found[0]) - (1 << 63))
-        self._number[token] = number
+        self[token] = number
         return number
 
-    def _numbers(self, tokens: list[str]) -> np.ndarray:
-        get = self._number.get
-        return np.array([n if (n := get(t)) is not None else self._of(t) for t in tokens], dtype=np.int64)
-
     def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words in order, text of each word); null texts have no words."""
-        if len(self._number) > self.LIMIT:
-            self._number, self._table = {}, self._table[:0]
-        parts: list[np.ndarray] = []
+        if len(self) > self.LIMIT:
+            self.clear()
+            self._table = self._table[:0]
+        look_up = self.__getitem__
+        numbers: list[int] = []
+        sizes: list[int] = []
         for text in texts:
-            if not text:
-                parts.append(np.zeros(0, dtype=np.int64))
-                continue
-            plain = plain_text(text).lower()
-            for sign in _BETWEEN:
-                plain = plain.replace(sign, " ")
-            if not plain.isascii():
-                for sign in _BETWEEN_WIDE:
+            before = len(numbers)
+            if text:
+                plain = plain_text(text).lower()
+                for sign in _BETWEEN:
                     plain = plain.replace(sign, " ")
-            tokens = plain.split()
-            numbers = self._numbers(tokens)
-            if (numbers == -2).any():
-                numbers = self._numbers([w for t in tokens for w in (_WORD if "'" in t or "’" in t else _PLAIN_WORD).findall(t)])
-            parts.append(numbers[numbers >= 0])
+                if not plain.isascii():
+                    for sign in _BETWEEN_WIDE:
+                        plain = plain.replace(sign, " ")
+                tokens = plain.split()
+                own = list(map(look_up, tokens))
+                if -2 in own:
+                    pattern = _WORD if "'" in plain or "’" in plain else _PLAIN_WORD
+                    own = [look_up(w) for t, n in zip(tokens, own, strict=True) for w in (pattern.findall(t) if n == -2 else (t,))]
+                numbers += own
+            sizes.append(len(numbers) - before)
         if self._new:
             self._table = np.concatenate([self._table, np.array(self._new, dtype=np.int64)])
             self._new = []
-        text_of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-        return self._table[np.concatenate([*parts, np.zeros(0, dtype=np.int64)])], text_of
+        number = np.array(numbers, dtype=np.int64)
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        some = number >= 0
+        return self._table[number[some]], text_of[some]
+
+
+_NUMBERS = WordNumbers()
+
+
+def shared_numbers() -> WordNumbers:
+    """The words this Python worker has met in any task, bounded by ``LIMIT``."""
+    return _NUMBERS
