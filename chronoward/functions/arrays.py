@@ -122,17 +122,56 @@ def poincare(arr: Column, min_pairs: int = 20) -> Column:
     return F.when(F.size(arr) > min_pairs, bind(both, axes))
 
 
+def quantile(arr: Column, p: float) -> Column:
+    """Linearly interpolated quantile."""
+    at = F.lit(float(p)) * (F.size(arr) - 1)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    return bind(F.array_sort(arr), lambda s: F.get(s, low) + (F.get(s, high) - F.get(s, low)) * (at - low))
+
+
+def iqr(arr: Column) -> Column:
+    """Interquartile range."""
+    return quantile(arr, 0.75) - quantile(arr, 0.25)
+
+
+def variation_coefficient(arr: Column, least: int = 3) -> Column:
+    """Standard deviation over the magnitude of the mean; null for few values or a vanishing mean."""
+    return bind(mean(arr), lambda m: F.when((F.size(arr) >= least) & (F.abs(m) >= 1e-8), std(arr) / F.abs(m)))
+
+
+def relative_variation(arr: Column) -> Column:
+    """Range in percent of the middle of the range; null for fewer than two values or a vanishing middle."""
+    low, high = F.array_min(arr), F.array_max(arr)
+    middle = (high + low) / 2.0
+    return F.when((F.size(arr) >= 2) & (F.abs(middle) >= 1e-8), 100.0 * (high - low) / F.abs(middle))
+
+
+def peak_variation(arr: Column) -> Column:
+    """Range in percent of the magnitude of the greatest value."""
+    low, high = F.array_min(arr), F.array_max(arr)
+    return F.when((F.size(arr) >= 2) & (F.abs(high) >= 1e-8), 100.0 * (high - low) / F.abs(high))
+
+
+def longest_true_span(arr: Column, test) -> Column:
+    """Struct (start, end exclusive) of the first longest run of values for which ``test`` holds; null if none does."""
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "now", "best", "stop")])
+
+    def step(acc: Column, x: Column) -> Column:
+        now = F.when(test(x), acc["now"] + 1).otherwise(0)
+        longer = now > acc["best"]
+        return F.struct(
+            (acc["at"] + 1).alias("at"), now.alias("now"), F.when(longer, now).otherwise(acc["best"]).alias("best"),
+            F.when(longer, acc["at"] + 1).otherwise(acc["stop"]).alias("stop"),
+        )
+
+    return F.aggregate(arr, zero, step, lambda acc: F.when(
+        acc["best"] > 0, F.struct((acc["stop"] - acc["best"]).alias("start"), acc["stop"].alias("end"))
+    ))
+
+
 def longest_true_run(arr: Column, test) -> Column:
     """Length of the longest run of values for which ``test`` holds."""
-    return F.aggregate(
-        arr,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda acc, x: F.struct(
-            F.when(test(x), acc["now"] + 1).otherwise(0).alias("now"),
-            F.greatest(acc["best"], F.when(test(x), acc["now"] + 1).otherwise(0)).alias("best"),
-        ),
-        lambda acc: acc["best"],
-    )
+    return bind(longest_true_span(arr, test), lambda s: F.coalesce(s["end"] - s["start"], F.lit(0)))
 
 
 def zero_crossings(arr: Column) -> Column:

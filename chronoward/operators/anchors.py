@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from chronoward.operators.ordered_scan import running_sums
 
 
-def anchor_grid(extents: DataFrame, first: Column, last: Column, stride: int) -> DataFrame:
-    """``extents`` exploded to ``anchor`` = first, first + stride, ... up to last; none if last < first."""
-    return extents.filter(last >= first).withColumn(
+def anchor_grid(extents: DataFrame, first: Column, last: Column, stride: int, min_count: int = 1) -> DataFrame:
+    """``extents`` exploded to ``anchor`` = first, first + stride, ... up to last; none if there are under ``min_count``."""
+    return extents.filter(last >= first + (min_count - 1) * stride).withColumn(
         "anchor", F.explode(F.sequence(first.cast("long"), last.cast("long"), F.lit(stride).cast("long")))
     )
 
@@ -152,6 +152,21 @@ def stratified_sample(df: DataFrame, strata: list[str], id_column: str, size: in
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size).drop("_n")
 
 
+def apply_splits(df: DataFrame, splits: DataFrame, entity: str) -> DataFrame:
+    """``df`` with its entity's ``split_label``; the query fails for an entity without one."""
+    labels = require_unique(splits.select(entity, "split_label"), [entity])
+    found = df.join(labels, entity, "left")
+    label = F.when(F.col("split_label").isNotNull(), F.col("split_label")).otherwise(F.raise_error(F.lit(f"no split for {entity}")))
+    return found.withColumn("split_label", label)
+
+
+def top_per_group(df: DataFrame, group: list[str], order: list[str], n: int, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group in a total order: of hashed parts of it first, then of their best."""
+    best = Window.partitionBy(*group, "_part").orderBy(*order)
+    some = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts))).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= n)
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_n") <= n).drop("_n", "_part")
+
+
 def grouped_batches(df: DataFrame, group: str, row_id: str, batch: int) -> DataFrame:
     """``df`` plus ``batch_id``: rows of a group in hash order, cut into batches."""
     w = Window.partitionBy(group).orderBy(hash_unit(F.col(row_id)), row_id)

@@ -91,3 +91,14 @@ def safe_ratio(numerator: Column, denominator: Column) -> Column:
 def agreement(a: Column, b: Column) -> Column:
     """1 / (1 + |a - b| / 10)."""
     return 1.0 / (1.0 + F.abs(a - b) / 10.0)
+
+
+def shock_family(hr: Column, sbp: Column, dbp: Column, mean_pressure: Column) -> dict[str, Column]:
+    """Fixed set of derived features: three rate-to-pressure ratios and two margins."""
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(F.abs(b) > 1e-8, a / b)
+
+    return {
+        "shock_index": ratio(hr, sbp), "modified_shock_index": ratio(hr, mean_pressure), "diastolic_shock_index": ratio(hr, dbp),
+        "map_margin_65": mean_pressure - 65.0, "sbp_margin_90": sbp - 90.0,
+    }

@@ -70,14 +70,21 @@ def nearest_distance(left: DataFrame, right: DataFrame, reach: int) -> DataFrame
     return hit.groupBy("_row", *names).agg(F.min(F.when(F.col("_d") <= reach, F.col("_d"))).alias("distance")).drop("_row")
 
 
-def count_earlier(asked: DataFrame, rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep..., n``: for each of ``asked(label, at, keep...)`` the rows of ``rows(label, at)`` of its label with a lesser ``at``.
+def sums_earlier(asked: DataFrame, rows: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """``keep..., columns...``: sums over the rows of ``rows(label, at, columns...)`` of a question's label with a lesser ``at``.
 
-    One range sort of both sides with running counts; no label is joined all against all.
+    ``asked`` has ``label, at, keep...``; the columns are whole numbers without nulls.
+    One range sort of both sides with running sums; no label is joined all against all.
     """
-    both = asked.select("label", "at", *keep, F.lit(0).cast("long").alias("one")).unionByName(
-        rows.select("label", "at", F.lit(1).cast("long").alias("one")), allowMissingColumns=True
+    zero = [F.lit(0).cast("long").alias(c) for c in columns]
+    both = asked.select("label", "at", *keep, *zero, F.lit(0).alias("_row")).unionByName(
+        rows.select("label", "at", *columns, F.lit(1).alias("_row")), allowMissingColumns=True
     )
     # at equal times the question comes first
-    counted = running_sums(both, "label", ["at", "one"], ["one"])
-    return counted.filter("one = 0").select(*keep, F.col("before_one").alias("n"))
+    counted = running_sums(both, "label", ["at", "_row"], columns)
+    return counted.filter("_row = 0").select(*keep, *[F.col(f"before_{c}").alias(c) for c in columns])
+
+
+def count_earlier(asked: DataFrame, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep..., n``: for each of ``asked(label, at, keep...)`` the rows of ``rows(label, at)`` of its label with a lesser ``at``."""
+    return sums_earlier(asked, rows.withColumn("n", F.lit(1).cast("long")), keep, ["n"])
