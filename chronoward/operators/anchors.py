@@ -168,9 +168,12 @@ def top_per_group(df: DataFrame, group: list[str], order: list[str], n: int, par
 
 
 def grouped_batches(df: DataFrame, group: str, row_id: str, batch: int) -> DataFrame:
-    """``df`` plus ``batch_id``: rows of a group in hash order, cut into batches."""
-    w = Window.partitionBy(group).orderBy(hash_unit(F.col(row_id)), row_id)
-    return df.withColumn("batch_id", F.floor((F.row_number().over(w) - 1) / batch).cast("long"))
+    """``df`` plus ``batch_id``: rows of a group in hash order, cut into batches; a group may fill many tasks."""
+    rows = df.withColumns({
+        "_label": F.coalesce(F.col(group).cast("string"), F.lit("\u0000")), "_unit": hash_unit(F.col(row_id)), "_one": F.lit(1).cast("long"),
+    })
+    placed = running_sums(rows, "_label", ["_unit", row_id], ["_one"])
+    return placed.withColumn("batch_id", F.floor(F.col("before__one") / batch).cast("long")).drop("_label", "_unit", "_one", "before__one")
 
 
 def balanced_shards(work: DataFrame, key: str, cost: str, shards: int) -> DataFrame:

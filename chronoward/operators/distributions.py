@@ -216,30 +216,50 @@ def correlations(wide: DataFrame, columns: list[str], least: int = 5) -> DataFra
     return one.select(F.explode(rows).alias("x")).select("x.*").filter(F.col("n") >= least)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    """The Yeo-Johnson power transform for one exponent."""
-    up = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1.0, F.lit(lam)) - 1.0) / lam
-    low = -F.log1p(-x) if abs(lam - 2) < 1e-12 else -(F.pow(1.0 - x, F.lit(2.0 - lam)) - 1.0) / (2.0 - lam)
+def yeo_johnson(x: Column, lam: Column) -> Column:
+    """The Yeo-Johnson power transform."""
+    up = F.when(F.abs(lam) < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+    low = F.when(F.abs(lam - 2.0) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, 2.0 - lam) - 1.0) / (2.0 - lam))
     return F.when(x >= 0, up).otherwise(low)
 
 
-def power_fit(df: DataFrame, keys: list[str], value: str, exponents: list[float]) -> DataFrame:
-    """``keys..., exponent, log_likelihood``: the best exponent of the grid, in one aggregation.
+def box_cox(x: Column, lam: Column) -> Column:
+    """The Box-Cox power transform of positive values."""
+    return F.when(F.abs(lam) < 1e-9, F.ln(x)).otherwise((F.pow(x, lam) - 1.0) / lam)
 
-    Profile log likelihood of a normal after the Yeo-Johnson transform; ties go to
-    the smaller exponent. Null and NaN values are ignored.
+
+#: Power transforms: which values they take, the transform, and what the Jacobian adds per unit of the exponent.
+TRANSFORMS = {
+    "yeo_johnson": (lambda x: F.lit(True), yeo_johnson, lambda x: F.signum(x) * F.log1p(F.abs(x))),
+    "box_cox": (lambda x: x > 0, box_cox, F.ln),
+}
+
+
+def power_fit(df: DataFrame, keys: list[str], value: str, kind: str, coarse: list[float], fine: list[float]) -> DataFrame:
+    """``keys..., exponent, log_likelihood``: the exponent of the greatest profile likelihood, in two aggregations.
+
+    The normal likelihood after the transform ``kind`` is tried at the ``coarse``
+    exponents, then at the best one plus each of the ``fine`` steps (to two decimals).
+    Ties go to the smaller exponent. Null and NaN values, and for Box-Cox values that
+    are not positive, are ignored.
     """
+    takes, transform, jacobian = TRANSFORMS[kind]
     x = F.col(value)
-    rows = df.filter(x.isNotNull() & ~F.isnan(x))
-    jacobian = F.sum(F.signum(x) * F.log1p(F.abs(x)))
-    agg = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), jacobian.alias("_j"),
-        *[F.var_pop(yeo_johnson(x, e)).alias(f"_v{i}") for i, e in enumerate(exponents)],
-    )
-    fits = F.array(*[
-        F.struct((-F.col("_n") / 2.0 * F.ln(F.greatest(F.col(f"_v{i}"), F.lit(1e-300))) + (e - 1.0) * F.col("_j")).alias("l"),
-                 F.lit(-e).alias("e"))
-        for i, e in enumerate(exponents)
-    ])
-    best = agg.select(*keys, F.array_max(fits).alias("b"))
-    return best.select(*keys, (-F.col("b.e")).alias("exponent"), F.col("b.l").alias("log_likelihood"))
+    rows = df.filter(x.isNotNull() & ~F.isnan(x)).filter(takes(x)).select(*keys, x.alias(value))
+
+    def best(data: DataFrame, exponents: list[Column], more: list[str]) -> DataFrame:
+        agg = data.groupBy(*keys, *more).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum(jacobian(x)).alias("_j"),
+            *[F.var_pop(transform(x, e)).alias(f"_v{i}") for i, e in enumerate(exponents)],
+        )
+        fits = F.array(*[
+            F.struct((-F.col("_n") / 2.0 * F.ln(F.greatest(F.col(f"_v{i}"), F.lit(1e-300))) + (e - 1.0) * F.col("_j")).alias("l"),
+                     (-e).alias("e"))
+            for i, e in enumerate(exponents)
+        ])
+        top = agg.select(*keys, F.array_max(fits).alias("b"))
+        return top.select(*keys, (-F.col("b.e")).alias("exponent"), F.col("b.l").alias("log_likelihood"))
+
+    first = settled_side(best(rows, [F.lit(float(e)) for e in coarse], []).select(*keys, F.col("exponent").alias("_e")))
+    near = rows.join(first, keys)
+    return best(near, [F.round(F.col("_e") + step, 2) for step in fine], ["_e"])

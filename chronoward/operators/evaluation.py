@@ -6,10 +6,14 @@ before anything is resampled or ranked.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoward.operators.ordered_scan import running_maximum, running_sums
+from chronoward.operators.ordered_scan import Batches, partition_summaries, range_sorted, rescan, running_maximum, running_sums
 from chronoward.session import settled_side
 
 
@@ -275,26 +279,126 @@ def paired_permutation(
     return per.select(*by, "observed", ((1 + extreme) / (replicates + 1)).alias("p_value"), F.size("_m").alias("n_replicates"))
 
 
+#: Fixed value: modulus of the arithmetic hash that draws resampling weights.
+_MODULUS = 1000003
+#: Distribution function of Poisson(1) at 0 to 4.
+_POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015)
+
+
+def _times(key: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Rows x replicates: how often each key is drawn, as :func:`replicate_counts` draws it."""
+    inner = (key[:, None] % _MODULUS) * (1103515245 % _MODULUS) + np.arange(1, replicates + 1)[None, :] * 12345 + seed
+    u = ((inner % _MODULUS) * 69069 + 1) % _MODULUS / float(_MODULUS)
+    return np.searchsorted(np.array(_POISSON), u, side="right")
+
+
+@dataclass
+class _Sweep:
+    """A falling sweep over scores for every replicate at once: counts before, and the level that is still open."""
+
+    tp: np.ndarray
+    fp: np.ndarray
+    score: float | None = None
+    pos: np.ndarray | None = None
+    neg: np.ndarray | None = None
+
+    def closed(self) -> _Sweep:
+        """The state once the open level has ended."""
+        return self if self.score is None else _Sweep(self.tp + self.pos, self.fp + self.neg)
+
+
+def _sweep(batches: Batches, state: _Sweep, replicates: int, seed: int, ended) -> _Sweep:
+    """Read rows (score falling, key, p, q); call ``ended(state)`` for each level that ends; the state at the end."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4000):
+            part = batch.slice(lo, 4000)
+            score = part.column("score").to_numpy()
+            times = _times(part.column("_k").to_numpy(), replicates, seed)
+            starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+            pos = np.add.reduceat(times * part.column("p").to_numpy()[:, None], starts, axis=0)
+            neg = np.add.reduceat(times * part.column("q").to_numpy()[:, None], starts, axis=0)
+            for k, value in enumerate(score[starts]):
+                if state.score is not None and value == state.score:
+                    state = _Sweep(state.tp, state.fp, state.score, state.pos + pos[k], state.neg + neg[k])
+                    continue
+                if state.score is not None:
+                    ended(state)
+                before = state.closed()
+                state = _Sweep(before.tp, before.fp, float(value), pos[k], neg[k])
+    return state
+
+
 def bootstrap_ranking(
-    df: DataFrame, key: str, label: Column, score: Column, replicates: int, seed: int = 41, sensitivity: float = 0.85
+    df: DataFrame, key: str, label: Column, score: Column, replicates: int, seed: int = 41
 ) -> DataFrame:
-    """Percentile intervals of AUROC and AUPRC over resampled clusters.
+    """Percentile intervals of AUROC and AUPRC over resampled clusters (``key``, whole numbers).
 
-    Rows are reduced to counts per cluster and distinct score before the resample;
-    replicates with one class only are left out.
+    Rows are counted per score and cluster and range-sorted once; every task sweeps its
+    part of the scores for all replicates together, so no row is ever repeated per
+    replicate. One vector of counts per partition reaches the driver. Replicates with
+    one class only are left out.
     """
     per = (
-        df.select(F.col(key).alias("_k"), score.cast("double").alias("score"), label.cast("boolean").alias("y"))
-        .filter("score is not null and y is not null")
+        df.select(F.col(key).cast("long").alias("_k"), score.cast("double").alias("score"), label.cast("boolean").alias("y"))
+        .filter("_k is not null and score is not null and y is not null and not isnan(score)")
         .groupBy("_k", "score").agg(F.count_if(F.col("y")).alias("p"), F.count_if(~F.col("y")).alias("q"))
     )
-    weights = replicate_counts(per.select("_k").distinct(), "_k", replicates, seed).filter("times > 0")
-    levels = per.join(weights, "_k").groupBy(F.col("replicate").cast("string").alias("g"), "score").agg(
-        F.sum(F.col("p") * F.col("times")).alias("pos"), F.sum(F.col("q") * F.col("times")).alias("neg")
-    )
-    run = running_sums(levels.withColumn("falling", -F.col("score")), "g", ["falling"], ["pos", "neg"])
-    m = ranking_metrics(run, sensitivity).filter("auroc is not null")
-    long = m.select(F.explode(F.array(
+    ordered = range_sorted(per.withColumn("falling", -F.col("score")), ["falling", "_k"])
+    zero = np.zeros(replicates, dtype=np.int64)
+
+    def summarise(batches: Batches, _) -> tuple | None:
+        first: list[float] = []
+
+        def looked(rows: Batches) -> Batches:
+            for batch in rows:
+                if batch.num_rows:
+                    first.append(batch.column("score")[0].as_py())
+                    del first[1:]
+                    yield batch
+
+        end = _sweep(looked(batches), _Sweep(zero, zero), replicates, seed, lambda state: None)
+        return (first[0], end) if first else None
+
+    parts = partition_summaries(ordered, summarise)
+    state, before, pids = _Sweep(zero, zero), {}, sorted(parts)
+    for place, pid in enumerate(pids):
+        first, end = parts[pid]
+        goes_on = place + 1 < len(pids) and parts[pids[place + 1]][0] == end.score
+        joins = state.score is not None and state.score == first
+        base = state if joins else state.closed()  # a level that does not go on was counted where it ended
+        before[pid] = (base, goes_on)
+        if joins and end.score == first:  # one level fills the partition
+            state = _Sweep(state.tp, state.fp, first, state.pos + end.pos, state.neg + end.neg)
+        else:
+            more = (state.pos, state.neg) if joins else (zero, zero)
+            state = _Sweep(base.tp + more[0] + end.tp, base.fp + more[1] + end.fp, end.score, end.pos, end.neg)
+    totals = state.closed()
+    given = {pid: (*entry, totals.tp, totals.fp) for pid, entry in before.items()}
+
+    def measure(batches: Batches, known) -> Batches:
+        if known is None:
+            return
+        start, goes_on, m, n = known
+        area, precision = np.zeros(replicates), np.zeros(replicates)
+
+        def ended(level: _Sweep) -> None:
+            nonlocal area, precision
+            area = area + level.pos * (n - level.fp - level.neg / 2.0)
+            tp, fp = level.tp + level.pos, level.fp + level.neg
+            precision = precision + level.pos * tp / np.maximum(tp + fp, 1)
+
+        end = _sweep(batches, start, replicates, seed, ended)
+        if end.score is not None and not goes_on:
+            ended(end)
+        both = (m > 0) & (n > 0)
+        at = np.flatnonzero(both)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at), pa.array(area[at] / (m[at] * n[at])), pa.array(precision[at] / m[at])], names=["replicate", "auroc", "auprc"]
+        )
+
+    shares = rescan(ordered, given, measure, "replicate long, auroc double, auprc double")
+    each = shares.groupBy("replicate").agg(F.sum("auroc").alias("auroc"), F.sum("auprc").alias("auprc"))
+    long = each.select(F.explode(F.array(
         F.struct(F.lit("auroc").alias("metric"), F.col("auroc").alias("v")),
         F.struct(F.lit("auprc").alias("metric"), F.col("auprc").alias("v")),
     )).alias("x")).select("x.*")

@@ -59,9 +59,9 @@ def target_match_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct anchors whose segment has an ABP timeline."""
+    """Distinct anchors whose segment has a timeline of any channel."""
     a = table(spark, d, "feature_cache").select("anchor_id", "segment_id").distinct()
-    t = table(spark, d, "minute_timeline").filter("channel_name = 'ABP Mean'").select("segment_id")
+    t = table(spark, d, "minute_timeline").select("segment_id")
     return a.join(t, "segment_id", "left_semi").select("anchor_id", "segment_id")
 
 
@@ -284,7 +284,7 @@ SQL = {
         from tl a cross join h left join tl b on a.segment_id = b.segment_id and a.channel_name = b.channel_name
              and b."minute" = a."minute" + horizon group by 1""",
     "anchor_semi_join": """select distinct anchor_id, segment_id from feature_cache where segment_id in
-        (select segment_id from minute_timeline where channel_name = 'ABP Mean')""",
+        (select segment_id from minute_timeline)""",
     "key_alignment_audit": """with l as (select distinct segment_id, 1 l from feature_cache),
         r as (select segment_id, count(*) r from waveform_segment group by 1)
         select count(*) filter (where l is not null and r is not null) n_both,

@@ -304,12 +304,17 @@ def bootstrap_ranking_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 EXPONENTS = [-2.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
+FINE_STEPS = [round(0.05 * k, 2) for k in range(-9, 10)]
 
 
 def power_transform_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Best Yeo-Johnson exponent per feature."""
-    x = ds.power_fit(long_cache(spark, d), ["feature_name"], "value", EXPONENTS)
-    return x.select("feature_name", "exponent", F.round("log_likelihood", 3).alias("log_likelihood"))
+    """Best Yeo-Johnson exponent of all values and best Box-Cox exponent of the positive ones, per feature."""
+    long = long_cache(spark, d).select("feature_name", "value")
+    out = None
+    for kind in ds.TRANSFORMS:
+        x = ds.power_fit(long, ["feature_name"], "value", kind, EXPONENTS, FINE_STEPS).withColumn("transform", F.lit(kind))
+        out = x if out is None else out.unionByName(x)
+    return out.select("feature_name", "transform", F.round("exponent", 2).alias("exponent"), F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
 QUERIES = {
@@ -586,13 +591,16 @@ SQL = {
         select metric, count(*) n_replicates, round(quantile_cont(v, 0.025), 7) low, round(quantile_cont(v, 0.975), 7) high
         from z group by 1""",
     "power_transform_fit": f"""with {_C},
-        e as (select unnest([{", ".join(str(x) for x in EXPONENTS)}]::double[]) ex),
-        t as (select feature_name, ex, v, case
+        e as (select round(unnest(range(-49, 50)) * 0.05::double, 2) ex),
+        y as (select feature_name, ex, v, case
                   when v >= 0 and ex = 0 then ln(1 + v) when v >= 0 then (pow(v + 1, ex) - 1) / ex
-                  when ex = 2 then -ln(1 - v) else -(pow(1 - v, 2 - ex) - 1) / (2 - ex) end y
+                  when ex = 2 then -ln(1 - v) else -(pow(1 - v, 2 - ex) - 1) / (2 - ex) end t
               from lc, e where v is not null),
-        l as (select feature_name, ex, -count(*) / 2 * ln(greatest(var_pop(y), 1e-300)) + (ex - 1) * sum(sign(v) * ln(1 + abs(v))) l
-              from t group by 1, 2)
-        select feature_name, ex exponent, round(l, 3) log_likelihood from l
-        qualify row_number() over (partition by feature_name order by l desc, ex) = 1""",
+        b as (select feature_name, ex, v, case when ex = 0 then ln(v) else (pow(v, ex) - 1) / ex end t from lc, e where v > 0),
+        l as (select feature_name, 'yeo_johnson' transform, ex,
+                     -count(*) / 2 * ln(greatest(var_pop(t), 1e-300)) + (ex - 1) * sum(sign(v) * ln(1 + abs(v))) l from y group by 1, 2, 3
+              union all select feature_name, 'box_cox', ex, -count(*) / 2 * ln(greatest(var_pop(t), 1e-300)) + (ex - 1) * sum(ln(v))
+              from b group by 1, 2, 3)
+        select feature_name, transform, ex exponent, round(l, 3) log_likelihood from l
+        qualify row_number() over (partition by feature_name, transform order by l desc, ex) = 1""",
 }

@@ -173,16 +173,18 @@ def history_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def component_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Per anchor: history features of its last three minutes, each distinct interval computed once."""
-    from chronoward.plans.episodes_labels import anchors
+    """Per anchor and event: history features of its last three minutes, each distinct interval computed once."""
+    from chronoward.plans.episodes_labels import RULES, anchors
 
-    wanted = anchors(spark, d).filter("event_name = 'hypotension'").select(
-        "anchor_id", "segment_id", F.explode(F.array(*[F.col("input_end") - k for k in (1, 2, 3)])).alias("minute")
+    channel = F.create_map(*[F.lit(x) for c, r in RULES.items() for x in (r[0], c)])[F.col("event_name")]
+    wanted = anchors(spark, d).select(
+        "anchor_id", "segment_id", channel.alias("channel_name"),
+        F.explode(F.array(*[F.col("input_end") - k for k in (1, 2, 3)])).alias("minute"),
     )
-    distinct = wanted.select("segment_id", "minute").distinct()
-    feats = history_features(spark, d).filter("channel_name = 'ABP Mean'").join(distinct, ["segment_id", "minute"], "left_semi")
-    return wanted.join(feats.select("segment_id", "minute", "mean_5", "min_5", "slope_5"), ["segment_id", "minute"]).select(
-        "anchor_id", "segment_id", "minute", "mean_5", "min_5", "slope_5"
+    distinct = wanted.select(*KEYS, "minute").distinct()
+    feats = history_features(spark, d).join(distinct, [*KEYS, "minute"], "left_semi")
+    return wanted.join(feats.select(*KEYS, "minute", "mean_5", "min_5", "slope_5"), [*KEYS, "minute"]).select(
+        "anchor_id", *KEYS, "minute", "mean_5", "min_5", "slope_5"
     )
 
 
@@ -371,6 +373,14 @@ SQL = {
         select segment_id, channel_name, m "minute", round(avg(v), 6) mean_5, round(min(v), 6) min_5, round(max(v), 6) max_5,
                round(stddev_pop(v), 6) std_5, round(regr_slope(v, k - m + 4), 6) + 0.0 slope_5
         from w group by 1, 2, 3 having count(*) = 5""",
+    "component_dedup": f"""with {_TL},{_AN},
+        h as (select a.segment_id, a.channel_name, a.event_name, a."minute" m, b."minute" k, b."value" v from tl a join tl b
+              on a.segment_id = b.segment_id and a.channel_name = b.channel_name and b."minute" between a."minute" - 4 and a."minute"),
+        f as (select segment_id, channel_name, event_name, m, round(avg(v), 6) mean_5, round(min(v), 6) min_5,
+                     round(regr_slope(v, k - m + 4), 6) + 0.0 slope_5 from h group by 1, 2, 3, 4 having count(*) = 5)
+        select anchor_id, an.segment_id, channel_name, m "minute", mean_5, min_5, slope_5
+        from an join (select unnest([1, 2, 3]) k) on true join f on f.segment_id = an.segment_id and f.event_name = an.event_name
+             and f.m = input_end - k""",
     "burden_features": f"""with {_TL}, b as (select segment_id, channel_name, event_name, count(*) n,
               round(count(*) filter (where event) / count(*), 6) event_fraction, min("value") lowest, max("value") highest
               from tl group by 1, 2, 3),

@@ -195,3 +195,28 @@ def test_bundles(spark, tmp_path):
         sk.read_bundle(spark, f"file://{tmp_path}/b", "2")
     with pytest.raises(Exception, match="length"):
         sk.write_bundle(df, f"file://{tmp_path}/c", "y", "m", ["five"], "1")
+
+
+def test_bootstrap_of_ranks_over_partitions(spark):
+    """Levels of tied scores that straddle partitions, against the same replicates computed in one place."""
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 30), rng.choice([1.0, 1.0, 1.0, 2.0, rng.random() * 3]), rng.random() < 0.3) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k long, s double, y boolean")
+    got = {r.metric: r for r in ev.bootstrap_ranking(df, "k", F.col("y"), F.col("s"), 20).collect()}
+    k, s, y = (np.array(c) for c in zip(*rows, strict=True))
+    times = ev._times(k, 20, 41)
+    auroc, auprc = [], []
+    for r in range(20):
+        w = times[:, r]
+        m, n, tp, fp, area, precision = (w * y).sum(), (w * ~y).sum(), 0, 0, 0.0, 0.0
+        for level in np.unique(s)[::-1]:
+            p, q = (w * y)[s == level].sum(), (w * ~y)[s == level].sum()
+            area += p * (n - fp - q / 2)
+            tp, fp = tp + p, fp + q
+            precision += p * tp / max(tp + fp, 1)
+        auroc.append(area / (m * n))
+        auprc.append(precision / m)
+    for name, want in (("auroc", auroc), ("auprc", auprc)):
+        low, high = np.percentile(want, [2.5, 97.5])
+        assert math.isclose(got[name].low, low) and math.isclose(got[name].high, high) and got[name].n_replicates == 20
+    assert ev.bootstrap_ranking(df.limit(0), "k", F.col("y"), F.col("s"), 5).count() == 0

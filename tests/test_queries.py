@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["waveform_spectral", "waveform_entropy", "waveform_morphology", "beat_table", "component_dedup", "cyclic_variation",
+    "name", ["waveform_spectral", "waveform_entropy", "waveform_morphology", "beat_table", "cyclic_variation",
              "pulse_timing"]
 )
 def test_query_runs(spark, name):
