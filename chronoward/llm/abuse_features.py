@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -165,8 +166,8 @@ class Vocabulary(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.rows: list[tuple[int, int, int, int, int]] = []  # of words seen since the last table
-        self.known = np.zeros((0, 5), dtype=np.int64)
+        self.rows: list[tuple[int, int, int, int, int, int]] = []  # of words seen since the last table
+        self.known = np.zeros((0, 6), dtype=np.int64)
 
     def __missing__(self, token: str) -> int:
         word, bits, kinds = canonical(token)
@@ -174,11 +175,11 @@ class Vocabulary(dict):
         upper = 0 if token.islower() else sum(map(str.isupper, token))
         h = xxhash.xxh64_intdigest(word) >> 1
         number = self[token] = len(self)
-        self.rows.append((bits, kinds, letters, upper, h))
+        self.rows.append((bits, kinds, letters, upper, h, len(token) == 1))
         return number
 
     def table(self) -> np.ndarray:
-        """rows x (bits, kinds, letters, capitals, hash)."""
+        """rows x (bits, kinds, letters, capitals, hash, single letter)."""
         if self.rows:
             self.known = np.concatenate([self.known, np.array(self.rows, dtype=np.int64)])
             self.rows = []
@@ -338,22 +339,27 @@ def words_of(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarra
 
     Marks per document: look-alikes, markup inside words, ``!``, ``?``, spaced words.
     """
-    numbers: list[np.ndarray] = []
-    marks = np.zeros((len(texts), 5))
     look_up = vocabulary.__getitem__
+    marks = np.zeros((len(texts), 5))
+    cleaned: list[str] = []
+    own: list[list[int]] = []
     for i, text in enumerate(texts):
-        if not text:
-            numbers.append(np.zeros(0, dtype=np.int64))
-            continue
-        text, marks[i, :4] = clean(text)
-        words = split_words(text)
-        single = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) == 1
-        if len(words) > 2 and (single[2:] & single[1:-1] & single[:-2]).any():
-            text, marks[i, 4] = join_spaced(text)
-            words = split_words(text)
-        numbers.append(np.fromiter(map(look_up, words), dtype=np.int64, count=len(words)))
-    doc = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])
-    return np.concatenate([*numbers, np.zeros(0, dtype=np.int64)]), doc, marks
+        text, marks[i, :4] = clean(text) if text else ("", (0, 0, 0, 0))
+        cleaned.append(text)
+        own.append(list(map(look_up, split_words(text))))
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+        return np.fromiter(chain.from_iterable(own), dtype=np.int64, count=len(doc)), doc
+
+    ids, doc = joined()
+    single = vocabulary.table()[ids, 5] > 0
+    apart = single[2:] & single[1:-1] & single[:-2] & (doc[2:] == doc[:-2])
+    some = np.unique(doc[2:][apart]).tolist()
+    for i in some:  # letters written apart
+        text, marks[i, 4] = join_spaced(cleaned[i])
+        own[i] = list(map(look_up, split_words(text)))
+    return (*(joined() if some else (ids, doc)), marks)
 
 
 def abuse_features(
@@ -367,7 +373,7 @@ def abuse_features(
     ids, doc, marks = words_of(texts, vocabulary)
     n_docs = len(texts)
     known = vocabulary.table()[ids]
-    bits, kinds, letters, upper, h = known.T if len(ids) else np.zeros((5, 0), dtype=np.int64)
+    bits, kinds, letters, upper, h, _ = known.T if len(ids) else np.zeros((6, 0), dtype=np.int64)
     count = np.bincount(doc, minlength=n_docs)
     n = np.maximum(count, 1)
     place = np.arange(len(ids)) + doc * (WINDOW + REACH)  # windows never reach into the next text
