@@ -61,8 +61,8 @@ def learned_lexicons(
     """Weights of grams from ``labelled(text, label, fold, group)``: one without each fold, and one of all.
 
     A gram counts if at least ``min_groups`` groups have an abusive text with it; its
-    weight is the smoothed log ratio of its shares of abusive and other texts, kept from
-    ``min_weight`` on. ``labelled`` is the bounded sample and at most ``max_grams`` grams
+    weight is the smoothed log ratio of its shares of abusive and other texts less its
+    standard error, kept from ``min_weight`` on. ``labelled`` is the bounded sample and at most ``max_grams`` grams
     (those of the most groups) make the lexicon: a model of bounded size, like the trees.
     """
 
@@ -124,6 +124,7 @@ def learned_lexicons(
     def weights(use: np.ndarray) -> Weights:
         a, b = pos[:, use].sum(axis=1), neg[:, use].sum(axis=1)
         w = np.log((a + 0.5) / (sizes[1, use].sum() + 1)) - np.log((b + 0.5) / (sizes[0, use].sum() + 1))
+        w = w - np.sqrt(1.0 / (a + 0.5) + 1.0 / (b + 0.5))
         keep = (a >= min_groups) & (w >= min_weight)
         return Weights(grams[keep], w[keep])
 
@@ -154,7 +155,7 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, fold
 
 def score_abuse(
     docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, folds: int = 3, trees: int = 20, depth: int = 3,
-    leaf_share: float = 0.004, min_groups: int = 3, min_weight: float = 1.5, max_grams: int = 100_000, seed: int = 11,
+    leaf_share: float = 0.004, min_groups: int = 3, min_weight: float = 1.0, max_grams: int = 100_000, seed: int = 11,
 ) -> DataFrame:
     """``doc_id, source, score`` (calibrated probability) for ``docs(id, source, text)``.
 

@@ -60,7 +60,7 @@ def test_learned_grams_come_from_several_groups(spark):
     learned = abuse.learned_lexicons(labelled, 3, min_groups=3, min_weight=1.0, max_grams=1000)
     assert len(learned) == 4
     got = abuse_features.abuse_features(["a zorgle bax", "a quuxly", "pleasant words"], abuse_features.Vocabulary(), learned[-1])
-    top = dict(zip(abuse_features.FEATURES, got.T, strict=True))["learned_top"]
+    top = dict(zip(abuse_features.FEATURES, got.T, strict=True))["learned_window"]
     assert top[0] > 1 and top[1] == top[2] == 0
 
 
