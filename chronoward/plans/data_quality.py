@@ -79,7 +79,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_regular_series(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d, only_missing=False)
+    return _grid(spark, d, only_missing=False).withColumns({
+        "value": F.round("value", 5), "effective_support": F.round("effective_support", 5)
+    })
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -132,9 +134,9 @@ SQL = {
              e as (select segment_id, channel_name, grid_index, s0 * s0 / ss effective_support, y0 / s0 level,
                           s0 * s2 - s1 * s1 det, (s2 * y0 - s1 * y1) line, s0 from f)
         select segment_id, channel_name, grid_index, coalesce(n, 0) n_readings, n is null is_missing,
-               case when effective_support >= 1.2 and det > 1e-3 * s0 * s0 then line / det
-                    when effective_support >= 1 then level end "value",
-               coalesce(effective_support, 0) effective_support
+               round(case when effective_support >= 1.2 and det > 1e-3 * s0 * s0 then line / det
+                          when effective_support >= 1 then level end, 5) "value",
+               round(coalesce(effective_support, 0), 5) effective_support
         from a left join n using (segment_id, channel_name, grid_index) left join e using (segment_id, channel_name, grid_index)""",
     "p7_found": """
         with i as (select 'icustay' entity_kind, cast(icustay_id as varchar) entity_id,

@@ -208,10 +208,10 @@ def quality_features(spark: SparkSession, d: str) -> DataFrame:
 
     mask = F.size(F.filter("valid_micro_mask", lambda x: x))
     return rows.groupBy("segment_id", "channel_name").agg(
-        F.count(F.lit(1)).alias("n_windows"), F.round(F.avg(clean("flatline_fraction")), 9).alias("flatline"),
-        F.round(F.avg(clean("extreme_value_fraction")), 9).alias("extreme"),
-        F.round(F.avg(clean("missing_micro_fraction")), 9).alias("missing"),
-        F.round(F.sum(F.when(F.col("valid_micro_mask").isNotNull(), mask)) / F.sum(F.size("valid_micro_mask")), 9).alias("usable"),
+        F.count(F.lit(1)).alias("n_windows"), F.round(F.avg(clean("flatline_fraction")), 8).alias("flatline"),
+        F.round(F.avg(clean("extreme_value_fraction")), 8).alias("extreme"),
+        F.round(F.avg(clean("missing_micro_fraction")), 8).alias("missing"),
+        F.round(F.sum(F.when(F.col("valid_micro_mask").isNotNull(), mask)) / F.sum(F.size("valid_micro_mask")), 8).alias("usable"),
     )
 
 
@@ -389,12 +389,12 @@ SQL = {
         from b left join l using (segment_id, event_name)""",
     "quality_features": """with r as (select distinct on (window_id) * from signal_quality)
         select segment_id, channel_name, count(*) n_windows,
-               round(avg(case when not isnan(flatline_fraction) and flatline_fraction between 0 and 1 then flatline_fraction end), 9) flatline,
+               round(avg(case when not isnan(flatline_fraction) and flatline_fraction between 0 and 1 then flatline_fraction end), 8) flatline,
                round(avg(case when not isnan(extreme_value_fraction) and extreme_value_fraction between 0 and 1
-                              then extreme_value_fraction end), 9) extreme,
+                              then extreme_value_fraction end), 8) extreme,
                round(avg(case when not isnan(missing_micro_fraction) and missing_micro_fraction between 0 and 1
-                              then missing_micro_fraction end), 9) missing,
-               round(sum(len(list_filter(valid_micro_mask, lambda x: x))) / sum(len(valid_micro_mask)), 9) usable
+                              then missing_micro_fraction end), 8) missing,
+               round(sum(len(list_filter(valid_micro_mask, lambda x: x))) / sum(len(valid_micro_mask)), 8) usable
         from r group by 1, 2""",
     "pressure_interval_coupling": f"""with {_TL},
         p as (select segment_id, "minute" m, "value" p from tl where channel_name = 'ABP Mean'),
