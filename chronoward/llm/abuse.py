@@ -154,7 +154,7 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int, fold
 
 
 def score_abuse(
-    docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, folds: int = 3, trees: int = 20, depth: int = 3,
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, folds: int = 3, trees: int = 14, depth: int = 3,
     leaf_share: float = 0.004, min_groups: int = 3, min_weight: float = 1.0, max_grams: int = 100_000, seed: int = 11,
 ) -> DataFrame:
     """``doc_id, source, score`` (calibrated probability) for ``docs(id, source, text)``.
@@ -181,7 +181,7 @@ def score_abuse(
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     train = checkpoint(
         assembler.transform(with_features(labelled, ["label", "fold"], learned, use="fold")).select("label", "fold", "features")
-    ).coalesce(3).persist()  # a bounded sample of short vectors
+    ).coalesce(2).persist()  # a bounded sample of short vectors
     leaf = max(3, int(leaf_share * sum(counts.values())))  # verdicts are noisy: no leaf of a few of them
     gbt = GBTClassifier(
         maxIter=trees, maxDepth=depth, stepSize=0.25, minInstancesPerNode=leaf, seed=seed, featuresCol="features",
