@@ -1,4 +1,8 @@
-"""Sentences written after the lexicons of the abuse score were fixed, to measure it on unseen wording."""
+"""Sentences to measure the abuse score on wording that its labels do not hold.
+
+Written after the first version of the lexicons. Not a clean held-out set: the register
+list was edited and settings of the model were chosen after results on it were seen.
+"""
 
 ABUSIVE = [
     "Those newcomers are a plague and ought to be thrown out of our town for good.",

@@ -1,4 +1,4 @@
-"""The abuse score: disguises, edge cases, and wording that neither lexicons nor labels were written for."""
+"""The abuse score: disguises, edge cases, and wording that the labels do not hold."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def test_a_batch_gives_what_single_texts_give():
 
 
 def test_every_kind_of_abuse_meets_a_lexicon():
-    """Sentences whose wording was chosen after the lexicons heat up some window, more than neutral ones."""
+    """Sentences of every kind heat up some window, more than plain ones."""
     heat = [f["open_heat_window"] for f in features(*heldout.ABUSIVE)]
     calm = [f["open_heat_window"] for f in features(*heldout.FILLER)]
     assert min(heat) > max(calm)
@@ -80,7 +80,7 @@ def test_scores_need_verdicts_of_both_kinds_in_every_fold(spark):
 
 @pytest.mark.skipif(not os.path.exists(LABELLED), reason="needs the labelled tables")
 def test_unseen_wording_is_found(spark):
-    """Trained on the given labels, scored on held-out sentences inside ordinary paragraphs."""
+    """Trained on the given labels, scored on other sentences inside ordinary paragraphs (see heldout.py for its limits)."""
     from pyspark.sql import functions as F
 
     labels = spark.read.parquet(f"{LABELLED}/review_label.parquet").select(F.col("doc_id").alias("id"), F.col("abusive").alias("label"))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from chronoward.llm import leakage
@@ -106,6 +107,26 @@ def test_copies_with_every_fourth_word_exchanged_or_on_many_pages(spark):
         assert {(r.doc_id, r.item_id) for r in out} == want
 
 
+@pytest.mark.parametrize(("exchanged", "least"), [(0.1, 0.99), (0.2, 0.97), (0.25, 0.85)])
+def test_recall_of_copies_with_random_exchanged_words(exchanged, least):
+    """Seeds and alignment on copies of random items; stock text, insertions and deletions are not part of this."""
+    rng = np.random.default_rng(11)
+    found = accepted = 0
+    items = [rng.integers(1, 2**62, n) for n in rng.integers(30, 95, 200)]
+    for item in items:
+        copy = np.where(rng.random(len(item)) < exchanged, rng.integers(1, 2**62, len(item)), item)
+        text = np.r_[rng.integers(1, 2**62, 40), copy, rng.integers(1, 2**62, 40)]
+        _, covered, matched = leakage.align_pairs(
+            [(item & 0x7FFFFFFF).astype(np.int32)], [(text & 0x7FFFFFFF).astype(np.int32)], np.array([0.2 * len(item)])
+        )[0]
+        ok = covered >= 0.5 * len(item) and matched >= 0.7 * covered
+        (h, _, holes), (t, _, text_holes) = leakage.item_grams_of(item, 5), leakage.item_grams_of(text, 5)
+        whole = np.isin(h[holes == 0], t[text_holes == 0]).any()
+        accepted += ok
+        found += bool(ok and (whole or np.isin(np.unique(h), t).sum() > 1))
+    assert found / len(items) >= least and found == accepted  # the seeds lose nothing that the alignment accepts
+
+
 # words
 
 def test_words_ignore_markup():
