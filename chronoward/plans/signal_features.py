@@ -216,7 +216,10 @@ def quality_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pressure_interval_coupling(spark: SparkSession, d: str) -> DataFrame:
-    """Per segment and lag of 0 to 2 minutes: correlation and slope of beat interval on pressure."""
+    """Per segment and lag of 0 to 2 minutes: correlation and slope of beat interval on pressure.
+
+    Without variation a figure is NaN, as in SQL; Spark's own ``corr`` divides by zero there.
+    """
     t = timeline(spark, d)
     p = t.filter("channel_name = 'ABP Mean'").select(
         "segment_id", F.col("value").alias("p"), "minute", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("lag")
@@ -224,9 +227,11 @@ def pressure_interval_coupling(spark: SparkSession, d: str) -> DataFrame:
     r = t.filter("channel_name = 'HR' and value between 30 and 220").select(
         "segment_id", F.col("minute").alias("at"), (60.0 / F.col("value")).alias("rr")
     )
+    nan = F.lit(float("nan"))
+    corr = F.coalesce(F.try_divide(F.covar_pop("p", "rr"), F.stddev_pop("p") * F.stddev_pop("rr")), nan)
+    slope = F.coalesce(F.regr_slope("rr", "p"), nan)
     x = p.join(r, ["segment_id", "at"]).groupBy("segment_id", "lag").agg(
-        F.count(F.lit(1)).alias("n"), (F.round(F.corr("p", "rr"), 5) + 0.0).alias("r"),
-        (F.round(F.regr_slope("rr", "p"), 7) + 0.0).alias("slope"),
+        F.count(F.lit(1)).alias("n"), (F.round(corr, 5) + 0.0).alias("r"), (F.round(slope, 7) + 0.0).alias("slope"),
     )
     return x.filter("n >= 10")
 
